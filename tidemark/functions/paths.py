@@ -46,9 +46,9 @@ def parent_key(key: Column) -> Column:
 
     A slash at the end of the key does not count as a separator.
     """
-    above = F.regexp_extract(key, "^(.*/)[^/]*/?$", 1)
-    # "a//" keeps its first slash: the last one is ignored, the one before separates.
-    return F.when(~key.contains("/"), "").when(F.length(F.regexp_replace(key, "/$", "")) <= 1, "/").otherwise(above)
+    bare = F.regexp_replace(key, "/$", "")
+    above = F.regexp_extract(bare, "^(.*/)[^/]*$", 1)
+    return F.when(~key.contains("/"), "").when(F.length(bare) <= 1, "/").otherwise(above)
 
 
 def location_uri(location: Column) -> Column:
@@ -94,10 +94,16 @@ def resolve_key(base_path: Column, *components: Column) -> Column:
     joined = F.concat_ws("/", base_path, *components)
     parts = without_dots(F.split(joined, "/"))
     lead = F.when(joined.startswith("/"), "/").otherwise("")
-    trail = F.when((F.size(parts) > 0) & joined.rlike(r"(/|/\.|/\.\.)$"), "/").otherwise("")
+    climbed = joined.rlike(r"/\.\.$") & (F.get(parts, F.size(parts) - 1) != "..")
+    trail = F.when((F.size(parts) > 0) & (joined.rlike(r"(/|/\.)$") | climbed), "/").otherwise("")
     return F.concat(lead, F.array_join(parts, "/"), trail)
 
 
+def resolve_directory(base_path: Column, *components: Column) -> Column:
+    """The same, always ending in a slash."""
+    return resolve_key(base_path, *components, F.lit(""))
+
+
 def snapshot_name(key: Column) -> Column:
     """Name of the snapshot a key belongs to, null if it belongs to none."""
     return F.nullif(F.regexp_extract(key, SNAPSHOT_PATTERN, 1), F.lit(""))

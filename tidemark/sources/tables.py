@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.order import to_millis
 from tidemark.operators.batch import latest_per_node
+from tidemark.operators.mutate import NODE_COLUMNS
 
 #: Scalars of the example trackers (epoch milliseconds, UTC).
 LAST_INDEXED_MS = 946_684_800_000  # 2000-01-01
@@ -22,8 +23,6 @@ ACL_STOP_MS = 1_706_140_800_000  # 2024-01-25
 GHOST_OFFSET = 1_000_000
 SHARD_COUNT = 3
 
-NODE_COLUMNS = ["node_id", "tx_id", "acl_id", "node_ref", "tenant", "status"]
-
 #: Store reference -> core. The names of the cores are the deployment's choice.
 STORE_CORES = {
     "workspace://SpacesStore": "live",
