@@ -377,11 +377,11 @@ def settled(name: str, hold: int) -> None:
 settled("settled_at", 10000)
 settled("settled_at_long", 600000)
 sql("readiness", "access_lines index_nodes names", """
-    SELECT (SELECT count(*) FROM names WHERE regexp_matches(lower(name), '(^|[^\\p{L}\\p{N}])ring')) > 0 AS has_hits,
-           (SELECT bool_and(split_part(value, ' ', 9) = '200') FROM access_lines
-            WHERE value NOT LIKE 'malformed%' AND value NOT LIKE '%GET /error %') AS probes_ok,
-           (SELECT bool_and(n > 50) FROM (SELECT count(*) AS n FROM index_nodes GROUP BY node_id % 3)) AS shards_ok,
-           has_hits AND probes_ok AND shards_ok AS ready""")
+    SELECT *, has_hits AND probes_ok AND shards_ok AS ready FROM (
+        SELECT (SELECT count(*) FROM names WHERE regexp_matches(lower(name), '(^|[^\\p{L}\\p{N}])ring')) > 0 AS has_hits,
+               (SELECT bool_and(split_part(value, ' ', 9) = '200') FROM access_lines
+                WHERE value NOT LIKE 'malformed%' AND value NOT LIKE '%GET /error %') AS probes_ok,
+               (SELECT bool_and(n > 50) FROM (SELECT count(*) AS n FROM index_nodes GROUP BY node_id % 3)) AS shards_ok)""")
 
 # --- batches and top-k -------------------------------------------------------
 
@@ -442,14 +442,14 @@ sql("delete_by_node", "index_nodes maintenance_requests", f"""
 sql("delete_by_tx", "index_nodes index_tx maintenance_requests", f"""
     SELECT 'node' AS doc, node_id AS id, tx_id FROM index_nodes WHERE tx_id NOT IN {wanted('tx', 'purge')}
     UNION ALL SELECT 'tx', tx_id, tx_id FROM index_tx WHERE tx_id NOT IN {wanted('tx', 'purge')}""")
-FAILED = "SELECT event_id FROM events WHERE event_type = 'error'"
+FAILED = "SELECT event_id FROM events WHERE event_type = 'error' AND value > 200"
 sql("delete_by_acl", "index_acls acls", f"""
-    SELECT * FROM index_acls WHERE acl_id NOT IN (SELECT acl_id FROM acls WHERE change_set_id IN ({FAILED}))""")
+    SELECT * FROM index_acls WHERE acl_id NOT IN (SELECT user_id FROM events WHERE user_id % 10 = 1)""")
 sql("delete_by_change_set", "index_acls acls index_change_sets", f"""
     SELECT 'acl' AS doc, acl_id AS id, authority FROM index_acls
     WHERE acl_id NOT IN (SELECT acl_id FROM acls WHERE change_set_id IN ({FAILED}))
     UNION ALL SELECT 'change set', change_set_id, '' FROM index_change_sets
-    WHERE change_set_id NOT IN ({FAILED} UNION ALL SELECT event_id + 5000000 FROM events WHERE event_type = 'error')""")
+    WHERE change_set_id NOT IN ({FAILED} UNION ALL SELECT event_id + 5000000 FROM events WHERE event_type = 'error' AND value > 200)""")
 sql("write_markers", "index_tx transactions", """
     SELECT tx_id, commit_time_ms FROM index_tx WHERE tx_id NOT IN (SELECT tx_id FROM transactions)
     UNION ALL SELECT tx_id, commit_time_ms FROM transactions""")
@@ -501,11 +501,11 @@ sql("index_nodes", "index_nodes current_nodes maintenance_requests", f"""
 sql("upsert_acls", "index_acls acl_readers acls change_sets index_change_sets", f"""
     SELECT acl_id, authority FROM index_acls WHERE acl_id NOT IN ({WANTED_ACLS})
     UNION ALL SELECT acl_id, authority FROM acl_readers WHERE acl_id IN ({WANTED_ACLS})""")
-LOST_SETS = "SELECT event_id + 5000000 FROM events WHERE event_type = 'error'"
+LOST_SETS = "SELECT event_id + 5000000 FROM events WHERE event_type = 'error' AND value > 200"
 FAILED_ACLS = f"SELECT acl_id FROM acls WHERE change_set_id IN ({FAILED})"
 REWRITTEN_SETS = f"""
     SELECT 'change set', change_set_id, NULL FROM index_change_sets WHERE change_set_id NOT IN ({FAILED} UNION ALL {LOST_SETS})
-    UNION ALL SELECT 'change set', event_id, NULL FROM events WHERE event_type = 'error'
+    UNION ALL SELECT 'change set', event_id, NULL FROM events WHERE event_type = 'error' AND value > 200
     UNION ALL SELECT 'not found', * , NULL FROM ({LOST_SETS})"""
 sql("reindex_change_sets", "index_acls acl_readers acls index_change_sets", f"""
     SELECT 'acl' AS doc, acl_id AS id, authority FROM index_acls WHERE acl_id NOT IN ({FAILED_ACLS})

@@ -318,20 +318,13 @@ def store_to_core(spark, folder):
 
 @query
 def normalize_key(spark, folder):
-    raw = F.col("raw_key")
-    return T.raw_keys(spark, folder).select(
-        "event_id",
-        paths.path_key(raw).alias("path"),
-        paths.file_key(raw).alias("file"),
-        paths.file_key_error(raw).alias("file_error"),
-        paths.dir_key(raw).alias("dir"),
-    )
+    return inventory.normalize_keys(T.raw_keys(spark, folder)).drop("raw_key")
 
 
 @query
 def parent_key(spark, folder):
-    key = paths.path_key(F.col("raw_key"))
-    return T.raw_keys(spark, folder).select("event_id", key.alias("key"), paths.parent_key(key).alias("parent"))
+    keys = inventory.normalize_keys(T.raw_keys(spark, folder)).select("event_id", F.col("path").alias("key"))
+    return inventory.parents(keys)
 
 
 @query
@@ -345,7 +338,7 @@ def location_uri(spark, folder):
         .otherwise(F.concat(F.lit("s3://bucket/"), key))
     )
     events = T.table(spark, folder, "events")
-    return events.select("event_id", paths.location_uri(location).alias("uri")).select("event_id", "uri.*")
+    return inventory.location_uris(events.select("event_id", location.alias("location"))).drop("location")
 
 
 @query
@@ -656,8 +649,8 @@ def asked(spark, folder, kind, action, id_col):
 
 
 def asked_sets(spark, folder):
-    """Change sets of failed requests, and as many ids the feed does not have."""
-    failed = T.table(spark, folder, "events").filter("event_type = 'error'")
+    """Change sets of slow failed requests, and as many ids the feed does not have."""
+    failed = T.table(spark, folder, "events").filter("event_type = 'error' AND value > 200")
     ids = failed.select(F.col("event_id").alias("change_set_id"))
     return ids.unionByName(ids.select((F.col("change_set_id") + 5_000_000).alias("change_set_id")))
 
@@ -686,7 +679,7 @@ def delete_by_tx(spark, folder):
 
 @query
 def delete_by_acl(spark, folder):
-    ids = T.acls(spark, folder).join(asked_sets(spark, folder), "change_set_id", "left_semi").select("acl_id")
+    ids = maintenance.requested(acl_requests(spark, folder), "acl", "purge", "acl_id")
     return mutate.delete_by_acl(T.index_acls(spark, folder), ids)
 
 

@@ -24,21 +24,14 @@ def path_key(raw: Column) -> Column:
     return trimmed(F.regexp_replace(trimmed(raw), "^/", ""))
 
 
-def file_key(raw: Column) -> Column:
-    """A path key without one trailing slash; null if nothing is left."""
-    key = trimmed(F.regexp_replace(path_key(raw), "/$", ""))
-    return F.when(key != "", key)
+def file_of(path: Column) -> Column:
+    """A path key without one trailing slash; empty if nothing is left (which is an error)."""
+    return trimmed(F.regexp_replace(path, "/$", ""))
 
 
-def file_key_error(raw: Column) -> Column:
-    """Why there is no file key, else null."""
-    return F.when(file_key(raw).isNull(), EMPTY_KEY)
-
-
-def dir_key(raw: Column) -> Column:
+def dir_of(path: Column) -> Column:
     """A path key that ends with a slash; the root is ``/``."""
-    key = path_key(raw)
-    return F.when(key.endswith("/"), key).otherwise(F.concat(key, F.lit("/")))
+    return F.concat(F.regexp_replace(path, "/$", ""), F.lit("/"))
 
 
 def parent_key(key: Column) -> Column:
@@ -51,27 +44,22 @@ def parent_key(key: Column) -> Column:
     return F.when(~key.contains("/"), "").when(F.length(bare) <= 1, "/").otherwise(above)
 
 
-def location_uri(location: Column) -> Column:
-    """Location -> struct of scheme, host, path, key and error.
+def location_text(location: Column) -> Column:
+    """A location as URI text: rooted unless it already is or names the scheme, ending in a slash.
 
-    A location is rooted unless it already is or names the scheme; it always
-    ends in a slash. The key puts the host in front of the path.
+    Null for an empty location, which is an error.
     """
     named = location.startswith(f"{SCHEME}:")
     rooted = F.when(location.startswith("/") | named, location).otherwise(F.concat(F.lit("/"), location))
-    text = F.when(rooted.endswith("/"), rooted).otherwise(F.concat(rooted, F.lit("/")))
-    pattern = f"^{SCHEME}://([^/]*)(/.*)$"
-    host = F.when(named, F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")))
-    plain = F.regexp_replace(text, f"^{SCHEME}:(//[^/]*)?", "")
-    path = F.when(named, plain).otherwise(text)
-    bad = F.coalesce(location, F.lit("")) == ""
-    return F.struct(
-        F.when(~bad, SCHEME).alias("scheme"),
-        F.when(~bad, host).alias("host"),
-        F.when(~bad, path).alias("path"),
-        F.when(~bad, F.concat(F.coalesce(host, F.lit("")), path)).alias("key"),
-        F.when(bad, EMPTY_LOCATION).alias("error"),
-    )
+    return F.when(location != "", F.concat(F.regexp_replace(rooted, "/$", ""), F.lit("/")))
+
+
+def uri_host(text: Column) -> Column:
+    return F.nullif(F.regexp_extract(text, f"^{SCHEME}://([^/]*)/", 1), F.lit(""))
+
+
+def uri_path(text: Column) -> Column:
+    return F.regexp_replace(text, f"^{SCHEME}:(//[^/]*)?", "")
 
 
 def without_dots(segments: Column) -> Column:

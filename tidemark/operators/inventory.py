@@ -8,19 +8,63 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.paths import DIRECTORY_TYPE, ancestors, dir_key, file_key, parent_key, path_key
+from tidemark.functions.paths import (
+    DIRECTORY_TYPE,
+    EMPTY_KEY,
+    EMPTY_LOCATION,
+    SCHEME,
+    ancestors,
+    dir_of,
+    file_of,
+    location_text,
+    parent_key,
+    path_key,
+    uri_host,
+    uri_path,
+)
 
 
 def is_directory_type(content_type: str = "content_type") -> Column:
     return F.lower(F.col(content_type)) == DIRECTORY_TYPE
 
 
+def location_uris(rows: DataFrame, location: str = "location") -> DataFrame:
+    """Add scheme, host, path and key of each location, or why it has none.
+
+    The key puts the host in front of the path.
+    """
+    text = F.col("_text")
+    read = rows.withColumn("_text", location_text(F.col(location))).select(
+        *rows.columns,
+        F.when(text.isNotNull(), SCHEME).alias("scheme"),
+        uri_host(text).alias("host"),
+        uri_path(text).alias("path"),
+        F.when(text.isNull(), EMPTY_LOCATION).alias("error"),
+    )
+    return read.withColumn("key", F.concat(F.coalesce("host", F.lit("")), "path"))
+
+
 def directory_prefix(path: str) -> str:
     """What the keys below a directory start with; nothing for the root."""
     bare = path.strip().removeprefix("/").strip()
     return "" if bare in ("", "/") else bare.removesuffix("/") + "/"
 
 
+def normalize_keys(rows: DataFrame, raw: str = "raw_key") -> DataFrame:
+    """Add the three normal forms of a key: path, file (null with a reason if empty) and directory.
+
+    Built in steps, so that each form is computed once per row.
+    """
+    forms = rows.withColumn("path", path_key(F.col(raw))).withColumn("_bare", file_of(F.col("path")))
+    return forms.select(
+        *rows.columns,
+        "path",
+        F.nullif("_bare", F.lit("")).alias("file"),
+        F.when(F.col("_bare") == "", EMPTY_KEY).alias("file_error"),
+        dir_of(F.col("path")).alias("dir"),
+    )
+
+
 def list_children(inventory: DataFrame, path: str) -> DataFrame:
     """Names directly below a directory, each once; the root lists the top level."""
     prefix = directory_prefix(path)
@@ -37,11 +81,8 @@ def key_status(requested: DataFrame, inventory: DataFrame, raw: str = "raw_key")
     stored with the directory content type. The root always exists. A directory
     has no length, and neither has a key that does not exist.
     """
-    asked = requested.select(raw).distinct().select(
-        raw,
-        path_key(F.col(raw)).alias("_path"),
-        file_key(F.col(raw)).alias("_file"),
-        dir_key(F.col(raw)).alias("_dir"),
+    asked = normalize_keys(requested.select(raw).distinct(), raw).select(
+        raw, F.col("path").alias("_path"), F.col("file").alias("_file"), F.col("dir").alias("_dir")
     )
     stored = inventory.select("key", "size", is_directory_type().alias("is_dir"))
     # Each requested key is looked up in its (at most three) forms with a single join.
@@ -75,7 +116,8 @@ def delete_plan(
 
     Only the keys that really are missing are reported.
     """
-    keys = requested.select(file_key(F.col(raw)).alias("key")).filter("key is not null").distinct()
+    keys = normalize_keys(requested.select(raw), raw).select(F.col("file").alias("key"))
+    keys = keys.filter("key is not null").distinct()
     stored = inventory.select("key").distinct().withColumn("_stored", F.lit(True))
     plan = keys.join(stored, "key", "left").select(
         "key", F.when(F.col("_stored"), "delete").otherwise("missing").alias("action")
@@ -94,5 +136,5 @@ def missing_parents(inventory: DataFrame) -> DataFrame:
     return above.join(inventory.select("key"), "key", "left_anti")
 
 
-def parents_of(inventory: DataFrame) -> DataFrame:
-    return inventory.select("key", parent_key(F.col("key")).alias("parent"))
+def parents(keys: DataFrame, key: str = "key") -> DataFrame:
+    return keys.withColumn("parent", parent_key(F.col(key)))
