@@ -798,7 +798,6 @@ def apply_maintenance(spark, folder):
         T.transactions(spark, folder),
         T.current_nodes(spark, folder),
         queried,
-        T.SHARD_COUNT,
     )
     return _with_unknown(index)
 

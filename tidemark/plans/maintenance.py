@@ -1,26 +1,28 @@
-"""Queued maintenance: purge, reindex and index requests applied in their fixed order."""
+"""Queued maintenance: purge, reindex and index requests with the effect of their fixed order.
+
+The order is: purge transactions, purge nodes, reindex transactions, reindex
+nodes (also those a query found), index transactions, index nodes; the same for
+change sets and ACLs. Applied one after the other, every step would read the
+index again. Here the requests are turned into flags per id, and the index and
+the source are each read with those flags at hand:
+
+* an index row stays unless its id or transaction is purged or reindexed;
+* a source row is written if it is reindexed, or if it is to be indexed and no
+  row of that id stayed.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.mutate import (
-    AclIndex,
-    NodeIndex,
-    append_nodes,
-    delete_by_acl,
-    delete_by_change_set,
-    delete_by_node,
-    delete_by_tx,
-    index_change_sets,
-    reindex_change_sets,
-    reindex_nodes,
-    reindex_transactions,
-    upsert_acls,
-    write_markers,
-)
-from tidemark.operators.expand import nodes_of_transactions
+from tidemark.operators.expand import readers_of_acls
+from tidemark.operators.mutate import AclIndex, NodeIndex, without
+from tidemark.operators.route import DELETED
+from tidemark.session import freeze
+
+PURGE, REINDEX, INDEX = "purge", "reindex", "index"
+ACTIONS = (PURGE, REINDEX, INDEX)
 
 
 def requested(requests: DataFrame, kind: str, action: str, id_col: str) -> DataFrame:
@@ -28,60 +30,123 @@ def requested(requests: DataFrame, kind: str, action: str, id_col: str) -> DataF
     return wanted.select(F.col("id").alias(id_col)).distinct()
 
 
+def without_scheduled(requests: DataFrame) -> DataFrame:
+    """Drop every queued request except queries."""
+    return requests.filter(F.col("kind") == "query")
+
+
+def _flags(requests: DataFrame, kind: str, id_col: str) -> DataFrame:
+    """Requested actions of each id as boolean columns."""
+    return (
+        requests.filter(F.col("kind") == kind)
+        .groupBy(F.col("id").alias(id_col))
+        .agg(*[F.bool_or(F.col("action") == a).alias(f"{kind}_{a}") for a in ACTIONS])
+    )
+
+
+def _is(flag: str) -> Column:
+    return F.coalesce(F.col(flag), F.lit(False))
+
+
+def _rewritten(markers: DataFrame, flags: DataFrame, known: DataFrame, kind: str, id_col: str) -> DataFrame:
+    """Markers without the purged and reindexed ones, and those of the known requests anew."""
+    dropped = flags.filter(F.col(f"{kind}_{PURGE}") | F.col(f"{kind}_{REINDEX}"))
+    kept = without(without(markers, dropped, id_col), known, id_col)
+    return kept.unionByName(known.select(*markers.columns))
+
+
+def _lost(flags: DataFrame, known: DataFrame, kind: str, id_col: str) -> DataFrame:
+    """Ids to be (re)indexed that the feed does not have, once per action."""
+    asked = flags.filter(F.col(f"{kind}_{REINDEX}")).select(id_col)
+    asked = asked.unionByName(flags.filter(F.col(f"{kind}_{INDEX}")).select(id_col))
+    return without(asked, known, id_col)
+
+
 def apply_maintenance(
     index: NodeIndex,
     requests: DataFrame,
     feed: DataFrame,
     source: DataFrame,
     queried: DataFrame | None = None,
-    shard_count: int = 1,
 ) -> NodeIndex:
-    """Purge transactions and nodes, reindex both and what a query found, then index both.
+    """The node index and markers after all requests.
 
-    ``requests`` has (kind, action, id); ``queried`` holds the node ids a query
-    matched. Both kinds of "index" insert absent nodes from the same source, so
-    they are one append. ``unknown`` lists requested transactions without a source row.
+    ``requests`` has (kind, action, id) with kinds ``tx`` and ``node``;
+    ``queried`` holds the node ids a query matched. ``source`` has each node
+    once, in its last transaction. ``unknown`` lists requested transactions
+    without a source row.
     """
-    tx = {a: requested(requests, "tx", a, "tx_id") for a in ("purge", "reindex", "index")}
-    node = {a: requested(requests, "node", a, "node_id") for a in ("purge", "reindex", "index")}
-
-    index = delete_by_tx(index, tx["purge"])
-    index = index._replace(nodes=delete_by_node(index.nodes, node["purge"]))
-    index = reindex_transactions(index, tx["reindex"], feed, source, shard_count)
-    lost = index.unknown
-    again = node["reindex"] if queried is None else node["reindex"].unionByName(queried.select("node_id"))
-    index = index._replace(nodes=reindex_nodes(index.nodes, again, source, shard_count))
-
-    known = feed.join(tx["index"], "tx_id", "left_semi")
-    by_tx = nodes_of_transactions(known, source).select("node_id")
-    absent = source.join(by_tx.unionByName(node["index"]), "node_id", "left_semi")
+    if queried is not None:
+        again = queried.select(F.lit("node").alias("kind"), F.lit(REINDEX).alias("action"), F.col("node_id").alias("id"))
+        requests = requests.select("kind", "action", "id").unionByName(again)
+    # As large as the requests, and used by every part below.
+    tx, node = freeze(_flags(requests, "tx", "tx_id")), freeze(_flags(requests, "node", "node_id"))
+
+    flagged = source.join(tx, "tx_id", "left").join(node, "node_id", "left")
+    reindexed = _is("tx_reindex") | _is("node_reindex")
+    touched = freeze(
+        flagged.select(*index.nodes.columns, reindexed.alias("_again"), (_is("tx_index") | _is("node_index")).alias("_add"))
+        .filter("_again OR _add")
+    )
+    alive = touched.filter(F.col("status") != DELETED)
+
+    kept = (
+        index.nodes.join(tx.select("tx_id", "tx_purge", "tx_reindex"), "tx_id", "left")
+        .join(node.select("node_id", "node_purge", "node_reindex"), "node_id", "left")
+        .filter(~(_is("tx_purge") | _is("tx_reindex") | _is("node_purge") | _is("node_reindex")))
+        .select(*index.nodes.columns)
+        .join(touched.filter("_again").select("node_id"), "node_id", "left_anti")
+    )
+    absent = without(alive.filter("_add AND NOT _again"), kept, "node_id")
+    written = alive.filter("_again").unionByName(absent).select(*index.nodes.columns)
+
+    known = freeze(
+        feed.join(tx.filter("tx_reindex OR tx_index"), "tx_id", "left_semi").select(*index.markers.columns)
+    )
     return NodeIndex(
-        append_nodes(index.nodes, absent),
-        write_markers(index.markers, known, "tx_id"),
-        lost.unionByName(tx["index"].join(feed.select("tx_id"), "tx_id", "left_anti")),
+        kept.unionByName(written),
+        _rewritten(index.markers, tx, known, "tx", "tx_id"),
+        _lost(tx, known, "tx", "tx_id"),
     )
 
 
 def apply_acl_maintenance(
     index: AclIndex, requests: DataFrame, feed: DataFrame, acls: DataFrame, readers: DataFrame
 ) -> AclIndex:
-    """Purge change sets and ACLs, reindex both, then index both."""
-    sets = {a: requested(requests, "change_set", a, "change_set_id") for a in ("purge", "reindex", "index")}
-    acl = {a: requested(requests, "acl", a, "acl_id") for a in ("purge", "reindex", "index")}
-
-    index = delete_by_change_set(index, sets["purge"], acls)
-    index = index._replace(acls=delete_by_acl(index.acls, acl["purge"]))
-    index = reindex_change_sets(index, sets["reindex"], feed, acls, readers)
-    lost = index.unknown
-    index = index._replace(acls=upsert_acls(index.acls, acl["reindex"], readers))
-    index = index_change_sets(index, sets["index"], feed, acls, readers)
+    """The ACL index and markers after all requests (kinds ``change_set`` and ``acl``)."""
+    sets = freeze(_flags(requests, "change_set", "change_set_id"))
+    known = freeze(
+        feed.join(sets.filter("change_set_reindex OR change_set_index"), "change_set_id", "left_semi").select(
+            *index.markers.columns
+        )
+    )
+    in_feed = known.select("change_set_id", F.lit(True).alias("_known"))
+    by_set = (
+        acls.join(sets, "change_set_id")
+        .join(in_feed, "change_set_id", "left")
+        .select(
+            "acl_id",
+            (F.col("change_set_purge") | F.col("change_set_reindex")).alias("_gone"),
+            (F.col("change_set_reindex") & _is("_known")).alias("_again"),
+            (F.col("change_set_index") & _is("_known")).alias("_add"),
+        )
+    )
+    by_acl = _flags(requests, "acl", "acl_id").select(
+        "acl_id",
+        (F.col("acl_purge") | F.col("acl_reindex")).alias("_gone"),
+        F.col("acl_reindex").alias("_again"),
+        F.col("acl_index").alias("_add"),
+    )
+    flags = freeze(
+        by_set.unionByName(by_acl)
+        .groupBy("acl_id")
+        .agg(*[F.bool_or(c).alias(c) for c in ("_gone", "_again", "_add")])
+    )
+    kept = without(index.acls, flags.filter("_gone"), "acl_id")
+    absent = without(flags.filter("_add AND NOT _again"), kept, "acl_id").select("acl_id")
+    written = flags.filter("_again").select("acl_id").unionByName(absent)
     return AclIndex(
-        upsert_acls(index.acls, acl["index"], readers, overwrite=False),
-        index.markers,
-        lost.unionByName(index.unknown),
+        kept.unionByName(readers_of_acls(written, readers)),
+        _rewritten(index.markers, sets, known, "change_set", "change_set_id"),
+        _lost(sets, known, "change_set", "change_set_id"),
     )
-
-
-def without_scheduled(requests: DataFrame) -> DataFrame:
-    """Drop every queued request except queries."""
-    return requests.filter(F.col("kind") == "query")
