@@ -670,3 +670,46 @@ sql("snapshot_verify", "objects", """
     SELECT key, CASE WHEN key LIKE '%signup%' THEN 'missing' WHEN key LIKE '%error%' THEN 'changed' ELSE 'ok' END AS status
     FROM objects
     UNION ALL SELECT key || '.new', 'extra' FROM objects WHERE key LIKE '%purchase%'""")
+
+# --- snapshots as files, and streams -------------------------------------------
+
+sql("snapshot_restore", "index_nodes index_tx", """
+    SELECT 'node' AS doc, node_id AS id, tx_id, 'success' AS status FROM index_nodes
+    UNION ALL SELECT 'tx', tx_id, tx_id, 'success' FROM index_tx""")
+sql("snapshot_verify_files", "index_nodes index_tx", """
+    SELECT 'nodes' AS table_name, 'ok' AS status, count(*) > 0 AS any_files FROM index_nodes
+    UNION ALL SELECT 'index_tx', 'ok', count(*) > 0 FROM index_tx""")
+
+
+def on_time(feed: str, key: str) -> str:
+    """Rows that reach the stream in time: all but a few of the first of four equal stretches."""
+    return f"""
+    SELECT * FROM {feed} WHERE NOT ({key} % 50 = 7 AND commit_time_ms - (SELECT min(commit_time_ms) FROM {feed})
+        < (SELECT (max(commit_time_ms) - min(commit_time_ms)) // 4 + 1 FROM {feed}))"""
+
+
+sql("stream_track", "nodes transactions", """
+    SELECT 'node' AS doc, node_id AS id, tx_id, status FROM (
+        SELECT n.node_id, n.tx_id, n.status,
+               row_number() OVER (PARTITION BY n.node_id ORDER BY a.commit_time_ms DESC, a.tx_id DESC) AS rn
+        FROM nodes n JOIN applied a ON a.tx_id = n.tx_id) WHERE rn = 1 AND status <> 'DELETED'
+    UNION ALL SELECT 'tx', tx_id, tx_id, NULL FROM applied""", applied=on_time("transactions", "tx_id"))
+sql("stream_track_acls", "acls acl_readers change_sets", """
+    SELECT 'acl' AS doc, acl_id AS id, authority FROM acl_readers
+    WHERE acl_id IN (SELECT acl_id FROM acls WHERE change_set_id IN (SELECT change_set_id FROM applied))
+    UNION ALL SELECT 'change set', change_set_id, NULL FROM applied""", applied=on_time("change_sets", "change_set_id"))
+sql("stream_dedup", "transactions", "SELECT * FROM applied", applied=on_time("transactions", "tx_id"))
+sql("stream_high_watermark", "nodes transactions", f"""
+    SELECT core, max(o).commit_time_ms AS commit_time_ms, max(o).tx_id AS tx_id, count(*) AS docs FROM (
+        SELECT {CORE} AS core, {{'commit_time_ms': t.commit_time_ms, 'tx_id': t.tx_id}} AS o
+        FROM nodes n JOIN (SELECT * FROM transactions UNION ALL (
+            SELECT * FROM transactions WHERE commit_time_ms - (SELECT min(commit_time_ms) FROM transactions)
+                >= 3 * (SELECT (max(commit_time_ms) - min(commit_time_ms)) // 4 + 1 FROM transactions)
+        )) t ON t.tx_id = n.tx_id)
+    GROUP BY core""")
+sql("stream_request_rates", "requests", """
+    SELECT handler, start_ms, start_ms + width * 60000 AS end_ms, count(*) AS requests,
+           round(count(*) / (60 * width), 6) AS rate
+    FROM (SELECT handler, width, ts_ms // 60000 * 60000 - back * 60000 AS start_ms
+          FROM requests, (VALUES (5), (15)) AS w(width), unnest(range(0, 15)) AS b(back) WHERE back < width)
+    GROUP BY ALL HAVING start_ms + width * 60000 <= (SELECT max(ts_ms) FROM requests) - 600000""")

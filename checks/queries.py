@@ -12,11 +12,14 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import maps, paths
 from tidemark.operators import batch, expand, inventory, mutate, pending, reconcile, route, search, snapshots, telemetry
-from tidemark.plans import maintenance, track
-from tidemark.session import configure
+from tidemark.plans import maintenance, snapshot_files, track
+from tidemark.plans.store import IndexStore
+from tidemark.session import configure, freeze, scratch
 from tidemark.sources import access_log, feed
 from tidemark.sources import inventory as listing
 from tidemark.sources import tables as T
+from tidemark.streaming import feeds, rates
+from tidemark.streaming import track as stream
 
 DAY_MS = 86_400_000
 Query = Callable[[SparkSession, str], DataFrame]
@@ -988,3 +991,172 @@ def snapshot_verify(spark, folder):
     )
     added = manifest.filter(F.col("key").contains("purchase")).withColumn("key", F.concat("key", F.lit(".new")))
     return snapshots.compare_manifests(manifest, current.unionByName(added))
+
+
+# --- snapshots as files, and streams -------------------------------------------
+# These write tables that Spark derives from the given ones to the shared folder.
+
+
+def store_with_index(spark, folder):
+    return {"nodes": T.index_nodes(spark, folder), "index_tx": T.index_tx(spark, folder)}
+
+
+@query
+def snapshot_write(spark, folder):
+    """Sizes and checksums differ with the file layout, hence no SQL twin."""
+    return snapshot_files.snapshot_write(store_with_index(spark, folder), scratch(spark, "snapshot"), "now")
+
+
+@query
+def snapshot_restore(spark, folder):
+    """The rows that come back from a snapshot, next to the status of the restore."""
+    root = scratch(spark, "snapshot")
+    snapshot_files.snapshot_write(store_with_index(spark, folder), root, "now")
+    status, tables = snapshot_files.snapshot_restore(spark, root, "now", ["nodes", "index_tx"])
+    state = status.select("status").scalar()
+    nodes = tables["nodes"].select(F.lit("node").alias("doc"), F.col("node_id").alias("id"), "tx_id")
+    markers = tables["index_tx"].select(F.lit("tx").alias("doc"), F.col("tx_id").alias("id"), "tx_id")
+    return nodes.unionByName(markers).withColumn("status", state)
+
+
+@query
+def snapshot_verify_files(spark, folder):
+    """Files of a snapshot that was just written, by table and status."""
+    root = scratch(spark, "snapshot")
+    snapshot_files.snapshot_write(store_with_index(spark, folder), root, "now")
+    report = snapshot_files.snapshot_verify(spark, root, "now")
+    return report.groupBy(F.split_part("key", F.lit("/"), F.lit(1)).alias("table_name"), "status").agg(
+        (F.count("*") > 0).alias("any_files")
+    )
+
+
+ARRIVALS = 4
+
+
+def arriving(rows: DataFrame, id_col: str, label: str) -> tuple[str, DataFrame]:
+    """Write a feed as files in commit order; the last stretch comes twice, and a few rows come too late.
+
+    Rows whose id leaves 7 when divided by 50, of the first stretch, arrive in
+    the last file, long after their commit time.
+    """
+    spark = rows.sparkSession
+    target = scratch(spark, label)
+    span = rows.agg(F.min("commit_time_ms").alias("lo"), F.max("commit_time_ms").alias("hi")).first()
+    width = (span["hi"] - span["lo"]) // ARRIVALS + 1
+    stretch = F.expr(f"(commit_time_ms - {span['lo']}L) div {width}L")
+    late = (stretch == 0) & (F.col(id_col) % 50 == 7)
+    numbered = freeze(rows.withColumn("_late", late).withColumn("_stretch", stretch))
+    parts = [numbered.filter((F.col("_stretch") == n) & ~F.col("_late")) for n in range(ARRIVALS)]
+    for part in [*parts, parts[-1], numbered.filter("_late")]:
+        part.drop("_late", "_stretch").coalesce(1).write.mode("append").parquet(target)
+    return target, rows
+
+
+def sink(frame: DataFrame, spark: SparkSession, label: str) -> DataFrame:
+    """Run a stream over what is there into files and read them back."""
+    out = scratch(spark, label)
+    writer = frame.writeStream.format("parquet").option("checkpointLocation", f"{out}-progress")
+    feeds.run_available(writer.trigger(availableNow=True).start(out))
+    return spark.read.schema(frame.schema).parquet(out)
+
+
+@query
+def stream_track(spark, folder):
+    rows = T.transactions(spark, folder)
+    target, _ = arriving(rows, "tx_id", "transactions")
+    root = scratch(spark, "store")
+    store = IndexStore(spark, root)
+    nodes = freeze(T.nodes(spark, folder))
+    feeds.run_available(
+        stream.stream_track(
+            feeds.read_feed(spark, target, rows.schema, files_per_trigger=3),
+            store,
+            lambda: nodes,
+            lambda: spark.read.schema(rows.schema).parquet(target).dropDuplicates(["tx_id"]),
+            f"{root}-progress",
+            T.SHARD_COUNT,
+        )
+    )
+    found = store.read("nodes").select(F.lit("node").alias("doc"), F.col("node_id").alias("id"), "tx_id", "status")
+    markers = store.read("index_tx").select(
+        F.lit("tx").alias("doc"), F.col("tx_id").alias("id"), "tx_id", F.lit(None).cast("string").alias("status")
+    )
+    return found.unionByName(markers)
+
+
+@query
+def stream_track_acls(spark, folder):
+    rows = T.change_sets(spark, folder)
+    target, _ = arriving(rows, "change_set_id", "change-sets")
+    root = scratch(spark, "store")
+    store = IndexStore(spark, root)
+    feeds.run_available(
+        stream.stream_track_acls(
+            feeds.read_feed(spark, target, rows.schema, files_per_trigger=3),
+            store,
+            lambda: T.acls(spark, folder),
+            lambda: T.acl_readers(spark, folder),
+            f"{root}-progress",
+        )
+    )
+    none = F.lit(None).cast("string").alias("authority")
+    found = store.read("acls").select(F.lit("acl").alias("doc"), F.col("acl_id").alias("id"), "authority")
+    markers = store.read("index_change_sets").select(
+        F.lit("change set").alias("doc"), F.col("change_set_id").alias("id"), none
+    )
+    return found.unionByName(markers)
+
+
+@query
+def stream_dedup(spark, folder):
+    rows = T.transactions(spark, folder)
+    target, _ = arriving(rows, "tx_id", "transactions")
+    return sink(stream.stream_dedup(feeds.read_feed(spark, target, rows.schema, files_per_trigger=3)), spark, "dedup")
+
+
+@query
+def stream_high_watermark(spark, folder):
+    rows = T.transactions(spark, folder)
+    target, _ = arriving(rows, "tx_id", "transactions")
+    nodes = freeze(route.store_to_core(T.nodes(spark, folder), T.STORE_CORES).select("tx_id", "node_id", "core"))
+    touched = feeds.read_feed(spark, target, rows.schema, files_per_trigger=3).join(nodes, "tx_id")
+    out = scratch(spark, "watermark")
+    marks = stream.stream_high_watermark(touched)
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/{batch_id % 2}")
+
+    feeds.run_available(
+        marks.writeStream.outputMode("complete")
+        .foreachBatch(save)
+        .option("checkpointLocation", f"{out}-progress")
+        .trigger(availableNow=True)
+        .start()
+    )
+    saved = spark.read.parquet(f"{out}/*")
+    return saved.filter(F.col("batch_id") == saved.agg(F.max("batch_id")).scalar()).drop("batch_id")
+
+
+@query
+def stream_request_rates(spark, folder):
+    rows = T.requests(spark, folder).select(F.col("ts").cast("timestamp").alias("ts"), "ts_ms", "handler")
+    target, _ = arriving_requests(rows)
+    out = None
+    for width in (5, 15):
+        live = feeds.read_feed(spark, target, rows.schema, files_per_trigger=2)
+        found = sink(rates.stream_request_rates(live, width), spark, f"rates-{width}")
+        found = found.select("handler", "start_ms", "end_ms", "requests", F.round("rate", 6).alias("rate"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def arriving_requests(rows: DataFrame) -> tuple[str, DataFrame]:
+    """Requests as files in the order of time."""
+    spark = rows.sparkSession
+    target = scratch(spark, "requests")
+    span = rows.agg(F.min("ts_ms").alias("lo"), F.max("ts_ms").alias("hi")).first()
+    width = (span["hi"] - span["lo"]) // ARRIVALS + 1
+    stretch = F.expr(f"(ts_ms - {span['lo']}L) div {width}L")
+    for n in range(ARRIVALS):
+        rows.filter(stretch == n).coalesce(1).write.mode("append").parquet(target)
+    return target, rows

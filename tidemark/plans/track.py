@@ -88,7 +88,7 @@ def pending_by_shard_and_batch(
 
 
 def node_changes(
-    todo: DataFrame, feed: DataFrame, nodes: DataFrame, state: TrackerState, shard_count: int
+    todo: DataFrame, history: DataFrame, nodes: DataFrame, state: TrackerState, shard_count: int
 ) -> DataFrame:
     """Last version of every node the run touches.
 
@@ -100,9 +100,9 @@ def node_changes(
     late = todo.filter(F.col("commit_time_ms") <= state.last_indexed_ms)
     if not late.isEmpty():
         touched = nodes.join(late.select("tx_id"), "tx_id", "left_semi").select("node_id")
-        before = feed.filter(F.col("commit_time_ms") <= state.last_indexed_ms)
-        history = nodes_of_transactions(before, nodes.join(touched, "node_id", "left_semi"))
-        versions = versions.unionByName(history)
+        before = history.filter(F.col("commit_time_ms") <= state.last_indexed_ms)
+        older = nodes_of_transactions(before, nodes.join(touched, "node_id", "left_semi"))
+        versions = versions.unionByName(older)
     return home_rows(check_statuses(latest_per_node(versions)), shard_count)
 
 
@@ -113,9 +113,12 @@ def track_once(
     nodes: DataFrame,
     state: TrackerState,
     shard_count: int = 1,
+    history: DataFrame | None = None,
 ) -> NodeRun:
     """One run of the metadata tracker.
 
+    ``feed`` may be a part of the feed (a micro-batch); ``history`` is then all of it.
+
     The run's feed rows and its changes are frozen first: both are used by
     several results, which must agree even if tasks are run again. Nothing is
     committed here (see ``tidemark.plans.store``), so a failing part leaves the
@@ -123,7 +126,8 @@ def track_once(
     """
     _guard(state)
     todo = freeze(pending_work(feed, index_tx, state))
-    changes = freeze(node_changes(todo, feed, nodes, state, shard_count))
+    whole = feed if history is None else history
+    changes = freeze(node_changes(todo, whole, nodes, state, shard_count))
     return NodeRun(
         todo,
         changes,
