@@ -6,6 +6,7 @@ Keys name the operators; every callable takes (spark, folder of parquet tables).
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -1031,25 +1032,35 @@ def snapshot_verify_files(spark, folder):
 
 
 ARRIVALS = 4
+ROWS_PER_FILE = 5_000_000
 
 
-def arriving(rows: DataFrame, id_col: str, label: str) -> tuple[str, DataFrame]:
-    """Write a feed as files in commit order; the last stretch comes twice, and a few rows come too late.
+class Arrivals(NamedTuple):
+    folder: str
+    files: int  # of each stretch
 
-    Rows whose id leaves 7 when divided by 50, of the first stretch, arrive in
-    the last file, long after their commit time.
+
+def arriving(rows: DataFrame, label: str, time_col: str, late_id: str | None = None, again: bool = False) -> Arrivals:
+    """Write rows as files in the order of time, in equal stretches.
+
+    The last stretch comes twice if asked to. With ``late_id``, the rows of the
+    first stretch whose id leaves 7 when divided by 50 come last of all, long
+    after their time.
     """
     spark = rows.sparkSession
     target = scratch(spark, label)
-    span = rows.agg(F.min("commit_time_ms").alias("lo"), F.max("commit_time_ms").alias("hi")).first()
+    span = rows.agg(F.min(time_col).alias("lo"), F.max(time_col).alias("hi"), F.count("*").alias("n")).first()
     width = (span["hi"] - span["lo"]) // ARRIVALS + 1
-    stretch = F.expr(f"(commit_time_ms - {span['lo']}L) div {width}L")
-    late = (stretch == 0) & (F.col(id_col) % 50 == 7)
+    files = span["n"] // ARRIVALS // ROWS_PER_FILE + 1
+    stretch = F.expr(f"({time_col} - {span['lo']}L) div {width}L")
+    late = (stretch == 0) & (F.col(late_id) % 50 == 7) if late_id else F.lit(False)
     numbered = freeze(rows.withColumn("_late", late).withColumn("_stretch", stretch))
     parts = [numbered.filter((F.col("_stretch") == n) & ~F.col("_late")) for n in range(ARRIVALS)]
-    for part in [*parts, parts[-1], numbered.filter("_late")]:
-        part.drop("_late", "_stretch").coalesce(1).write.mode("append").parquet(target)
-    return target, rows
+    parts += [parts[-1]] if again else []
+    parts += [numbered.filter("_late")] if late_id else []
+    for part in parts:
+        part.drop("_late", "_stretch").repartition(files).write.mode("append").parquet(target)
+    return Arrivals(target, files)
 
 
 def sink(frame: DataFrame, spark: SparkSession, label: str) -> DataFrame:
@@ -1063,16 +1074,16 @@ def sink(frame: DataFrame, spark: SparkSession, label: str) -> DataFrame:
 @query
 def stream_track(spark, folder):
     rows = T.transactions(spark, folder)
-    target, _ = arriving(rows, "tx_id", "transactions")
+    target = arriving(rows, "transactions", "commit_time_ms", "tx_id", again=True)
     root = scratch(spark, "store")
     store = IndexStore(spark, root)
     nodes = freeze(T.nodes(spark, folder))
     feeds.run_available(
         stream.stream_track(
-            feeds.read_feed(spark, target, rows.schema, files_per_trigger=3),
+            feeds.read_feed(spark, target.folder, rows.schema, 3 * target.files),
             store,
             lambda: nodes,
-            lambda: spark.read.schema(rows.schema).parquet(target).dropDuplicates(["tx_id"]),
+            lambda: spark.read.schema(rows.schema).parquet(target.folder).dropDuplicates(["tx_id"]),
             f"{root}-progress",
             T.SHARD_COUNT,
         )
@@ -1087,12 +1098,12 @@ def stream_track(spark, folder):
 @query
 def stream_track_acls(spark, folder):
     rows = T.change_sets(spark, folder)
-    target, _ = arriving(rows, "change_set_id", "change-sets")
+    target = arriving(rows, "change-sets", "commit_time_ms", "change_set_id", again=True)
     root = scratch(spark, "store")
     store = IndexStore(spark, root)
     feeds.run_available(
         stream.stream_track_acls(
-            feeds.read_feed(spark, target, rows.schema, files_per_trigger=3),
+            feeds.read_feed(spark, target.folder, rows.schema, 3 * target.files),
             store,
             lambda: T.acls(spark, folder),
             lambda: T.acl_readers(spark, folder),
@@ -1110,16 +1121,18 @@ def stream_track_acls(spark, folder):
 @query
 def stream_dedup(spark, folder):
     rows = T.transactions(spark, folder)
-    target, _ = arriving(rows, "tx_id", "transactions")
-    return sink(stream.stream_dedup(feeds.read_feed(spark, target, rows.schema, files_per_trigger=3)), spark, "dedup")
+    target = arriving(rows, "transactions", "commit_time_ms", "tx_id", again=True)
+    # A row is too late by the watermark of the batch before last, so there must be three.
+    live = feeds.read_feed(spark, target.folder, rows.schema, 2 * target.files)
+    return sink(stream.stream_dedup(live), spark, "dedup")
 
 
 @query
 def stream_high_watermark(spark, folder):
     rows = T.transactions(spark, folder)
-    target, _ = arriving(rows, "tx_id", "transactions")
+    target = arriving(rows, "transactions", "commit_time_ms", "tx_id")
     nodes = freeze(route.store_to_core(T.nodes(spark, folder), T.STORE_CORES).select("tx_id", "node_id", "core"))
-    touched = feeds.read_feed(spark, target, rows.schema, files_per_trigger=3).join(nodes, "tx_id")
+    touched = feeds.read_feed(spark, target.folder, rows.schema, 3 * target.files).join(nodes, "tx_id")
     out = scratch(spark, "watermark")
     marks = stream.stream_high_watermark(touched)
 
@@ -1140,23 +1153,11 @@ def stream_high_watermark(spark, folder):
 @query
 def stream_request_rates(spark, folder):
     rows = T.requests(spark, folder).select(F.col("ts").cast("timestamp").alias("ts"), "ts_ms", "handler")
-    target, _ = arriving_requests(rows)
+    target = arriving(rows, "requests", "ts_ms")
     out = None
     for width in (5, 15):
-        live = feeds.read_feed(spark, target, rows.schema, files_per_trigger=2)
+        live = feeds.read_feed(spark, target.folder, rows.schema, 2 * target.files)
         found = sink(rates.stream_request_rates(live, width), spark, f"rates-{width}")
         found = found.select("handler", "start_ms", "end_ms", "requests", F.round("rate", 6).alias("rate"))
         out = found if out is None else out.unionByName(found)
     return out
-
-
-def arriving_requests(rows: DataFrame) -> tuple[str, DataFrame]:
-    """Requests as files in the order of time."""
-    spark = rows.sparkSession
-    target = scratch(spark, "requests")
-    span = rows.agg(F.min("ts_ms").alias("lo"), F.max("ts_ms").alias("hi")).first()
-    width = (span["hi"] - span["lo"]) // ARRIVALS + 1
-    stretch = F.expr(f"(ts_ms - {span['lo']}L) div {width}L")
-    for n in range(ARRIVALS):
-        rows.filter(stretch == n).coalesce(1).write.mode("append").parquet(target)
-    return target, rows

@@ -76,11 +76,15 @@ def check_index(
     from_ms: int | None = None,
     to_ms: int | None = None,
 ) -> DataFrame:
-    """Compare the covered source rows with the markers between the check's bounds."""
+    """Compare the covered source rows with the markers, both between the check's bounds.
+
+    Ids below that of the first row in feed order are outside the bounds on
+    either side, and so are neither missing nor extra.
+    """
     rows = checked_rows(feed, id_col, to_id, from_ms, to_ms)
     bounds = check_bounds(rows, id_col)
-    low, high = bounds.select("min_id").scalar(), bounds.select("max_id").scalar()
-    return repo_vs_index(rows, index.filter((F.col(id_col) >= low) & (F.col(id_col) <= high)), id_col)
+    inside = F.col(id_col).between(bounds.select("min_id").scalar(), bounds.select("max_id").scalar())
+    return repo_vs_index(rows.filter(inside), index.filter(inside), id_col)
 
 
 def check_index_tx(feed: DataFrame, index_tx: DataFrame, **limits) -> DataFrame:

@@ -70,23 +70,20 @@ class IndexStore:
         newest = commits.agg(F.max("version")).scalar()
         return commits.filter(F.col("version") == newest).collect()
 
-    def version(self) -> int:
-        rows = self.manifest()
-        return rows[0]["version"] if rows else 0
-
-    def marks(self) -> dict[str, int]:
-        rows = self.manifest()
+    def marks(self, manifest: list | None = None) -> dict[str, int]:
+        rows = self.manifest() if manifest is None else manifest
         return dict(rows[0]["marks"] or {}) if rows else {}
 
     def has_run(self, run: str) -> bool:
         commits = self._commits()
         return commits is not None and not commits.filter(F.col("run") == run).isEmpty()
 
-    def read(self, table: str, buckets: list[int] | None = None) -> DataFrame:
+    def read(self, table: str, buckets: list[int] | None = None, manifest: list | None = None) -> DataFrame:
+        """A table, or some of its buckets, as of the newest or the given manifest."""
         wanted = None if buckets is None else set(buckets)
         paths = [
             f"{self.root}/{r['path']}"
-            for r in self.manifest()
+            for r in (self.manifest() if manifest is None else manifest)
             if r["table_name"] == table and (wanted is None or r[BUCKET] in wanted)
         ]
         schema = StructType.fromDDL(self.specs[table].schema)
@@ -105,37 +102,39 @@ class IndexStore:
         run: str,
         changes: dict[str, tuple[DataFrame, Callable[[DataFrame], DataFrame]]],
         marks: dict[str, int] | None = None,
-    ) -> int:
+        old: list | None = None,
+    ) -> None:
         """Apply changes to several tables in one step; a run that is already in is left alone.
 
         ``changes`` has, for each table in the order of writing, the touched
         keys and a function from the old rows of the touched buckets to the new.
+        ``old`` is the manifest the changes were made from.
         """
-        if self.has_run(run):
-            return self.version()
-        old = self.manifest()
+        if old is None:
+            if self.has_run(run):
+                return
+            old = self.manifest()
         version = (old[0]["version"] if old else 0) + 1
         paths = {(r["table_name"], r[BUCKET]): r["path"] for r in old if r["table_name"]}
         for table, (keys, mutate) in changes.items():
-            for bucket, path in self._write(table, keys, mutate, version).items():
+            for bucket, path in self._write(table, keys, mutate, version, old).items():
                 if path is None:
                     paths.pop((table, bucket), None)
                 else:
                     paths[table, bucket] = path
-        marks = {**(dict(old[0]["marks"] or {}) if old else {}), **(marks or {})}
+        marks = {**self.marks(old), **(marks or {})}
         rows = [(version, run, t, b, p, marks) for (t, b), p in paths.items()] + [(version, run, None, None, None, marks)]
         manifest = self.spark.createDataFrame(rows, MANIFEST).coalesce(1)
         manifest.write.mode("append").parquet(f"{self.root}/commits")
-        return version
 
-    def _write(self, table: str, keys: DataFrame, mutate, version: int) -> dict[int, str | None]:
+    def _write(self, table: str, keys: DataFrame, mutate, version: int, old: list) -> dict[int, str | None]:
         """New directory of each touched bucket, None for one that has become empty."""
         spec, bucket = self.specs[table], self._bucket_of(table)
         touched = [r[BUCKET] for r in keys.select(bucket.alias(BUCKET)).distinct().collect()]
         if not touched:
             return {}
         folder = f"data/{table}/{version:012d}-{uuid.uuid4().hex}"
-        new = mutate(self.read(table, touched)).withColumn(BUCKET, bucket)
+        new = mutate(self.read(table, touched, old)).withColumn(BUCKET, bucket)
         new = new.repartition(BUCKET).sortWithinPartitions(BUCKET, spec.key)
         new.write.partitionBy(BUCKET).parquet(f"{self.root}/{folder}")
         schema = StructType.fromDDL(f"{spec.schema}, {BUCKET} long")
@@ -145,25 +144,34 @@ class IndexStore:
 
     # runs
 
-    def replace(self, run: str, frames: dict[str, DataFrame], marks: dict[str, int] | None = None) -> int:
+    def replace(self, run: str, frames: dict[str, DataFrame], marks: dict[str, int] | None = None) -> None:
         """Set whole tables, as when a snapshot is restored: buckets of the old ones are replaced too."""
         changes = {}
         for table, rows in frames.items():
             key = self.specs[table].key
             keys = rows.select(key).unionByName(self.read(table).select(key))
             changes[table] = (keys, lambda _, rows=rows: rows)
-        return self.commit(run, changes, marks)
+        self.commit(run, changes, marks)
 
     def node_state(self, hole_ms: int = 3_600_000, stop_ms: int = 2**62) -> TrackerState:
-        marks = self.marks()
-        return TrackerState(marks.get("tx_ms", 0), marks.get("tx_id", 0), hole_ms, stop_ms)
+        return self._state(self.manifest(), "tx", hole_ms, stop_ms)
 
     def acl_state(self, hole_ms: int = 3_600_000, stop_ms: int = 2**62) -> TrackerState:
-        marks = self.marks()
-        return TrackerState(marks.get("set_ms", 0), marks.get("set_id", 0), hole_ms, stop_ms)
+        return self._state(self.manifest(), "set", hole_ms, stop_ms)
+
+    def _state(self, manifest: list, feed: str, hole_ms: int, stop_ms: int) -> TrackerState:
+        marks = self.marks(manifest)
+        return TrackerState(marks.get(f"{feed}_ms", 0), marks.get(f"{feed}_id", 0), hole_ms, stop_ms)
 
     def track_nodes(
-        self, run: str, feed: DataFrame, nodes: DataFrame, state: TrackerState | None = None, **options
+        self,
+        run: str,
+        feed: DataFrame,
+        nodes: DataFrame,
+        hole_ms: int = 3_600_000,
+        stop_ms: int = 2**62,
+        shard_count: int = 1,
+        history: DataFrame | None = None,
     ) -> NodeRun | None:
         """One committed run of the metadata tracker; None if this run is already in.
 
@@ -171,9 +179,10 @@ class IndexStore:
         """
         if self.has_run(run):
             return None
-        result = track_once(
-            self.read("nodes"), self.read("index_tx"), feed, nodes, state or self.node_state(), **options
-        )
+        old = self.manifest()
+        index = [self.read(t, manifest=old) for t in ("nodes", "index_tx")]
+        state = self._state(old, "tx", hole_ms, stop_ms)
+        result = track_once(*index, feed, nodes, state, shard_count, history)
         reached = result.state.first()
         self.commit(
             run,
@@ -182,18 +191,25 @@ class IndexStore:
                 "index_tx": (result.todo, lambda base: write_markers(base, result.todo, "tx_id")),
             },
             {"tx_ms": reached["commit_time_ms"], "tx_id": reached["tx_id"]},
+            old,
         )
         return result
 
     def track_acls(
-        self, run: str, feed: DataFrame, acls: DataFrame, readers: DataFrame, state: TrackerState | None = None
+        self,
+        run: str,
+        feed: DataFrame,
+        acls: DataFrame,
+        readers: DataFrame,
+        hole_ms: int = 3_600_000,
+        stop_ms: int = 2**62,
     ) -> AclRun | None:
         """One committed run of the ACL tracker; None if this run is already in."""
         if self.has_run(run):
             return None
-        result = track_acls_once(
-            self.read("acls"), self.read("index_change_sets"), feed, acls, readers, state or self.acl_state()
-        )
+        old = self.manifest()
+        index = [self.read(t, manifest=old) for t in ("acls", "index_change_sets")]
+        result = track_acls_once(*index, feed, acls, readers, self._state(old, "set", hole_ms, stop_ms))
         reached = result.state.first()
         self.commit(
             run,
@@ -202,5 +218,6 @@ class IndexStore:
                 "index_change_sets": (result.todo, lambda base: write_markers(base, result.todo, "change_set_id")),
             },
             {"set_ms": reached["commit_time_ms"], "set_id": reached["change_set_id"]},
+            old,
         )
         return result

@@ -35,7 +35,7 @@ def stream_track(
             f"{name}-{batch_id}",
             batch.dropDuplicates(["tx_id"]),
             nodes(),
-            store.node_state(hole_ms),
+            hole_ms,
             shard_count=shard_count,
             history=history(),
         )
@@ -65,7 +65,7 @@ def stream_track_acls(
             batch.dropDuplicates(["change_set_id"]),
             acls(),
             readers(),
-            store.acl_state(hole_ms),
+            hole_ms,
         )
 
     return (
