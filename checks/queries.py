@@ -49,13 +49,13 @@ def pending_sets(spark, folder):
     )
 
 
-def node_bound(spark, folder):
-    """One row: the number after the largest node id."""
-    return T.table(spark, folder, "part").agg((F.max("p_partkey") + 1).alias("n"))
+def node_bound(spark, folder) -> int:
+    """The number after the largest node id."""
+    return T.table(spark, folder, "part").agg(F.max("p_partkey")).first()[0] + 1
 
 
 def node_ranges(spark, folder):
-    return route.even_ranges(node_bound(spark, folder).first()["n"], T.SHARD_COUNT)
+    return route.even_ranges(node_bound(spark, folder), T.SHARD_COUNT)
 
 
 # --- scans and sources -------------------------------------------------------
@@ -125,14 +125,13 @@ def adaptive_windows(spark, folder):
 
 @query
 def commit_interval(spark, folder):
-    bound = node_bound(spark, folder).scalar()
-    third = (bound / 3).cast("long")
+    third = node_bound(spark, folder) // 3
     return feed.commit_interval(T.nodes(spark, folder), T.transactions(spark, folder), third, third * 2)
 
 
 @query
 def nodes_by_id_range(spark, folder):
-    half = (node_bound(spark, folder).scalar() / 2).cast("long")
+    half = node_bound(spark, folder) // 2
     return feed.nodes_by_id_range(T.current_nodes(spark, folder), half, half * 2)
 
 
@@ -216,9 +215,9 @@ def hole_rescan(spark, folder):
 @query
 def clamp_to_shard_range(spark, folder):
     rows, index = T.transactions(spark, folder), T.index_tx(spark, folder)
-    bound = node_bound(spark, folder).scalar()
+    bound = node_bound(spark, folder)
     out = []
-    for name, low, high in (("inside", bound - bound, bound), ("empty", bound, bound + 1)):
+    for name, low, high in (("inside", 0, bound), ("empty", bound, bound + 1)):
         interval = feed.commit_interval(T.nodes(spark, folder), rows, low, high)
         part = pending.clamp_to_shard_range(rows, interval, index, T.LAST_INDEXED_MS, T.LAST_INDEXED_MS)
         out.append(part.withColumn("shard", F.lit(name)))
@@ -293,7 +292,8 @@ def route_acls(spark, folder):
 
 @query
 def expand_shard_range(spark, folder):
-    bounds = node_bound(spark, folder).select(F.explode(F.sequence(F.lit(0), F.lit(T.SHARD_COUNT - 1))).alias("i"), "n")
+    bound = T.table(spark, folder, "part").agg((F.max("p_partkey") + 1).alias("n"))
+    bounds = bound.select(F.explode(F.sequence(F.lit(0), F.lit(T.SHARD_COUNT - 1))).alias("i"), "n")
     shards = bounds.select(
         F.col("i").alias("shard"),
         F.expr(f"(i * n) div {T.SHARD_COUNT}").alias("start_id"),
@@ -480,9 +480,9 @@ def check_index_tx(spark, folder):
 
 @query
 def check_index_tx_prefix(spark, folder):
-    top = T.table(spark, folder, "orders").agg(F.max("o_orderkey") - 3).scalar()
+    top = T.table(spark, folder, "orders").agg(F.max("o_orderkey")).first()[0] - 3
     rows = T.transactions(spark, folder)
-    start = rows.agg(F.min("commit_time_ms")).scalar()
+    start = rows.agg(F.min("commit_time_ms")).first()[0]
     return reconcile.check_index_tx(rows, T.index_tx(spark, folder), to_id=top, from_ms=start)
 
 
@@ -502,7 +502,7 @@ def check_index_summary(spark, folder):
 @query
 def check_node(spark, folder):
     ids = T.table(spark, folder, "part").select(F.col("p_partkey").alias("node_id"))
-    beyond = ids.select((F.col("node_id") + node_bound(spark, folder).scalar()).alias("node_id"))
+    beyond = ids.select((F.col("node_id") + node_bound(spark, folder)).alias("node_id"))
     return reconcile.check_node(
         ids.unionByName(beyond), T.current_nodes(spark, folder), T.index_nodes(spark, folder)
     )
@@ -519,8 +519,8 @@ def check_first(spark, folder):
     tx, index = T.transactions(spark, folder), T.index_tx(spark, folder)
     whole = reconcile.check_first(tx, index, "tx_id", T.LAST_INDEXED_MS).withColumn("case", F.lit("tx"))
     new = reconcile.check_first(tx, index, "tx_id", 0).withColumn("case", F.lit("tx, new index"))
-    none = feed.commit_interval(T.nodes(spark, folder), tx, node_bound(spark, folder).scalar(), 2**62)
-    floor = none.select("min_commit_ms").scalar()
+    none = feed.commit_interval(T.nodes(spark, folder), tx, node_bound(spark, folder), 2**62)
+    floor = none.first()["min_commit_ms"]
     skip = reconcile.check_first(tx, index, "tx_id", T.LAST_INDEXED_MS, floor).withColumn("case", F.lit("tx, empty shard"))
     acl = reconcile.check_first(
         T.change_sets(spark, folder), T.index_change_sets(spark, folder), "change_set_id", T.ACL_LAST_INDEXED_MS

@@ -89,8 +89,7 @@ def key_status(requested: DataFrame, inventory: DataFrame, raw: str = "raw_key")
     forms = asked.select(
         raw, "_path", F.explode(F.array_distinct(F.array("_dir", "_file", "_path"))).alias("key"), "_file", "_dir"
     ).filter(F.col("key").isNotNull())
-    hits = forms.join(stored, "key", "left").groupBy(raw).agg(
-        F.first("_path").alias("_path"),
+    hits = forms.join(stored, "key", "left").groupBy(raw, "_path").agg(
         F.max(F.when(F.col("key") == F.col("_dir"), F.col("is_dir"))).alias("_as_dir"),
         F.max(F.when(F.col("key") == F.col("_file"), F.col("is_dir"))).alias("_as_file"),
         F.max(F.when(F.col("key") == F.col("_file"), F.col("size"))).alias("_size"),

@@ -43,16 +43,17 @@ def already_seen(page: DataFrame, seen: DataFrame, id_col: str) -> DataFrame:
     ``seen`` is the bounded memory of ``remember``. An empty memory has seen
     nothing; a page of one row is compared with the last arrival only.
     """
-    last = seen.agg(F.max_by(id_col, "arrival").alias("_last"))
-    unseen = page.join(seen.select(id_col), id_col, "left_anti").agg(F.count("*").alias("_unseen"))
-    shape = page.agg(F.count("*").alias("page_rows"), F.min(id_col).alias("_only"))
-    last_id, n_unseen = last.scalar(), unseen.scalar()
+    last = seen.agg(F.max_by(id_col, "arrival").alias("_last")).scalar()
+    memory = seen.select(F.col(id_col).alias("_seen_id"))
+    shape = page.join(memory, F.col(id_col) == F.col("_seen_id"), "left").agg(
+        F.count("*").alias("page_rows"), F.count_if(F.col("_seen_id").isNull()).alias("_unseen"), F.min(id_col).alias("_only")
+    )
     verdict = (
-        F.when(last_id.isNull(), False)
-        .when(F.col("page_rows") == 1, F.col("_only") == last_id)
-        .otherwise(n_unseen == 0)
+        F.when(F.col("_last").isNull(), False)
+        .when(F.col("page_rows") == 1, F.col("_only") == F.col("_last"))
+        .otherwise(F.col("_unseen") == 0)
     )
-    return shape.select("page_rows", verdict.alias("already_seen"))
+    return shape.withColumn("_last", last).select("page_rows", verdict.alias("already_seen"))
 
 
 def stop_guard(page: DataFrame, stop_ms: int) -> DataFrame:
@@ -95,16 +96,17 @@ def clamp_to_shard_range(
     synthetic row (largest time and largest id, taken independently, no counts)
     and only if it is still pending.
     """
-    low = interval.select("min_commit_ms").scalar()
-    high = interval.select("max_commit_ms").scalar()
-    outside = (low == NONE_SENTINEL) | (F.lit(from_ms) > high)
+    low, high = interval.select("min_commit_ms", "max_commit_ms").first()
     columns = ["tx_id", "commit_time_ms", "updates", "deletes"]
-    inside = feed.filter(~outside & (F.col("commit_time_ms") >= F.greatest(F.lit(from_ms), low))).select(*columns)
-    newest = feed.agg(F.max("tx_id").alias("tx_id"), F.max("commit_time_ms").alias("commit_time_ms"))
-    newest = newest.filter(F.col("tx_id").isNotNull() & outside).select(
-        "tx_id", "commit_time_ms", F.lit(None).cast("long").alias("updates"), F.lit(None).cast("long").alias("deletes")
-    )
-    return inside.unionByName(pending_transactions(newest, index_tx, last_indexed_ms))
+    if low != NONE_SENTINEL and from_ms <= high:
+        return feed.filter(F.col("commit_time_ms") >= max(from_ms, low)).select(*columns)
+    nothing = F.lit(None).cast("long")
+    newest = feed.agg(
+        F.max("tx_id").alias("tx_id"),
+        F.max("commit_time_ms").alias("commit_time_ms"),
+    ).filter("tx_id IS NOT NULL")
+    newest = newest.withColumn("updates", nothing).withColumn("deletes", nothing)
+    return pending_transactions(newest, index_tx, last_indexed_ms)
 
 
 def server_maxima(feed: DataFrame, id_col: str) -> DataFrame:

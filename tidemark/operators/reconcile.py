@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.order import NONE_SENTINEL, feed_order
 from tidemark.operators.ordered import with_previous, with_running_sum
 from tidemark.operators.route import UNKNOWN
-from tidemark.sources.feed import first_row
+from tidemark.sources.feed import FIRST_ID_RANGE, first_row
 
 OK, MISSING, EXTRA, DUPLICATE = "ok", "missing", "extra", "duplicate"
 
@@ -31,33 +31,28 @@ def repo_vs_index(source: DataFrame, index: DataFrame, id_col: str) -> DataFrame
 
 
 def checked_rows(
-    feed: DataFrame,
-    id_col: str,
-    to_id: int | None = None,
-    from_ms: int | Column | None = None,
-    to_ms: int | None = None,
+    feed: DataFrame, id_col: str, to_id: int | None = None, from_ms: int | None = None, to_ms: int | None = None
 ) -> DataFrame:
     """Feed rows a check covers: a prefix in feed order.
 
     The first row behind either limit ends the prefix; what comes after it is
-    out even if its own id is small. The cut is one aggregate, not a running
-    window.
+    out even if its own id is small. Start and cut are one-row aggregates read
+    by the driver, so that the rows are scanned with literal bounds.
     """
     if from_ms is None:
-        begin = first_row(feed, id_col).agg(F.coalesce(F.max("commit_time_ms"), F.lit(0)).alias("t")).scalar()
-    else:
-        begin = from_ms
-    rows = feed.filter(F.col("commit_time_ms") >= begin)
+        first = first_row(feed, id_col).first()
+        from_ms = first["commit_time_ms"] if first else 0
+    rows = feed.filter(F.col("commit_time_ms") >= from_ms)
     behind = F.lit(False)
     if to_ms is not None:
         behind = behind | (F.col("commit_time_ms") > to_ms)
     if to_id is not None:
         behind = behind | (F.col(id_col) > to_id)
-    cut = rows.filter(behind).agg(F.min(feed_order(id_col)).alias("cut"))
-    cut_ms = cut.select(F.col("cut.commit_time_ms").alias("v")).scalar()
-    cut_id = cut.select(F.col(f"cut.{id_col}").alias("v")).scalar()
-    ahead = (F.col("commit_time_ms") < cut_ms) | ((F.col("commit_time_ms") == cut_ms) & (F.col(id_col) < cut_id))
-    return rows.filter(cut_ms.isNull() | ahead)
+    cut = rows.filter(behind).agg(F.min(feed_order(id_col)).alias("cut")).first()["cut"]
+    if cut is None:
+        return rows
+    at, before = F.col("commit_time_ms") == cut["commit_time_ms"], F.col("commit_time_ms") < cut["commit_time_ms"]
+    return rows.filter(before | (at & (F.col(id_col) < cut[id_col])))
 
 
 def check_bounds(rows: DataFrame, id_col: str) -> DataFrame:
@@ -82,8 +77,8 @@ def check_index(
     either side, and so are neither missing nor extra.
     """
     rows = checked_rows(feed, id_col, to_id, from_ms, to_ms)
-    bounds = check_bounds(rows, id_col)
-    inside = F.col(id_col).between(bounds.select("min_id").scalar(), bounds.select("max_id").scalar())
+    low, high = check_bounds(rows, id_col).first()
+    inside = F.col(id_col).between(low, high) if low is not None else F.lit(False)
     return repo_vs_index(rows.filter(inside), index.filter(inside), id_col)
 
 
@@ -146,8 +141,8 @@ def check_first(
     index: DataFrame,
     id_col: str,
     state_ms: int,
-    floor_ms: Column | int = 0,
-    id_range: tuple[int, int] = (0, 2000),
+    floor_ms: int = 0,
+    id_range: tuple[int, int] = FIRST_ID_RANGE,
 ) -> DataFrame:
     """Is the first row of the feed in the index, with its commit time?
 
@@ -155,29 +150,28 @@ def check_first(
     there is nothing to check). A state of 0 has nothing to verify and adopts
     the first commit time.
     """
-    floor = F.lit(floor_ms) if isinstance(floor_ms, int) else floor_ms
-    rows = feed.filter(F.col("commit_time_ms") >= floor) if state_ms else feed
-    first = first_row(rows, id_col, id_range).select(id_col, "commit_time_ms")
-    matches = (
-        first.join(index.select(id_col, "commit_time_ms"), [id_col, "commit_time_ms"])
-        .agg(F.count("*").alias("matches"))
-        .scalar()
-    )
+    rows = feed.filter(F.col("commit_time_ms") >= floor_ms) if state_ms else feed
+    first = first_row(rows, id_col, id_range).first()
+    first_id, first_ms = (first[id_col], first["commit_time_ms"]) if first else (None, None)
+    same = F.lit(False) if first is None else (F.col(id_col) == first_id) & (F.col("commit_time_ms") == first_ms)
     if not state_ms:
-        status = F.lit("nothing to verify")
+        status, state_ms = F.lit("nothing to verify"), first_ms or 0
+    elif floor_ms == NONE_SENTINEL:
+        status = F.lit("skipped")
+    elif first is None:
+        status = F.lit("no first row")
     else:
-        status = (
-            F.when(floor == NONE_SENTINEL, "skipped")
-            .when(F.col("first_id").isNull(), "no first row")
-            .when(F.col("matches") == 0, "not in index")
-            .when(F.col("matches") == 1, "verified")
-            .otherwise("duplicate")
-        )
-    adopted = F.coalesce("first_commit_ms", F.lit(0)) if not state_ms else F.lit(state_ms)
+        status = F.when(F.col("matches") == 0, "not in index").when(F.col("matches") == 1, "verified").otherwise("duplicate")
     return (
-        first.agg(F.max(id_col).alias("first_id"), F.max("commit_time_ms").alias("first_commit_ms"))
-        .withColumn("matches", matches)
-        .select("first_id", "first_commit_ms", "matches", status.alias("status"), adopted.alias("state_ms"))
+        index.filter(same)
+        .agg(F.count("*").alias("matches"))
+        .select(
+            F.lit(first_id).cast("long").alias("first_id"),
+            F.lit(first_ms).cast("long").alias("first_commit_ms"),
+            "matches",
+            status.alias("status"),
+            F.lit(state_ms).cast("long").alias("state_ms"),
+        )
     )
 
 

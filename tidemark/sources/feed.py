@@ -8,11 +8,14 @@ again and removed as a duplicate, so the lower bound has to be inclusive.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from itertools import pairwise
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidemark.functions.order import NONE_SENTINEL, feed_order
+from tidemark.session import freeze
 
 #: Page caps, first-row id range, scan steps in milliseconds.
 PAGE_CAP = 2000
@@ -79,7 +82,7 @@ def _first_new_window(
     seen: DataFrame,
     id_col: str,
     window_no: Column,
-    window_start: Column,
+    window_start: Callable[[int], int],
     end_ms: int,
     max_results: int,
 ) -> DataFrame:
@@ -90,41 +93,43 @@ def _first_new_window(
     come before the first new row, so what a page cap hides is found by joining
     those few rows. Windows that are empty or wholly seen are passed over; after
     an empty one the next is tried only if it starts before ``end_ms``.
+
+    Only numbers of windows come to the driver: the one found and those passed
+    over, each of which holds a row of the memory. The page itself is then read
+    with literal bounds.
     """
     order = feed_order(id_col)
-    rows = feed.withColumn("window_no", window_no)
-    flagged = rows.join(
-        F.broadcast(seen.select(F.col(id_col).alias("_seen_id"))), F.col(id_col) == F.col("_seen_id"), "left"
-    )
+    memory = freeze(seen.select(F.col(id_col).alias("_seen_id"), "arrival"))
+    last_seen = memory.agg(F.max_by("_seen_id", "arrival")).first()[0]
+    rows = feed.select(id_col, "commit_time_ms", window_no.alias("window_no"))
+    flagged = rows.join(F.broadcast(memory), F.col(id_col) == F.col("_seen_id"), "left")
+    known = F.col("_seen_id").isNotNull()
     windows = flagged.groupBy("window_no").agg(
         F.count("*").alias("n"),
         F.min(order).alias("_first"),
-        F.min(F.when(F.col("_seen_id").isNull(), order)).alias("first_new"),
-    )
-    last_seen = seen.agg(F.max_by(id_col, "arrival").alias("_last")).scalar()
-    memory = flagged.filter(F.col("_seen_id").isNotNull()).select(
-        F.col("window_no").alias("_w"), order.alias("_seen_key")
-    )
-    ahead = (
-        windows.join(memory, (F.col("window_no") == F.col("_w")) & (F.col("_seen_key") < F.col("first_new")))
-        .groupBy("window_no")
-        .agg(F.count("*").alias("seen_ahead"))
+        F.min(F.when(~known, order)).alias("_first_new"),
+        # No longer than the memory.
+        F.collect_list(F.when(known, order)).alias("_known"),
     )
-    one_row = F.least(F.col("n"), F.lit(max_results)) == 1
+    ahead = F.size(F.filter("_known", lambda key: key < F.col("_first_new")))
     is_new = (
-        F.when(last_seen.isNull(), True)
-        .when(one_row, F.col("_first")[id_col] != last_seen)
-        .otherwise(F.col("first_new").isNotNull() & (F.coalesce("seen_ahead", F.lit(0)) < max_results))
+        F.lit(True)
+        if last_seen is None
+        else F.when(F.least(F.col("n"), F.lit(max_results)) == 1, F.col("_first")[id_col] != last_seen).otherwise(
+            F.col("_first_new").isNotNull() & (ahead < max_results)
+        )
+    )
+    judged = freeze(windows.select("window_no", is_new.alias("is_new")))
+    target = judged.filter("is_new").agg(F.min("window_no")).first()[0]
+    if target is None:
+        return feed.limit(0)
+    passed = [r["window_no"] for r in judged.filter(F.col("window_no") <= target).orderBy("window_no").collect()]
+    for before, here in pairwise([-1, *passed]):
+        if here - before > 1 and window_start(here) >= end_ms:
+            return feed.limit(0)
+    return scan_feed(
+        feed, id_col, window_start(target), window_start(target + 1), max_results=max_results
     )
-    judged = windows.join(ahead, "window_no", "left").withColumn("is_new", is_new)
-    target = judged.filter("is_new").agg(F.min("window_no").alias("target"))
-    # Up to the target there are only wholly seen windows, no more than the memory has rows.
-    passed = judged.filter(F.col("window_no") <= target.scalar()).select("window_no")
-    before = F.coalesce(F.lag("window_no").over(Window.orderBy("window_no")), F.lit(-1))
-    gaps = passed.withColumn("_gap", F.col("window_no") - before > 1).filter("_gap")
-    blocked = gaps.filter(window_start >= end_ms).agg(F.count("*").alias("blocked"))
-    page = rows.filter((F.col("window_no") == target.scalar()) & (blocked.scalar() == 0))
-    return page.orderBy("commit_time_ms", id_col).limit(max_results).select(*feed.columns)
 
 
 def next_page(
@@ -145,20 +150,18 @@ def next_page(
     if start == 0:
         return scan_feed(feed, id_col, 0, step_ms, max_results=max_results)
     later = scan_feed(feed, id_col, from_time=start)
-    window_no = F.expr(f"(commit_time_ms - {start}) div {step_ms}")
-    return _first_new_window(
-        later, seen, id_col, window_no, F.col("window_no") * step_ms + start, end_ms, max_results
-    )
+    window_no = F.expr(f"(commit_time_ms - {start}L) div {step_ms}L")
+    return _first_new_window(later, seen, id_col, window_no, lambda n: start + n * step_ms, end_ms, max_results)
 
 
 def next_commit_page(
     feed: DataFrame, id_col: str, after_ms: int, step_ms: int = HOUR_MS, max_results: int = PAGE_CAP
 ) -> DataFrame:
     """The window that begins at the next commit time, used to jump over an empty stretch."""
-    begin = next_commit_time(feed, after_ms).scalar()
-    rows = feed.filter((F.col("commit_time_ms") >= begin) & (F.col("commit_time_ms") < begin + step_ms))
-    rows = rows.filter(F.col("commit_time_ms") >= after_ms)
-    return rows.orderBy("commit_time_ms", id_col).limit(max_results)
+    begin = next_commit_time(feed, after_ms).first()["next_commit_ms"]
+    if begin == NONE_SENTINEL:
+        return feed.limit(0)
+    return scan_feed(feed, id_col, begin, begin + step_ms, max_results=max_results)
 
 
 def _doublings(step_ms: int, max_step_ms: int) -> int:
@@ -188,14 +191,16 @@ def adaptive_windows(
     start = from_ms or 0
     doubling = _doublings(step_ms, max_step_ms)
     grown = (1 << doubling) - 1  # steps covered by the doubling windows
-    steps = F.expr(f"(commit_time_ms - {start}) div {step_ms}")
+    steps = F.expr(f"(commit_time_ms - {start}L) div {step_ms}L")
     window_no = F.when(steps < grown, F.length(F.bin(steps + 1)) - 1).otherwise(
-        doubling + F.expr(f"(commit_time_ms - {start + grown * step_ms}) div {max_step_ms}")
+        doubling + F.expr(f"(commit_time_ms - {start + grown * step_ms}L) div {max_step_ms}L")
     )
-    number = F.col("window_no")
-    window_start = F.when(
-        number <= doubling, (F.expr("shiftleft(1L, cast(least(window_no, 62) as int))") - 1) * step_ms
-    ).otherwise((number - doubling) * max_step_ms + grown * step_ms) + start
+
+    def window_start(n: int) -> int:
+        if n <= doubling:
+            return start + ((1 << n) - 1) * step_ms
+        return start + grown * step_ms + (n - doubling) * max_step_ms
+
     later = scan_feed(feed, id_col, from_time=start)
     return _first_new_window(later, seen, id_col, window_no.cast("long"), window_start, end_ms, max_results)
 
