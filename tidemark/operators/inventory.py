@@ -22,6 +22,7 @@ from tidemark.functions.paths import (
     uri_host,
     uri_path,
 )
+from tidemark.operators.ids import absent_from, present
 
 
 def is_directory_type(content_type: str = "content_type") -> Column:
@@ -89,7 +90,8 @@ def key_status(requested: DataFrame, inventory: DataFrame, raw: str = "raw_key")
     forms = asked.select(
         raw, "_path", F.explode(F.array_distinct(F.array("_dir", "_file", "_path"))).alias("key"), "_file", "_dir"
     ).filter(F.col("key").isNotNull())
-    hits = forms.join(stored, "key", "left").groupBy(raw, "_path").agg(
+    asked_for = stored.join(forms.select("key"), "key", "left_semi")
+    hits = forms.join(asked_for, "key", "left").groupBy(raw, "_path").agg(
         F.max(F.when(F.col("key") == F.col("_dir"), F.col("is_dir"))).alias("_as_dir"),
         F.max(F.when(F.col("key") == F.col("_file"), F.col("is_dir"))).alias("_as_file"),
         F.max(F.when(F.col("key") == F.col("_file"), F.col("size"))).alias("_size"),
@@ -117,7 +119,7 @@ def delete_plan(
     """
     keys = normalize_keys(requested.select(raw), raw).select(F.col("file").alias("key"))
     keys = keys.filter("key is not null").distinct()
-    stored = inventory.select("key").distinct().withColumn("_stored", F.lit(True))
+    stored = present(keys, inventory, "key").distinct().withColumn("_stored", F.lit(True))
     plan = keys.join(stored, "key", "left").select(
         "key", F.when(F.col("_stored"), "delete").otherwise("missing").alias("action")
     )
@@ -132,7 +134,7 @@ def delete_directory(inventory: DataFrame, path: str) -> DataFrame:
 def missing_parents(inventory: DataFrame) -> DataFrame:
     """Directory markers to create so that every ancestor of every key exists."""
     above = inventory.select(F.explode(ancestors(F.col("key"))).alias("key")).distinct()
-    return above.join(inventory.select("key"), "key", "left_anti")
+    return absent_from(above, inventory, "key")
 
 
 def parents(keys: DataFrame, key: str = "key") -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.order import UNKNOWN_TX
 from tidemark.operators.expand import acls_of_change_sets, nodes_of_transactions, readers_of_acls
+from tidemark.operators.ids import absent_from, without
 from tidemark.operators.route import (
     DELETED,
     NON_SHARD_DELETED,
@@ -43,10 +44,6 @@ class AclIndex(NamedTuple):
     unknown: DataFrame | None = None
 
 
-def without(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    return rows.join(keys.select(key), key, "left_anti")
-
-
 def upsert_nodes(index_nodes: DataFrame, changes: DataFrame) -> DataFrame:
     """Replace nodes by their changed rows (one per node).
 
@@ -62,7 +59,7 @@ def upsert_nodes(index_nodes: DataFrame, changes: DataFrame) -> DataFrame:
 def append_nodes(index_nodes: DataFrame, rows: DataFrame) -> DataFrame:
     """Insert nodes only where the index has none with that id."""
     alive = rows.filter(~F.col("status").isin(DELETED, NON_SHARD_DELETED))
-    return index_nodes.unionByName(without(alive, index_nodes, "node_id").select(*index_nodes.columns))
+    return index_nodes.unionByName(absent_from(alive, index_nodes, "node_id").select(*index_nodes.columns))
 
 
 def delete_by_node(index_nodes: DataFrame, ids: DataFrame) -> DataFrame:
@@ -103,7 +100,7 @@ def reindex_transactions(
     return NodeIndex(
         upsert_nodes(cleared.nodes, changes),
         write_markers(cleared.markers, known, "tx_id"),
-        without(ids, feed, "tx_id"),
+        without(ids, known, "tx_id"),
     )
 
 
@@ -113,7 +110,7 @@ def index_transactions(index: NodeIndex, ids: DataFrame, feed: DataFrame, source
     return NodeIndex(
         append_nodes(index.nodes, nodes_of_transactions(known, source)),
         write_markers(index.markers, known, "tx_id"),
-        without(ids, feed, "tx_id"),
+        without(ids, known, "tx_id"),
     )
 
 
@@ -176,7 +173,7 @@ def index_nodes_by_id(index_nodes: DataFrame, ids: DataFrame, source: DataFrame)
 def upsert_acls(index_acls: DataFrame, ids: DataFrame, readers: DataFrame, overwrite: bool = True) -> DataFrame:
     """Set the readers of the given ACLs; without ``overwrite`` only of those the index lacks."""
     if not overwrite:
-        ids = without(ids.select("acl_id"), index_acls, "acl_id")
+        ids = absent_from(ids.select("acl_id"), index_acls, "acl_id")
     fresh = readers_of_acls(ids, readers)
     kept = without(index_acls, ids, "acl_id") if overwrite else index_acls
     return kept.unionByName(fresh)
@@ -191,7 +188,7 @@ def reindex_change_sets(
     return AclIndex(
         upsert_acls(cleared.acls, acls_of_change_sets(known, acls), readers),
         write_markers(cleared.markers, known, "change_set_id"),
-        without(ids, feed, "change_set_id"),
+        without(ids, known, "change_set_id"),
     )
 
 
@@ -203,5 +200,5 @@ def index_change_sets(
     return AclIndex(
         upsert_acls(index.acls, acls_of_change_sets(known, acls), readers, overwrite=False),
         write_markers(index.markers, known, "change_set_id"),
-        without(ids, feed, "change_set_id"),
+        without(ids, known, "change_set_id"),
     )

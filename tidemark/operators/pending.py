@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions.order import NONE_SENTINEL, feed_order
+from tidemark.operators.ids import present
 
 SEEN_MEMORY = 100  # fixed size of the tracker's memory
 
@@ -21,10 +22,12 @@ def remember(rows: DataFrame, id_col: str, memory: int = SEEN_MEMORY) -> DataFra
 def pending(feed: DataFrame, indexed: DataFrame, id_col: str, last_indexed_ms: int) -> DataFrame:
     """Rows not indexed yet: newer than the state, or older but absent from the index.
 
-    The time test is part of the anti join, so the feed is read once and rows
-    newer than the state are kept even if the index knows them.
+    The time test is part of the anti join, so rows newer than the state are
+    kept even if the index knows them. Only the older rows (in a regular run
+    those of the hole) are looked up in the index.
     """
-    known = indexed.select(F.col(id_col).alias("_known"))
+    older = feed.filter(F.col("commit_time_ms") <= last_indexed_ms)
+    known = present(older, indexed, id_col).withColumnRenamed(id_col, "_known")
     match = (F.col(id_col) == F.col("_known")) & (F.col("commit_time_ms") <= last_indexed_ms)
     return feed.join(known, match, "left_anti")
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.order import NONE_SENTINEL, feed_order
+from tidemark.operators.ids import present
 from tidemark.operators.ordered import with_previous, with_running_sum
 from tidemark.operators.route import UNKNOWN
 from tidemark.sources.feed import FIRST_ID_RANGE, first_row
@@ -101,10 +102,11 @@ def check_node(ids: DataFrame, source: DataFrame, index_nodes: DataFrame) -> Dat
 
     Anything but exactly one source row counts as unknown, transaction -1.
     """
-    known = source.groupBy("node_id").agg(
+    known = source.join(ids.select("node_id"), "node_id", "left_semi").groupBy("node_id").agg(
         F.count("*").alias("_n"), F.max("status").alias("_status"), F.max("tx_id").alias("_tx")
     )
-    held = index_nodes.groupBy("node_id").agg(F.count("*").alias("in_index"), F.max("tx_id").alias("index_tx"))
+    wanted = index_nodes.join(ids.select("node_id"), "node_id", "left_semi")
+    held = wanted.groupBy("node_id").agg(F.count("*").alias("in_index"), F.max("tx_id").alias("index_tx"))
     single = F.coalesce(F.col("_n") == 1, F.lit(False))
     return (
         ids.select("node_id")
@@ -122,8 +124,8 @@ def check_node(ids: DataFrame, source: DataFrame, index_nodes: DataFrame) -> Dat
 
 def check_acl(ids: DataFrame, readers: DataFrame, index_acls: DataFrame) -> DataFrame:
     """Whether the source has readers for each ACL, and how many reader rows the index holds."""
-    known = readers.select("acl_id").distinct().withColumn("_known", F.lit(True))
-    held = index_acls.groupBy("acl_id").agg(F.count("*").alias("in_index"))
+    known = present(ids, readers, "acl_id").distinct().withColumn("_known", F.lit(True))
+    held = present(ids, index_acls, "acl_id").groupBy("acl_id").agg(F.count("*").alias("in_index"))
     return (
         ids.select("acl_id")
         .join(known, "acl_id", "left")

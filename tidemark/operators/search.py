@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 SUGGEST_FIELDS = ("name", "title", "description", "content")
 TOKEN_BREAK = r"[^\p{L}\p{N}]+"
@@ -71,13 +72,9 @@ def facet_counts(rows: DataFrame, fields: Sequence[str], top: int | None = None)
     counted = long.filter("value is not null").groupBy("field", "value").agg(F.count("*").alias("n"))
     if top is None:
         return counted
-    best = [
-        counted.filter(F.col("field") == f).orderBy(F.desc("n"), "value").limit(top) for f in fields
-    ]
-    out = best[0]
-    for other in best[1:]:
-        out = out.unionByName(other)
-    return out
+    # The rank limit is applied in every task before the rows of a field meet.
+    rank = F.row_number().over(Window.partitionBy("field").orderBy(F.desc("n"), "value"))
+    return counted.withColumn("_rank", rank).filter(F.col("_rank") <= top).drop("_rank")
 
 
 def reindex_by_query(index_nodes: DataFrame, names: DataFrame, field: str, prefix: str) -> DataFrame:

@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.expand import readers_of_acls
-from tidemark.operators.mutate import AclIndex, NodeIndex, without
+from tidemark.operators.ids import absent_from, without
+from tidemark.operators.mutate import AclIndex, NodeIndex
 from tidemark.operators.route import DELETED
 from tidemark.session import freeze
 
@@ -97,7 +98,7 @@ def apply_maintenance(
         .select(*index.nodes.columns)
         .join(touched.filter("_again").select("node_id"), "node_id", "left_anti")
     )
-    absent = without(alive.filter("_add AND NOT _again"), kept, "node_id")
+    absent = absent_from(alive.filter("_add AND NOT _again"), kept, "node_id")
     written = alive.filter("_again").unionByName(absent).select(*index.nodes.columns)
 
     known = freeze(
@@ -143,7 +144,7 @@ def apply_acl_maintenance(
         .agg(*[F.bool_or(c).alias(c) for c in ("_gone", "_again", "_add")])
     )
     kept = without(index.acls, flags.filter("_gone"), "acl_id")
-    absent = without(flags.filter("_add AND NOT _again"), kept, "acl_id").select("acl_id")
+    absent = absent_from(flags.filter("_add AND NOT _again"), kept, "acl_id").select("acl_id")
     written = flags.filter("_again").select("acl_id").unionByName(absent)
     return AclIndex(
         kept.unionByName(readers_of_acls(written, readers)),

@@ -33,6 +33,7 @@ class TableSpec:
     key: str
     schema: str
     width: int = 4_000_000
+    order: tuple[str, ...] = ()
 
 
 SPECS = {
@@ -41,7 +42,7 @@ SPECS = {
         "node_id long, tx_id long, acl_id long, node_ref string, tenant string, status string",
     ),
     "index_tx": TableSpec("tx_id", "tx_id long, commit_time_ms long", 64_000_000),
-    "acls": TableSpec("acl_id", "acl_id long, authority string"),
+    "acls": TableSpec("acl_id", "acl_id long, authority string", order=("authority",)),
     "index_change_sets": TableSpec("change_set_id", "change_set_id long, commit_time_ms long", 64_000_000),
 }
 
@@ -135,7 +136,9 @@ class IndexStore:
             return {}
         folder = f"data/{table}/{version:012d}-{uuid.uuid4().hex}"
         new = mutate(self.read(table, touched, old)).withColumn(BUCKET, bucket)
-        new = new.repartition(BUCKET).sortWithinPartitions(BUCKET, spec.key)
+        # By range, so that a bucket with one huge key is written by several tasks.
+        order = [BUCKET, spec.key, *spec.order]
+        new = new.repartitionByRange(*order).sortWithinPartitions(*order)
         new.write.partitionBy(BUCKET).parquet(f"{self.root}/{folder}")
         schema = StructType.fromDDL(f"{spec.schema}, {BUCKET} long")
         written = self.spark.read.schema(schema).parquet(f"{self.root}/{folder}").select(BUCKET).distinct().collect()
