@@ -597,7 +597,8 @@ def delete_batches(spark, folder):
 
 @query
 def latest_per_node(spark, folder):
-    return T.current_nodes(spark, folder)
+    commits = T.transactions(spark, folder).select("tx_id", "commit_time_ms")
+    return batch.latest_per_node(T.nodes(spark, folder).join(commits, "tx_id"))
 
 
 @query

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 SCHEME = "s3"
 SNAPSHOT_PATTERN = r"snapshot\.(.*?)/"
 DIRECTORY_TYPE = "application/x-directory"
+BLANKS = "".join(chr(code) for code in range(33))  # the space and everything before it
 
 EMPTY_KEY = "empty key"
 EMPTY_LOCATION = "empty location"
@@ -16,7 +17,7 @@ EMPTY_LOCATION = "empty location"
 
 def trimmed(text: Column) -> Column:
     """Without blanks and control characters at either end."""
-    return F.regexp_replace(text, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def path_key(raw: Column) -> Column:

@@ -23,6 +23,7 @@ from tidemark.functions.paths import (
     uri_path,
 )
 from tidemark.operators.ids import absent_from, present
+from tidemark.session import freeze
 
 
 def is_directory_type(content_type: str = "content_type") -> Column:
@@ -82,8 +83,10 @@ def key_status(requested: DataFrame, inventory: DataFrame, raw: str = "raw_key")
     stored with the directory content type. The root always exists. A directory
     has no length, and neither has a key that does not exist.
     """
-    asked = normalize_keys(requested.select(raw).distinct(), raw).select(
-        raw, F.col("path").alias("_path"), F.col("file").alias("_file"), F.col("dir").alias("_dir")
+    asked = freeze(
+        normalize_keys(requested.select(raw).distinct(), raw).select(
+            raw, F.col("path").alias("_path"), F.col("file").alias("_file"), F.col("dir").alias("_dir")
+        )
     )
     stored = inventory.select("key", "size", is_directory_type().alias("is_dir"))
     # Each requested key is looked up in its (at most three) forms with a single join.

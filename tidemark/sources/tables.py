@@ -1,12 +1,15 @@
 """Feed, index and inventory tables derived from the driver's parquet tables.
 
 A deployment stores these tables; here every one is a declarative view over the
-given parquet files, so that it grows with them. The same definitions exist as
+given parquet files, so that it grows with them (``store`` writes them out). The same definitions exist as
 SQL in ``checks/views.py`` for the second engine.
 """
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -14,6 +17,7 @@ from pyspark.sql.types import StructType
 from tidemark.functions.order import to_millis
 from tidemark.operators.batch import latest_per_node
 from tidemark.operators.mutate import NODE_COLUMNS
+from tidemark.session import scratch
 
 #: Scalars of the example trackers (epoch milliseconds, UTC).
 LAST_INDEXED_MS = 946_684_800_000  # 2000-01-01
@@ -56,6 +60,42 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
+_STORED: dict[tuple[str, str], tuple[str, StructType]] = {}
+View = Callable[[SparkSession, str], DataFrame]
+DERIVED: dict[str, View] = {}
+
+
+def derived(view: View) -> View:
+    """A view that is read from its stored copy if ``store`` has made one."""
+
+    @functools.wraps(view)
+    def read(spark: SparkSession, folder: str) -> DataFrame:
+        stored = _STORED.get((folder, view.__name__))
+        if stored is None:
+            return view(spark, folder)
+        path, schema = stored
+        return spark.read.schema(schema).parquet(path)
+
+    DERIVED[view.__name__] = read
+    return read
+
+
+def store(spark: SparkSession, folder: str, names: Sequence[str] = ()) -> None:
+    """Write derived tables, as a deployment has them: feeds by commit time, the others as they come."""
+    for name in names or DERIVED:
+        rows = DERIVED[name](spark, folder)
+        if "commit_time_ms" in rows.columns:
+            rows = rows.repartitionByRange("commit_time_ms").sortWithinPartitions("commit_time_ms")
+        path = scratch(spark, name)
+        rows.write.parquet(path)
+        _STORED[folder, name] = path, rows.schema
+
+
+def forget_stored() -> None:
+    _STORED.clear()
+
+
+@derived
 def nodes(spark: SparkSession, folder: str) -> DataFrame:
     """One row per (transaction, node) with the node's status after that transaction."""
     node = F.col("l_partkey")
@@ -84,6 +124,7 @@ def nodes(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@derived
 def transactions(spark: SparkSession, folder: str) -> DataFrame:
     counts = (
         nodes(spark, folder)
@@ -104,6 +145,7 @@ def transactions(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@derived
 def change_sets(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events").select(
         F.col("event_id").alias("change_set_id"),
@@ -112,6 +154,7 @@ def change_sets(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@derived
 def acls(spark: SparkSession, folder: str) -> DataFrame:
     sets = table(spark, folder, "events").filter(F.col("event_type") != "view")
     step = F.explode(F.sequence(F.lit(0), (F.col("event_id") % 3).cast("int"))).alias("i")
@@ -120,6 +163,7 @@ def acls(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@derived
 def acl_readers(spark: SparkSession, folder: str) -> DataFrame:
     """Long form: one row per (ACL, authority)."""
     users = table(spark, folder, "events").agg((F.max("user_id") + 15).alias("n"))
@@ -142,6 +186,7 @@ def _with_faults(markers: DataFrame, feed: DataFrame, id_col: str) -> DataFrame:
     return kept.unionByName(repeated).unionByName(ghosts)
 
 
+@derived
 def index_tx(spark: SparkSession, folder: str) -> DataFrame:
     feed = table(spark, folder, "orders").select(
         F.col("o_orderkey").alias("tx_id"), to_millis("o_orderdate").alias("commit_time_ms")
@@ -149,11 +194,13 @@ def index_tx(spark: SparkSession, folder: str) -> DataFrame:
     return _with_faults(feed.filter(F.col("commit_time_ms") < LAST_INDEXED_MS), feed, "tx_id")
 
 
+@derived
 def index_change_sets(spark: SparkSession, folder: str) -> DataFrame:
     feed = change_sets(spark, folder).select("change_set_id", "commit_time_ms")
     return _with_faults(feed.filter(F.col("commit_time_ms") < ACL_LAST_INDEXED_MS), feed, "change_set_id")
 
 
+@derived
 def index_nodes(spark: SparkSession, folder: str) -> DataFrame:
     """Latest version of every node over the indexed transactions, deleted ones left out."""
     indexed = index_tx(spark, folder).select("tx_id", "commit_time_ms").distinct()
@@ -163,12 +210,14 @@ def index_nodes(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@derived
 def current_nodes(spark: SparkSession, folder: str) -> DataFrame:
     """What the source holds now: each node once, in the transaction that touched it last."""
     feed = transactions(spark, folder).select("tx_id", "commit_time_ms")
     return latest_per_node(nodes(spark, folder).join(feed, "tx_id"))
 
 
+@derived
 def index_acls(spark: SparkSession, folder: str) -> DataFrame:
     """Readers of the ACLs of the indexed change sets."""
     indexed = index_change_sets(spark, folder).select("change_set_id")
@@ -176,6 +225,7 @@ def index_acls(spark: SparkSession, folder: str) -> DataFrame:
     return acl_readers(spark, folder).join(wanted, "acl_id", "left_semi")
 
 
+@derived
 def objects(spark: SparkSession, folder: str) -> DataFrame:
     day = F.date_format("ts", "yyyyMMdd")
     events = table(spark, folder, "events")
@@ -198,6 +248,7 @@ def objects(spark: SparkSession, folder: str) -> DataFrame:
     return files.unionByName(markers)
 
 
+@derived
 def requests(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events").select(
         F.col("ts"),
@@ -209,6 +260,7 @@ def requests(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@derived
 def cache_events(spark: SparkSession, folder: str) -> DataFrame:
     names = F.array(*[F.lit(c) for c in CACHES])
     hit = F.col("event_type").isin("view", "click")
@@ -221,6 +273,7 @@ def cache_events(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@derived
 def doc_samples(spark: SparkSession, folder: str) -> DataFrame:
     """Document count of each core, sampled at every full minute the events span."""
     minute = F.col("ts_ms") - F.col("ts_ms") % 60_000 + 60_000
@@ -249,6 +302,7 @@ def doc_samples(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@derived
 def access_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Request-log lines, one of a hundred of them broken."""
     status = F.when(F.col("event_type") == "error", "500").otherwise("200")
@@ -270,6 +324,7 @@ def access_lines(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@derived
 def names(spark: SparkSession, folder: str) -> DataFrame:
     """Searchable fields of the nodes; the content is the whole text of the document."""
     content = table(spark, folder, "documents").select(
@@ -287,6 +342,7 @@ def names(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@derived
 def raw_keys(spark: SparkSession, folder: str) -> DataFrame:
     """Object keys as callers write them: stray blanks, leading, trailing and lone slashes."""
     key = F.concat("event_type", F.lit("/u"), F.col("user_id").cast("string"), F.lit("/"), "event_id")
@@ -305,6 +361,7 @@ def raw_keys(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@derived
 def backup_details(spark: SparkSession, folder: str) -> DataFrame:
     """Polled backup records: flat key/value lists, with repeats, null keys and odd tails."""
     shape = F.col("event_id") % 4
@@ -334,6 +391,7 @@ def backup_details(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@derived
 def maintenance_requests(spark: SparkSession, folder: str) -> DataFrame:
     """Queued requests: purge, reindex and index by transaction or node, and one query."""
     top_tx = table(spark, folder, "orders").agg((F.max("o_orderkey") + 100).alias("n")).scalar()
