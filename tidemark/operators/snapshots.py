@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidemark.functions.maps import pairs_to_map
 from tidemark.functions.paths import snapshot_name
@@ -131,9 +130,3 @@ def compare_manifests(manifest: DataFrame, current: DataFrame) -> DataFrame:
         .otherwise("changed")
     )
     return then.join(now, "key", "full_outer").select("key", verdict.alias("status"))
-
-
-def newest_first(snapshots: DataFrame) -> DataFrame:
-    """The (short) snapshot list with its age rank."""
-    rank = F.row_number().over(Window.orderBy(F.desc("last_modified"), F.desc("snapshot")))
-    return snapshots.withColumn("age_rank", rank)
