@@ -57,6 +57,39 @@ def with_position(
     )
 
 
+def grouped(rows: DataFrame, n: int) -> DataFrame:
+    """Placed rows, each part in a task of its own, as windows over a part need them."""
+    return rows.repartitionById(n, F.col(PART))
+
+
+def running_sum(rows: DataFrame, weight: Column, name: str) -> DataFrame:
+    """Add the exclusive running sum of ``weight`` to grouped rows."""
+    weighed = rows.withColumn("_weight", weight)
+    offsets = _earlier_parts(weighed.groupBy(PART).agg(F.sum("_weight").alias("_total")), "_total", "_offset")
+    inside = Window.partitionBy(PART).orderBy(POS).rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        weighed.withColumn("_inside", F.coalesce(F.sum("_weight").over(inside), F.lit(0)))
+        .join(F.broadcast(offsets), PART)
+        .withColumn(name, F.col("_offset") + F.col("_inside"))
+        .drop("_offset", "_inside", "_weight")
+    )
+
+
+def previous(rows: DataFrame, columns: Sequence[str], prefix: str = "prev_") -> DataFrame:
+    """Add, for each of ``columns``, the value of the row before to grouped rows."""
+    last = rows.groupBy(PART).agg(F.max_by(F.struct(*columns), POS).alias("_last"))
+    carried = last.select(PART, F.lag("_last").over(Window.orderBy(PART)).alias("_carried"))
+    inside = Window.partitionBy(PART).orderBy(POS)
+    out = (
+        rows.withColumn("_before", F.lag(F.struct(*columns)).over(inside))
+        .join(F.broadcast(carried), PART)
+        .withColumn("_before", F.when(F.col(POS) > 0, F.col("_before")).otherwise(F.col("_carried")))
+    )
+    for column in columns:
+        out = out.withColumn(prefix + column, F.col("_before")[column])
+    return out.drop("_before", "_carried")
+
+
 def with_running_sum(
     df: DataFrame,
     order: Sequence[Column | str],
@@ -66,16 +99,7 @@ def with_running_sum(
 ) -> DataFrame:
     """Add the exclusive running sum of ``weight`` in the total order."""
     n = part_count(df, parts)
-    rows = placed(df.withColumn("_weight", weight), order, n)
-    offsets = _earlier_parts(rows.groupBy(PART).agg(F.sum("_weight").alias("_total")), "_total", "_offset")
-    inside = Window.partitionBy(PART).orderBy(POS).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        rows.repartitionById(n, F.col(PART))
-        .withColumn("_inside", F.coalesce(F.sum("_weight").over(inside), F.lit(0)))
-        .join(F.broadcast(offsets), PART)
-        .withColumn(name, F.col("_offset") + F.col("_inside"))
-        .drop(PART, POS, "_offset", "_inside", "_weight")
-    )
+    return running_sum(grouped(placed(df, order, n), n), weight, name).drop(PART, POS)
 
 
 def with_previous(
@@ -87,16 +111,4 @@ def with_previous(
 ) -> DataFrame:
     """Add, for each of ``columns``, the value of the row before in the total order."""
     n = part_count(df, parts)
-    rows = placed(df, order, n)
-    last = rows.groupBy(PART).agg(F.max_by(F.struct(*columns), POS).alias("_last"))
-    carried = last.select(PART, F.lag("_last").over(Window.orderBy(PART)).alias("_carried"))
-    inside = Window.partitionBy(PART).orderBy(POS)
-    out = (
-        rows.repartitionById(n, F.col(PART))
-        .withColumn("_before", F.lag(F.struct(*columns)).over(inside))
-        .join(F.broadcast(carried), PART)
-        .withColumn("_before", F.when(F.col(POS) > 0, F.col("_before")).otherwise(F.col("_carried")))
-    )
-    for column in columns:
-        out = out.withColumn(prefix + column, F.col("_before")[column])
-    return out.drop(PART, POS, "_before", "_carried")
+    return previous(grouped(placed(df, order, n), n), columns, prefix).drop(PART, POS)

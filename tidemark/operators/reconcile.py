@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.order import NONE_SENTINEL, feed_order
 from tidemark.operators.ids import present
-from tidemark.operators.ordered import with_previous, with_running_sum
+from tidemark.operators.ordered import grouped, part_count, placed, previous, running_sum
 from tidemark.operators.route import UNKNOWN
 from tidemark.sources.feed import FIRST_ID_RANGE, first_row
 
@@ -195,13 +195,15 @@ def settled_at(samples: DataFrame, hold_ms: int = 10_000, parts: int | None = No
     A sample is still if its count is positive and equal to the sample before
     it; a core is settled at the first sample that ends a stretch of still
     samples at least ``hold_ms`` long. Stretches are numbered by a running sum
-    over (core, time), so a core's series is never handled as a whole.
+    over (core, time) on one split of the rows, so a core's series is never
+    handled as a whole.
     """
-    order = ["core", "sample_ms"]
-    seen = with_previous(samples, order, ["core", "docs"], parts=parts)
+    n = part_count(samples, parts)
+    rows = grouped(placed(samples.select("core", "sample_ms", "docs"), ["core", "sample_ms"], n), n)
+    seen = previous(rows, ["core", "docs"])
     still = (F.col("docs") > 0) & F.col("prev_core").eqNullSafe(F.col("core")) & (F.col("docs") == F.col("prev_docs"))
-    marked = seen.select("core", "sample_ms", "docs", F.coalesce(still, F.lit(False)).alias("still"))
-    breaks = with_running_sum(marked, order, (~F.col("still")).cast("long"), "stretch", parts).filter("still")
+    marked = seen.withColumn("still", F.coalesce(still, F.lit(False)))
+    breaks = running_sum(marked, (~F.col("still")).cast("long"), "stretch").filter("still")
     begun = breaks.groupBy("core", "stretch").agg(
         F.min("sample_ms").alias("begin_ms"), F.max("sample_ms").alias("end_ms")
     )
