@@ -700,6 +700,8 @@ sql("stream_track_acls", "acls acl_readers change_sets", """
     WHERE acl_id IN (SELECT acl_id FROM acls WHERE change_set_id IN (SELECT change_set_id FROM applied))
     UNION ALL SELECT 'change set', change_set_id, NULL FROM applied""", applied=on_time("change_sets", "change_set_id"))
 sql("stream_dedup", "transactions", "SELECT * FROM applied", applied=on_time("transactions", "tx_id"))
+sql("stream_dedup_late", "transactions", "SELECT * FROM transactions WHERE tx_id NOT IN (SELECT tx_id FROM applied)",
+    applied=on_time("transactions", "tx_id"))
 sql("stream_high_watermark", "nodes transactions", f"""
     SELECT core, max(o).commit_time_ms AS commit_time_ms, max(o).tx_id AS tx_id, count(*) AS docs FROM (
         SELECT {CORE} AS core, {{'commit_time_ms': t.commit_time_ms, 'tx_id': t.tx_id}} AS o

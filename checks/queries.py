@@ -1128,6 +1128,16 @@ def stream_dedup(spark, folder):
     return sink(stream.stream_dedup(live), spark, "dedup")
 
 
+@query
+def stream_dedup_late(spark, folder):
+    """Rows the stream left out as too late, found by comparing with the whole feed."""
+    rows = T.transactions(spark, folder)
+    target = arriving(rows, "transactions", "commit_time_ms", "tx_id", again=True)
+    live = feeds.read_feed(spark, target.folder, rows.schema, 2 * target.files)
+    applied = sink(stream.stream_dedup(live), spark, "dedup")
+    return stream.late_rows(rows, applied)
+
+
 @query
 def stream_high_watermark(spark, folder):
     rows = T.transactions(spark, folder)

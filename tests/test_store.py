@@ -179,6 +179,23 @@ def test_maintenance_has_the_effect_of_its_steps(spark, folder, source):
     assert rows(fused.markers) == rows(step.markers)
 
 
+def test_queue(spark):
+    queue = spark.createDataFrame([("tx", "purge", 1), ("query", "reindex", 0)], "kind string, action string, id long")
+    assert maintenance.has_maintenance(queue)
+    assert rows(maintenance.without_scheduled(queue)) == [("query", "reindex", 0)]
+    assert not maintenance.has_maintenance(queue.filter("false"))
+
+
+def test_a_replayed_micro_batch_is_applied_once(spark, fresh, source):
+    feed, nodes, _ = source
+    store = IndexStore(spark, fresh, NARROW)
+    batch = feed.filter("tx_id < 500")
+    assert store.track_nodes("nodes-0", batch, nodes, history=feed) is not None
+    version = store.manifest()[0]["version"]
+    assert store.track_nodes("nodes-0", batch, nodes, history=feed) is None
+    assert store.manifest()[0]["version"] == version
+
+
 def test_reindex_of_one_shard(spark):
     base = spark.createDataFrame([node(n, 1)[:6] for n in (1, 2, 3)], ", ".join(NODE.split(", ")[:6]))
     current = spark.createDataFrame([node(1, 7), node(2, 7), node(3, 7)], NODE)

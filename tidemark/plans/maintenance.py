@@ -36,6 +36,11 @@ def without_scheduled(requests: DataFrame) -> DataFrame:
     return requests.filter(F.col("kind") == "query")
 
 
+def has_maintenance(requests: DataFrame) -> bool:
+    """Is anything queued?"""
+    return not requests.isEmpty()
+
+
 def _flags(requests: DataFrame, kind: str, id_col: str) -> DataFrame:
     """Requested actions of each id as boolean columns."""
     return (

@@ -68,7 +68,7 @@ class IndexStore:
         commits = self._commits()
         if commits is None:
             return []
-        newest = commits.agg(F.max("version")).scalar()
+        newest = commits.filter("table_name IS NULL").agg(F.max("version")).scalar()
         return commits.filter(F.col("version") == newest).collect()
 
     def marks(self, manifest: list | None = None) -> dict[str, int]:
@@ -77,7 +77,7 @@ class IndexStore:
 
     def has_run(self, run: str) -> bool:
         commits = self._commits()
-        return commits is not None and not commits.filter(F.col("run") == run).isEmpty()
+        return commits is not None and not commits.filter((F.col("run") == run) & F.col("table_name").isNull()).isEmpty()
 
     def read(self, table: str, buckets: list[int] | None = None, manifest: list | None = None) -> DataFrame:
         """A table, or some of its buckets, as of the newest or the given manifest."""
