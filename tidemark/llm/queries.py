@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, linededup, mixing, quality, tokenfile, toxicity
+from tidemark.llm import decontaminate, html, linededup, mixing, neardup, quality, tokenfile, topk, toxicity
 from tidemark.llm.shared import table, workers_import
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,8 +32,8 @@ WITH item AS (
 ), found AS (
   SELECT doc_id, p, n, item FROM gram JOIN win USING (words)
 ), hit AS (
-  SELECT doc_id, count(DISTINCT at) AS n_hit
-  FROM (SELECT doc_id, unnest(range(p, p + n)) AS at FROM (SELECT DISTINCT doc_id, p, n FROM found))
+  SELECT doc_id, count(DISTINCT place) AS n_hit
+  FROM (SELECT doc_id, unnest(range(p, p + n)) AS place FROM (SELECT DISTINCT doc_id, p, n FROM found))
   GROUP BY doc_id
 ), items AS (
   SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS names
@@ -45,10 +46,10 @@ FROM doc LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 
 ORACLE["op7_line_dedup"] = r"""
 WITH line AS (
-  SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS at
+  SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS place
   FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)
 ), keyed AS (
-  SELECT doc_id, at, line,
+  SELECT doc_id, place, line,
          translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
   FROM line
@@ -56,7 +57,7 @@ WITH line AS (
   SELECT key FROM keyed WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10
 )
 SELECT doc_id, count(*) AS n_lines, count(shared.key) AS n_dropped,
-       sha256(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (shared.key IS NULL), '')) AS kept_sha256
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (shared.key IS NULL), '')) AS kept_sha256
 FROM keyed LEFT JOIN shared USING (key) GROUP BY doc_id
 """
 
@@ -113,3 +114,20 @@ def op9_quality(spark, folder):
 def op10_token_files(spark, folder):
     documents = table(spark, folder, "documents").select("doc_id", "text")
     return tokenfile.digest(tokenfile.token_files(documents, tokenizer_path()))
+
+
+@query
+def op6_near_duplicates(spark, folder):
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    return neardup.digest(neardup.near_duplicates(documents, similarity=0.8, shingle=2))
+
+
+@query
+def op5_top_k(spark, folder):
+    return topk.top_k(table(spark, folder, "embeddings"), F.col("id") % 50 == 0)
+
+
+@query
+def op8_main_text(spark, folder):
+    found, text = html.extract(table(spark, folder, "pages").select("page_id", "url", "html"))
+    return html.digest(found, text)
