@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, html, linededup, mixing, neardup, quality, tokenfile, topk, toxicity
+from tidemark.llm import decontaminate, html, linededup, lm, mixing, neardup, quality, tokenfile, topk, toxicity
 from tidemark.llm.shared import table, workers_import
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,3 +131,8 @@ def op5_top_k(spark, folder):
 def op8_main_text(spark, folder):
     found, text = html.extract(table(spark, folder, "pages").select("page_id", "url", "html"))
     return html.digest(found, text)
+
+
+@query
+def op3_language_model(spark, folder):
+    return lm.digest(lm.score_texts(table(spark, folder, "documents").select("doc_id", "text")))
