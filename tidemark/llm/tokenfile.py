@@ -32,8 +32,8 @@ PERCENTILE = 95
 #: Ids after which a chunk is closed at the end of a document.
 CHUNK = 1 << 16
 END_ID = 2
-#: Words whose ids a task remembers, at most.
-MEMORY = 300_000
+#: Words, and pieces of words, whose ids a worker remembers, at most (about 200 bytes each).
+MEMORY = 400_000
 
 # --- patched frame of reference --------------------------------------------------
 
@@ -130,15 +130,19 @@ def decode(raw: bytes, first: int = 0, last: int | None = None) -> np.ndarray:
 
 # --- encoding of texts -----------------------------------------------------------
 
-_GAP = re.compile(r"[ \t\n\r]+")
-_PLAIN = re.compile(r"([a-z]+)([.,!?;:]?)")
+#: Texts of these characters alone are cut into pieces here; lower case and normal form leave them as they are.
+_LETTERS = "a-z\u00df-\u00f6\u00f8-\u012f\u0131-\u017e"
+_OTHER = re.compile("[^\t\n\r\x20-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e]|<[|]")
+#: The tokenizer's own cut into pieces, for those characters; ids never reach over the end of a piece.
+_PIECES = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[0-9]|[^\\s0-9{_LETTERS}]+")
 
 
 class Encoder:
-    """Ids of whole texts, with the ids of words met before kept.
+    """Ids of whole texts, with the ids of words and pieces met before kept.
 
-    The tokenizer never joins characters over white space, so a text's ids are its words' ids one after the other.
-    New words are encoded many at a time, in one text.
+    Ids never reach over white space, nor over the end of a piece. New pieces are encoded many at a time; the last id
+    of a piece is marked as a word's end in the vocabulary, so it tells them apart. Words of other characters go to the
+    tokenizer as they are. A full memory takes no more: what is frequent is met early.
     """
 
     def __init__(self, path: str, memory: int = MEMORY) -> None:
@@ -146,49 +150,59 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memory, self.known, self.stems = memory, {}, {}
-
-    def _learn(self, words: list[str]) -> list[bytes]:
-        joined = " ".join(words)
-        found = self.tokenizer.encode(joined, add_special_tokens=False)
-        ids = np.array(found.ids, "<u4")
-        begin = np.array([a for a, _ in found.offsets], np.int64)
-        starts = np.cumsum([0, *(len(w) + 1 for w in words)])
-        at = np.searchsorted(begin, starts)
+        names = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(names.values()) + 1, bool)
+        self.ends[[i for name, i in names.items() if name.endswith("</w>")]] = True
+        self.memory, self.words, self.pieces = memory, {"": b""}, {}
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _encoded(self, pieces: list[str]) -> dict[str, bytes]:
+        ids = self._ids(" ".join(pieces))
+        cuts = [0, *((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()]
+        if len(cuts) != len(pieces) + 1:
+            return {p: self._ids(p).tobytes() for p in pieces}
         raw = ids.tobytes()
-        return [raw[4 * a : 4 * b] for a, b in zip(at[:-1], at[1:], strict=True)]
-
-    def learn(self, words: set[str]) -> None:
-        """Keep the ids of new words; plain letters with or without a mark are looked up without case and mark."""
-        stems, parts = self.stems, {}
-        new = set()
-        for word in words:
-            plain = _PLAIN.fullmatch(word.lower()) if word.isascii() else None
-            parts[word] = plain.groups() if plain else (word, "")
-            new.update(p for p in parts[word] if p and p not in stems)
-        if len(stems) + len(new) > self.memory:
-            stems.clear()
-            new = {p for pair in parts.values() for p in pair if p}
-        if new:
-            ordered = list(new)
-            stems.update(zip(ordered, self._learn(ordered), strict=True))
-        self.known.update((w, stems[a] + stems[b] if b else stems[a]) for w, (a, b) in parts.items())
+        return {p: raw[a:b] for p, a, b in zip(pieces, cuts[:-1], cuts[1:], strict=True)}
+
+    def _new(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of words not met before."""
+        cut = {w: None if _OTHER.search(w) else _PIECES.findall(w.lower()) for w in words}
+        known = self.pieces
+        missing = {p for pieces in cut.values() if pieces for p in pieces if p not in known}
+        if missing:
+            encoded = self._encoded(list(missing))
+            if len(known) + len(encoded) > self.memory:
+                known = known | encoded
+            else:
+                known.update(encoded)
+        out = {
+            w: self._ids(w).tobytes() if pieces is None else b"".join([known[p] for p in pieces]) for w, pieces in cut.items()
+        }
+        if len(self.words) + len(out) <= self.memory:
+            self.words.update(out)
+        return out
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Each text's ids as little-endian u32."""
+        get = self.words.get
         for begin in range(0, len(texts), 256):
-            split = [[w for w in _GAP.split(t) if w] for t in texts[begin : begin + 256]]
-            self.learn_missing(set().union(*split))
-            for words in split:
-                yield b"".join(map(self.known.__getitem__, words))
-
-    def learn_missing(self, every: set[str]) -> None:
-        missing = every - self.known.keys()
-        if len(self.known) + len(missing) > self.memory:
-            self.known.clear()
-            missing = every
-        if missing:
-            self.learn(missing)
+            found, open_words, need = [], [], set()
+            for text in texts[begin : begin + 256]:
+                row = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+                ids = list(map(get, row))
+                if None in ids:
+                    at = [i for i, x in enumerate(ids) if x is None]
+                    words = [row[i] for i in at]
+                    need.update(words)
+                    open_words.append((ids, at, words))
+                found.append(ids)
+            new = self._new(need) if need else {}
+            for ids, at, words in open_words:
+                for i, w in zip(at, words, strict=True):
+                    ids[i] = new[w]
+            yield from map(b"".join, found)
 
 
 _ENCODERS: dict[str, Encoder] = {}
