@@ -181,7 +181,8 @@ def mix(
     """(plan, pieces): what each document gives, and which words go to which output slot.
 
     plan: (id, of, nth, source, source_size, size, target, taken), one row per document; ``of`` is the hash of its
-    text and ``nth`` tells rows apart that repeat in full. pieces: (id, of, nth, shard, k, from_word, to_word).
+    text and ``nth`` tells rows apart that repeat in full. pieces: (id, of, nth, rank, shard, k, from_word, to_word),
+    ``rank`` being the source's place among all and k its slot.
     """
     spark = documents.sparkSession
     sizes = stored(
@@ -220,7 +221,7 @@ def mix(
     ends = F.least(F.col("begin") + F.col("size"), F.col("index") * block + F.col("take"))
     pieces = (
         packed.join(chosen, ["rank", "index"])
-        .select("id", "of", "nth", "shard", "k", (begins - F.col("begin")).alias("from_word"), (ends - F.col("begin")).alias("to_word"))
+        .select("id", "of", "nth", "rank", "shard", "k", (begins - F.col("begin")).alias("from_word"), (ends - F.col("begin")).alias("to_word"))
         .where("to_word > from_word")
     )
     taken = pieces.groupBy("id", "of", "nth").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"))
