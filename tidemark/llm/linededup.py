@@ -69,7 +69,8 @@ def dedup_lines(
     )
     same = documents[key].eqNullSafe(drop[name]) & text_hash.eqNullSafe(drop[digest_name])
     others = [c for c in documents.columns if c not in ("n_lines", "n_dropped")]
-    joined = documents.join(drop, same, "left").select(*[F.col(f"`{c}`") for c in others], at)
+    # The same plan at every size: one shuffle of the texts, however few positions there are.
+    joined = documents.join(drop.hint("merge"), same, "left").select(*[F.col(f"`{c}`") for c in others], at)
     place = others.index("text")
     schema = T.StructType(
         [
