@@ -13,10 +13,11 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 
 from checks.queries import QUERIES
-from tidemark.session import local_session
+from tidemark.session import local_session, release, temporary
 from tidemark.sources import tables
 
 HEADLINE = [
@@ -36,13 +37,18 @@ HEADLINE = [
     "suggest_terms",
     "key_status",
     "snapshot_list",
+    "snapshot_status",
+    "snapshot_write",
+    "settled_at",
+    "stream_track",
 ]
 
 
 def main(names: list[str]) -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     runs = int(os.environ.get("BENCH_RUNS", "3"))
-    spark = local_session("bench", int(os.environ.get("BENCH_CPUS", "8")))
+    folder_of_intermediates = tempfile.TemporaryDirectory(prefix="tidemark-bench-")
+    spark = local_session("bench", int(os.environ.get("BENCH_CPUS", "8")), folder_of_intermediates.name)
     begin = time.perf_counter()
     tables.store(spark, folder)
     prepare = round(time.perf_counter() - begin, 3)
@@ -50,9 +56,10 @@ def main(names: list[str]) -> None:
     for name in names:
         taken = []
         for _ in range(runs + 1):
-            begin = time.perf_counter()
-            QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
-            taken.append(time.perf_counter() - begin)
+            with temporary(spark):
+                begin = time.perf_counter()
+                QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
+                taken.append(time.perf_counter() - begin)
         seconds[name] = round(statistics.median(taken[1:] or taken), 3)
     print(
         json.dumps(
@@ -66,7 +73,9 @@ def main(names: list[str]) -> None:
             }
         )
     )
+    release(spark)
     spark.stop()
+    folder_of_intermediates.cleanup()
 
 
 if __name__ == "__main__":

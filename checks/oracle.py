@@ -90,8 +90,14 @@ sql("scan_access_log", "access_lines", """
            epoch_ms(strptime(substr(split_part(value, '[', 2), 1, 20), '%d/%b/%Y:%H:%M:%S')) AS ts_ms,
            ltrim(split_part(value, ' ', 6), '"') AS method, split_part(value, ' ', 7) AS path,
            CAST(split_part(value, ' ', 9) AS INTEGER) AS status, CAST(split_part(value, ' ', 10) AS BIGINT) AS bytes
-    FROM access_lines WHERE value NOT LIKE 'malformed%'""")
-sql("scan_access_log_rejects", "access_lines", "SELECT value FROM access_lines WHERE value LIKE 'malformed%'")
+    FROM (SELECT * FROM access_lines WHERE value NOT LIKE 'malformed%' AND value NOT LIKE '%/Foo/%' AND value NOT LIKE '% 99999999999999999999')""")
+sql("read_lines", "access_lines", """
+    SELECT value AS line, count(*) AS n FROM access_lines GROUP BY 1""")
+sql("list_objects", "index_tx", """
+    SELECT 'stretch=' || CAST(tx_id % 3 AS VARCHAR) AS folder, true AS listed, true AS has_bytes FROM index_tx GROUP BY 1""")
+sql("scan_access_log_rejects", "access_lines", """
+    SELECT value FROM access_lines
+    WHERE value LIKE 'malformed%' OR value LIKE '%/Foo/%' OR value LIKE '% 99999999999999999999'""")
 
 # --- filters -----------------------------------------------------------------
 
@@ -298,27 +304,33 @@ sql("facet_counts_top", "names", f"""
 # --- reports -----------------------------------------------------------------
 
 
-def checked(name: str, feed: str, index: str, key: str, begin: str, cut: str, tail: str = "SELECT * FROM report") -> None:
+def checked(
+    name: str, feed: str, index: str, key: str, begin: str, cut: str, from_first: bool = False, tail: str = "SELECT * FROM report"
+) -> None:
+    least = f"(SELECT {key} FROM covered ORDER BY rn LIMIT 1)" if from_first else f"(SELECT min({key}) FROM (SELECT {key} FROM {feed} UNION ALL SELECT {key} FROM {index}))"
+    inside = f"coalesce({key} >= {least} AND {key} <= (SELECT max({key}) FROM covered), false)"
     sql(name, f"{feed} {index}", tail,
         ordered=f"""
-        SELECT {key}, commit_time_ms, row_number() OVER (ORDER BY commit_time_ms, {key}) AS rn FROM {feed}
-        WHERE commit_time_ms >= {begin}""",
-        covered=f"SELECT * FROM ordered WHERE rn < coalesce((SELECT min(rn) FROM ordered WHERE {cut}), 9223372036854775807)",
-        held=f"""
-        SELECT * FROM {index} WHERE {key} >= (SELECT {key} FROM covered ORDER BY rn LIMIT 1)
-        AND {key} <= (SELECT max({key}) FROM covered)""",
-        bounded=f"SELECT * FROM covered WHERE {key} >= (SELECT {key} FROM covered ORDER BY rn LIMIT 1)",
-        report=compared("bounded", "held", key))
-
-
+        SELECT *, commit_time_ms >= {begin} AS begun, row_number() OVER (ORDER BY commit_time_ms, {key}) AS rn FROM {feed}""",
+        covered=f"""
+        SELECT * FROM ordered WHERE begun
+        AND rn < coalesce((SELECT min(rn) FROM ordered WHERE begun AND ({cut})), 9223372036854775807)""",
+        held=f"SELECT * FROM {index} WHERE {inside}",
+        bounded=f"SELECT * FROM covered WHERE {inside}",
+        out_source=f"SELECT * FROM ordered WHERE rn NOT IN (SELECT rn FROM bounded)",
+        out_index=f"SELECT * FROM {index} WHERE NOT {inside}",
+        compared=compared("bounded", "held", key),
+        outside=compared("out_source", "out_index", key),
+        report="SELECT * FROM compared UNION ALL SELECT * REPLACE ('outside' AS status) FROM outside")
+
+
+START_TX, START_SET = "(SELECT min(commit_time_ms) FROM transactions)", "(SELECT min(commit_time_ms) FROM change_sets)"
 FIRST_TX = "(SELECT commit_time_ms FROM transactions WHERE tx_id < 2000 ORDER BY commit_time_ms, tx_id LIMIT 1)"
-FIRST_SET = """(SELECT commit_time_ms FROM change_sets WHERE change_set_id < 2000
-                ORDER BY commit_time_ms, change_set_id LIMIT 1)"""
-checked("check_index_tx", "transactions", "index_tx", "tx_id", FIRST_TX, f"commit_time_ms > {STOP}")
-checked("check_index_tx_prefix", "transactions", "index_tx", "tx_id", "(SELECT min(commit_time_ms) FROM transactions)",
-        "tx_id > (SELECT max(o_orderkey) - 3 FROM orders)")
-checked("check_index_acl", "change_sets", "index_change_sets", "change_set_id", FIRST_SET, f"commit_time_ms > {ACL_STOP}")
-checked("check_index_summary", "transactions", "index_tx", "tx_id", FIRST_TX, f"commit_time_ms > {STOP}", """
+checked("check_index_tx", "transactions", "index_tx", "tx_id", START_TX, f"commit_time_ms > {STOP}")
+checked("check_index_tx_prefix", "transactions", "index_tx", "tx_id", FIRST_TX,
+        "tx_id > (SELECT max(o_orderkey) - 3 FROM orders)", from_first=True)
+checked("check_index_acl", "change_sets", "index_change_sets", "change_set_id", START_SET, f"commit_time_ms > {ACL_STOP}")
+checked("check_index_summary", "transactions", "index_tx", "tx_id", START_TX, f"commit_time_ms > {STOP}", tail="""
     SELECT status, count(*) AS ids, CAST(sum(in_source) AS BIGINT) AS in_source, CAST(sum(in_index) AS BIGINT) AS in_index
     FROM report GROUP BY status""")
 sql("check_node", "current_nodes index_nodes", f"""
@@ -418,7 +430,7 @@ sql("search_page", "names", f"""
     SELECT *, (SELECT count(*) FROM ({RINGS})) AS total_items FROM ({RINGS}) ORDER BY node_id LIMIT 25 OFFSET 5""")
 sql("suggest_terms", "names", """
     SELECT term, count(*) AS n FROM (
-        SELECT unnest(string_split_regex(lower(concat_ws(' ', name, title, content)), '[^\\p{L}\\p{N}]+')) AS term FROM names)
+        SELECT unnest(string_split_regex(lower(concat_ws(' ', name, title, description, content)), '[^\\p{L}\\p{N}]+')) AS term FROM names)
     WHERE starts_with(term, 're') GROUP BY term ORDER BY n DESC, term LIMIT 20""")
 sql("reindex_by_query", "names index_nodes", f"""
     SELECT node_id FROM index_nodes WHERE node_id IN (SELECT node_id FROM ({RINGS}))""")
@@ -450,7 +462,7 @@ sql("delete_by_change_set", "index_acls acls index_change_sets", f"""
     SELECT 'acl' AS doc, acl_id AS id, authority FROM index_acls
     WHERE acl_id NOT IN (SELECT acl_id FROM acls WHERE change_set_id IN ({FAILED}))
     UNION ALL SELECT 'change set', change_set_id, '' FROM index_change_sets
-    WHERE change_set_id NOT IN ({FAILED} UNION ALL SELECT event_id + 5000000 FROM events WHERE event_type = 'error' AND value > 200)""")
+    WHERE change_set_id NOT IN ({FAILED} UNION ALL SELECT event_id + (SELECT max(event_id) + 1 FROM events) FROM events WHERE event_type = 'error' AND value > 200)""")
 sql("write_markers", "index_tx transactions", """
     SELECT tx_id, commit_time_ms FROM index_tx WHERE tx_id NOT IN (SELECT tx_id FROM transactions)
     UNION ALL SELECT tx_id, commit_time_ms FROM transactions""")
@@ -502,7 +514,7 @@ sql("index_nodes", "index_nodes current_nodes maintenance_requests", f"""
 sql("upsert_acls", "index_acls acl_readers acls change_sets index_change_sets", f"""
     SELECT acl_id, authority FROM index_acls WHERE acl_id NOT IN ({WANTED_ACLS})
     UNION ALL SELECT acl_id, authority FROM acl_readers WHERE acl_id IN ({WANTED_ACLS})""")
-LOST_SETS = "SELECT event_id + 5000000 FROM events WHERE event_type = 'error' AND value > 200"
+LOST_SETS = "SELECT event_id + (SELECT max(event_id) + 1 FROM events) FROM events WHERE event_type = 'error' AND value > 200"
 FAILED_ACLS = f"SELECT acl_id FROM acls WHERE change_set_id IN ({FAILED})"
 REWRITTEN_SETS = f"""
     SELECT 'change set', change_set_id, NULL FROM index_change_sets WHERE change_set_id NOT IN ({FAILED} UNION ALL {LOST_SETS})
@@ -591,12 +603,44 @@ sql("track_once_markers", "transactions index_tx", """
 sql("track_once_state", "transactions index_tx", f"""
     SELECT commit_time_ms, tx_id FROM (SELECT commit_time_ms, tx_id FROM todo UNION ALL SELECT {LAST}, 0)
     ORDER BY commit_time_ms DESC, tx_id DESC LIMIT 1""", todo=TODO)
+B3 = "(SELECT max(p_partkey) + 1 FROM part)"
+RANGES = [(f"({i} * {B3} // 3)", f"({i + 1} * {B3} // 3)") for i in range(3)]
+
+
+def scoped(run: str, where: str, shard: str = "true", begin: int | None = None, end: str = "", status: str = "status") -> str:
+    """One run on an empty index: its nodes and transactions."""
+    own = f"SELECT * FROM nodes WHERE {where}"
+    least = "true"
+    if begin is not None:
+        least = f"""commit_time_ms >= (SELECT min(commit_time_ms) FROM transactions WHERE tx_id IN (
+            SELECT tx_id FROM nodes WHERE node_id >= {RANGES[begin][0]} AND node_id < {end or RANGES[begin][1]}))"""
+    todo = f"(SELECT * FROM transactions WHERE commit_time_ms <= {STOP} AND {least})"
+    return f"""
+    SELECT 'node' AS doc, node_id AS id, tx_id, {status} AS status, '{run}' AS run FROM (
+        SELECT n.*, row_number() OVER (PARTITION BY node_id ORDER BY t.commit_time_ms DESC, n.tx_id DESC) AS rn
+        FROM ({own}) n JOIN {todo} t ON t.tx_id = n.tx_id) WHERE rn = 1 AND {shard}
+    UNION ALL SELECT 'tx', tx_id, tx_id, NULL, '{run}' FROM {todo}"""
+
+
+IN_2 = f"node_id >= {RANGES[2][0]} AND node_id < {RANGES[2][1]}"
+WIDENED = f"({RANGES[0][1]} + 10)"
+ORACLE["track_once_scoped"] = with_views("nodes transactions", " UNION ALL ".join([
+    scoped("store", "store_protocol = 'archive' AND store_identifier = 'SpacesStore'"),
+    scoped("property", "store_protocol = 'workspace' AND store_identifier = 'SpacesStore' AND shard_property = 'F'"),
+    scoped("range", "true", f"node_id >= {RANGES[1][0]} AND node_id < {RANGES[1][1]}", 1),
+    scoped("widened", "true", f"node_id >= 0 AND node_id < {WIDENED}", 0, WIDENED),
+    scoped("cascade", "true", "true", 2, "",
+           f"CASE WHEN {IN_2} THEN status WHEN status = 'UPDATED' THEN 'NON_SHARD_UPDATED' ELSE 'NON_SHARD_DELETED' END"),
+]))
 TODO_SETS = f"""
     SELECT * FROM ({PENDING_SETS}) WHERE commit_time_ms >= {ACL_LAST - HOLE} AND commit_time_ms <= {ACL_STOP}"""
 TODO_ACLS = "(SELECT acl_id FROM acls WHERE change_set_id IN (SELECT change_set_id FROM todo))"
 sql("track_acls_once", "index_acls acl_readers acls change_sets index_change_sets", f"""
     SELECT acl_id, authority FROM index_acls WHERE acl_id NOT IN {TODO_ACLS}
     UNION ALL SELECT acl_id, authority FROM acl_readers WHERE acl_id IN {TODO_ACLS}""", todo=TODO_SETS)
+sql("track_acls_once_routed", "acls change_sets index_change_sets", f"""
+    SELECT acl_id, CAST(shard AS INTEGER) AS shard FROM (SELECT DISTINCT acl_id FROM {TODO_ACLS}), unnest(range(0, 3)) AS t(shard)""",
+    todo=TODO_SETS)
 sql("track_acls_once_markers", "change_sets index_change_sets", """
     SELECT change_set_id, commit_time_ms FROM index_change_sets
     WHERE change_set_id NOT IN (SELECT change_set_id FROM todo)
@@ -639,8 +683,8 @@ sql("missing_parents", "objects", """
         SELECT unnest([split_part(key, '/', 1) || '/', split_part(key, '/', 1) || '/' || split_part(key, '/', 2) || '/']) AS parent
         FROM objects) WHERE parent NOT IN (SELECT key FROM objects)""")
 SNAPSHOTS = """
-    SELECT split_part(substr(key, 18), '/', 1) AS snapshot, count(*) FILTER (size <> 0) AS files,
-           CAST(sum(size) AS BIGINT) AS bytes, max(last_modified) AS last_modified, bool_or(size = 0) AS has_marker
+    SELECT split_part(substr(key, 18), '/', 1) AS snapshot, count(*) FILTER (NOT key LIKE '%/') AS files,
+           CAST(sum(size) AS BIGINT) AS bytes, max(last_modified) AS last_modified, bool_or(key LIKE '%/') AS has_marker
     FROM objects GROUP BY 1"""
 sql("snapshot_list", "objects", SNAPSHOTS)
 sql("snapshot_latest", "objects", """
@@ -674,6 +718,9 @@ sql("snapshot_verify", "objects", """
 
 # --- snapshots as files, and streams -------------------------------------------
 
+sql("snapshot_write", "index_nodes index_tx", """
+    SELECT 'nodes' AS table_name, count(*) AS row_count, CAST(sum(node_id * 31 + tx_id) AS BIGINT) AS checksum, true AS listed FROM index_nodes
+    UNION ALL SELECT 'index_tx', count(*), CAST(sum(tx_id * 31 + commit_time_ms) AS BIGINT), true FROM index_tx""")
 sql("snapshot_restore", "index_nodes index_tx", """
     SELECT 'node' AS doc, node_id AS id, tx_id, 'success' AS status FROM index_nodes
     UNION ALL SELECT 'tx', tx_id, tx_id, 'success' FROM index_tx""")
@@ -693,12 +740,16 @@ sql("stream_track", "nodes transactions", """
     SELECT 'node' AS doc, node_id AS id, tx_id, status FROM (
         SELECT n.node_id, n.tx_id, n.status,
                row_number() OVER (PARTITION BY n.node_id ORDER BY a.commit_time_ms DESC, a.tx_id DESC) AS rn
-        FROM nodes n JOIN applied a ON a.tx_id = n.tx_id) WHERE rn = 1 AND status <> 'DELETED'
-    UNION ALL SELECT 'tx', tx_id, tx_id, NULL FROM applied""", applied=on_time("transactions", "tx_id"))
+        FROM nodes n JOIN transactions a ON a.tx_id = n.tx_id) WHERE rn = 1 AND status <> 'DELETED'
+    UNION ALL SELECT 'tx', tx_id, tx_id, NULL FROM transactions
+    UNION ALL SELECT 'late', count(*), NULL, NULL FROM transactions WHERE tx_id NOT IN (SELECT tx_id FROM applied)""",
+    applied=on_time("transactions", "tx_id"))
 sql("stream_track_acls", "acls acl_readers change_sets", """
     SELECT 'acl' AS doc, acl_id AS id, authority FROM acl_readers
-    WHERE acl_id IN (SELECT acl_id FROM acls WHERE change_set_id IN (SELECT change_set_id FROM applied))
-    UNION ALL SELECT 'change set', change_set_id, NULL FROM applied""", applied=on_time("change_sets", "change_set_id"))
+    WHERE acl_id IN (SELECT acl_id FROM acls WHERE change_set_id IN (SELECT change_set_id FROM change_sets))
+    UNION ALL SELECT 'change set', change_set_id, NULL FROM change_sets
+    UNION ALL SELECT 'late', count(*), NULL FROM change_sets WHERE change_set_id NOT IN (SELECT change_set_id FROM applied)""",
+    applied=on_time("change_sets", "change_set_id"))
 sql("stream_dedup", "transactions", "SELECT * FROM applied", applied=on_time("transactions", "tx_id"))
 sql("stream_dedup_late", "transactions", "SELECT * FROM transactions WHERE tx_id NOT IN (SELECT tx_id FROM applied)",
     applied=on_time("transactions", "tx_id"))

@@ -6,8 +6,6 @@ Keys name the operators; every callable takes (spark, folder of parquet tables).
 from __future__ import annotations
 
 from collections.abc import Callable
-from typing import NamedTuple
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -145,6 +143,26 @@ def scan_access_log(spark, folder):
     return access_log.scan_access_log(T.access_lines(spark, folder))
 
 
+@query
+def read_lines(spark, folder):
+    """Log lines written as text files and read again."""
+    path = scratch(spark, "log")
+    T.access_lines(spark, folder).write.text(path)
+    return access_log.read_lines(spark, path).groupBy(F.col("value").alias("line")).agg(F.count("*").alias("n"))
+
+
+@query
+def list_objects(spark, folder):
+    """A live listing of files that were just written, by folder."""
+    path = scratch(spark, "objects")
+    T.index_tx(spark, folder).withColumn("stretch", F.pmod("tx_id", F.lit(3))).write.partitionBy("stretch").parquet(path)
+    found = listing.list_objects(spark, path)
+    below = F.regexp_extract("key", "(stretch=[^/]*)/", 1)
+    return found.filter(below != "").groupBy(below.alias("folder")).agg(
+        (F.count("*") > 0).alias("listed"), (F.sum("size") > 0).alias("has_bytes")
+    )
+
+
 @query
 def scan_access_log_rejects(spark, folder):
     return access_log.rejected_lines(T.access_lines(spark, folder))
@@ -482,8 +500,7 @@ def check_index_tx(spark, folder):
 def check_index_tx_prefix(spark, folder):
     top = T.table(spark, folder, "orders").agg(F.max("o_orderkey")).first()[0] - 3
     rows = T.transactions(spark, folder)
-    start = rows.agg(F.min("commit_time_ms")).first()[0]
-    return reconcile.check_index_tx(rows, T.index_tx(spark, folder), to_id=top, from_ms=start)
+    return reconcile.check_index_tx(rows, T.index_tx(spark, folder), to_id=top, id_range=feed.FIRST_ID_RANGE)
 
 
 @query
@@ -657,7 +674,8 @@ def asked_sets(spark, folder):
     """Change sets of slow failed requests, and as many ids the feed does not have."""
     failed = T.table(spark, folder, "events").filter("event_type = 'error' AND value > 200")
     ids = failed.select(F.col("event_id").alias("change_set_id"))
-    return ids.unionByName(ids.select((F.col("change_set_id") + 5_000_000).alias("change_set_id")))
+    beyond = T.table(spark, folder, "events").agg((F.max("event_id") + 1).alias("n")).scalar()
+    return ids.unionByName(ids.select((F.col("change_set_id") + beyond).alias("change_set_id")))
 
 
 @query
@@ -871,6 +889,47 @@ def track_once_state(spark, folder):
     return node_run(spark, folder).state
 
 
+def scoped_runs(spark, folder):
+    """One run for each kind of scope: a store, a store and a shard property, an id range with and without cascade."""
+    ranges = tuple(node_ranges(spark, folder))
+    yield "store", track.Scope(store="archive://SpacesStore")
+    yield "property", track.Scope(store="workspace://SpacesStore", shard_property="F")
+    yield "range", track.Scope(method=route.DB_ID_RANGE, ranges=ranges, instance=1)
+    yield "widened", track.Scope(method=route.DB_ID_RANGE, ranges=ranges, instance=0, index_cap=ranges[0][1] + 10)
+    yield "cascade", track.Scope(method=route.DB_ID_RANGE, ranges=ranges, instance=2, cascade=True)
+
+
+@query
+def track_once_scoped(spark, folder):
+    """Changes and markers of runs that belong to one store, property or shard, on an empty index."""
+    nothing = T.index_nodes(spark, folder).limit(0), T.index_tx(spark, folder).limit(0)
+    state = track.TrackerState(0, 0, T.HOLE_MS, T.STOP_MS)
+    feed_rows, nodes = T.transactions(spark, folder), T.nodes(spark, folder)
+    out = None
+    for name, scope in scoped_runs(spark, folder):
+        run = track.track_once(*nothing, feed_rows, nodes, state, T.SHARD_COUNT, scope=scope)
+        changes = run.changes.select(F.lit("node").alias("doc"), F.col("node_id").alias("id"), "tx_id", "status")
+        marks = run.todo.select(F.lit("tx").alias("doc"), F.col("tx_id").alias("id"), "tx_id", F.lit(None).cast("string").alias("status"))
+        part = changes.unionByName(marks).withColumn("run", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query
+def track_acls_once_routed(spark, folder):
+    """The ACLs that a run sets, once for each shard."""
+    run = track.track_acls_once(
+        T.index_acls(spark, folder),
+        T.index_change_sets(spark, folder),
+        T.change_sets(spark, folder),
+        T.acls(spark, folder),
+        T.acl_readers(spark, folder),
+        ACL_STATE,
+        T.SHARD_COUNT,
+    )
+    return run.routed
+
+
 @query
 def track_acls_once(spark, folder):
     return acl_run(spark, folder).acls
@@ -1005,8 +1064,20 @@ def store_with_index(spark, folder):
 
 @query
 def snapshot_write(spark, folder):
-    """Sizes and checksums differ with the file layout, hence no SQL twin."""
-    return snapshot_files.snapshot_write(store_with_index(spark, folder), scratch(spark, "snapshot"), "now")
+    """Rows of each table read back from the snapshot's files, and whether the manifest lists all of those files."""
+    root = scratch(spark, "snapshot")
+    manifest = snapshot_files.snapshot_write(store_with_index(spark, folder), root, "now")
+    listed = manifest.select(F.split_part("key", F.lit("/"), F.lit(1)).alias("t"), "key", "size")
+    out = None
+    for name, sums in (("nodes", F.col("node_id") * 31 + F.col("tx_id")), ("index_tx", F.col("tx_id") * 31 + F.col("commit_time_ms"))):
+        rows = spark.read.parquet(f"{snapshot_files.data_folder(root, 'now')}/{name}")
+        files = rows.select(F.regexp_extract("_metadata.file_path", "[^/]+$", 0).alias("file")).distinct()
+        own = listed.filter(F.col("t") == name).select(F.regexp_extract("key", "[^/]+$", 0).alias("file"))
+        unlisted = files.join(own, "file", "left_anti").agg(F.count("*").alias("n")).scalar()
+        row = rows.agg(F.lit(name).alias("table_name"), F.count("*").alias("row_count"), F.sum(sums).alias("checksum"))
+        row = row.withColumn("listed", unlisted == 0)
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 @query
@@ -1015,9 +1086,11 @@ def snapshot_restore(spark, folder):
     root = scratch(spark, "snapshot")
     snapshot_files.snapshot_write(store_with_index(spark, folder), root, "now")
     status, tables = snapshot_files.snapshot_restore(spark, root, "now", ["nodes", "index_tx"])
+    store = IndexStore(spark, scratch(spark, "store"))
+    store.replace("restore", tables)
     state = status.select("status").scalar()
-    nodes = tables["nodes"].select(F.lit("node").alias("doc"), F.col("node_id").alias("id"), "tx_id")
-    markers = tables["index_tx"].select(F.lit("tx").alias("doc"), F.col("tx_id").alias("id"), "tx_id")
+    nodes = store.read("nodes").select(F.lit("node").alias("doc"), F.col("node_id").alias("id"), "tx_id")
+    markers = store.read("index_tx").select(F.lit("tx").alias("doc"), F.col("tx_id").alias("id"), "tx_id")
     return nodes.unionByName(markers).withColumn("status", state)
 
 
@@ -1033,130 +1106,144 @@ def snapshot_verify_files(spark, folder):
 
 
 ARRIVALS = 4
-ROWS_PER_FILE = 5_000_000
-
 
-class Arrivals(NamedTuple):
-    folder: str
-    files: int  # of each stretch
 
-
-def arriving(rows: DataFrame, label: str, time_col: str, late_id: str | None = None, again: bool = False) -> Arrivals:
-    """Write rows as files in the order of time, in equal stretches.
+def arriving(
+    rows: DataFrame,
+    label: str,
+    time_col: str,
+    step: Callable[[str], None],
+    stretches: int,
+    late_id: str | None = None,
+    again: bool = False,
+) -> None:
+    """Write rows in the order of time, in equal stretches, and call ``step`` with their path whenever so many have come.
 
     The last stretch comes twice if asked to. With ``late_id``, the rows of the
     first stretch whose id leaves 7 when divided by 50 come last of all, long
-    after their time.
+    after their time. However many files a stretch has, a step sees all of them.
     """
-    spark = rows.sparkSession
-    target = scratch(spark, label)
-    span = rows.agg(F.min(time_col).alias("lo"), F.max(time_col).alias("hi"), F.count("*").alias("n")).first()
+    target = scratch(rows.sparkSession, label)
+    span = rows.agg(F.min(time_col).alias("lo"), F.max(time_col).alias("hi")).first()
     width = (span["hi"] - span["lo"]) // ARRIVALS + 1
-    files = span["n"] // ARRIVALS // ROWS_PER_FILE + 1
     stretch = F.expr(f"({time_col} - {span['lo']}L) div {width}L")
     late = (stretch == 0) & (F.col(late_id) % 50 == 7) if late_id else F.lit(False)
     numbered = freeze(rows.withColumn("_late", late).withColumn("_stretch", stretch))
     parts = [numbered.filter((F.col("_stretch") == n) & ~F.col("_late")) for n in range(ARRIVALS)]
     parts += [parts[-1]] if again else []
     parts += [numbered.filter("_late")] if late_id else []
-    for part in parts:
-        part.drop("_late", "_stretch").repartition(files).write.mode("append").parquet(target)
-    return Arrivals(target, files)
+    for number, part in enumerate(parts, 1):
+        part.drop("_late", "_stretch").write.parquet(f"{target}/{number:04d}")
+        if number % stretches == 0 or number == len(parts):
+            step(f"{target}/*")
 
 
-def sink(frame: DataFrame, spark: SparkSession, label: str) -> DataFrame:
-    """Run a stream over what is there into files and read them back."""
-    out = scratch(spark, label)
+def into(frame: DataFrame, out: str) -> None:
+    """Run a stream over what is there into files, going on from the last run."""
     writer = frame.writeStream.format("parquet").option("checkpointLocation", f"{out}-progress")
     feeds.run_available(writer.trigger(availableNow=True).start(out))
-    return spark.read.schema(frame.schema).parquet(out)
 
 
 @query
 def stream_track(spark, folder):
     rows = T.transactions(spark, folder)
-    target = arriving(rows, "transactions", "commit_time_ms", "tx_id", again=True)
     root = scratch(spark, "store")
     store = IndexStore(spark, root)
     nodes = freeze(T.nodes(spark, folder))
-    feeds.run_available(
-        stream.stream_track(
-            feeds.read_feed(spark, target.folder, rows.schema, 3 * target.files),
-            store,
-            lambda: nodes,
-            lambda: spark.read.schema(rows.schema).parquet(target.folder).dropDuplicates(["tx_id"]),
-            f"{root}-progress",
-            T.SHARD_COUNT,
+
+    def step(target: str) -> None:
+        feeds.run_available(
+            stream.stream_track(
+                feeds.read_feed(spark, target, rows.schema),
+                store,
+                lambda: nodes,
+                lambda: spark.read.schema(rows.schema).parquet(target).dropDuplicates(["tx_id"]),
+                f"{root}-progress",
+                T.SHARD_COUNT,
+            )
         )
-    )
+
+    arriving(rows, "transactions", "commit_time_ms", step, 3, "tx_id", again=True)
+    none = F.lit(None).cast("string").alias("status")
     found = store.read("nodes").select(F.lit("node").alias("doc"), F.col("node_id").alias("id"), "tx_id", "status")
-    markers = store.read("index_tx").select(
-        F.lit("tx").alias("doc"), F.col("tx_id").alias("id"), "tx_id", F.lit(None).cast("string").alias("status")
-    )
-    return found.unionByName(markers)
+    markers = store.read("index_tx").select(F.lit("tx").alias("doc"), F.col("tx_id").alias("id"), "tx_id", none)
+    return found.unionByName(markers).unionByName(_late(spark, store, "late_tx").select("doc", "id", F.lit(None).cast("long").alias("tx_id"), none))
+
+
+def _late(spark, store, mark):
+    """How many rows came too late and were applied all the same."""
+    return spark.range(1).select(F.lit("late").alias("doc"), F.lit(store.marks().get(mark, 0)).cast("long").alias("id"))
 
 
 @query
 def stream_track_acls(spark, folder):
     rows = T.change_sets(spark, folder)
-    target = arriving(rows, "change-sets", "commit_time_ms", "change_set_id", again=True)
     root = scratch(spark, "store")
     store = IndexStore(spark, root)
-    feeds.run_available(
-        stream.stream_track_acls(
-            feeds.read_feed(spark, target.folder, rows.schema, 3 * target.files),
-            store,
-            lambda: T.acls(spark, folder),
-            lambda: T.acl_readers(spark, folder),
-            f"{root}-progress",
+
+    def step(target: str) -> None:
+        feeds.run_available(
+            stream.stream_track_acls(
+                feeds.read_feed(spark, target, rows.schema),
+                store,
+                lambda: T.acls(spark, folder),
+                lambda: T.acl_readers(spark, folder),
+                f"{root}-progress",
+            )
         )
-    )
+
+    arriving(rows, "change-sets", "commit_time_ms", step, 3, "change_set_id", again=True)
     none = F.lit(None).cast("string").alias("authority")
     found = store.read("acls").select(F.lit("acl").alias("doc"), F.col("acl_id").alias("id"), "authority")
     markers = store.read("index_change_sets").select(
         F.lit("change set").alias("doc"), F.col("change_set_id").alias("id"), none
     )
-    return found.unionByName(markers)
+    return found.unionByName(markers).unionByName(_late(spark, store, "late_sets").select("doc", "id", none))
+
+
+def deduplicated(spark, rows):
+    """What the deduplicating stream lets through, in three steps."""
+    out = scratch(spark, "dedup")
+
+    def step(target: str) -> None:
+        into(stream.stream_dedup(feeds.read_feed(spark, target, rows.schema)), out)
+
+    arriving(rows, "transactions", "commit_time_ms", step, 2, "tx_id", again=True)
+    return spark.read.schema(rows.schema).parquet(out)
 
 
 @query
 def stream_dedup(spark, folder):
-    rows = T.transactions(spark, folder)
-    target = arriving(rows, "transactions", "commit_time_ms", "tx_id", again=True)
-    # A row is too late by the watermark of the batch before last, so there must be three.
-    live = feeds.read_feed(spark, target.folder, rows.schema, 2 * target.files)
-    return sink(stream.stream_dedup(live), spark, "dedup")
+    return deduplicated(spark, T.transactions(spark, folder))
 
 
 @query
 def stream_dedup_late(spark, folder):
     """Rows the stream left out as too late, found by comparing with the whole feed."""
     rows = T.transactions(spark, folder)
-    target = arriving(rows, "transactions", "commit_time_ms", "tx_id", again=True)
-    live = feeds.read_feed(spark, target.folder, rows.schema, 2 * target.files)
-    applied = sink(stream.stream_dedup(live), spark, "dedup")
-    return stream.late_rows(rows, applied)
+    return stream.late_rows(rows, deduplicated(spark, rows))
 
 
 @query
 def stream_high_watermark(spark, folder):
     rows = T.transactions(spark, folder)
-    target = arriving(rows, "transactions", "commit_time_ms", "tx_id")
     nodes = freeze(route.store_to_core(T.nodes(spark, folder), T.STORE_CORES).select("tx_id", "node_id", "core"))
-    touched = feeds.read_feed(spark, target.folder, rows.schema, 3 * target.files).join(nodes, "tx_id")
     out = scratch(spark, "watermark")
-    marks = stream.stream_high_watermark(touched)
 
     def save(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/{batch_id % 2}")
 
-    feeds.run_available(
-        marks.writeStream.outputMode("complete")
-        .foreachBatch(save)
-        .option("checkpointLocation", f"{out}-progress")
-        .trigger(availableNow=True)
-        .start()
-    )
+    def step(target: str) -> None:
+        marks = stream.stream_high_watermark(feeds.read_feed(spark, target, rows.schema).join(nodes, "tx_id"))
+        feeds.run_available(
+            marks.writeStream.outputMode("complete")
+            .foreachBatch(save)
+            .option("checkpointLocation", f"{out}-progress")
+            .trigger(availableNow=True)
+            .start()
+        )
+
+    arriving(rows, "transactions", "commit_time_ms", step, 2)
     saved = spark.read.parquet(f"{out}/*")
     return saved.filter(F.col("batch_id") == saved.agg(F.max("batch_id")).scalar()).drop("batch_id")
 
@@ -1164,11 +1251,15 @@ def stream_high_watermark(spark, folder):
 @query
 def stream_request_rates(spark, folder):
     rows = T.requests(spark, folder).select(F.col("ts").cast("timestamp").alias("ts"), "ts_ms", "handler")
-    target = arriving(rows, "requests", "ts_ms")
-    out = None
-    for width in (5, 15):
-        live = feeds.read_feed(spark, target.folder, rows.schema, 2 * target.files)
-        found = sink(rates.stream_request_rates(live, width), spark, f"rates-{width}")
-        found = found.select("handler", "start_ms", "end_ms", "requests", F.round("rate", 6).alias("rate"))
-        out = found if out is None else out.unionByName(found)
-    return out
+    outs = {width: scratch(spark, f"rates-{width}") for width in (5, 15)}
+
+    def step(target: str) -> None:
+        for width, out in outs.items():
+            into(rates.stream_request_rates(feeds.read_feed(spark, target, rows.schema), width), out)
+
+    arriving(rows, "requests", "ts_ms", step, 2)
+    found = None
+    for out in outs.values():
+        part = spark.read.parquet(out).select("handler", "start_ms", "end_ms", "requests", F.round("rate", 6).alias("rate"))
+        found = part if found is None else found.unionByName(part)
+    return found

@@ -61,7 +61,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT tx_id, commit_time_ms FROM transactions
         WHERE commit_time_ms < {LAST} AND tx_id % 50 <> 7 AND tx_id % 97 = 0
         UNION ALL
-        SELECT tx_id + 1000000, commit_time_ms FROM transactions WHERE tx_id % 211 = 0""",
+        SELECT tx_id + (SELECT max(tx_id) + 1 FROM transactions), commit_time_ms FROM transactions WHERE tx_id % 211 = 0""",
     ),
     "index_change_sets": (
         ("change_sets",),
@@ -72,7 +72,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT change_set_id, commit_time_ms FROM change_sets
         WHERE commit_time_ms < {ACL_LAST} AND change_set_id % 50 <> 7 AND change_set_id % 97 = 0
         UNION ALL
-        SELECT change_set_id + 1000000, commit_time_ms FROM change_sets WHERE change_set_id % 211 = 0""",
+        SELECT change_set_id + (SELECT max(change_set_id) + 1 FROM change_sets), commit_time_ms FROM change_sets WHERE change_set_id % 211 = 0""",
     ),
     "index_nodes": (
         ("nodes", "index_tx"),
@@ -118,7 +118,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "cache_events": (
         (),
         """
-        SELECT ['authority','denied','document','field_value','filter','owner','path','query_result','reader'][1 + user_id % 9] AS cache,
+        SELECT 'cache_' || CAST(user_id % 9 AS VARCHAR) AS cache,
                event_type IN ('view','click') AS hit, event_type NOT IN ('view','click') AS insert_,
                event_type = 'error' AS evict, epoch_us(ts) // 1000 AS ts_ms FROM events""",
     ),
@@ -139,16 +139,18 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         (),
         """
         SELECT CASE WHEN event_id % 100 = 99 THEN 'malformed ' || CAST(event_id AS VARCHAR)
-               ELSE '10.0.0.' || CAST(user_id % 250 AS VARCHAR) || ' - - [' || strftime(ts, '%d/%b/%Y:%H:%M:%S') ||
+               ELSE '10.0.0.' || CAST(user_id % 250 AS VARCHAR) || ' - - [' ||
+                    CASE WHEN event_id % 100 = 98 THEN '99/Foo/2024' ELSE strftime(ts, '%d/%b/%Y') END || strftime(ts, ':%H:%M:%S') ||
                     ' +0000] "GET /' || event_type || ' HTTP/1.1" ' ||
                     CASE WHEN event_type = 'error' THEN '500' ELSE '200' END || ' ' ||
-                    CAST(CAST(round(value * 1000) AS BIGINT) AS VARCHAR) END AS value
+                    CASE WHEN event_id % 100 = 97 THEN '99999999999999999999'
+                         ELSE CAST(CAST(round(value * 1000) AS BIGINT) AS VARCHAR) END END AS value
         FROM events""",
     ),
     "names": (
         (),
         """
-        SELECT p_partkey AS node_id, p_name AS name, p_brand AS title, p_type AS category, text AS content
+        SELECT p_partkey AS node_id, p_name AS name, p_brand AS title, p_type AS category, p_type || ' ' || p_brand AS description, text AS content
         FROM part LEFT JOIN documents ON doc_id = p_partkey""",
     ),
     "raw_keys": (
@@ -173,10 +175,12 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         (),
         """
         SELECT 'tx' AS kind, CASE id % 100 WHEN 3 THEN 'purge' WHEN 5 THEN 'reindex' ELSE 'index' END AS action, id
-        FROM (SELECT unnest(range(0, max(o_orderkey) + 101)) AS id FROM orders) WHERE id % 100 IN (3, 5, 7)
+        FROM (SELECT o_orderkey AS id FROM orders
+              UNION ALL SELECT o_orderkey + (SELECT max(o_orderkey) + 1 FROM orders) FROM orders) WHERE id % 100 IN (3, 5, 7)
         UNION ALL
         SELECT 'node', CASE id % 100 WHEN 1 THEN 'purge' WHEN 2 THEN 'reindex' ELSE 'index' END, id
-        FROM (SELECT unnest(range(0, max(p_partkey) + 101)) AS id FROM part) WHERE id % 100 IN (1, 2, 4)""",
+        FROM (SELECT p_partkey AS id FROM part
+              UNION ALL SELECT p_partkey + (SELECT max(p_partkey) + 1 FROM part) FROM part) WHERE id % 100 IN (1, 2, 4)""",
     ),
     "seen": (
         ("transactions", "index_tx"),

@@ -1,8 +1,6 @@
-import tempfile
-
 import pytest
 
-from tidemark.session import local_session
+from tidemark.session import local_session, release
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
@@ -11,11 +9,10 @@ TABLES = (
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session("tests")
-    if session.conf.get("spark.checkpoint.dir", None) is None:
-        session.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tidemark-tests-"))
+def spark(tmp_path_factory):
+    session = local_session("tests", folder=str(tmp_path_factory.mktemp("shared")))
     yield session
+    release(session)
     session.stop()
 
 

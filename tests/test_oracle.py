@@ -6,12 +6,8 @@ from checks.oracle import ORACLE
 from checks.queries import QUERIES
 from tests.conftest import rows
 
-WITHOUT_TWIN = {"snapshot_write"}
-
-
 def test_every_query_has_a_twin():
-    assert set(QUERIES) - set(ORACLE) == WITHOUT_TWIN
-    assert set(ORACLE) <= set(QUERIES)
+    assert set(QUERIES) == set(ORACLE)
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))

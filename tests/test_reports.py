@@ -32,7 +32,10 @@ def test_check_index(spark):
     source = frame(spark, [(1, 10), (2, 20), (3, 30)])
     index = frame(spark, [(1, 10), (1, 10), (3, 30), (2000, 5), (0, 1)])
     got = rows(reconcile.check_index_tx(source, index), "tx_id", "status")
-    assert got == [(1, "duplicate"), (2, "missing"), (3, "ok")]
+    assert got == [(0, "extra"), (1, "duplicate"), (2, "missing"), (2000, "outside"), (3, "ok")]
+    report = reconcile.check_index_tx(source, index, id_range=(2, 10), to_ms=20)
+    assert rows(report) == [(0, 0, 1, "outside"), (1, 1, 2, "outside"), (2, 1, 0, "missing"),
+                            (2000, 0, 1, "outside"), (3, 1, 1, "outside")]
     assert rows(reconcile.repo_vs_index(source, index, "tx_id"), "tx_id", "status") == [
         (0, "extra"), (1, "duplicate"), (2, "missing"), (2000, "extra"), (3, "ok")]
 

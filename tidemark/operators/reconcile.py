@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.order import NONE_SENTINEL, feed_order
@@ -11,7 +11,7 @@ from tidemark.operators.ordered import grouped, part_count, placed, previous, ru
 from tidemark.operators.route import UNKNOWN
 from tidemark.sources.feed import FIRST_ID_RANGE, first_row
 
-OK, MISSING, EXTRA, DUPLICATE = "ok", "missing", "extra", "duplicate"
+OK, MISSING, EXTRA, DUPLICATE, OUTSIDE = "ok", "missing", "extra", "duplicate", "outside"
 
 
 def repo_vs_index(source: DataFrame, index: DataFrame, id_col: str) -> DataFrame:
@@ -31,29 +31,39 @@ def repo_vs_index(source: DataFrame, index: DataFrame, id_col: str) -> DataFrame
     )
 
 
-def checked_rows(
-    feed: DataFrame, id_col: str, to_id: int | None = None, from_ms: int | None = None, to_ms: int | None = None
-) -> DataFrame:
-    """Feed rows a check covers: a prefix in feed order.
+def covered_by(
+    feed: DataFrame,
+    id_col: str,
+    to_id: int | None = None,
+    from_ms: int | None = None,
+    to_ms: int | None = None,
+    id_range: tuple[int, int] | None = None,
+) -> Column:
+    """Whether a check covers a feed row: a prefix in feed order, by default from the first commit on.
 
-    The first row behind either limit ends the prefix; what comes after it is
-    out even if its own id is small. Start and cut are one-row aggregates read
-    by the driver, so that the rows are scanned with literal bounds.
+    With ``id_range`` the prefix begins at the first row whose id is in it. The first row behind either limit ends the
+    prefix; what comes after it is out even if its own id is small. Start and cut are one-row aggregates read by the
+    driver, so that the rows are scanned with literal bounds.
     """
-    if from_ms is None:
-        first = first_row(feed, id_col).first()
+    if from_ms is None and id_range is not None:
+        first = first_row(feed, id_col, id_range).first()
         from_ms = first["commit_time_ms"] if first else 0
-    rows = feed.filter(F.col("commit_time_ms") >= from_ms)
+    begun = F.lit(True) if from_ms is None else F.col("commit_time_ms") >= from_ms
     behind = F.lit(False)
     if to_ms is not None:
         behind = behind | (F.col("commit_time_ms") > to_ms)
     if to_id is not None:
         behind = behind | (F.col(id_col) > to_id)
-    cut = rows.filter(behind).agg(F.min(feed_order(id_col)).alias("cut")).first()["cut"]
+    cut = feed.filter(begun & behind).agg(F.min(feed_order(id_col)).alias("cut")).first()["cut"]
     if cut is None:
-        return rows
+        return begun
     at, before = F.col("commit_time_ms") == cut["commit_time_ms"], F.col("commit_time_ms") < cut["commit_time_ms"]
-    return rows.filter(before | (at & (F.col(id_col) < cut[id_col])))
+    return begun & (before | (at & (F.col(id_col) < cut[id_col])))
+
+
+def checked_rows(feed: DataFrame, id_col: str, **limits) -> DataFrame:
+    """Feed rows a check covers."""
+    return feed.filter(covered_by(feed, id_col, **limits))
 
 
 def check_bounds(rows: DataFrame, id_col: str) -> DataFrame:
@@ -64,23 +74,22 @@ def check_bounds(rows: DataFrame, id_col: str) -> DataFrame:
     )
 
 
-def check_index(
-    feed: DataFrame,
-    index: DataFrame,
-    id_col: str,
-    to_id: int | None = None,
-    from_ms: int | None = None,
-    to_ms: int | None = None,
-) -> DataFrame:
-    """Compare the covered source rows with the markers, both between the check's bounds.
+def check_index(feed: DataFrame, index: DataFrame, id_col: str, id_range: tuple[int, int] | None = None, **limits) -> DataFrame:
+    """Compare the covered source rows with the markers; what the check does not cover is reported as outside.
 
-    Ids below that of the first row in feed order are outside the bounds on
-    either side, and so are neither missing nor extra.
+    With ``id_range``, ids below that of the first row in feed order, or above the largest covered one, are outside on
+    either side; without it, markers are compared up to the largest covered id. Every row of both sides counts in
+    exactly one row of the report.
     """
-    rows = checked_rows(feed, id_col, to_id, from_ms, to_ms)
-    low, high = check_bounds(rows, id_col).first()
-    inside = F.col(id_col).between(low, high) if low is not None else F.lit(False)
-    return repo_vs_index(rows.filter(inside), index.filter(inside), id_col)
+    covered = covered_by(feed, id_col, id_range=id_range, **limits)
+    low, high = check_bounds(feed.filter(covered), id_col).first()
+    within = F.lit(False)
+    if low is not None:
+        within = F.col(id_col).between(low, high) if id_range else F.col(id_col) <= high
+    both = covered & within
+    compared = repo_vs_index(feed.filter(both), index.filter(within), id_col)
+    rest = repo_vs_index(feed.filter(~both), index.filter(~within), id_col)
+    return compared.unionByName(rest.withColumn("status", F.lit(OUTSIDE)))
 
 
 def check_index_tx(feed: DataFrame, index_tx: DataFrame, **limits) -> DataFrame:

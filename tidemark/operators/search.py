@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.session import freeze
+
 SUGGEST_FIELDS = ("name", "title", "description", "content")
 TOKEN_BREAK = r"[^\p{L}\p{N}]+"
 
@@ -39,9 +41,11 @@ def field_prefix_search(rows: DataFrame, field: str, prefix: str, **options) ->
 
 def search_page(hits: DataFrame, key: str, limit: int, offset: int = 0) -> DataFrame:
     """One page of the hits in key order; each row carries the total number of hits."""
-    total = hits.agg(F.count("*").alias("n")).scalar()
-    page = hits.orderBy(key).offset(offset).limit(limit)
-    return page.withColumn("total_items", total)
+    # The hits are searched for once; count and page read what was found.
+    found = freeze(hits)
+    total = found.agg(F.count("*").alias("n")).first()["n"]
+    page = found.orderBy(key).offset(offset).limit(limit)
+    return page.withColumn("total_items", F.lit(total))
 
 
 def search_total(hits: DataFrame) -> DataFrame:
@@ -53,12 +57,16 @@ def suggest_terms(
 ) -> DataFrame:
     """Most frequent words with a prefix over all suggest fields.
 
-    Ranked by count, then alphabetically. Words are filtered before they are
-    counted, and counted per task before the shuffle.
+    Ranked by count, then alphabetically. Words are filtered inside a text's
+    array, before they become rows, and counted per task before the shuffle. A
+    field that the rows lack is an error.
     """
-    present = [F.col(f) for f in fields if f in rows.columns]
-    words = rows.select(F.explode(tokens(F.concat_ws(" ", *present))).alias("term"))
-    counted = words.filter(F.col("term").startswith(prefix.lower())).groupBy("term").agg(F.count("*").alias("n"))
+    missing = [f for f in fields if f not in rows.columns]
+    if missing:
+        raise ValueError(f"no such fields: {', '.join(missing)}")
+    whole = F.lower(F.concat_ws(" ", *[F.col(f) for f in fields]))
+    wanted = F.filter(F.split(whole, TOKEN_BREAK), lambda t: (t != "") & t.startswith(prefix.lower()))
+    counted = rows.select(F.explode(wanted).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
     return counted.orderBy(F.desc("n"), "term").limit(limit)
 
 

@@ -2,35 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.maps import pairs_to_map
-from tidemark.functions.paths import snapshot_name
+from tidemark.functions.paths import DIRECTORY_TYPE, snapshot_name
 from tidemark.operators.ordered import with_previous
 
 SNAPSHOT_WORD = "snapshot"
 RESTORE_MAX_KB = 100  # a larger index is left alone
 
 
+def is_marker() -> Column:
+    """A directory marker: its key ends in a slash, or it has the directory type. An empty file is a file."""
+    return F.col("key").endswith("/") | F.coalesce(F.lower("content_type") == DIRECTORY_TYPE, F.lit(False))
+
+
 def snapshot_markers(inventory: DataFrame) -> DataFrame:
-    """Zero-size keys of snapshots; a snapshot copied from elsewhere has none."""
-    return inventory.filter((F.col("size") == 0) & F.col("key").contains(SNAPSHOT_WORD)).select("key")
+    """Marker keys of snapshots; a snapshot copied from elsewhere has none."""
+    return inventory.filter(is_marker() & F.col("key").contains(SNAPSHOT_WORD)).select("key")
 
 
 def snapshot_list(inventory: DataFrame) -> DataFrame:
     """Files, bytes, last change and marker of each snapshot."""
     name = snapshot_name(F.col("key"))
-    is_marker = F.col("size") == 0
     return (
         inventory.withColumn("snapshot", name)
         .filter("snapshot is not null")
         .groupBy("snapshot")
         .agg(
-            F.count_if(~is_marker).alias("files"),
+            F.count_if(~is_marker()).alias("files"),
             F.sum("size").alias("bytes"),
             F.max("last_modified").alias("last_modified"),
-            F.bool_or(is_marker).alias("has_marker"),
+            F.bool_or(is_marker()).alias("has_marker"),
         )
     )
 

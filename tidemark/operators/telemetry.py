@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.operators.ordered import with_running_sum
+from tidemark.session import freeze
 
 PERCENTILES = {"median": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99, "p999": 0.999}
 
@@ -51,16 +52,21 @@ def searcher_counts(docs: DataFrame) -> DataFrame:
 def exact_percentiles(
     rows: DataFrame, group: str, value: str, fractions: dict[str, float], parts: int | None = None
 ) -> DataFrame:
-    """Interpolated percentiles of each group, however large a group is.
+    """Interpolated percentiles of each group, however large a group is; null ones for a group without values.
 
     Values are counted first, then ranked by a running sum of the counts over
     (group, value); only the two values around each wanted rank leave that step.
-    A group is never collected.
+    A group is never collected, and its size comes from the counts.
     """
-    histogram = rows.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("_n"))
-    ranked = with_running_sum(histogram, [group, value], F.col("_n"), "_before", parts)
-    sizes = ranked.groupBy(group).agg(F.min("_before").alias("_begin"), F.sum("_n").alias("_size"))
-    placed = ranked.join(sizes, group).withColumn("_first", F.col("_before") - F.col("_begin"))
+    histogram = freeze(rows.groupBy(group, value).agg(F.count("*").alias("_n")))
+    valued = histogram.filter(F.col(value).isNotNull())
+    ranked = with_running_sum(valued, [group, value], F.col("_n"), "_before", parts)
+    # One row per group: where it begins is the sum of all groups before it, found as the least rank of its own.
+    sizes = freeze(ranked.groupBy(group).agg(F.min("_before").alias("_begin"), F.sum("_n").alias("_size")))
+    sized = sizes.select(F.col(group).alias("_group"), "_begin", "_size")
+    placed = ranked.join(sized, F.col(group).eqNullSafe(F.col("_group"))).withColumn(
+        "_first", F.col("_before") - F.col("_begin")
+    )
 
     def value_at(rank):
         return F.max(F.when((F.col("_first") <= rank) & (rank < F.col("_first") + F.col("_n")), F.col(value)))
@@ -74,20 +80,23 @@ def exact_percentiles(
             F.max(rank - F.floor(rank)).alias(f"_w_{name}"),
         ]
     around = placed.groupBy(group).agg(*bounds)
-    return around.select(
-        group,
+    found = around.select(
+        F.col(group).alias("_group"),
         *[
             (F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_w_{n}")).alias(n)
             for n in fractions
         ],
     )
+    groups = histogram.select(group).distinct()
+    return groups.join(found, F.col(group).eqNullSafe(F.col("_group")), "left").drop("_group")
 
 
 def handler_stats(requests: DataFrame, exact: bool = True, parts: int | None = None) -> DataFrame:
-    """Counts, times, percentiles and rate of each request handler.
+    """Counts, times, percentiles and rate of each request handler, the null handler too.
 
     Exact percentiles come from ``exact_percentiles``; without ``exact`` a
-    mergeable sketch takes their place in the same aggregation.
+    mergeable sketch takes their place in the same aggregation. Requests that
+    span no time have no rate, handlers without times no percentiles.
     """
     aggregates = [
         F.count("*").alias("requests"),
@@ -95,13 +104,15 @@ def handler_stats(requests: DataFrame, exact: bool = True, parts: int | None = N
         F.count_if("is_timeout").alias("timeouts"),
         F.sum("elapsed_ms").alias("total_time"),
         F.avg("elapsed_ms").alias("avg_time_per_request"),
-        (F.count("*") * 1000 / (F.max("ts_ms") - F.min("ts_ms"))).alias("avg_requests_per_second"),
+        F.try_divide(F.count("*") * 1000, F.max("ts_ms") - F.min("ts_ms")).alias("avg_requests_per_second"),
     ]
     if not exact:
         aggregates += [F.percentile_approx("elapsed_ms", q).alias(n) for n, q in PERCENTILES.items()]
     stats = requests.groupBy("handler").agg(*aggregates)
     if exact:
-        stats = stats.join(exact_percentiles(requests, "handler", "elapsed_ms", PERCENTILES, parts), "handler")
+        found = exact_percentiles(requests, "handler", "elapsed_ms", PERCENTILES, parts)
+        found = found.withColumnRenamed("handler", "_handler")
+        stats = stats.join(found, F.col("handler").eqNullSafe(F.col("_handler")), "left").drop("_handler")
     return stats
 
 

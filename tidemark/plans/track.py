@@ -9,18 +9,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.batch import latest_per_node, weighted_batches
-from tidemark.operators.expand import acls_of_change_sets, nodes_of_transactions
+from tidemark.operators.expand import acls_of_change_sets, in_store, nodes_of_transactions
 from tidemark.operators.mutate import upsert_acls, upsert_nodes, write_markers
 from tidemark.operators.pending import (
+    clamp_to_shard_range,
     high_watermark,
     nonempty_change_sets,
     nonempty_transactions,
     pending_change_sets,
     pending_transactions,
 )
-from tidemark.operators.route import check_statuses, home_rows, route_nodes
+from tidemark.operators.route import DB_ID, DB_ID_RANGE, check_statuses, home_rows, route_acls, route_nodes, shard_view
 from tidemark.session import freeze
-from tidemark.sources.feed import scan_change_sets, scan_transactions
+from tidemark.sources.feed import commit_interval, scan_change_sets, scan_transactions
 
 
 @dataclass(frozen=True)
@@ -34,6 +35,27 @@ class TrackerState:
     rollback_pending: bool = False
 
 
+@dataclass(frozen=True)
+class Scope:
+    """Which nodes a run is for: one store, one shard property, one shard; all of them by default."""
+
+    store: str | None = None
+    shard_property: str | None = None
+    method: str = DB_ID
+    ranges: tuple[tuple[int, int], ...] = ()
+    #: The shard the run belongs to; without one, every node goes to its home shard.
+    instance: int | None = None
+    cascade: bool = False
+    #: What the index says its range reaches to; beyond the range's end it widens it.
+    index_cap: int = -1
+
+    def widened(self) -> tuple[tuple[int, int], ...]:
+        return tuple(
+            (begin, max(end, self.index_cap) if shard == self.instance else end)
+            for shard, (begin, end) in enumerate(self.ranges)
+        )
+
+
 class RollbackPending(RuntimeError):
     """The index is about to be rolled back; a run must not start."""
 
@@ -52,6 +74,7 @@ class AclRun(NamedTuple):
     acls: DataFrame
     markers: DataFrame
     state: DataFrame
+    routed: DataFrame  # the ACLs of ``changes``, once for each shard
 
 
 def _guard(state: TrackerState) -> None:
@@ -59,13 +82,21 @@ def _guard(state: TrackerState) -> None:
         raise RollbackPending("the index is to be rolled back first")
 
 
-def pending_work(feed: DataFrame, index_tx: DataFrame, state: TrackerState) -> DataFrame:
+def pending_work(
+    feed: DataFrame, index_tx: DataFrame, state: TrackerState, nodes: DataFrame | None = None, scope: Scope = Scope(), late: bool = False
+) -> DataFrame:
     """Pending rows of the slice from the hole behind the last commit up to the stop time.
 
     One slice takes the place of the pages; rows behind the stop time are taken
-    by a later run, so the end state is the same.
+    by a later run, so the end state is the same. With ``late`` the slice begins
+    with the feed. The shard of an id range reads what lies in the commit
+    interval of its nodes.
     """
-    part = scan_transactions(feed, from_time=state.last_indexed_ms - state.hole_ms, to_time=state.stop_ms + 1)
+    from_ms = None if late else state.last_indexed_ms - state.hole_ms
+    part = scan_transactions(feed, from_time=from_ms, to_time=state.stop_ms + 1)
+    if scope.method == DB_ID_RANGE and scope.instance is not None:
+        interval = commit_interval(in_store(nodes, scope.store, scope.shard_property), feed, *scope.widened()[scope.instance])
+        part = clamp_to_shard_range(part, interval, index_tx, from_ms or 0, state.last_indexed_ms)
     return pending_transactions(part, index_tx, state.last_indexed_ms)
 
 
@@ -88,22 +119,31 @@ def pending_by_shard_and_batch(
 
 
 def node_changes(
-    todo: DataFrame, history: DataFrame, nodes: DataFrame, state: TrackerState, shard_count: int
+    todo: DataFrame, history: DataFrame, nodes: DataFrame, state: TrackerState, shard_count: int, scope: Scope = Scope()
 ) -> DataFrame:
     """Last version of every node the run touches.
 
     A transaction that turned up late may touch a node which the index already
     has in a newer version; for those nodes the older history is looked at too,
-    so that a late row never takes a node back.
+    so that a late row never takes a node back. The ids of the run bound what is
+    read of the nodes.
     """
-    versions = nodes_of_transactions(nonempty_transactions(todo), nodes)
+    nodes = in_store(nodes, scope.store, scope.shard_property)
+    wanted = nonempty_transactions(todo)
+    low, high = wanted.agg(F.min("tx_id"), F.max("tx_id")).first()
+    touching = nodes.filter(F.col("tx_id").between(low, high)) if low is not None else nodes.limit(0)
+    versions = nodes_of_transactions(wanted, touching)
     late = todo.filter(F.col("commit_time_ms") <= state.last_indexed_ms)
-    if not late.isEmpty():
-        touched = nodes.join(late.select("tx_id"), "tx_id", "left_semi").select("node_id")
+    low, high = late.agg(F.min("tx_id"), F.max("tx_id")).first()
+    if low is not None:
+        ids = nodes.filter(F.col("tx_id").between(low, high)).join(late.select("tx_id"), "tx_id", "left_semi").select("node_id")
         before = history.filter(F.col("commit_time_ms") <= state.last_indexed_ms)
-        older = nodes_of_transactions(before, nodes.join(touched, "node_id", "left_semi"))
+        older = nodes_of_transactions(before, nodes.join(ids, "node_id", "left_semi"))
         versions = versions.unionByName(older)
-    return home_rows(check_statuses(latest_per_node(versions)), shard_count)
+    latest = check_statuses(latest_per_node(versions))
+    if scope.instance is None:
+        return home_rows(latest, shard_count, scope.method, scope.ranges)
+    return shard_view(latest, shard_count, scope.cascade, scope.instance, scope.method, scope.widened())
 
 
 def track_once(
@@ -114,10 +154,13 @@ def track_once(
     state: TrackerState,
     shard_count: int = 1,
     history: DataFrame | None = None,
+    scope: Scope | None = None,
+    late: bool = False,
 ) -> NodeRun:
     """One run of the metadata tracker.
 
-    ``feed`` may be a part of the feed (a micro-batch); ``history`` is then all of it.
+    ``feed`` may be a part of the feed (a micro-batch); ``history`` is then all of it, and ``late`` takes rows of the
+    part that come after the hole has passed them. ``scope`` limits the run to a store, a shard property or a shard.
 
     The run's feed rows and its changes are frozen first: both are used by
     several results, which must agree even if tasks are run again. Nothing is
@@ -125,9 +168,10 @@ def track_once(
     old state in place.
     """
     _guard(state)
-    todo = freeze(pending_work(feed, index_tx, state))
+    scope = scope or Scope()
     whole = feed if history is None else history
-    changes = freeze(node_changes(todo, whole, nodes, state, shard_count))
+    todo = freeze(pending_work(feed, index_tx, state, nodes, scope, late))
+    changes = freeze(node_changes(todo, whole, nodes, state, shard_count, scope))
     return NodeRun(
         todo,
         changes,
@@ -144,10 +188,13 @@ def track_acls_once(
     acls: DataFrame,
     readers: DataFrame,
     state: TrackerState,
+    shard_count: int = 1,
+    late: bool = False,
 ) -> AclRun:
-    """One run of the ACL tracker."""
+    """One run of the ACL tracker. Every shard gets all its ACLs; ``late`` as for nodes."""
     _guard(state)
-    part = scan_change_sets(feed, from_time=state.last_indexed_ms - state.hole_ms, to_time=state.stop_ms + 1)
+    from_ms = None if late else state.last_indexed_ms - state.hole_ms
+    part = scan_change_sets(feed, from_time=from_ms, to_time=state.stop_ms + 1)
     todo = freeze(pending_change_sets(part, index_change_sets, state.last_indexed_ms))
     changes = freeze(acls_of_change_sets(nonempty_change_sets(todo), acls).select("acl_id").distinct())
     return AclRun(
@@ -156,4 +203,5 @@ def track_acls_once(
         upsert_acls(index_acls, changes, readers),
         write_markers(index_change_sets, todo, "change_set_id"),
         high_watermark(todo, "change_set_id", state.last_indexed_ms, state.last_indexed_id),
+        route_acls(changes, shard_count),
     )

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,8 +31,11 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def local_session(app: str = "tidemark", cores: int | str = 8) -> SparkSession:
-    """A single-machine session for tests and benches; a cluster brings its own."""
+def local_session(app: str = "tidemark", cores: int | str = 8, folder: str | None = None) -> SparkSession:
+    """A single-machine session for tests and benches; a cluster brings its own.
+
+    ``folder`` takes intermediates, unless the machine's settings already name one.
+    """
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -38,43 +43,68 @@ def local_session(app: str = "tidemark", cores: int | str = 8) -> SparkSession:
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", str(cores) if str(cores).isdigit() else "8")
     )
+    if folder is not None:
+        builder = builder.config("spark.checkpoint.dir", folder)
     spark = configure(builder.getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
-
-    Only where the setting is absent and the master is local is a folder of
-    this machine used; a cluster without the setting is an error.
-    """
+    """Folder every executor can reach, as ``spark.checkpoint.dir`` or the context's checkpoint folder names it."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     already = spark.sparkContext.getCheckpointDir()
     if already:
         return already.rsplit("/", 1)[0]
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="tidemark-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share, before the session starts")
+
+
+#: Folders that ``scratch`` has named and ``release`` has not deleted.
+_HELD: list[str] = []
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh, not yet existing path below the shared folder."""
-    return f"{shared_folder(spark)}/tidemark/{label}-{uuid.uuid4().hex}"
+    """A fresh, not yet existing path below the shared folder, deleted by ``release``."""
+    if not _HELD:
+        atexit.register(_release_at_exit, spark)
+    _HELD.append(f"{shared_folder(spark)}/tidemark/{label}-{uuid.uuid4().hex}")
+    return _HELD[-1]
+
+
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Delete intermediates; frames that were made from them can't be read any more."""
+    paths = _HELD[since:]
+    del _HELD[since:]
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for path in paths:
+        for name in (path, f"{path}-progress"):
+            target = hadoop.Path(name)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def _release_at_exit(spark: SparkSession) -> None:
+    if spark.sparkContext._jsc is not None:
+        release(spark)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at the end of the block, the intermediates that were made inside."""
+    since = len(_HELD)
+    try:
+        yield
+    finally:
+        release(spark, since)
 
 
 def freeze(df: DataFrame) -> DataFrame:
-    """Write ``df`` out through a reliable checkpoint and go on from the files.
+    """Write ``df`` to the shared folder, once, and go on from the files.
 
     Needed wherever two passes must see the very same split of the rows (range
     boundaries are sampled, so a recomputed exchange may cut elsewhere).
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint()
+    path = scratch(df.sparkSession, "frozen")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

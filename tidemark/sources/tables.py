@@ -27,7 +27,6 @@ HOLE_MS = 3_600_000
 STOP_MS = 993_945_600_000  # 2001-07-01
 ACL_LAST_INDEXED_MS = 1_705_276_800_000  # 2024-01-15
 ACL_STOP_MS = 1_706_140_800_000  # 2024-01-25
-GHOST_OFFSET = 1_000_000
 SHARD_COUNT = 3
 
 #: Store reference -> core. The names of the cores are the deployment's choice.
@@ -37,20 +36,6 @@ STORE_CORES = {
     "workspace://version2Store": "version",
 }
 
-#: The nine measured caches, in the order user ids are dealt to them.
-CACHES = [
-    "authority",
-    "denied",
-    "document",
-    "field_value",
-    "filter",
-    "owner",
-    "path",
-    "query_result",
-    "reader",
-]
-
-
 _SCHEMAS: dict[str, StructType] = {}
 
 
@@ -184,7 +169,9 @@ def _with_faults(markers: DataFrame, feed: DataFrame, id_col: str) -> DataFrame:
     key = F.col(id_col)
     kept = markers.filter(key % 50 != 7)
     repeated = kept.filter(key % 97 == 0)
-    ghosts = feed.filter(key % 211 == 0).withColumn(id_col, key + GHOST_OFFSET)
+    # Ids beyond the largest one, whatever the size of the feed.
+    beyond = feed.agg((F.max(id_col) + 1).alias("n")).scalar()
+    ghosts = feed.filter(key % 211 == 0).withColumn(id_col, key + beyond)
     return kept.unionByName(repeated).unionByName(ghosts)
 
 
@@ -264,10 +251,9 @@ def requests(spark: SparkSession, folder: str) -> DataFrame:
 
 @derived
 def cache_events(spark: SparkSession, folder: str) -> DataFrame:
-    names = F.array(*[F.lit(c) for c in CACHES])
     hit = F.col("event_type").isin("view", "click")
     return table(spark, folder, "events").select(
-        F.element_at(names, (F.col("user_id") % 9 + 1).cast("int")).alias("cache"),
+        F.concat(F.lit("cache_"), (F.col("user_id") % 9).cast("string")).alias("cache"),
         hit.alias("hit"),
         (~hit).alias("insert"),
         (F.col("event_type") == "error").alias("evict"),
@@ -304,24 +290,24 @@ def doc_samples(spark: SparkSession, folder: str) -> DataFrame:
 
 @derived
 def access_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """Request-log lines, one of a hundred of them broken."""
+    """Request-log lines; of a hundred one is broken, one has no such day and one a size beyond 64 bits."""
     status = F.when(F.col("event_type") == "error", "500").otherwise("200")
+    shape = F.col("event_id") % 100
     line = F.concat(
         F.lit("10.0.0."),
         (F.col("user_id") % 250).cast("string"),
         F.lit(" - - ["),
-        F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss"),
+        F.when(shape == 98, "99/Foo/2024").otherwise(F.date_format("ts", "dd/MMM/yyyy")),
+        F.date_format("ts", ":HH:mm:ss"),
         F.lit(' +0000] "GET /'),
         "event_type",
         F.lit(' HTTP/1.1" '),
         status,
         F.lit(" "),
-        F.round(F.col("value") * 1000).cast("long").cast("string"),
+        F.when(shape == 97, "99999999999999999999").otherwise(F.round(F.col("value") * 1000).cast("long").cast("string")),
     )
     broken = F.concat(F.lit("malformed "), F.col("event_id").cast("string"))
-    return table(spark, folder, "events").select(
-        F.when(F.col("event_id") % 100 == 99, broken).otherwise(line).alias("value")
-    )
+    return table(spark, folder, "events").select(F.when(shape == 99, broken).otherwise(line).alias("value"))
 
 
 @derived
@@ -337,6 +323,7 @@ def names(spark: SparkSession, folder: str) -> DataFrame:
             F.col("p_name").alias("name"),
             F.col("p_brand").alias("title"),
             F.col("p_type").alias("category"),
+            F.concat_ws(" ", "p_type", "p_brand").alias("description"),
         )
         .join(content, "node_id", "left")
     )
@@ -393,21 +380,19 @@ def backup_details(spark: SparkSession, folder: str) -> DataFrame:
 
 @derived
 def maintenance_requests(spark: SparkSession, folder: str) -> DataFrame:
-    """Queued requests: purge, reindex and index by transaction or node, and one query."""
-    top_tx = table(spark, folder, "orders").agg((F.max("o_orderkey") + 100).alias("n")).scalar()
-    top_node = table(spark, folder, "part").agg((F.max("p_partkey") + 100).alias("n")).scalar()
-    one = spark.range(1)
+    """Queued requests: purge, reindex and index by transaction or node, for known ids and as many unknown ones."""
 
-    def up_to(bound: Column, kind: str, actions: dict[int, str]) -> DataFrame:
-        rest = F.col("id") % 100
+    def queued(name: str, key: str, kind: str, actions: dict[int, str]) -> DataFrame:
+        rows = table(spark, folder, name).select(F.col(key).cast("long").alias("id"))
+        beyond = rows.agg((F.max("id") + 1).alias("n")).scalar()
+        ids = rows.unionByName(rows.select((F.col("id") + beyond).alias("id")))
         action: Column = F.lit(None).cast("string")
-        for value, name in actions.items():
-            action = F.when(rest == value, name).otherwise(action)
-        ids = one.select(F.explode(F.sequence(F.lit(0).cast("long"), bound.cast("long"))).alias("id"))
+        for value, asked in actions.items():
+            action = F.when(F.col("id") % 100 == value, asked).otherwise(action)
         return ids.select(F.lit(kind).alias("kind"), action.alias("action"), "id").filter("action is not null")
 
-    by_tx = up_to(top_tx, "tx", {3: "purge", 5: "reindex", 7: "index"})
-    by_node = up_to(top_node, "node", {1: "purge", 2: "reindex", 4: "index"})
+    by_tx = queued("orders", "o_orderkey", "tx", {3: "purge", 5: "reindex", 7: "index"})
+    by_node = queued("part", "p_partkey", "node", {1: "purge", 2: "reindex", 4: "index"})
     return by_tx.unionByName(by_node)
 
 

@@ -27,7 +27,9 @@ def stream_track(
     """Apply each micro-batch of transactions to the store.
 
     A commit is named after its batch, so a batch that is replayed after a crash
-    is applied once. Rows further back than the hole are left to the index check.
+    is applied once. Rows further back than the hole are applied like the others,
+    with the last version of their nodes, and counted in the store's mark
+    ``late_tx``: the index ends as a bulk run would leave it.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
@@ -38,6 +40,7 @@ def stream_track(
             hole_ms,
             shard_count=shard_count,
             history=history(),
+            late=True,
         )
 
     return (
@@ -57,7 +60,7 @@ def stream_track_acls(
     hole_ms: int = 3_600_000,
     name: str = "acls",
 ) -> StreamingQuery:
-    """Apply each micro-batch of change sets to the store."""
+    """Apply each micro-batch of change sets to the store, late ones too (mark ``late_sets``)."""
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         store.track_acls(
@@ -66,6 +69,7 @@ def stream_track_acls(
             acls(),
             readers(),
             hole_ms,
+            late=True,
         )
 
     return (
