@@ -13,28 +13,31 @@ SNAPSHOT_WORD = "snapshot"
 RESTORE_MAX_KB = 100  # a larger index is left alone
 
 
-def is_marker() -> Column:
+def is_marker(inventory: DataFrame) -> Column:
     """A directory marker: its key ends in a slash, or it has the directory type. An empty file is a file."""
-    return F.col("key").endswith("/") | F.coalesce(F.lower("content_type") == DIRECTORY_TYPE, F.lit(False))
+    slash = F.col("key").endswith("/")
+    if "content_type" not in inventory.columns:
+        return slash
+    return slash | F.coalesce(F.lower("content_type") == DIRECTORY_TYPE, F.lit(False))
 
 
 def snapshot_markers(inventory: DataFrame) -> DataFrame:
     """Marker keys of snapshots; a snapshot copied from elsewhere has none."""
-    return inventory.filter(is_marker() & F.col("key").contains(SNAPSHOT_WORD)).select("key")
+    return inventory.filter(is_marker(inventory) & F.col("key").contains(SNAPSHOT_WORD)).select("key")
 
 
 def snapshot_list(inventory: DataFrame) -> DataFrame:
     """Files, bytes, last change and marker of each snapshot."""
-    name = snapshot_name(F.col("key"))
+    name, marker = snapshot_name(F.col("key")), is_marker(inventory)
     return (
         inventory.withColumn("snapshot", name)
         .filter("snapshot is not null")
         .groupBy("snapshot")
         .agg(
-            F.count_if(~is_marker()).alias("files"),
+            F.count_if(~marker).alias("files"),
             F.sum("size").alias("bytes"),
             F.max("last_modified").alias("last_modified"),
-            F.bool_or(is_marker()).alias("has_marker"),
+            F.bool_or(marker).alias("has_marker"),
         )
     )
 

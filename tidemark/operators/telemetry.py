@@ -52,17 +52,16 @@ def searcher_counts(docs: DataFrame) -> DataFrame:
 def exact_percentiles(
     rows: DataFrame, group: str, value: str, fractions: dict[str, float], parts: int | None = None
 ) -> DataFrame:
-    """Interpolated percentiles of each group, however large a group is; null ones for a group without values.
+    """Interpolated percentiles of each group that has values, however large it is.
 
     Values are counted first, then ranked by a running sum of the counts over
     (group, value); only the two values around each wanted rank leave that step.
     A group is never collected, and its size comes from the counts.
     """
-    histogram = freeze(rows.groupBy(group, value).agg(F.count("*").alias("_n")))
-    valued = histogram.filter(F.col(value).isNotNull())
-    ranked = with_running_sum(valued, [group, value], F.col("_n"), "_before", parts)
-    # One row per group: where it begins is the sum of all groups before it, found as the least rank of its own.
-    sizes = freeze(ranked.groupBy(group).agg(F.min("_before").alias("_begin"), F.sum("_n").alias("_size")))
+    histogram = rows.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("_n"))
+    ranked = freeze(with_running_sum(histogram, [group, value], F.col("_n"), "_before", parts))
+    # One row per group, from the ranks that have just been written: they are not computed a second time.
+    sizes = ranked.groupBy(group).agg(F.min("_before").alias("_begin"), F.sum("_n").alias("_size"))
     sized = sizes.select(F.col(group).alias("_group"), "_begin", "_size")
     placed = ranked.join(sized, F.col(group).eqNullSafe(F.col("_group"))).withColumn(
         "_first", F.col("_before") - F.col("_begin")
@@ -80,15 +79,13 @@ def exact_percentiles(
             F.max(rank - F.floor(rank)).alias(f"_w_{name}"),
         ]
     around = placed.groupBy(group).agg(*bounds)
-    found = around.select(
-        F.col(group).alias("_group"),
+    return around.select(
+        group,
         *[
             (F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_w_{n}")).alias(n)
             for n in fractions
         ],
     )
-    groups = histogram.select(group).distinct()
-    return groups.join(found, F.col(group).eqNullSafe(F.col("_group")), "left").drop("_group")
 
 
 def handler_stats(requests: DataFrame, exact: bool = True, parts: int | None = None) -> DataFrame:
