@@ -250,3 +250,57 @@ def test_snapshot_round_trip_and_damage(spark, fresh, source):
         os.replace(crc, crc + ".off")
     status, found = snapshot_files.snapshot_restore(spark, root, "one", list(tables))
     assert rows(status) == [("one", "failed", 1)] and found == {}
+
+
+def test_two_trackers_from_one_manifest_both_count_once(spark, fresh, source):
+    feed, nodes, _ = source
+    store, other = IndexStore(spark, fresh, NARROW), IndexStore(spark, fresh, NARROW)
+    store.commit("start", {}, {})
+    sets = spark.createDataFrame([(1, 10, 1), (2, 20, 1)], "change_set_id long, commit_time_ms long, acl_count int")
+    acls = spark.createDataFrame([(1, 5), (2, 6)], "change_set_id long, acl_id long")
+    readers = spark.createDataFrame([(5, "A"), (6, "B")], "acl_id long, authority string")
+    inner = store.commit
+
+    def late(run, changes, marks=None, old=None):
+        # The other tracker's run comes in between reading the manifest and committing.
+        other.track_acls("sets", sets, acls, readers)
+        inner(run, changes, marks, old)
+
+    store.commit = late
+    store.track_nodes("nodes", feed, nodes)
+    expected = IndexStore(spark, f"{fresh}-alone", NARROW)
+    expected.track_nodes("nodes", feed, nodes)
+    assert rows(store.read("index_tx")) == rows(expected.read("index_tx"))
+    assert rows(store.read("acls")) == [(5, "A"), (6, "B")]
+    marks = store.marks()
+    assert marks["set_ms"] == 20 and marks["tx_ms"] == expected.marks()["tx_ms"]
+    assert [r["version"] for r in store.manifest()][0] == 3
+
+
+def test_two_writers_of_one_bucket(spark, fresh):
+    spec = {"index_tx": TableSpec("tx_id", "tx_id long, commit_time_ms long", 300)}
+    one, two = IndexStore(spark, fresh, spec), IndexStore(spark, fresh, spec)
+    add = lambda n: spark.createDataFrame([(n, n)], "tx_id long, commit_time_ms long")
+    old = one.manifest()
+    one.commit("a", {"index_tx": (add(1), lambda base: base.unionByName(add(1)))}, {"a": 1}, old)
+    two.commit("b", {"index_tx": (add(2), lambda base: base.unionByName(add(2)))}, {"b": 2}, old)
+    two.commit("b", {"index_tx": (add(2), lambda base: base.unionByName(add(2)))}, {"b": 2}, old)
+    assert rows(one.read("index_tx")) == [(1, 1), (2, 2)]
+    assert one.marks() == {"a": 1, "b": 2} and one.has_run("a") and one.has_run("b") and not one.has_run("c")
+
+
+def test_sparse_ids_give_a_bounded_number_of_buckets(spark, fresh):
+    spec = {"index_tx": TableSpec("tx_id", "tx_id long, commit_time_ms long", 10, buckets=4)}
+    store = IndexStore(spark, fresh, spec)
+    ids = spark.range(60).select(F.xxhash64("id").alias("tx_id"), F.col("id").alias("commit_time_ms"))
+    store.replace("all", {"index_tx": ids})
+    assert len([r for r in store.manifest() if r["table_name"]]) <= 4
+    assert rows(store.read("index_tx")) == rows(ids)
+
+
+def test_marks_come_back_from_the_markers(spark, fresh):
+    spec = {k: v for k, v in NARROW.items() if k in ("index_tx", "index_change_sets")}
+    store = IndexStore(spark, fresh, spec)
+    store.replace("all", {"index_tx": spark.createDataFrame([(9, 50), (3, 70)], "tx_id long, commit_time_ms long")}, {"tx_ms": 1})
+    store.recover("rollback")
+    assert store.marks() == {"tx_ms": 70, "tx_id": 3, "set_ms": 0, "set_id": 0}

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.operators.ordered import with_position, with_running_sum
+from tidemark.operators.ordered import with_place, with_position, with_running_sum
 
 #: Fixed default sizes.
 TX_BATCH_DOCS = 2000
@@ -44,16 +44,11 @@ def fixed_chunks(
 ) -> DataFrame:
     """Chunks of ``size`` rows within each batch, the last one shorter.
 
-    Positions are taken over (batch, order) at once and the batch's first
-    position is subtracted, so a batch of any size is spread over the parts.
+    Rows are placed over (batch, order) at once, so a batch of any size is
+    spread over the parts.
     """
-    placed = with_position(rows, [batch, *order], "position", parts)
-    starts = placed.groupBy(batch).agg(F.min("position").alias("_start"))
-    return (
-        placed.join(starts, batch)
-        .withColumn("chunk_no", F.expr(f"(position - _start) div {size}"))
-        .drop("_start", "position")
-    )
+    placed = with_place(rows, batch, order, "_place", parts)
+    return placed.withColumn("chunk_no", F.expr(f"_place div {size}")).drop("_place")
 
 
 def delete_batches(
@@ -70,7 +65,9 @@ def latest_per_node(
     """The last version of each node by (commit time, transaction).
 
     An aggregate rather than a rank: a node with very many versions shrinks to
-    one row per task before the shuffle.
+    one row per task before the shuffle. The row itself travels in the buffer,
+    which makes Spark sort each task's versions; finding the largest order first
+    and joining the rows back would shuffle every version instead.
     """
     columns = [c for c in versions.columns if c != key]
     latest = versions.groupBy(key).agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("_latest"))

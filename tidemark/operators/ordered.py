@@ -1,9 +1,11 @@
 """Positions, running sums and neighbours over a total order, without a global window.
 
 The rows are range-split on the full order key, so one hot commit time, core or
-batch is cut like any other stretch. Only one summary row per range part is
-ever looked at in a single task; the number of parts is a parameter, hence the
-broadcast offset table has a known size.
+batch is cut like any other stretch. One pass over the sorted rows of a part counts,
+sums and looks back; its rows are written out with the part's number, since range
+bounds are sampled and another pass might cut elsewhere. Only one summary row per
+part is then looked at in a single task; the number of parts is a parameter, hence
+the broadcast offset table has a known size.
 
 The order columns must identify a row (add an id as the last one).
 """
@@ -12,30 +14,78 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tidemark.session import freeze
 
-PART, POS = "_part", "_pos"
-_POSITION_BITS = 33  # monotonically_increasing_id keeps the part above, the row number below
+PART, POS, WEIGHT, INSIDE, BEFORE, RUN, RUN_NO = "_part", "_pos", "_weight", "_inside", "_before", "_run", "_run_no"
 
 
 def part_count(df: DataFrame, parts: int | None = None) -> int:
     return parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def placed(df: DataFrame, order: Sequence[Column | str], parts: int | None = None) -> DataFrame:
-    """Range-split and sort ``df``; add the part number and the row number within it."""
-    n = part_count(df, parts)
-    mark = F.monotonically_increasing_id()
-    sorted_rows = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_mark", mark)
-    return freeze(
-        sorted_rows.withColumn(PART, F.shiftright("_mark", _POSITION_BITS).cast("int"))
-        .withColumn(POS, F.col("_mark").bitwiseAND(F.lit((1 << _POSITION_BITS) - 1)))
-        .drop("_mark")
-    )
+def swept(
+    df: DataFrame,
+    order: Sequence[Column | str],
+    parts: int | None = None,
+    weight: Column | None = None,
+    look_back: Sequence[str] = (),
+    runs: str | None = None,
+) -> DataFrame:
+    """Rows with their part and the row number in it, in order; one exchange and one sort.
+
+    With ``weight``, also the sum of the weights of the part's rows before; a null weighs nothing. With ``look_back``, a
+    struct of those columns of the row before (null for a part's first row). With ``runs``, the number of the run of
+    equal values in the part, and the row's place in its run.
+    """
+    plain = df if weight is None else df.withColumn(WEIGHT, F.coalesce(weight, F.lit(0)).cast("long"))
+    longs = [PART, POS] + [INSIDE] * (weight is not None) + [RUN_NO, RUN] * (runs is not None)
+    fields = [*plain.schema.fields, *[T.StructField(n, T.LongType()) for n in longs]]
+    if look_back:
+        fields.append(T.StructField(BEFORE, T.StructType([plain.schema[c] for c in look_back])))
+    schema, weighed = T.StructType(fields), weight is not None
+
+    def sweep(batches):
+        part, seen, total, last, run_no, run = TaskContext.get().partitionId(), 0, 0, None, 0, 0
+        value = object()
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            columns = [*batch.columns, pa.array(np.full(n, part)), pa.array(np.arange(seen, seen + n))]
+            if weighed:
+                sums = total + np.cumsum(np.asarray(batch[WEIGHT]))
+                columns.append(pa.array(np.concatenate([[total], sums[:-1]])))
+                total = int(sums[-1])
+            if runs is not None:
+                numbers, places = np.empty(n, np.int64), np.empty(n, np.int64)
+                for i, v in enumerate(batch[runs].to_pylist()):
+                    if v != value:
+                        run_no, run, value = run_no + (seen + i > 0), 0, v
+                    numbers[i], places[i] = run_no, run
+                    run += 1
+                columns += [pa.array(numbers), pa.array(places)]
+            if look_back:
+                shifted = []
+                for k, name in enumerate(look_back):
+                    own = batch[name]
+                    first = pa.nulls(1, own.type) if last is None else last[k]
+                    shifted.append(pa.concat_arrays([first, own.slice(0, n - 1)]))
+                missing = pa.array(np.arange(seen, seen + n) == 0)
+                columns.append(pa.StructArray.from_arrays(shifted, list(look_back), mask=missing))
+                last = [batch[name].slice(n - 1) for name in look_back]
+            seen += n
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
+
+    sorted_rows = plain.repartitionByRange(part_count(df, parts), *order).sortWithinPartitions(*order)
+    return freeze(sorted_rows.mapInArrow(sweep, schema))
 
 
 def _earlier_parts(totals: DataFrame, total: str, offset: str) -> DataFrame:
@@ -48,7 +98,7 @@ def with_position(
     df: DataFrame, order: Sequence[Column | str], name: str = "position", parts: int | None = None
 ) -> DataFrame:
     """Add the 0-based position of each row in the total order."""
-    rows = placed(df, order, parts)
+    rows = swept(df, order, parts)
     offsets = _earlier_parts(rows.groupBy(PART).agg(F.count("*").alias("_n")), "_n", "_offset")
     return (
         rows.join(F.broadcast(offsets), PART)
@@ -57,37 +107,60 @@ def with_position(
     )
 
 
+def with_place(
+    df: DataFrame, group: str, order: Sequence[Column | str], name: str = "place", parts: int | None = None
+) -> DataFrame:
+    """Add the 0-based position of each row within its group, however large a group is.
+
+    Rows are in the order of (group, order). A group that begins in an earlier part goes on counting from what those
+    parts hold of it, which follows from each part's first and last group: one row per part, on the driver.
+    """
+    rows = swept(df, [group, *order], parts, runs=group)
+    edges = rows.groupBy(PART).agg(
+        F.min_by(group, POS).alias("first"),
+        F.max_by(group, POS).alias("last"),
+        F.max(RUN_NO).alias("runs"),
+        (F.max_by(RUN, POS) + 1).alias("held"),
+    )
+    carried, before, held = [], object(), 0
+    for part in sorted(edges.collect(), key=lambda r: r[PART]):
+        carry = held if part["first"] == before else 0
+        carried.append((part[PART], carry))
+        held = part["held"] + (carry if part["runs"] == 0 else 0)
+        before = part["last"]
+    offsets = df.sparkSession.createDataFrame(carried, f"{PART} long, _carry long")
+    place = F.col(RUN) + F.when(F.col(RUN_NO) == 0, F.col("_carry")).otherwise(0)
+    return rows.join(F.broadcast(offsets), PART).withColumn(name, place).drop(PART, POS, RUN, RUN_NO, "_carry")
+
+
 def grouped(rows: DataFrame, n: int) -> DataFrame:
-    """Placed rows, each part in a task of its own, as windows over a part need them."""
-    return rows.repartitionById(n, F.col(PART))
+    """Swept rows, each part in a task of its own, as windows over a part need them."""
+    return rows.repartitionById(n, F.col(PART).cast("int"))
 
 
 def running_sum(rows: DataFrame, weight: Column, name: str) -> DataFrame:
-    """Add the exclusive running sum of ``weight`` to grouped rows."""
-    weighed = rows.withColumn("_weight", weight)
-    offsets = _earlier_parts(weighed.groupBy(PART).agg(F.sum("_weight").alias("_total")), "_total", "_offset")
+    """Add the exclusive running sum of ``weight`` to grouped rows, where it is known only after they were swept."""
+    weighed = rows.withColumn(WEIGHT, weight)
+    offsets = _earlier_parts(weighed.groupBy(PART).agg(F.sum(WEIGHT).alias("_total")), "_total", "_offset")
     inside = Window.partitionBy(PART).orderBy(POS).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        weighed.withColumn("_inside", F.coalesce(F.sum("_weight").over(inside), F.lit(0)))
+        weighed.withColumn(INSIDE, F.coalesce(F.sum(WEIGHT).over(inside), F.lit(0)))
         .join(F.broadcast(offsets), PART)
-        .withColumn(name, F.col("_offset") + F.col("_inside"))
-        .drop("_offset", "_inside", "_weight")
+        .withColumn(name, F.col("_offset") + F.col(INSIDE))
+        .drop("_offset", INSIDE, WEIGHT)
     )
 
 
-def previous(rows: DataFrame, columns: Sequence[str], prefix: str = "prev_") -> DataFrame:
-    """Add, for each of ``columns``, the value of the row before to grouped rows."""
+def looked_back(rows: DataFrame, columns: Sequence[str], prefix: str = "prev_") -> DataFrame:
+    """Add, for each of ``columns``, the value of the row before to rows that were swept with them."""
     last = rows.groupBy(PART).agg(F.max_by(F.struct(*columns), POS).alias("_last"))
     carried = last.select(PART, F.lag("_last").over(Window.orderBy(PART)).alias("_carried"))
-    inside = Window.partitionBy(PART).orderBy(POS)
-    out = (
-        rows.withColumn("_before", F.lag(F.struct(*columns)).over(inside))
-        .join(F.broadcast(carried), PART)
-        .withColumn("_before", F.when(F.col(POS) > 0, F.col("_before")).otherwise(F.col("_carried")))
+    out = rows.join(F.broadcast(carried), PART).withColumn(
+        BEFORE, F.when(F.col(POS) > 0, F.col(BEFORE)).otherwise(F.col("_carried"))
     )
     for column in columns:
-        out = out.withColumn(prefix + column, F.col("_before")[column])
-    return out.drop("_before", "_carried")
+        out = out.withColumn(prefix + column, F.col(BEFORE)[column])
+    return out.drop(BEFORE, "_carried")
 
 
 def with_running_sum(
@@ -98,8 +171,13 @@ def with_running_sum(
     parts: int | None = None,
 ) -> DataFrame:
     """Add the exclusive running sum of ``weight`` in the total order."""
-    n = part_count(df, parts)
-    return running_sum(grouped(placed(df, order, n), n), weight, name).drop(PART, POS)
+    rows = swept(df, order, parts, weight)
+    offsets = _earlier_parts(rows.groupBy(PART).agg(F.sum(WEIGHT).alias("_total")), "_total", "_offset")
+    return (
+        rows.join(F.broadcast(offsets), PART)
+        .withColumn(name, F.col("_offset") + F.col(INSIDE))
+        .drop(PART, POS, WEIGHT, INSIDE, "_offset")
+    )
 
 
 def with_previous(
@@ -110,5 +188,4 @@ def with_previous(
     parts: int | None = None,
 ) -> DataFrame:
     """Add, for each of ``columns``, the value of the row before in the total order."""
-    n = part_count(df, parts)
-    return previous(grouped(placed(df, order, n), n), columns, prefix).drop(PART, POS)
+    return looked_back(swept(df, order, parts, look_back=columns), columns, prefix).drop(PART, POS)

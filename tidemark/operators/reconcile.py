@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.order import NONE_SENTINEL, feed_order
 from tidemark.operators.ids import present
-from tidemark.operators.ordered import grouped, part_count, placed, previous, running_sum
+from tidemark.operators.ordered import grouped, looked_back, part_count, running_sum, swept
 from tidemark.operators.route import UNKNOWN
 from tidemark.sources.feed import FIRST_ID_RANGE, first_row
 
@@ -208,8 +208,8 @@ def settled_at(samples: DataFrame, hold_ms: int = 10_000, parts: int | None = No
     handled as a whole.
     """
     n = part_count(samples, parts)
-    rows = grouped(placed(samples.select("core", "sample_ms", "docs"), ["core", "sample_ms"], n), n)
-    seen = previous(rows, ["core", "docs"])
+    rows = swept(samples.select("core", "sample_ms", "docs"), ["core", "sample_ms"], n, look_back=["core", "docs"])
+    seen = looked_back(grouped(rows, n), ["core", "docs"])
     still = (F.col("docs") > 0) & F.col("prev_core").eqNullSafe(F.col("core")) & (F.col("docs") == F.col("prev_docs"))
     marked = seen.withColumn("still", F.coalesce(still, F.lit(False)))
     breaks = running_sum(marked, (~F.col("still")).cast("long"), "stretch").filter("still")
