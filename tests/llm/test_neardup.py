@@ -90,8 +90,8 @@ def test_neighbours_across_stretches_are_those_of_one_stretch():
     def pairs(cuts):
         state, out = neardup._Neighbours(5, 0.8, 0.5), set()
         for a, b in zip([0, *cuts], [*cuts, n], strict=True):
-            u, v, _ = state.pairs({k: x[a:b] for k, x in rows.items()})
-            out |= set(zip(u.tolist(), v.tolist(), strict=True))
+            found, _ = state.pairs({k: x[a:b] for k, x in rows.items()})
+            out |= set(zip(*[found[k].tolist() for k in ("u", "v", "gu", "gv", "share")], strict=True))
         return out
 
     assert pairs([]) == pairs([1, 4, 5, 30, 31]) != set()

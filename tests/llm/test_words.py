@@ -1,11 +1,12 @@
 import re
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from tidemark.llm import components as own
 from tidemark.llm import wordhash
-from tidemark.llm.components import components
 from tidemark.llm.shared import utf8
 
 TEXTS = st.lists(st.text(alphabet="ab é\n\t.\x0b", max_size=30), max_size=6)
@@ -29,7 +30,9 @@ def test_stretches_cover_all_texts(monkeypatch):
     assert all(a[1] == b[0] for a, b in zip(found[:-1], found[1:], strict=True))
 
 
-def test_components_of_chains_stars_and_repeated_links(spark):
+@pytest.mark.parametrize("per_task", [200_000, 90])
+def test_components_of_chains_stars_and_repeated_links(spark, monkeypatch, per_task):
+    monkeypatch.setattr(own, "PER_TASK", per_task)
     rng = np.random.default_rng(0)
     chain = [(i, i + 1) for i in range(300)]
     star = [(1000, 1001 + i) for i in range(200)]
@@ -37,11 +40,9 @@ def test_components_of_chains_stars_and_repeated_links(spark):
     ring = [(int(ids[i]), int(ids[(i + 1) % 400])) for i in range(400)]
     links = chain + star + ring + ring[:50] + [(7, 7)]
     frame = spark.createDataFrame(links, "u long, v long").repartition(7)
-    found = {r["node"]: r["root"] for r in components(frame).collect()}
-    assert found == {i: 0 for i in range(1, 301)} | {1001 + i: 1000 for i in range(200)} | {
-        int(i): 5000 for i in ids if i != 5000
-    }
+    found = {r["node"]: r["root"] for r in own.components(frame).collect()}
+    assert found == {i: 0 for i in range(301)} | {1000 + i: 1000 for i in range(201)} | {int(i): 5000 for i in ids}
 
 
 def test_no_links_no_components(spark):
-    assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+    assert own.components(spark.createDataFrame([], "u long, v long")).count() == 0

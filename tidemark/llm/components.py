@@ -1,9 +1,10 @@
-"""Connected components of links, by contraction inside tasks and star steps between them.
+"""Connected components of links, by contraction level by level.
 
-Links stay in tables of the shared folder; the driver sees counts only. Every task first
-joins the links it reads, so that long chains become stars; then large-star and
-small-star steps run until a pass changes nothing. A hot centre's rows are dealt out by
-the other end of its links, or split by the skew-join rule.
+Every task joins the links it reads (union-find), so that chains become stars. A node
+that several tasks have seen has several roots; these roots are linked, and the links
+between roots, of which there are far fewer, are contracted again, until there are none.
+A node's root is then followed through the levels. Links and components stay in tables
+of the shared folder; the driver sees counts only.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.shared import stored
 
-_EDGE = "u long, v long"
+#: Links that one task joins, about (some 200 bytes each while it runs).
+PER_TASK = 200_000
 
 
 def _root(parent: dict[int, int], x: int) -> int:
@@ -25,42 +27,42 @@ def _root(parent: dict[int, int], x: int) -> int:
 
 
 def _contracted(batches):
-    """Stars to the smallest node of each component that this task's links make."""
+    """(node, root) for every node of this task's links; a root has itself."""
     parent: dict[int, int] = {}
     for batch in batches:
         for u, v in zip(batch["u"].to_pylist(), batch["v"].to_pylist(), strict=True):
             a, b = _root(parent, parent.setdefault(u, u)), _root(parent, parent.setdefault(v, v))
             if a != b:
                 parent[max(a, b)] = min(a, b)
-    stars = [(x, _root(parent, x)) for x in parent]
-    stars = [(x, r) for x, r in stars if x != r]
-    for i in range(0, len(stars), 50_000):
-        part = stars[i : i + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in part], pa.int64()), pa.array([r for _, r in part], pa.int64())], ["u", "v"])
-
-
-def _state(edges: DataFrame) -> tuple:
-    total = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
-    return tuple(edges.agg(F.count(F.lit(1)), total).first())
+    nodes = list(parent)
+    for i in range(0, len(nodes), 50_000):
+        part = nodes[i : i + 50_000]
+        roots = pa.array([_root(parent, x) for x in part], pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), roots], ["node", "root"])
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) from links (u, v): the smallest node that each linked node reaches, itself left out if smallest."""
-    edges = stored(links.select("u", "v").where("u != v").mapInArrow(_contracted, _EDGE), "stars")
-    before = _state(edges)
-    while before[0]:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
-        # Large star: larger neighbours of a node to its least one.
-        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = stored(large.where("u != v").distinct(), "large-star")
-        # Small star: the smaller neighbours of a node, and itself, to the least of them.
-        lowest = stored(large.groupBy("u").agg(F.min("v").alias("m")), "lowest")
-        small = large.join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
-        small = small.unionByName(lowest.select("u", F.col("m").alias("v")))
-        edges = stored(small.distinct(), "small-star")
-        after = _state(edges)
-        if after == before:
+    """(node, root) from links (u, v): the smallest node that each linked node reaches, itself too."""
+    edges = stored(links.select("u", "v").where("u != v"), "links")
+    levels = []
+    while rows := edges.count():
+        # Links of one smaller end are joined in one task, as far as a task takes them.
+        tasks = -(-rows // PER_TASK)
+        dealt = edges.coalesce(1) if tasks == 1 else edges.repartition(tasks, F.least("u", "v"), F.xxhash64("u", "v") % 4)
+        seen = dealt.mapInArrow(_contracted, "node long, root long")
+        # As many roots as tasks have seen the node, at most.
+        roots = seen.groupBy("node").agg(F.sort_array(F.collect_set("root")).alias("roots")) if tasks > 1 else seen.select("node", F.array("root").alias("roots"))
+        level = stored(roots, "roots")
+        levels.append(level.select("node", F.col("roots")[0].alias("root")))
+        if tasks == 1:
             break
-        before = after
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        least, others = F.col("roots")[0], F.slice("roots", 2, F.greatest(F.size("roots") - 1, F.lit(0)))
+        edges = stored(level.select(F.explode(others).alias("u"), least.alias("v")).distinct(), "links")
+    if not levels:
+        return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    found = levels[0]
+    for level in levels[1:]:
+        higher = level.select(F.col("node").alias("at"), F.col("root").alias("top"))
+        joined = found.join(higher, F.col("root") == F.col("at"), "left")
+        found = stored(joined.select("node", F.coalesce("top", "root").alias("root")), "components")
+    return found

@@ -3,13 +3,17 @@
 Texts with equal shingle sets are one class. Classes' signatures are sorted in several
 orders of their hashes; the rows next to a row in an order are those with the longest
 common prefix, so the depth at which two are compared follows how crowded their region
-is. Neighbours whose signatures agree enough are candidates, and every candidate is
-confirmed on the full sets. A first pass links next neighbours only, which joins large
-groups by chains; a second pass looks further, only between texts not yet joined, and is
-repeated with fresh orders for regions that were too crowded to see the end of.
-
-Orders are cut into ranges of equal size, whatever repeats; the rows at both sides of a
-cut are compared in a step of their own. Links, classes and components stay in tables.
+is. Neighbours whose signatures agree enough are candidates. A first pass takes next
+neighbours only, which joins large groups by chains; a second pass looks further, only
+between groups that signatures do not yet join, and is repeated with fresh orders for
+regions that were too crowded to see the end of.
+
+Signatures only say what to compare: links are confirmed on the full sets. Candidates
+are confirmed in turns, first those of the first pass and the best one between any two
+groups, then, where groups are still apart, the others. A candidate is left out only if
+confirmed links already join its two texts, so no component is lost by it. Links,
+classes and components stay in tables, and orders are cut into ranges of equal size,
+whatever repeats; the rows at both sides of a cut are compared in a step of their own.
 
 Rows of one doc_id are one document. A null id is linked with nothing, has no component
 and is kept. Texts without words (null and empty ones too) have an empty set and are
@@ -25,6 +29,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.llm import wordhash
 from tidemark.llm.components import components
@@ -34,8 +39,11 @@ from tidemark.llm.shared import stored, unused, utf8
 HASHES, FIRST, SECOND, DEPTH = 128, 2, 18, 8
 #: Rows after a row that it is compared with, in the second pass.
 NEAR = 8
-#: Hashes of the signature by which neighbours are compared, and how far below the wanted similarity they may agree.
-COMPARED, MARGIN = 64, 0.25
+#: Hashes of the signature by which neighbours are compared, and how far below the wanted similarity they may agree:
+#: over four deviations of what so many hashes say.
+COMPARED, MARGIN = 96, 0.18
+#: Candidates between two groups that are confirmed in one turn; in the last turn, all.
+TURNS = (1, 4, None)
 _SEED = np.random.default_rng(6)
 _A = _SEED.integers(1, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _SEED.integers(0, 1 << 32, HASHES, dtype=np.uint32)
@@ -128,8 +136,8 @@ class _Neighbours:
     def __init__(self, near: int, share: float, floor: float) -> None:
         self.near, self.share, self.floor, self.tail = near, share, floor, None
 
-    def pairs(self, now: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Pairs of nodes, and the nodes whose last comparison still was a likely partner."""
+    def pairs(self, now: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """Pairs (u, v) of nodes with their groups (gu, gv) and the share of equal hashes; crowded regions' nodes."""
         held = 0 if self.tail is None else len(self.tail["node"])
         if held:
             now = {k: np.concatenate([self.tail[k], v]) for k, v in now.items()}
@@ -141,13 +149,18 @@ class _Neighbours:
             small = np.minimum(now["n"][left], now["n"][right])
             alike &= small >= self.share * np.maximum(now["n"][left], now["n"][right])
             left, right = left[alike], right[alike]
-            close = (now["sig"][left] == now["sig"][right]).mean(axis=1) >= self.floor
-            left, right = left[close], right[close]
-            found.append((now["node"][left], now["node"][right]))
+            share = (now["sig"][left] == now["sig"][right]).mean(axis=1)
+            close = share >= self.floor
+            left, right, share = left[close], right[close], share[close]
+            swap = now["node"][left] > now["node"][right]
+            u, v = np.where(swap, right, left), np.where(swap, left, right)
+            found.append((now["node"][u], now["node"][v], now["group"][u], now["group"][v], share))
             if step == self.near:
+                # The farthest neighbour still is a likely partner: there may be more behind it.
                 crowded = np.concatenate([now["node"][left], now["node"][right]])
         self.tail = {k: v[max(0, n - self.near) :] for k, v in now.items()}
-        return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found]), crowded
+        names = ("u", "v", "gu", "gv", "share")
+        return {k: np.concatenate([f[i] for f in found]) for i, k in enumerate(names)}, crowded
 
 
 def _arrays(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
@@ -157,32 +170,33 @@ def _arrays(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
     return out
 
 
-_FOUND = f"kind int, u long, v long, cut int, {_ROW}"
+_FOUND = f"kind int, u long, v long, gu long, gv long, share double, cut int, {_ROW}"
 
 
 def neighbours(rows: DataFrame, near: int, similarity: float) -> DataFrame:
-    """Rows of kind 0: candidate pairs (u < v); of kind 1: nodes (u) of crowded regions."""
+    """Rows of kind 0: candidate pairs (u < v) with their groups and share; of kind 1: nodes (u) of crowded regions."""
     share, floor = similarity, similarity - MARGIN
     names = [f.split()[0] for f in _FOUND.split(", ")]
 
-    def result(kind: int, u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
-        blank = [pa.nulls(len(u), t) for t in (pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary())]
-        columns = [pa.array(np.full(len(u), kind, np.int32)), pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), *blank]
+    def result(kind: int, found: dict[str, np.ndarray]) -> pa.RecordBatch:
+        n = len(found["u"])
+        columns = [pa.array(np.full(n, kind, np.int32)), *[pa.array(found[k]) for k in ("u", "v", "gu", "gv", "share")]]
+        columns += [pa.nulls(n, t) for t in (pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary())]
         return pa.RecordBatch.from_arrays(columns, names)
 
     def compared(state: _Neighbours, batch: pa.RecordBatch, run: str):
         arrays = _arrays(batch)
         if run != "order":
             arrays["run"] = np.asarray(batch[run]).astype(np.int64) * 100_000 + arrays["run"]
-        u, v, crowded = state.pairs(arrays)
-        differ = u != v
-        yield result(0, u[differ], v[differ])
-        yield result(1, np.unique(crowded), np.unique(crowded))
+        found, crowded = state.pairs(arrays)
+        yield result(0, found)
+        nodes = np.unique(crowded)
+        yield result(1, {"u": nodes, "v": nodes, "gu": nodes, "gv": nodes, "share": np.zeros(len(nodes))})
 
     def edge(batch: pa.RecordBatch, cut: int) -> pa.RecordBatch:
         n = batch.num_rows
-        head = [pa.array(np.full(n, 2, np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(np.full(n, cut, np.int32))]
-        return pa.RecordBatch.from_arrays([*head, *batch.columns], names)
+        head = [pa.array(np.full(n, 2, np.int32)), *[pa.nulls(n, pa.int64())] * 4, pa.nulls(n, pa.float64())]
+        return pa.RecordBatch.from_arrays([*head, pa.array(np.full(n, cut, np.int32)), *batch.columns], names)
 
     def inside(batches):
         state, part, first, last = _Neighbours(near, share, floor), TaskContext.get().partitionId(), 0, None
@@ -207,23 +221,28 @@ def neighbours(rows: DataFrame, near: int, similarity: float) -> DataFrame:
     ranged = rows.repartitionByRange("order", "key", "node").sortWithinPartitions("order", "key", "node")
     found = stored(ranged.mapInArrow(inside, _FOUND), "neighbours")
     cuts = found.where("kind = 2").repartition("cut").sortWithinPartitions("cut", "order", "key", "node")
-    return found.where("kind < 2").select("kind", "u", "v").unionByName(
-        cuts.select("cut", *[f.split()[0] for f in _ROW.split(", ")]).mapInArrow(across, _FOUND).select("kind", "u", "v")
-    )
+    wanted = ["kind", "u", "v", "gu", "gv", "share"]
+    beyond = cuts.select("cut", *[f.split()[0] for f in _ROW.split(", ")]).mapInArrow(across, _FOUND)
+    return found.where("kind < 2").select(*wanted).unionByName(beyond.select(*wanted))
 
 
-def confirmed(documents: DataFrame, pairs: DataFrame, similarity: float, shingle: int, key: str) -> DataFrame:
-    """The pairs (u, v) whose full sets are similar enough; sets are made again for documents in pairs only."""
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    percent = round(100 * similarity)
+def full_sets(documents: DataFrame, wanted: DataFrame, shingle: int, key: str) -> DataFrame:
+    """(node, set): the sets of the wanted ids, made again from their texts."""
 
     def made(batches):
         for batch in batches:
             sets = [s.tobytes() for s in shingle_sets(utf8(batch["text"].to_pylist()), shingle)]
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array(sets, pa.binary())], ["node", "set"])
 
-    chosen = documents.select(F.col(key).cast("long").alias("id"), "text").join(wanted, F.col("id") == F.col("node"), "left_semi")
-    sets = stored(chosen.mapInArrow(made, "node long, set binary"), "sets", "lz4")
+    slim = documents.select(F.col(key).cast("long").alias("id"), "text")
+    # The same plan at every size: texts are shuffled once.
+    chosen = slim.join(wanted.hint("merge"), F.col("id") == F.col("node"), "left_semi")
+    return stored(chosen.mapInArrow(made, "node long, set binary"), "sets", "lz4")
+
+
+def confirmed(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose full sets are similar enough."""
+    percent = round(100 * similarity)
 
     def similar(batches):
         for batch in batches:
@@ -240,8 +259,73 @@ def confirmed(documents: DataFrame, pairs: DataFrame, similarity: float, shingle
 
     left = sets.select(F.col("node").alias("u"), F.col("set").alias("x"))
     right = sets.select(F.col("node").alias("v"), F.col("set").alias("y"))
-    joined = pairs.join(left, "u").join(right, "v").select("u", "v", "x", "y")
-    return joined.mapInArrow(similar, "u long, v long")
+    joined = pairs.select("u", "v").hint("merge").join(left, "u").hint("merge").join(right, "v").select("u", "v", "x", "y")
+    return stored(joined.mapInArrow(similar, "u long, v long").distinct(), "links")
+
+
+def candidates(nodes: DataFrame, similarity: float, first: int, second: int, near: int) -> DataFrame:
+    """(u, v, gu, gv, share, early): candidate pairs, with the groups they were between when they were found.
+
+    ``early`` marks those of the first pass. Groups are what signatures alone would link; they only steer the search.
+    """
+    pairs, groups, order = None, None, 0
+    rows, width = nodes.withColumn("group", F.col("node")), 1
+    while True:
+        count = first if width == 1 else second
+        found = stored(neighbours(ordered_rows(rows, range(order, order + count)), width, similarity), "found")
+        new = stored(
+            found.where("kind = 0")
+            .groupBy("u", "v")
+            .agg(F.first("gu").alias("gu"), F.first("gv").alias("gv"), F.max("share").alias("share"))
+            .withColumn("early", F.lit(width == 1)),
+            "pairs",
+        )
+        pairs = new if pairs is None else pairs.unionByName(new)
+        likely = new.where(F.col("share") >= similarity)
+        order += count
+        if width == near:
+            crowded = found.where("kind = 1").select(F.col("u").alias("node")).distinct()
+            if not crowded.take(1) or not likely.take(1):
+                return pairs
+            rows = nodes.join(stored(crowded, "crowded"), "node", "left_semi")
+        else:
+            rows, width = nodes, near
+        groups = stored(components(pairs.where(F.col("share") >= similarity)), "groups")
+        mapped = groups.select(F.col("node").alias("member"), "root").hint("merge")
+        rows = rows.join(mapped, F.col("node") == F.col("member"), "left").select(
+            "node", "n", "sig", F.coalesce("root", "node").alias("group")
+        )
+
+
+def links(documents: DataFrame, nodes: DataFrame, similarity: float, shingle: int, key: str, **search) -> DataFrame:
+    """Confirmed links (u, v) whose components are those of all confirmed candidates."""
+    pairs = candidates(nodes, similarity, **search)
+    wanted = stored(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "wanted")
+    sets = full_sets(documents, wanted, shingle, key)
+    known, done = None, None
+    left = pairs
+    for most in TURNS:
+        between = [F.least("gu", "gv"), F.greatest("gu", "gv")]
+        if most is None:
+            now = left
+        else:
+            rank = F.row_number().over(Window.partitionBy(*between).orderBy(F.col("share").desc(), "u", "v"))
+            now = left.withColumn("place", rank).where((F.col("place") <= most) | (F.col("early") & F.lit(done is None)))
+        now = stored(now.select("u", "v").distinct(), "turn")
+        new = confirmed(sets, now, similarity)
+        known = new if known is None else known.unionByName(new)
+        if most is None:
+            return known
+        done = now if done is None else done.unionByName(now)
+        # What is left: candidates not yet looked at, between texts that confirmed links do not join.
+        root = components(known)
+        a, b = (root.select(F.col("node").alias(n), F.col("root").alias(r)) for n, r in (("nu", "ru"), ("nv", "rv")))
+        rest = pairs.select("u", "v", "share", "early").join(done.distinct(), ["u", "v"], "left_anti")
+        rest = rest.join(a, F.col("u") == F.col("nu"), "left").join(b, F.col("v") == F.col("nv"), "left")
+        rest = rest.withColumn("gu", F.coalesce("ru", "u")).withColumn("gv", F.coalesce("rv", "v"))
+        left = stored(rest.where("gu != gv").select("u", "v", "gu", "gv", "share", "early"), "left")
+        if not left.take(1):
+            return known
 
 
 def near_duplicates(
@@ -259,38 +343,15 @@ def near_duplicates(
     row's own.
     """
     every = stored(signatures(documents, shingle, key), "signatures")
-    usable = every.where("n > 0 AND id IS NOT NULL")
-    classes = stored(usable.groupBy("a", "b").agg(F.min("id").alias("node"), F.min("n").alias("n")), "classes")
-    own = classes.select(F.col("a").alias("ca"), F.col("b").alias("cb"), "node")
-    one = (F.col("id") == F.col("node")) & (F.col("a") == F.col("ca")) & (F.col("b") == F.col("cb"))
-    nodes = stored(usable.join(own, one).dropDuplicates(["ca", "cb"]).select("node", "n", "sig"), "nodes")
-
-    links, order, rows = None, 0, nodes.withColumn("group", F.col("node"))
-    width = 1
-    groups = None
-    while True:
-        count = first if links is None else second
-        found = stored(neighbours(ordered_rows(rows, range(order, order + count)), width, similarity), "found")
-        pairs = stored(found.where("kind = 0").select("u", "v").distinct(), "pairs")
-        new = stored(confirmed(documents, pairs, similarity, shingle, key), "links")
-        any_new = bool(new.take(1))
-        links = new if links is None else links.unionByName(new)
-        if any_new or groups is None:
-            groups = stored(components(links), "components")
-        order += count
-        if width == near:
-            crowded = found.where("kind = 1").select(F.col("u").alias("node")).distinct()
-            base = nodes.join(crowded, "node", "left_semi")
-            if not any_new or not crowded.take(1):
-                break
-        else:
-            base, width = nodes, near
-        mapped = groups.select(F.col("node").alias("member"), "root")
-        rows = base.join(mapped, F.col("node") == F.col("member"), "left").select(
-            "node", "n", "sig", F.coalesce("root", "node").alias("group")
-        )
-
-    mapped = groups.select(F.col("node").alias("member"), "root")
+    # A class's rows have one signature; a huge class is one row per task before the shuffle.
+    classes = stored(
+        every.where("n > 0 AND id IS NOT NULL")
+        .groupBy("a", "b")
+        .agg(F.min("id").alias("node"), F.min("n").alias("n"), F.min("sig").alias("sig")),
+        "classes",
+    )
+    found = links(documents, classes.select("node", "n", "sig"), similarity, shingle, key, first=first, second=second, near=near)
+    mapped = components(found).select(F.col("node").alias("member"), "root")
     named = stored(
         classes.join(mapped, F.col("node") == F.col("member"), "left").select(
             F.col("a").alias("ca"), F.col("b").alias("cb"), F.coalesce("root", "node").alias("component_id")
@@ -299,7 +360,7 @@ def near_duplicates(
     )
     # Rows of one huge class share a key here; both sides come from tables, so the skew-join rule can split them.
     same = (F.col("a") == F.col("ca")) & (F.col("b") == F.col("cb")) & F.col("id").isNotNull()
-    joined = every.select("id", "n", "a", "b").join(named, same, "left")
+    joined = every.select("id", "n", "a", "b").join(named.hint("merge"), same, "left")
     component = F.coalesce("component_id", "id")
     return joined.select(
         "id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept")
