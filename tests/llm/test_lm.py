@@ -87,7 +87,7 @@ def test_gradients_against_differences(monkeypatch):
 
     monkeypatch.setattr(lm, "WINDOW", 50)
     lm.learn(network, ids, offsets, Catch())
-    for name, at in (("u", (3, 40)), ("u", (5, 60)), ("c", (2, 3)), ("b", (50,)), ("x", (int(ids[0]), 10)), ("x", (int(ids[13]), 60))):
+    for name, at in (("u", (3, 20)), ("u", (5, 40)), ("c", (2, 3)), ("b", (35,)), ("x", (int(ids[0]), 10)), ("x", (int(ids[13]), 40))):
         values = []
         for step in (1e-3, -1e-3):
             network.p[name][at] += step

@@ -18,6 +18,7 @@ they stand there; an empty table gives no rows.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ from tidemark.llm import wordhash
 from tidemark.llm.shared import fold, stored, utf8
 
 #: Words of the vocabulary and of a class, tail classes, hidden units, tokens of a window, documents side by side.
-WORDS, PER_CLASS, TAILS, HIDDEN, WINDOW, LANES = 1024, 32, 8, 24, 24, 512
+WORDS, PER_CLASS, TAILS, HIDDEN, WINDOW, LANES = 1024, 64, 8, 16, 48, 512
 CLASSES = WORDS // PER_CLASS
 #: Words whose counts every task has; documents of the starting sample, and the bytes that one of them may have.
 KNOWN, START_ROWS, START_BYTES = 1 << 18, 768, 100_000
@@ -129,15 +130,18 @@ class Network:
             at += v.size
         return self
 
-    def states(self, inputs: np.ndarray, active: np.ndarray, state: np.ndarray, keep: bool):
+    def states(self, inputs: np.ndarray, active: np.ndarray, state: np.ndarray, fresh: np.ndarray, keep: bool):
         """Hidden states of a window [step, lane]; lanes are sorted, so those that still run come first.
 
-        ``state`` is carried on in place. With ``keep``, what backpropagation needs is returned too.
+        ``state`` is carried on in place, and begins anew where a step is the first of a text (``fresh``). With
+        ``keep``, what backpropagation needs is returned too.
         """
         h, p, kept = HIDDEN, self.p, []
         out = np.zeros((len(active), len(state), h), np.float32)
+        x = p["x"] + p["b"]
         for t, n in enumerate(active):
-            gates = p["x"][inputs[t, :n]] + p["b"]
+            gates = x[inputs[t, :n]]
+            state[:n][fresh[t, :n]] = 0
             before = state[:n]
             turned = before @ p["u"]
             zr = _sigmoid(gates[:, : 2 * h] + turned[:, : 2 * h])
@@ -188,7 +192,7 @@ class Network:
                     back[own] += e @ p["w"][k].T
         return out, back
 
-    def backward(self, inputs: np.ndarray, active: np.ndarray, kept: list, back: np.ndarray, gradients: dict) -> None:
+    def backward(self, inputs: np.ndarray, active: np.ndarray, fresh: np.ndarray, kept: list, back: np.ndarray, gradients: dict) -> None:
         """Gradients of a window's steps, last first; what lies before the window is taken as given."""
         h, p = HIDDEN, self.p
         carried = np.zeros((back.shape[1], h), np.float32)
@@ -207,6 +211,7 @@ class Network:
             turned_back[:, 2 * h :] *= r
             gradients["u"] += before.T @ turned_back
             carried[:n] = d * z + turned_back @ p["u"].T
+            carried[:n][fresh[t, :n]] = 0
             all_gates.append(gate)
             all_inputs.append(inputs[t, :n])
         gates, at = np.concatenate(all_gates), np.concatenate(all_inputs)
@@ -232,66 +237,85 @@ class Adam:
             self.network.p[k] -= (self.rate * correct) * self.m[k] / (np.sqrt(self.v[k]) + 1e-8)
 
 
-def lanes(tokens: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Groups of at most LANES texts of like length: their numbers, longest first, and their lengths."""
-    length = np.diff(offsets)
-    order = np.argsort(-length, kind="stable")
-    for i in range(0, len(order), LANES):
-        own = order[i : i + LANES]
-        yield own, length[own]
-
-
-def windows(tokens: np.ndarray, begins: np.ndarray, length: np.ndarray):
-    """Windows over texts side by side: inputs and targets [step, lane], the lanes active at each step."""
-    for start in range(0, int(length[0]), WINDOW):
-        steps = np.arange(start, min(start + WINDOW, int(length[0])))
-        active = np.searchsorted(-length, -steps, side="left")
-        width = active[0]
-        at = np.minimum(begins[None, :width] + steps[:, None], begins[:width] + length[:width] - 1)
-        targets = tokens[at]
-        inputs = np.where(steps[:, None] > 0, tokens[np.maximum(at - 1, 0)], 0)
-        yield inputs, targets, active
+class Lanes:
+    """Texts laid end to end in at most LANES lanes of about equal length, so that many run side by side to the end."""
+
+    def __init__(self, tokens: np.ndarray, offsets: np.ndarray) -> None:
+        size = np.diff(offsets)
+        order = np.argsort(-size, kind="stable")
+        heap = [(0, k) for k in range(min(LANES, len(order)))]
+        own: list[list[int]] = [[] for _ in heap]
+        for text in order.tolist():
+            length, k = heap[0]
+            own[k].append(text)
+            heapq.heapreplace(heap, (length + int(size[text]), k))
+        length = np.array([size[x].sum() for x in own], np.int64)
+        longest = np.argsort(-length, kind="stable")
+        self.length = length[longest]
+        self.begins = np.concatenate([[0], np.cumsum(self.length)])[:-1]
+        texts = np.array([t for k in longest for t in own[k]], np.int64)
+        sizes = size[texts]
+        first = np.cumsum(sizes) - sizes
+        #: For each token in its new place: its text, its id, and whether it is the first of its text.
+        self.of = np.repeat(texts, sizes)
+        self.tokens = tokens[np.arange(len(self.of)) + np.repeat(offsets[:-1][texts] - first, sizes)]
+        self.fresh = np.zeros(len(self.of), bool)
+        self.fresh[first] = True
+
+    def windows(self):
+        """Windows: inputs, targets, first tokens and texts [step, lane], and the lanes active at each step."""
+        for start in range(0, int(self.length[0]) if len(self.length) else 0, WINDOW):
+            steps = np.arange(start, min(start + WINDOW, int(self.length[0])))
+            active = np.searchsorted(-self.length, -steps, side="left")
+            width = active[0]
+            at = np.minimum(self.begins[None, :width] + steps[:, None], self.begins[:width] + self.length[:width] - 1)
+            fresh = self.fresh[at]
+            yield np.where(fresh, 0, self.tokens[np.maximum(at - 1, 0)]), self.tokens[at], fresh, self.of[at], active
 
 
 def learn(network: Network, tokens: np.ndarray, offsets: np.ndarray, adam: Adam) -> None:
     """One pass over the texts, window by window, the state carried on and gradients cut at a window's start."""
-    for own, length in lanes(tokens, offsets):
-        state = np.zeros((len(own), HIDDEN), np.float32)
-        for inputs, targets, active in windows(tokens, offsets[:-1][own], length):
-            mask = np.arange(active[0])[None, :] < active[:, None]
-            hidden, kept = network.states(inputs, active, state[: active[0]], True)
-            gradients = {k: np.zeros_like(v) for k, v in network.p.items()}
-            _, back = network.losses(hidden[mask], targets[mask], gradients)
-            spread = np.zeros_like(hidden)
-            spread[mask] = back
-            network.backward(inputs, active, kept, spread, gradients)
-            count = int(mask.sum())
-            # Few lanes give a noisy gradient: it counts for as much less.
-            adam.apply(gradients, 1.0 / max(count, LANES * WINDOW // 8))
+    state = np.zeros((LANES, HIDDEN), np.float32)
+    for inputs, targets, fresh, _, active in Lanes(tokens, offsets).windows():
+        mask = np.arange(active[0])[None, :] < active[:, None]
+        hidden, kept = network.states(inputs, active, state[: active[0]], fresh, True)
+        gradients = {k: np.zeros_like(v) for k, v in network.p.items()}
+        _, back = network.losses(hidden[mask], targets[mask], gradients)
+        spread = np.zeros_like(hidden)
+        spread[mask] = back
+        network.backward(inputs, active, fresh, kept, spread, gradients)
+        # Few lanes give a noisy gradient: it counts for as much less.
+        adam.apply(gradients, 1.0 / max(int(mask.sum()), LANES * WINDOW // 8))
 
 
 def log_probabilities(network: Network, tokens: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """The natural log probability of each text."""
     out = np.zeros(len(offsets) - 1)
-    for own, length in lanes(tokens, offsets):
-        state = np.zeros((len(own), HIDDEN), np.float32)
-        for inputs, targets, active in windows(tokens, offsets[:-1][own], length):
-            mask = np.arange(active[0])[None, :] < active[:, None]
-            hidden, _ = network.states(inputs, active, state[: active[0]], False)
-            found, _ = network.losses(hidden[mask], targets[mask], None)
-            lane = np.broadcast_to(np.arange(active[0]), mask.shape)[mask]
-            out[own[: active[0]]] += np.bincount(lane, found, active[0])
+    state = np.zeros((LANES, HIDDEN), np.float32)
+    for inputs, targets, fresh, of, active in Lanes(tokens, offsets).windows():
+        mask = np.arange(active[0])[None, :] < active[:, None]
+        hidden, _ = network.states(inputs, active, state[: active[0]], fresh, False)
+        found, _ = network.losses(hidden[mask], targets[mask], None)
+        out += np.bincount(of[mask], found, len(out))
     return out
 
 
 # --- over Spark ------------------------------------------------------------------
 
 
-def _batches(texts: list[bytes], known: Known):
-    """(first, hashes, ranks, tokens, tails, offsets) of stretches; tokens are ids of the network."""
-    for first, hashes, tails, offsets in token_stretches(texts):
+def _encoded(texts: list[bytes], known: Known):
+    """(hashes of unknown words, ranks, tokens, tails, offsets) of all texts; tokens are ids of the network."""
+    parts, tokens = [], 0
+    offsets = [np.zeros(1, np.int64)]
+    for _, hashes, tails, own in token_stretches(texts):
         rank = known.find(hashes)
-        yield first, hashes, rank, np.where((rank >= 0) & (rank < WORDS), rank, WORDS + tails), tails, offsets
+        ids = np.where((rank >= 0) & (rank < WORDS), rank, WORDS + tails).astype(np.int16)
+        parts.append((hashes[rank < 0], rank, ids, tails.astype(np.int8)))
+        offsets.append(tokens + own[1:])
+        tokens += len(hashes)
+    if not parts:
+        return np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3, offsets[0]
+    return *[np.concatenate(x) for x in zip(*parts, strict=True)], np.concatenate(offsets)
 
 
 def count_words(learning: DataFrame) -> DataFrame:
@@ -345,12 +369,11 @@ def train(learning: DataFrame, model: Model, rate: float = 0.01) -> Network:
     small = learning.where(F.coalesce(F.length("text"), F.lit(0)) <= START_BYTES)
     few = small.orderBy(F.xxhash64("id"), "id").limit(START_ROWS).toArrow()
     few = few.sort_by([("id", "ascending")])
-    parts = [(t, o) for _, _, _, t, _, o in _batches(utf8(few["text"].to_pylist()), model.known)]
+    _, _, tokens, _, offsets = _encoded(utf8(few["text"].to_pylist()), model.known)
     network = model.network
     adam = Adam(network, rate)
     for _ in range(3):
-        for tokens, offsets in parts:
-            learn(network, tokens, offsets, adam)
+        learn(network, tokens, offsets, adam)
     sent = spark.sparkContext.broadcast((model.known, network))
 
     def learnt(batches):
@@ -358,9 +381,9 @@ def train(learning: DataFrame, model: Model, rate: float = 0.01) -> Network:
         own = Network(np.zeros(WORDS), np.zeros(TAILS)).load(begun.flat())
         adam, seen = Adam(own, rate / 4), 0
         for batch in batches:
-            for _, _, _, tokens, _, offsets in _batches(utf8(batch["text"].to_pylist()), known):
-                learn(own, tokens, offsets, adam)
-                seen += len(tokens)
+            _, _, tokens, _, offsets = _encoded(utf8(batch["text"].to_pylist()), known)
+            learn(own, tokens, offsets, adam)
+            seen += len(tokens)
         if seen:
             weighted = own.flat().astype(np.float64) * seen
             yield pa.RecordBatch.from_arrays([pa.array([float(seen)]), pa.array([weighted], pa.list_(pa.float64()))], ["seen", "p"])
@@ -395,28 +418,27 @@ def score_texts(documents: DataFrame, key: str = "doc_id", folds: int = 10) -> D
         log_count = np.log(np.append(m.known.counts, 0.0) + ADD)
         for batch in batches:
             ids, texts = batch["id"], utf8(batch["text"].to_pylist())
-            for first, hashes, rank, tokens, tails, offsets in _batches(texts, m.known):
-                n = len(offsets) - 1
-                found = log_probabilities(m.network, tokens, offsets)
-                rare = rank < 0
-                logs = np.where(rare, 0.0, log_count[rank])
-                in_tail = tokens >= WORDS
-                share = np.where(in_tail, logs - log_tail[tails], 0.0)
-                of = np.repeat(np.arange(n), np.diff(offsets))
-                known = np.bincount(of[~rare & (m.known.counts[np.maximum(rank, 0)] > 0)], minlength=n)
-                cuts = np.concatenate([[0], np.cumsum(np.bincount(of[rare], minlength=n))])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(row + first + np.arange(n)),
-                        ids.slice(first, n),
-                        pa.array(np.diff(offsets)),
-                        pa.array(known),
-                        pa.array(np.bincount(of, logs, n) / np.log(10)),
-                        pa.array((found + np.bincount(of, share, n)) / np.log(10)),
-                        pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(hashes[rare].view(np.int64))),
-                    ],
-                    ["row", "id", "n_tokens", "known", "base", "model", "rare"],
-                )
+            hashes, rank, tokens, tails, offsets = _encoded(texts, m.known)
+            n = len(texts)
+            found = log_probabilities(m.network, tokens, offsets)
+            rare = rank < 0
+            logs = np.where(rare, 0.0, log_count[rank])
+            share = np.where(tokens >= WORDS, logs - log_tail[tails], 0.0)
+            of = np.repeat(np.arange(n), np.diff(offsets))
+            known = np.bincount(of[~rare & (m.known.counts[np.maximum(rank, 0)] > 0)], minlength=n)
+            cuts = np.concatenate([[0], np.cumsum(np.bincount(of[rare], minlength=n))])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(row + np.arange(n)),
+                    ids,
+                    pa.array(np.diff(offsets)),
+                    pa.array(known),
+                    pa.array(np.bincount(of, logs, n) / np.log(10)),
+                    pa.array((found + np.bincount(of, share, n)) / np.log(10)),
+                    pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(hashes.view(np.int64))),
+                ],
+                ["row", "id", "n_tokens", "known", "base", "model", "rare"],
+            )
             row += batch.num_rows
 
     schema = f"row long, id {kind}, n_tokens long, known long, base double, model double, rare array<long>"
