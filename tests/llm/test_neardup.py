@@ -56,6 +56,12 @@ def documents():
     for k in range(25):
         base = words(40 + 10 * k, 500 + k)
         rows += [(3000 + 10 * k + j, near(base, max(1, len(base) // 25) * j, rng)) for j in range(4)]
+    star = words(200, 888)
+    rows.append((2500, " ".join(star)))
+    for i in range(120):
+        own = list(star)
+        own[(i * 17) % 180 : (i * 17) % 180 + 16] = words(16, 9000 + i)
+        rows.append((2501 + i, " ".join(own)))
     rows += [(4000 + i, "exact Copy of\tthis") for i in range(40)] + [(4100, "EXACT copy\nof this")]
     rows += [(5000, "single"), (5001, "Single"), (5002, "other")]
     rows += [(a and a + 6000, b) for a, b in EDGES if a != 6]
@@ -90,7 +96,7 @@ def test_neighbours_across_stretches_are_those_of_one_stretch():
     def pairs(cuts):
         state, out = neardup._Neighbours(5, 0.8, 0.5), set()
         for a, b in zip([0, *cuts], [*cuts, n], strict=True):
-            found, _ = state.pairs({k: x[a:b] for k, x in rows.items()})
+            found, _, _ = state.pairs({k: x[a:b] for k, x in rows.items()})
             out |= set(zip(*[found[k].tolist() for k in ("u", "v", "gu", "gv", "share")], strict=True))
         return out
 

@@ -9,8 +9,8 @@ between groups that signatures do not yet join, and is repeated with fresh order
 regions that were too crowded to see the end of.
 
 Signatures only say what to compare: links are confirmed on the full sets. Candidates
-are confirmed in turns, first those of the first pass and the best one between any two
-groups, then, where groups are still apart, the others. A candidate is left out only if
+are confirmed in turns, first those of the first pass, those with hubs and the likely best
+one between any two groups, then, where groups are still apart, the others. A candidate is left out only if
 confirmed links already join its two texts, so no component is lost by it. Links,
 classes and components stay in tables, and orders are cut into ranges of equal size,
 whatever repeats; the rows at both sides of a cut are compared in a step of their own.
@@ -36,9 +36,9 @@ from tidemark.llm.components import components
 from tidemark.llm.shared import stored, unused, utf8
 
 #: MinHash values, orders of the first and the second pass, hashes in an order's key.
-HASHES, FIRST, SECOND, DEPTH = 128, 2, 18, 8
-#: Rows after a row that it is compared with, in the second pass.
-NEAR = 8
+HASHES, FIRST, SECOND, DEPTH = 128, 4, 16, 8
+#: Rows after a row that it is compared with, and rows that are compared with all others in a pass.
+NEAR, HUBS = 8, 256
 #: Hashes of the signature by which neighbours are compared, and how far below the wanted similarity they may agree:
 #: over four deviations of what so many hashes say.
 COMPARED, MARGIN = 96, 0.18
@@ -133,15 +133,17 @@ def ordered_rows(nodes: DataFrame, orders: range) -> DataFrame:
 class _Neighbours:
     """Compares sorted rows, given in stretches, with those at most ``near`` before them."""
 
-    def __init__(self, near: int, share: float, floor: float) -> None:
-        self.near, self.share, self.floor, self.tail = near, share, floor, None
+    def __init__(self, near: int, share: float, floor: float, given: int | None = None) -> None:
+        self.near, self.share, self.floor, self.given, self.tail = near, share, floor, given or near, None
 
-    def pairs(self, now: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray]:
-        """Pairs (u, v) of nodes with their groups (gu, gv) and the share of equal hashes; crowded regions' nodes."""
+    def pairs(self, now: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray, tuple]:
+        """Pairs (u, v) of nodes with their groups (gu, gv) and the share of equal hashes, of rows at most ``given``
+        apart; the nodes of crowded regions; and nodes with the number of their likely partners."""
         held = 0 if self.tail is None else len(self.tail["node"])
         if held:
             now = {k: np.concatenate([self.tail[k], v]) for k, v in now.items()}
         n, found, crowded = len(now["node"]), [], now["node"][:0]
+        likely = np.zeros(n, np.int64)
         for step in range(1, self.near + 1):
             right = np.arange(max(held, step), n)
             left = right - step
@@ -152,6 +154,10 @@ class _Neighbours:
             share = (now["sig"][left] == now["sig"][right]).mean(axis=1)
             close = share >= self.floor
             left, right, share = left[close], right[close], share[close]
+            for side in (left, right):
+                np.add.at(likely, side[share >= self.share], 1)
+            if step > self.given:
+                continue
             swap = now["node"][left] > now["node"][right]
             u, v = np.where(swap, right, left), np.where(swap, left, right)
             found.append((now["node"][u], now["node"][v], now["group"][u], now["group"][v], share))
@@ -160,7 +166,9 @@ class _Neighbours:
                 crowded = np.concatenate([now["node"][left], now["node"][right]])
         self.tail = {k: v[max(0, n - self.near) :] for k, v in now.items()}
         names = ("u", "v", "gu", "gv", "share")
-        return {k: np.concatenate([f[i] for f in found]) for i, k in enumerate(names)}, crowded
+        some = np.flatnonzero(likely)
+        pairs = {k: np.concatenate([f[i] for f in found]) for i, k in enumerate(names)}
+        return pairs, crowded, (now["node"][some], likely[some])
 
 
 def _arrays(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
@@ -173,8 +181,9 @@ def _arrays(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
 _FOUND = f"kind int, u long, v long, gu long, gv long, share double, cut int, {_ROW}"
 
 
-def neighbours(rows: DataFrame, near: int, similarity: float) -> DataFrame:
-    """Rows of kind 0: candidate pairs (u < v) with their groups and share; of kind 1: nodes (u) of crowded regions."""
+def neighbours(rows: DataFrame, near: int, given: int, similarity: float) -> DataFrame:
+    """Rows of kind 0: candidate pairs (u < v) with their groups and share; of kind 1: nodes (u) of crowded regions; of
+    kind 3: nodes (u) with a number (v) of likely partners near them."""
     share, floor = similarity, similarity - MARGIN
     names = [f.split()[0] for f in _FOUND.split(", ")]
 
@@ -188,10 +197,10 @@ def neighbours(rows: DataFrame, near: int, similarity: float) -> DataFrame:
         arrays = _arrays(batch)
         if run != "order":
             arrays["run"] = np.asarray(batch[run]).astype(np.int64) * 100_000 + arrays["run"]
-        found, crowded = state.pairs(arrays)
+        found, crowded, (near_by, count) = state.pairs(arrays)
         yield result(0, found)
-        nodes = np.unique(crowded)
-        yield result(1, {"u": nodes, "v": nodes, "gu": nodes, "gv": nodes, "share": np.zeros(len(nodes))})
+        for kind, nodes, number in ((1, np.unique(crowded), np.unique(crowded)), (3, near_by, count)):
+            yield result(kind, {"u": nodes, "v": number, "gu": nodes, "gv": nodes, "share": np.zeros(len(nodes))})
 
     def edge(batch: pa.RecordBatch, cut: int) -> pa.RecordBatch:
         n = batch.num_rows
@@ -199,7 +208,7 @@ def neighbours(rows: DataFrame, near: int, similarity: float) -> DataFrame:
         return pa.RecordBatch.from_arrays([*head, pa.array(np.full(n, cut, np.int32)), *batch.columns], names)
 
     def inside(batches):
-        state, part, first, last = _Neighbours(near, share, floor), TaskContext.get().partitionId(), 0, None
+        state, part, first, last = _Neighbours(near, share, floor, given), TaskContext.get().partitionId(), 0, None
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -213,7 +222,7 @@ def neighbours(rows: DataFrame, near: int, similarity: float) -> DataFrame:
             yield edge(last, part)
 
     def across(batches):
-        state = _Neighbours(near, share, floor)
+        state = _Neighbours(near, share, floor, given)
         for batch in batches:
             if batch.num_rows:
                 yield from compared(state, batch, "cut")
@@ -223,7 +232,7 @@ def neighbours(rows: DataFrame, near: int, similarity: float) -> DataFrame:
     cuts = found.where("kind = 2").repartition("cut").sortWithinPartitions("cut", "order", "key", "node")
     wanted = ["kind", "u", "v", "gu", "gv", "share"]
     beyond = cuts.select("cut", *[f.split()[0] for f in _ROW.split(", ")]).mapInArrow(across, _FOUND)
-    return found.where("kind < 2").select(*wanted).unionByName(beyond.select(*wanted))
+    return found.where("kind != 2").select(*wanted).unionByName(beyond.select(*wanted))
 
 
 def full_sets(documents: DataFrame, wanted: DataFrame, shingle: int, key: str) -> DataFrame:
@@ -263,69 +272,114 @@ def confirmed(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame
     return stored(joined.mapInArrow(similar, "u long, v long").distinct(), "links")
 
 
-def candidates(nodes: DataFrame, similarity: float, first: int, second: int, near: int) -> DataFrame:
-    """(u, v, gu, gv, share, early): candidate pairs, with the groups they were between when they were found.
+def grouped_rows(nodes: DataFrame, groups: DataFrame) -> DataFrame:
+    """(node, n, sig, group): a node without a group is one of its own."""
+    mapped = groups.select(F.col("node").alias("member"), "root").hint("merge")
+    joined = nodes.join(mapped, F.col("node") == F.col("member"), "left")
+    return joined.select("node", "n", "sig", F.coalesce("root", "node").alias("group"))
 
-    ``early`` marks those of the first pass. Groups are what signatures alone would link; they only steer the search.
-    """
-    pairs, groups, order = None, None, 0
-    rows, width = nodes.withColumn("group", F.col("node")), 1
-    while True:
-        count = first if width == 1 else second
-        found = stored(neighbours(ordered_rows(rows, range(order, order + count)), width, similarity), "found")
-        new = stored(
-            found.where("kind = 0")
-            .groupBy("u", "v")
-            .agg(F.first("gu").alias("gu"), F.first("gv").alias("gv"), F.max("share").alias("share"))
-            .withColumn("early", F.lit(width == 1)),
-            "pairs",
-        )
-        pairs = new if pairs is None else pairs.unionByName(new)
-        likely = new.where(F.col("share") >= similarity)
-        order += count
-        if width == near:
-            crowded = found.where("kind = 1").select(F.col("u").alias("node")).distinct()
-            if not crowded.take(1) or not likely.take(1):
-                return pairs
-            rows = nodes.join(stored(crowded, "crowded"), "node", "left_semi")
-        else:
-            rows, width = nodes, near
-        groups = stored(components(pairs.where(F.col("share") >= similarity)), "groups")
-        mapped = groups.select(F.col("node").alias("member"), "root").hint("merge")
-        rows = rows.join(mapped, F.col("node") == F.col("member"), "left").select(
-            "node", "n", "sig", F.coalesce("root", "node").alias("group")
-        )
-
-
-def links(documents: DataFrame, nodes: DataFrame, similarity: float, shingle: int, key: str, **search) -> DataFrame:
-    """Confirmed links (u, v) whose components are those of all confirmed candidates."""
-    pairs = candidates(nodes, similarity, **search)
-    wanted = stored(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "wanted")
-    sets = full_sets(documents, wanted, shingle, key)
-    known, done = None, None
-    left = pairs
+
+def to_hubs(rows: DataFrame, found: DataFrame, groups: DataFrame, similarity: float, most: int) -> DataFrame:
+    """Candidate pairs between any row and the hubs: of each of ``groups`` the row with the most likely partners, and of
+    those the ``most`` first ones, which is what is sent to tasks. Only rows of one group are left out."""
+    degrees = found.where("kind = 3").groupBy("u").agg(F.sum("v").alias("degree"))
+    mapped = groups.select(F.col("node").alias("member"), "root")
+    of = degrees.join(mapped, F.col("u") == F.col("member"), "left").select("u", "degree", F.coalesce("root", "u").alias("of"))
+    best = of.groupBy("of").agg(F.max(F.struct("degree", "u")).alias("hub")).select("hub.*")
+    first = best.orderBy(F.desc("degree"), "u").limit(most)
+    hubs = rows.join(F.broadcast(first), F.col("node") == F.col("u")).select("node", "n", "sig", "group").toArrow()
+    sent = rows.sparkSession.sparkContext.broadcast(hubs)
+
+    def compared(batches):
+        own = sent.value.to_pydict()
+        theirs = [(np.frombuffer(x, ">u2")[:COMPARED], *rest) for x, *rest in zip(own["sig"], own["node"], own["group"], own["n"], strict=True)]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sig = np.frombuffer(b"".join(batch["sig"].to_pylist()), ">u2").reshape(-1, HASHES)[:, :COMPARED]
+            node, group, n = (np.asarray(batch[k]) for k in ("node", "group", "n"))
+            for hub, hub_node, hub_group, hub_n in theirs:
+                share = (sig == hub).mean(axis=1)
+                sized = np.minimum(n, hub_n) >= similarity * np.maximum(n, hub_n)
+                at = np.flatnonzero((share >= similarity - MARGIN) & sized & (group != hub_group))
+                if not len(at):
+                    continue
+                swap = node[at] > hub_node
+                other, own_group = np.full(len(at), hub_node), np.full(len(at), hub_group)
+                columns = [np.where(swap, other, node[at]), np.where(swap, node[at], other)]
+                columns += [np.where(swap, own_group, group[at]), np.where(swap, group[at], own_group), share[at]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["u", "v", "gu", "gv", "share"])
+
+    return rows.mapInArrow(compared, "u long, v long, gu long, gv long, share double")
+
+
+def once(found: DataFrame) -> DataFrame:
+    """Candidate pairs, each one time."""
+    return stored(found.groupBy("u", "v").agg(*[F.first(c).alias(c) for c in ("gu", "gv", "share")]), "pairs")
+
+
+def in_turns(sets: DataFrame, pairs: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
+    """New links of (u, v, gu, gv, share): a pair is confirmed unless links found before already join its texts."""
+    left, done, out = pairs, None, None
     for most in TURNS:
-        between = [F.least("gu", "gv"), F.greatest("gu", "gv")]
-        if most is None:
-            now = left
-        else:
-            rank = F.row_number().over(Window.partitionBy(*between).orderBy(F.col("share").desc(), "u", "v"))
-            now = left.withColumn("place", rank).where((F.col("place") <= most) | (F.col("early") & F.lit(done is None)))
-        now = stored(now.select("u", "v").distinct(), "turn")
+        rank = F.row_number().over(Window.partitionBy(F.least("gu", "gv"), F.greatest("gu", "gv")).orderBy(F.desc("share"), "u", "v"))
+        now = left if most is None else left.withColumn("place", rank).where(F.col("place") <= most)
+        if most == TURNS[0]:
+            now = now.where(F.col("share") >= similarity)
+        now = stored(now.select("u", "v"), "turn")
         new = confirmed(sets, now, similarity)
-        known = new if known is None else known.unionByName(new)
+        out = new if out is None else out.unionByName(new)
         if most is None:
-            return known
+            break
         done = now if done is None else done.unionByName(now)
-        # What is left: candidates not yet looked at, between texts that confirmed links do not join.
-        root = components(known)
+        root = components(known.unionByName(out))
         a, b = (root.select(F.col("node").alias(n), F.col("root").alias(r)) for n, r in (("nu", "ru"), ("nv", "rv")))
-        rest = pairs.select("u", "v", "share", "early").join(done.distinct(), ["u", "v"], "left_anti")
+        rest = pairs.select("u", "v", "share").join(done, ["u", "v"], "left_anti")
         rest = rest.join(a, F.col("u") == F.col("nu"), "left").join(b, F.col("v") == F.col("nv"), "left")
         rest = rest.withColumn("gu", F.coalesce("ru", "u")).withColumn("gv", F.coalesce("rv", "v"))
-        left = stored(rest.where("gu != gv").select("u", "v", "gu", "gv", "share", "early"), "left")
+        left = stored(rest.where("gu != gv").select("u", "v", "gu", "gv", "share"), "left")
         if not left.take(1):
+            break
+    return out
+
+
+def links(
+    documents: DataFrame, nodes: DataFrame, similarity: float, shingle: int, key: str, first: int, second: int, near: int, hubs: int = HUBS
+) -> DataFrame:
+    """Confirmed links (u, v) whose components are those of all confirmed candidates."""
+
+    def ends(pairs: DataFrame) -> DataFrame:
+        return stored(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "wanted")
+
+    rows = nodes.withColumn("group", F.col("node"))
+    found = stored(neighbours(ordered_rows(rows, range(first)), near, 1, similarity), "found")
+    chains = once(found.where("kind = 0"))
+    # What signatures alone would join only helps to choose the hubs.
+    likely = components(chains.where(F.col("share") >= similarity))
+    pairs = once(chains.unionByName(to_hubs(rows, found, likely, similarity, hubs)))
+    have = ends(pairs)
+    sets = full_sets(documents, have, shingle, key)
+    known = confirmed(sets, pairs, similarity)
+    base, order = nodes, first
+    while True:
+        groups = stored(components(known), "groups")
+        rows = stored(grouped_rows(base, groups), "rows")
+        found = stored(neighbours(ordered_rows(rows, range(order, order + second)), near, near, similarity), "found")
+        new = found.where("kind = 0").select("u", "v", "gu", "gv", "share")
+        if order > first:
+            new = new.unionByName(to_hubs(rows, found, groups, similarity, hubs))
+        new = once(new)
+        if order == first:
+            # Later passes look at crowded rows again, whose sets are there already.
+            more = full_sets(documents, ends(new).join(have, "node", "left_anti"), shingle, key)
+            sets = sets.unionByName(more)
+        fresh = in_turns(sets, new, known, similarity)
+        known = known.unionByName(fresh)
+        order += second
+        crowded = stored(found.where("kind = 1").select(F.col("u").alias("node")).distinct(), "crowded")
+        if not crowded.take(1) or not fresh.take(1):
             return known
+        base = nodes.join(crowded, "node", "left_semi")
 
 
 def near_duplicates(
