@@ -33,7 +33,7 @@ PERCENTILE = 95
 CHUNK = 1 << 16
 END_ID = 2
 #: Words, and pieces of words, whose ids a worker remembers, at most (about 200 bytes each).
-MEMORY = 400_000
+MEMORY = 200_000
 
 # --- patched frame of reference --------------------------------------------------
 
