@@ -4,9 +4,13 @@ Texts with equal shingle sets are one class. Classes' signatures are sorted in s
 orders of their hashes; the rows next to a row in an order are those with the longest
 common prefix, so the depth at which two are compared follows how crowded their region
 is. Neighbours whose signatures agree enough are candidates. A first pass takes next
-neighbours only, which joins large groups by chains; a second pass looks further, only
-between groups that signatures do not yet join, and is repeated with fresh orders for
-regions that were too crowded to see the end of.
+neighbours only, which joins large groups by chains, and compares some rows with all,
+which saves later work; a second pass looks further, between groups that are not linked.
+
+The common prefix with the farthest neighbour seen says how likely a similar row lay
+beyond it in every order of the second pass. Rows for which that is not unlikely are
+crowded, whatever the groups of their neighbours, and all pairs of them are found exactly:
+similar sets share one of the rarest shingles of each (prefix and position filter).
 
 Signatures only say what to compare: links are confirmed on the full sets. Candidates
 are confirmed in turns, first those of the first pass, those with hubs and the likely best
@@ -39,6 +43,10 @@ from tidemark.llm.shared import stored, unused, utf8
 HASHES, FIRST, SECOND, DEPTH = 128, 4, 16, 8
 #: Rows after a row that it is compared with, and rows that are compared with all others in a pass.
 NEAR, HUBS = 8, 256
+#: A row is crowded if a partner of just the wanted similarity is missed in all orders with more than this chance.
+MISSED = 1e-4
+#: Counters of shingles, as a power of two: how often is only estimated, any order of shingles gives the same pairs.
+COUNTERS = 20
 #: Hashes of the signature by which neighbours are compared, and how far below the wanted similarity they may agree:
 #: over four deviations of what so many hashes say.
 COMPARED, MARGIN = 96, 0.18
@@ -113,7 +121,10 @@ def ordered_rows(nodes: DataFrame, orders: range) -> DataFrame:
     """A row for each node (node, group, n, sig) and order, with the order's key."""
 
     def exploded(batches):
-        columns = [np.random.default_rng(1000 + o).permutation(HASHES)[:DEPTH] for o in orders]
+        # As many orders in a row as fit share no hash, so that they miss a pair independently.
+        fit = HASHES // DEPTH
+        turns = [divmod(o - orders.start, fit) for o in orders]
+        columns = [np.random.default_rng((1000, orders.start, t)).permutation(HASHES)[DEPTH * i :][:DEPTH] for t, i in turns]
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -138,16 +149,24 @@ class _Neighbours:
 
     def pairs(self, now: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray, tuple]:
         """Pairs (u, v) of nodes with their groups (gu, gv) and the share of equal hashes, of rows at most ``given``
-        apart; the nodes of crowded regions; and nodes with the number of their likely partners."""
+        apart; nodes with their run and the hashes their key shares with that of the farthest row, where two at least; and
+        nodes with the number of their likely partners."""
         held = 0 if self.tail is None else len(self.tail["node"])
         if held:
             now = {k: np.concatenate([self.tail[k], v]) for k, v in now.items()}
-        n, found, crowded = len(now["node"]), [], now["node"][:0]
+        n, found, crowded = len(now["node"]), [], (now["node"][:0],) * 3
         likely = np.zeros(n, np.int64)
         for step in range(1, self.near + 1):
             right = np.arange(max(held, step), n)
             left = right - step
-            alike = (now["run"][left] == now["run"][right]) & (now["group"][left] != now["group"][right])
+            same_run = now["run"][left] == now["run"][right]
+            if step == self.near and step == self.given and "key" in now:
+                a, b = left[same_run], right[same_run]
+                depth = np.logical_and.accumulate(now["key"][a] == now["key"][b], axis=1).sum(axis=1)
+                a, b, depth = a[depth > 1], b[depth > 1], depth[depth > 1]
+                both = np.concatenate([a, b])
+                crowded = now["node"][both], now["run"][both], np.concatenate([depth, depth])
+            alike = same_run & (now["group"][left] != now["group"][right])
             small = np.minimum(now["n"][left], now["n"][right])
             alike &= small >= self.share * np.maximum(now["n"][left], now["n"][right])
             left, right = left[alike], right[alike]
@@ -161,9 +180,6 @@ class _Neighbours:
             swap = now["node"][left] > now["node"][right]
             u, v = np.where(swap, right, left), np.where(swap, left, right)
             found.append((now["node"][u], now["node"][v], now["group"][u], now["group"][v], share))
-            if step == self.near:
-                # The farthest neighbour still is a likely partner: there may be more behind it.
-                crowded = np.concatenate([now["node"][left], now["node"][right]])
         self.tail = {k: v[max(0, n - self.near) :] for k, v in now.items()}
         names = ("u", "v", "gu", "gv", "share")
         some = np.flatnonzero(likely)
@@ -175,6 +191,7 @@ def _arrays(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
     out = {k: np.asarray(batch[k]) for k in ("node", "group", "n")}
     out["run"] = np.asarray(batch["order"])
     out["sig"] = np.frombuffer(b"".join(batch["sig"].to_pylist()), np.uint8).reshape(-1, COMPARED)
+    out["key"] = np.frombuffer(b"".join(batch["key"].to_pylist()), ">u2").reshape(-1, DEPTH)
     return out
 
 
@@ -182,8 +199,8 @@ _FOUND = f"kind int, u long, v long, gu long, gv long, share double, cut int, {_
 
 
 def neighbours(rows: DataFrame, near: int, given: int, similarity: float) -> DataFrame:
-    """Rows of kind 0: candidate pairs (u < v) with their groups and share; of kind 1: nodes (u) of crowded regions; of
-    kind 3: nodes (u) with a number (v) of likely partners near them."""
+    """Rows of kind 0: candidate pairs (u < v) with their groups and share; of kind 1: nodes (u), an order (v) and the
+    depth (gu) to which the farthest row they were compared with has the same key; of kind 3: nodes (u) with a number (v) of likely partners near them."""
     share, floor = similarity, similarity - MARGIN
     names = [f.split()[0] for f in _FOUND.split(", ")]
 
@@ -199,8 +216,9 @@ def neighbours(rows: DataFrame, near: int, given: int, similarity: float) -> Dat
             arrays["run"] = np.asarray(batch[run]).astype(np.int64) * 100_000 + arrays["run"]
         found, crowded, (near_by, count) = state.pairs(arrays)
         yield result(0, found)
-        for kind, nodes, number in ((1, np.unique(crowded), np.unique(crowded)), (3, near_by, count)):
-            yield result(kind, {"u": nodes, "v": number, "gu": nodes, "gv": nodes, "share": np.zeros(len(nodes))})
+        nodes, runs, depth = crowded
+        yield result(1, {"u": nodes, "v": runs.astype(np.int64) % 100_000, "gu": depth, "gv": depth, "share": np.zeros(len(nodes))})
+        yield result(3, {"u": near_by, "v": count, "gu": near_by, "gv": near_by, "share": np.zeros(len(near_by))})
 
     def edge(batch: pa.RecordBatch, cut: int) -> pa.RecordBatch:
         n = batch.num_rows
@@ -343,43 +361,115 @@ def in_turns(sets: DataFrame, pairs: DataFrame, known: DataFrame, similarity: fl
     return out
 
 
+def crowded_nodes(nodes: DataFrame, found: DataFrame, orders: int, similarity: float) -> DataFrame:
+    """(node): those that a row of just ``similarity`` may lie beside without having been seen in any of the orders."""
+    if (1 - similarity**2) ** orders > MISSED:
+        return nodes.select("node")
+    # A row that shares more of the key than the farthest one is nearer than that one.
+    beyond = F.when(F.col("depth") >= DEPTH, 1.0).otherwise(1 - F.pow(F.lit(similarity), F.col("depth") + 1))
+    each = found.where("kind = 1").groupBy("u", "v").agg(F.max("gu").alias("depth"))
+    chance = F.sum(F.log(beyond)) + (orders - F.count("*")) * float(np.log(1 - similarity**2))
+    missed = each.groupBy("u").agg(chance.alias("chance")).where(F.col("chance") > float(np.log(MISSED)))
+    return stored(missed.select(F.col("u").alias("node")), "crowded")
+
+
+def shingle_counts(sets: DataFrame) -> np.ndarray:
+    """How many shingles of the sets each counter has: a table of fixed size."""
+
+    def counted(batches):
+        total = np.zeros(1 << COUNTERS, np.int64)
+        for batch in batches:
+            for found in batch["set"].to_pylist():
+                np.add.at(total, np.frombuffer(found, np.uint64) >> np.uint64(64 - COUNTERS), 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["slot", "c"])
+
+    summed = sets.select("set").mapInArrow(counted, "slot long, c long").groupBy("slot").agg(F.sum("c").alias("c")).toArrow()
+    out = np.zeros(1 << COUNTERS, np.int64)
+    out[np.asarray(summed["slot"])] = np.asarray(summed["c"])
+    return out
+
+
+def exact_pairs(sets: DataFrame, members: DataFrame, similarity: float) -> DataFrame:
+    """Candidate pairs of ``members`` (node, group), with no similar pair of two groups left out.
+
+    Shingles are in one order, rare ones first. The first shingle that two similar sets have in common is so early in
+    both that what follows can still make up the overlap; in the smaller set it is earlier yet (``low``).
+    """
+    percent = round(100 * similarity)
+    sent = sets.sparkSession.sparkContext.broadcast(shingle_counts(sets))
+
+    def early(batches):
+        for batch in batches:
+            for node, group, found in zip(batch["node"].to_pylist(), batch["group"].to_pylist(), batch["set"].to_pylist(), strict=True):
+                shingles = np.frombuffer(found, np.uint64)
+                n = len(shingles)
+                count = sent.value[shingles >> np.uint64(64 - COUNTERS)]
+                # The sets are sorted by hash, and so are shingles of one count.
+                first = np.argsort(count, kind="stable")[: n + (-percent * n) // 100 + 1]
+                place = np.flatnonzero(count[first] > 1)
+                token = shingles[first[place]].view(np.int64)
+                low = (100 + percent) * (n - place) >= 2 * percent * n
+                k = len(token)
+                columns = [token, np.full(k, node), np.full(k, group), np.full(k, n), n - place, low]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "node", "group", "n", "left", "low"])
+
+    made = sets.join(members, "node").select("node", "group", "set").mapInArrow(early, "token long, node long, group long, n long, left long, low boolean")
+    tokens = stored(made, "tokens")
+    each = tokens.groupBy("token", "group").agg(F.count("*").alias("c"), F.max("low").alias("low"))
+    several = each.groupBy("token").agg(F.max_by("group", F.struct("c", "group")).alias("main"), F.count("*").alias("groups"), F.max("low").alias("any"))
+    # Rows of a token's largest group meet only rows of others, so a group that is linked already costs no pairs.
+    several = several.where("groups > 1 AND any").select("token", "main")
+    rows = stored(tokens.join(several.hint("merge"), "token").withColumn("minor", F.col("group") != F.col("main")).drop("main"), "tokens")
+
+    def met(small: DataFrame, large: DataFrame) -> DataFrame:
+        a = small.select("token", *[F.col(c).alias(f"{c}_a") for c in ("node", "group", "n", "left")])
+        b = large.select("token", *[F.col(c).alias(f"{c}_b") for c in ("node", "group", "n", "left")])
+        total = F.col("n_a") + F.col("n_b")
+        fits = (100 + percent) * F.least("left_a", "left_b") >= percent * total
+        sized = (F.col("n_a") <= F.col("n_b")) & (100 * F.col("n_a") >= percent * F.col("n_b"))
+        # Of two rows of one size, either may be the smaller one; one of the two is enough.
+        once_only = (F.col("n_a") < F.col("n_b")) | (F.col("node_a") < F.col("node_b")) | ~F.lit(large is minor)
+        both = a.hint("merge").join(b, (a["token"] == b["token"]) & (F.col("group_a") != F.col("group_b")) & sized & fits & once_only)
+        u, v = F.least("node_a", "node_b"), F.greatest("node_a", "node_b")
+        of_u = F.when(F.col("node_a") <= F.col("node_b"), F.col("group_a")).otherwise(F.col("group_b"))
+        of_v = F.when(F.col("node_a") <= F.col("node_b"), F.col("group_b")).otherwise(F.col("group_a"))
+        return both.select(u.alias("u"), v.alias("v"), of_u.alias("gu"), of_v.alias("gv"), F.lit(float(similarity)).alias("share"))
+
+    minor = rows.where("minor")
+    main = rows.where("NOT minor")
+    return once(met(minor.where("low"), minor).unionByName(met(minor.where("low"), main)).unionByName(met(main.where("low"), minor)))
+
+
 def links(
     documents: DataFrame, nodes: DataFrame, similarity: float, shingle: int, key: str, first: int, second: int, near: int, hubs: int = HUBS
 ) -> DataFrame:
     """Confirmed links (u, v) whose components are those of all confirmed candidates."""
 
     def ends(pairs: DataFrame) -> DataFrame:
-        return stored(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "wanted")
+        return pairs.select(F.explode(F.array("u", "v")).alias("node"))
 
     rows = nodes.withColumn("group", F.col("node"))
     found = stored(neighbours(ordered_rows(rows, range(first)), near, 1, similarity), "found")
     chains = once(found.where("kind = 0"))
-    # What signatures alone would join only helps to choose the hubs.
+    # What signatures alone would join only helps to choose the hubs, which only spare later steps work.
     likely = components(chains.where(F.col("share") >= similarity))
     pairs = once(chains.unionByName(to_hubs(rows, found, likely, similarity, hubs)))
-    have = ends(pairs)
+    have = stored(ends(pairs).distinct(), "wanted")
     sets = full_sets(documents, have, shingle, key)
     known = confirmed(sets, pairs, similarity)
-    base, order = nodes, first
-    while True:
-        groups = stored(components(known), "groups")
-        rows = stored(grouped_rows(base, groups), "rows")
-        found = stored(neighbours(ordered_rows(rows, range(order, order + second)), near, near, similarity), "found")
-        new = found.where("kind = 0").select("u", "v", "gu", "gv", "share")
-        if order > first:
-            new = new.unionByName(to_hubs(rows, found, groups, similarity, hubs))
-        new = once(new)
-        if order == first:
-            # Later passes look at crowded rows again, whose sets are there already.
-            more = full_sets(documents, ends(new).join(have, "node", "left_anti"), shingle, key)
-            sets = sets.unionByName(more)
-        fresh = in_turns(sets, new, known, similarity)
-        known = known.unionByName(fresh)
-        order += second
-        crowded = stored(found.where("kind = 1").select(F.col("u").alias("node")).distinct(), "crowded")
-        if not crowded.take(1) or not fresh.take(1):
-            return known
-        base = nodes.join(crowded, "node", "left_semi")
+    rows = stored(grouped_rows(nodes, stored(components(known), "groups")), "rows")
+    found = stored(neighbours(ordered_rows(rows, range(first, first + second)), near, near, similarity), "found")
+    new = once(found.where("kind = 0").select("u", "v", "gu", "gv", "share"))
+    crowded = crowded_nodes(nodes, found, second, similarity)
+    wanted = stored(ends(new).unionByName(crowded).distinct().join(have, "node", "left_anti"), "wanted")
+    sets = sets.unionByName(full_sets(documents, wanted, shingle, key))
+    known = known.unionByName(in_turns(sets, new, known, similarity))
+    if not crowded.take(1):
+        return known
+    groups = components(known).withColumnRenamed("node", "member")
+    members = crowded.join(groups, F.col("node") == F.col("member"), "left").select("node", F.coalesce("root", "node").alias("group"))
+    return known.unionByName(in_turns(sets, exact_pairs(sets, stored(members, "members"), similarity), known, similarity))
 
 
 def near_duplicates(
