@@ -101,3 +101,69 @@ def test_neighbours_across_stretches_are_those_of_one_stretch():
         return out
 
     assert pairs([]) == pairs([1, 4, 5, 30, 31]) != set()
+
+
+def region(n, shared, own, seed, every=15):
+    """Texts of one template, just below the threshold to each other, and a few copies that are above it to one text."""
+    rng = random.Random(seed)
+    template = words(shared, seed)
+    rows = [(10_000 + i, " ".join(template + words(own, 10_000 * seed + 31 * i))) for i in range(n)]
+    for i in range(0, n, every):
+        text = rows[i][1].split()
+        rows.append((20_000 + i, near(text, 4, rng)))
+    rng.shuffle(rows)
+    return rows
+
+
+def linked_groups(frame, similarity=0.8, **settings):
+    """The components, as sets of ids, of the links between a table's texts."""
+    nodes = neardup.signatures(frame, 2, "doc_id").withColumnRenamed("id", "node").select("node", "n", "sig")
+    found = neardup.components(neardup.links(frame, nodes, similarity, 2, "doc_id", **settings))
+    groups = {}
+    for r in found.collect():
+        groups.setdefault(r["root"], set()).add(r["node"])
+    return sorted(map(sorted, groups.values()))
+
+
+def test_true_pairs_in_a_crowded_region(table_of):
+    rows = region(400, 80, 20, 3, every=80)
+    found = linked_groups(table_of(rows), first=1, second=1, near=1, hubs=1)
+    every = {}
+    for doc_id, _, component, _ in brute(rows, 2):
+        every.setdefault(component, set()).add(doc_id)
+    assert found == sorted(sorted(g) for g in every.values() if len(g) > 1)
+
+
+def test_leaves_of_more_stars_than_hubs(table_of):
+    rng = random.Random(8)
+    rows = []
+    for k in range(4):
+        star = words(200, 700 + k)
+        rows.append((1000 * k, " ".join(star)))
+        for i in range(1, 60):
+            own = list(star)
+            own[(i * 17) % 180 : (i * 17) % 180 + 18] = words(18, 9000 + 100 * k + i)
+            rows.append((1000 * k + i, " ".join(own)))
+    rng.shuffle(rows)
+    found = linked_groups(table_of(rows), first=1, second=1, near=1, hubs=1)
+    assert found == [list(range(1000 * k, 1000 * k + 60)) for k in range(4)]
+
+
+def test_exact_pairs_of_linked_and_lone_members(spark, table_of):
+    rows = region(60, 80, 20, 5)
+    frame = table_of(rows)
+    ids = spark.createDataFrame([(i,) for i, _ in rows], "node long")
+    sets_of = neardup.full_sets(frame, ids, 2, "doc_id")
+    # All but the copies are one group, so its texts meet copies only.
+    members = spark.createDataFrame([(i, 1 if i < 20_000 else i) for i, _ in rows], "node long, group long")
+    pairs = neardup.exact_pairs(sets_of, members, 0.8)
+    linked = {(r["u"], r["v"]) for r in neardup.confirmed(sets_of, pairs, 0.8).collect()}
+    shingles = {i: sets(t, 2) for i, t in rows}
+    group = {i: 1 if i < 20_000 else i for i in shingles}
+    wanted = {
+        (a, b)
+        for a in shingles
+        for b in shingles
+        if a < b and group[a] != group[b] and 100 * len(shingles[a] & shingles[b]) >= 80 * len(shingles[a] | shingles[b])
+    }
+    assert linked == wanted != set()
