@@ -30,6 +30,10 @@ sql("scan_transactions", "transactions", f"""
 sql("scan_change_sets", "change_sets", f"""
     SELECT * FROM change_sets WHERE commit_time_ms >= {ACL_LAST - HOLE} AND commit_time_ms < {ACL_STOP}
     ORDER BY commit_time_ms, change_set_id LIMIT 2000""")
+sql("scan_all_transactions", "transactions", f"""
+    SELECT * FROM transactions WHERE commit_time_ms >= {LAST - HOLE} AND commit_time_ms < {STOP}""")
+sql("scan_all_change_sets", "change_sets", f"""
+    SELECT * FROM change_sets WHERE commit_time_ms >= {ACL_LAST - HOLE} AND commit_time_ms < {ACL_STOP}""")
 sql("first_transaction", "transactions", """
     SELECT * FROM transactions WHERE tx_id >= 0 AND tx_id < 2000 ORDER BY commit_time_ms, tx_id LIMIT 1""")
 sql("first_change_set", "change_sets", """

@@ -79,6 +79,18 @@ def scan_change_sets(spark, folder):
     )
 
 
+@query
+def scan_all_transactions(spark, folder):
+    rows = T.transactions(spark, folder)
+    return feed.scan_transactions(rows, from_time=T.LAST_INDEXED_MS - T.HOLE_MS, to_time=T.STOP_MS, max_results=None)
+
+
+@query
+def scan_all_change_sets(spark, folder):
+    rows = T.change_sets(spark, folder)
+    return feed.scan_change_sets(rows, from_time=T.ACL_LAST_INDEXED_MS - T.HOLE_MS, to_time=T.ACL_STOP_MS, max_results=None)
+
+
 @query
 def first_transaction(spark, folder):
     return feed.first_transaction(T.transactions(spark, folder))
