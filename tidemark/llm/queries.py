@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, html, linededup, lm, mixing, neardup, quality, tokenfile, topk, toxicity
+from tidemark.llm import decontaminate, divergence, html, linededup, lm, mixing, neardup, quality, tokenfile, topk, toxicity
 from tidemark.llm.shared import table, workers_import
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,6 +61,46 @@ SELECT doc_id, count(*) AS n_lines, count(shared.key) AS n_dropped,
 FROM keyed LEFT JOIN shared USING (key) GROUP BY doc_id
 """
 
+_SHARE = "1 + (CAST(1000000000 AS HUGEINT) * ({n} + 1)) // ({total} + v)"
+
+ORACLE["op12_source_divergence"] = rf"""
+WITH doc AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all({_LOWER}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), occ AS (SELECT id, lang, source, unnest(terms) AS term FROM doc
+), kept AS (
+  SELECT lang, term, count(*) AS lang_n FROM occ GROUP BY lang, term HAVING count(DISTINCT id) >= 3
+), language AS (SELECT lang, count(*) AS v, sum(lang_n) AS lang_total FROM kept GROUP BY lang
+), grp AS (SELECT DISTINCT lang, source FROM doc
+), held AS (
+  SELECT lang, source, term, count(*) AS n FROM occ JOIN kept USING (lang, term) GROUP BY lang, source, term
+), total AS (SELECT lang, source, sum(n) AS total FROM held GROUP BY lang, source
+), shares AS (
+  SELECT grp.lang, grp.source, kept.term, coalesce(n, 0) AS n,
+         {_SHARE.format(n="coalesce(n, 0)", total="coalesce(total, 0)")} AS p,
+         {_SHARE.format(n="lang_n", total="lang_total")} AS q
+  FROM grp JOIN kept ON kept.lang = grp.lang JOIN language ON language.lang = grp.lang
+  LEFT JOIN held ON held.lang = grp.lang AND held.source = grp.source AND held.term = kept.term
+  LEFT JOIN total ON total.lang = grp.lang AND total.source = grp.source
+), apart AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+  GROUP BY a.lang, a.source, b.source
+), value AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+  FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN apart ON apart.lang = a.lang AND apart.source = a.source AND apart.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, CAST(((p - q) * (p - q)) // q AS BIGINT) FROM shares WHERE n > 0 AND p > q
+), ordered AS (
+  SELECT lang, source, part, item, value,
+         CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+  FROM value
+)
+SELECT * FROM ordered WHERE part = 'pair' OR rank <= 200
+"""
+
 
 def query(function):
     def run(spark: SparkSession, folder: str) -> DataFrame:
@@ -136,3 +176,8 @@ def op8_main_text(spark, folder):
 @query
 def op3_language_model(spark, folder):
     return lm.digest(lm.score_texts(table(spark, folder, "documents").select("doc_id", "text")))
+
+
+@query
+def op12_source_divergence(spark, folder):
+    return divergence.audit(table(spark, folder, "documents").select("text", "lang", "source"))
