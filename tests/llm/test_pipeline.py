@@ -41,7 +41,7 @@ def test_stages_on_a_small_folder(spark, folder):
 def test_registered_queries(spark, duck, folder):
     registered, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     names = [n for n in registered if re.match(r"op\d+_", n)]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in registered
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in registered
     for name in (n for n in names if n in sql):
         result = duck.execute(sql[name])
         columns = sorted(d[0] for d in result.description)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, divergence, html, linededup, lm, mixing, neardup, quality, tokenfile, topk, toxicity
+from tidemark.llm import chat, decontaminate, divergence, html, linededup, lm, mixing, neardup, quality, repair, tokenfile, topk, toxicity
 from tidemark.llm.shared import table, workers_import
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,6 +124,103 @@ SELECT * FROM ordered WHERE part = 'pair' OR rank <= 200
 """
 
 
+def _edit(state: str, cost: str, letter: str) -> str:
+    """A search state, its cost in six digits before its audit, after one more edit."""
+    return f"lpad(CAST(CAST(left({state}, 6) AS INT) + {cost} AS VARCHAR), 6, '0') || substr({state}, 7) || '{letter}'"
+
+
+def _with_inserts(s0: str, s1: str, s2: str, s3: str) -> str:
+    """The four states as s0 to s3, after empty turns where those are cheaper."""
+    return f"""SELECT conv_id, i, s0, s1, s2, least(s3, {_edit("s2", "3", "I")}) AS s3 FROM (
+      SELECT conv_id, i, s0, s1, s3, least(s2, {_edit("s0", "3", "I")}, {_edit("s1", "3", "I")}, {_edit("s3", "3", "I")}) AS s2
+      FROM (SELECT conv_id, i, {s0} AS s0, {s1} AS s1, {s2} AS s2, {s3} AS s3 FROM {{source}}))"""
+
+
+_NONE = "CAST(NULL AS VARCHAR)"
+_USER = "least(s0, s1, s3)"
+#: The same search without bounds: all four states are carried on row by row, each with its best audit.
+ORACLE["op13_conversation_repair"] = rf"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+                          lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS crc
+  FROM (SELECT unnest(range(256)) AS i)
+), keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name
+  FROM conversations
+), kinds AS (
+  SELECT conv_id, turn, role, text,
+         xor(4294967295, list_reduce(
+           list_prepend(4294967295, list_transform(range(1, length(name) + 1), lambda i: CAST(ascii(substr(name, i, 1)) AS BIGINT))),
+           lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1]))) % 20 AS kind
+  FROM keyed, crc_table
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM kinds WHERE kind <> 0
+), copies AS (
+  SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS copy
+  FROM damaged
+), placed AS (
+  SELECT *, left(role, 1) AS initial, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i
+  FROM copies
+), faulty AS (
+  SELECT *, NOT regexp_matches(text, '[^ 	-
+]') AS blank,
+         NOT regexp_matches(text, '[.!?][ 	-
+]*$') AS open,
+         lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair
+  FROM placed
+), coded AS (
+  SELECT *, NOT blank AND copy > 1 AS duplicate, NOT blank AND copy = 1 AND open AS truncated, blank OR copy > 1 AS gone,
+         CASE WHEN NOT blank AND copy = 1 AND open THEN 3 ELSE 0 END AS extra
+  FROM faulty
+), counts AS (
+  SELECT conv_id, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated,
+         count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM coded GROUP BY conv_id
+), search AS (
+  {_with_inserts("'000000'", _NONE, _NONE, _NONE).format(source="(SELECT conv_id, CAST(0 AS BIGINT) AS i FROM counts)")}
+  UNION ALL
+  {_with_inserts(
+      _edit("s0", "4", "D"),
+      "least(" + _edit("s1", "4", "D") + ", CASE WHEN NOT gone AND initial = 's' THEN " + _edit("s0", "extra", "K") + " END)",
+      "least(" + _edit("s2", "4", "D")
+      + ", CASE WHEN NOT gone AND initial = 'u' THEN " + _edit(_USER, "extra", "K") + " END"
+      + ", CASE WHEN NOT gone THEN " + _edit(_USER, "3 + extra", "R") + " END)",
+      "least(" + _edit("s3", "4", "D")
+      + ", CASE WHEN NOT gone AND initial = 'a' THEN " + _edit("s2", "extra", "K") + " END"
+      + ", CASE WHEN NOT gone THEN " + _edit("s2", "3 + extra", "R") + " END)",
+  ).format(source="(SELECT c.*, s.s0, s.s1, s.s2, s.s3 FROM search s JOIN coded c ON c.conv_id = s.conv_id AND c.i = s.i + 1)")}
+), found AS (
+  SELECT conv_id, least(s0, s3) AS best FROM search JOIN counts USING (conv_id) WHERE i = n
+), writing AS (
+  SELECT conv_id, substr(best, 7) AS audit, CAST(1 AS BIGINT) AS spot, CAST(0 AS BIGINT) AS i, '' AS last, {_NONE} AS lines FROM found
+  UNION ALL
+  SELECT conv_id, audit, spot + 1, i, CASE WHEN name IS NULL THEN last ELSE left(name, 1) END,
+         CASE WHEN name IS NULL THEN lines ELSE coalesce(lines || chr(10), '') || name || ':' || body END
+  FROM (
+    SELECT w.conv_id, audit, spot, CASE WHEN edit = 'I' THEN w.i ELSE w.i + 1 END AS i, last, lines,
+           CASE edit WHEN 'K' THEN role WHEN 'D' THEN NULL ELSE CASE WHEN last = 'u' THEN 'assistant' ELSE 'user' END END AS name,
+           CASE WHEN edit = 'I' THEN '' ELSE text END AS body
+    FROM (SELECT *, substr(audit, spot, 1) AS edit FROM writing WHERE spot <= length(audit)) w
+    LEFT JOIN coded c ON c.conv_id = w.conv_id AND c.i = w.i + 1
+  )
+), written AS (SELECT conv_id, audit, lines FROM writing WHERE spot > length(audit)
+)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       CAST(coalesce(left(best, 6), '0') AS BIGINT) AS cost, coalesce(audit, '') AS audit,
+       sha256(coalesce(lines, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counts ON counts.conv_id = o.conv_id
+LEFT JOIN found ON found.conv_id = o.conv_id
+LEFT JOIN written ON written.conv_id = o.conv_id
+"""
+
+
 def query(function):
     def run(spark: SparkSession, folder: str) -> DataFrame:
         workers_import(spark)
@@ -217,3 +314,10 @@ def op11_chat_format(spark, folder):
 @query
 def op12_source_divergence(spark, folder):
     return divergence.audit(table(spark, folder, "documents").select("text", "lang", "source"))
+
+
+@query
+def op13_conversation_repair(spark, folder):
+    conversations = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    plans, turns = repair.repair(repair.damaged(conversations))
+    return repair.digest(conversations, plans, turns)
