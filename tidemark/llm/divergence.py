@@ -41,7 +41,7 @@ SENT = 200_000
 #: Points compared with the skyband at once.
 _BLOCK = 1024
 #: Bytes of a text cut into terms at once; (group, term) counts that a task holds before it hands them on.
-_STRETCH, _HELD = 1 << 20, 300_000
+_STRETCH, _HELD = 1 << 20, 500_000
 
 
 def _term_bytes() -> bytes:
@@ -94,9 +94,11 @@ def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def kept_terms(documents: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """(lang, term, lang_n, groups): the kept terms with their occurrences, ``groups`` by source."""
     slim = documents.select(_named("lang"), _named("source"), _named("text"))
-    # Summed up in each task before the shuffle, so a word that is everywhere is a few rows per task and source.
+    # Summed up in each task before the shuffle, so a word that is everywhere is a few rows per task and source;
+    # one exchange then serves both groupings.
     counted = slim.mapInArrow(_counted, "lang string, source string, term string, n long, docs long")
-    by_source = counted.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    dealt = counted.repartition("lang", "term")
+    by_source = dealt.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     return (
         by_source.groupBy("lang", "term")
         .agg(
@@ -163,7 +165,7 @@ class Audit:
         b = self.groups.select("lang", F.col("source").alias("item"), *[F.col(c).alias(f"b_{c}") for c in columns])
         # The result has a row for each of these pairs; nothing but totals of groups meets here.
         both = beside(stored(a.join(b, "lang").where(F.col("source") != F.col("item")), "pairs-of-sources"))
-        counts = self.each.groupBy("lang", "source", "n").agg(F.count(F.lit(1)).alias("terms"))
+        counts = stored(self.each.groupBy("lang", "source", "n").agg(F.count(F.lit(1)).alias("terms")), "term-histogram")
         p, q = share(F.col("n"), F.col("a_total"), F.col("a_kept")), share(F.col("n"), F.col("b_total"), F.col("b_kept"))
         mine = counts.join(both, ["lang", "source"]).select(
             "lang", "source", "item", (F.col("terms") * distance(p, F.col("b_none"))).alias("value")
@@ -263,18 +265,20 @@ class Band:
         if not len(chosen):
             return stay
         own = [terms[i] for i in chosen]
-        # Code points stand in the order of their UTF-8.
-        names = sorted({*self.terms, *own})
-        number = dict(zip(names, range(len(names)), strict=True))
-        own_rank, own_low = np.array([number[t] for t in own]), low[chosen]
-        band_rank = np.array([number[t] for t in self.terms], np.int64)
-        over = ((self.low <= own_low[:, None]) & (band_rank < own_rank[:, None])).sum(axis=1)
+        # Code points stand in the order of their UTF-8. Places in order are compared, in short numbers.
+        rank = np.empty(len(self.terms) + len(own), np.int32)
+        names = self.terms + own
+        rank[sorted(range(len(names)), key=names.__getitem__)] = np.arange(len(names))
+        lows = np.unique(np.concatenate([self.low, low[chosen]]), return_inverse=True)[1].astype(np.int32)
+        held = len(self.terms)
+        own_rank, own_low = rank[held:], lows[held:]
+        over = np.count_nonzero((lows[:held] <= own_low[:, None]) & (rank[:held] < own_rank[:, None]), axis=1)
         left = np.flatnonzero(over < self.k)
         earlier = (own_low[left] <= own_low[left][:, None]) & (own_rank[left] < own_rank[left][:, None])
         # Rows of the block that fell out have k dominators in the band, which count for whatever those dominate.
-        left = left[over[left] + np.tril(earlier, -1).sum(axis=1) < self.k]
+        left = left[over[left] + np.count_nonzero(np.tril(earlier, -1), axis=1) < self.k]
         stay[chosen[left]] = True
-        self.low = np.concatenate([self.low, own_low[left]])
+        self.low = np.concatenate([self.low, low[chosen[left]]])
         self.terms += [own[i] for i in left]
         return stay
 
