@@ -58,3 +58,17 @@ def test_files_against_the_tokenizer(table_of, monkeypatch):
 
 def test_empty_table(table_of):
     assert tokenfile.token_files(table_of([]), tokenizer_path()).count() == 0
+
+
+def test_memory_is_bounded_and_frequent_words_stay():
+    encoder = tokenfile.Encoder(tokenizer_path(), memory=600_000)
+    rng = np.random.default_rng(2)
+    often = words(200, 77)
+    for k in range(40):
+        text = " ".join([w for w in words(400, k) for w in (w, often[rng.integers(200)])])
+        list(encoder.encode([text] * 3))
+        held = [encoder.steady, encoder.fresh, encoder.old]
+        assert sum(180 + len(w) + len(ids) for d in held for w, ids in d.items()) < 3 * 600_000
+    # Met first or last, words of every text are at hand, and few of those of one text are.
+    known = encoder.steady | encoder.old
+    assert sum(w in known for w in often) > 190

@@ -12,9 +12,11 @@ a null doc_id sorts first. An empty table gives empty files and no rows.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +34,10 @@ PERCENTILE = 95
 #: Ids after which a chunk is closed at the end of a document.
 CHUNK = 1 << 16
 END_ID = 2
-#: Words, and pieces of words, whose ids a worker remembers, at most (about 200 bytes each).
-MEMORY = 200_000
+#: Bytes of words, and pieces of words, with their ids, that a worker remembers as steady; as many again as old, half of it as fresh.
+MEMORY = 64_000_000
+#: Bytes that an entry takes beside its characters and ids; texts encoded together.
+_ENTRY, _TEXTS = 180, 256
 
 # --- patched frame of reference --------------------------------------------------
 
@@ -137,12 +141,28 @@ _OTHER = re.compile("[^\t\n\r\x20-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0
 _PIECES = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[0-9]|[^\\s0-9{_LETTERS}]+")
 
 
+
+def _written_bytes() -> dict[int, str]:
+    """How byte-level vocabularies write each byte: printable ones as themselves, the others in order from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(0x100 + i) for i, b in enumerate(hidden)}
+
+
+_WRITTEN = _written_bytes()
+
+
 class Encoder:
-    """Ids of whole texts, with the ids of words and pieces met before kept.
+    """Ids of whole texts, with the ids of words and of pieces of words met lately kept.
+
+    Ids never reach over white space, nor over the end of a piece, and a word of one piece is that piece; so words and
+    pieces share a memory. The model encodes a new piece by itself, from its bytes written as the vocabulary writes
+    them. Words of other characters go to the whole tokenizer, many at a time.
 
-    Ids never reach over white space, nor over the end of a piece. New pieces are encoded many at a time; the last id
-    of a piece is marked as a word's end in the vocabulary, so it tells them apart. Words of other characters go to the
-    tokenizer as they are. A full memory takes no more: what is frequent is met early.
+    A word met once is remembered among the fresh ones, which are forgotten when they fill their share of the memory;
+    met again before that, it is steady. When steady words fill theirs, they become old ones, those old before are
+    forgotten, and words asked for again come back. So frequent words stay, whenever they were met first, and all
+    sizes are in bytes.
     """
 
     def __init__(self, path: str, memory: int = MEMORY) -> None:
@@ -150,46 +170,62 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        names = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.ends = np.zeros(max(names.values()) + 1, bool)
-        self.ends[[i for name, i in names.items() if name.endswith("</w>")]] = True
-        self.memory, self.words, self.pieces = memory, {"": b""}, {}
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-
-    def _encoded(self, pieces: list[str]) -> dict[str, bytes]:
-        ids = self._ids(" ".join(pieces))
-        cuts = [0, *((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()]
-        if len(cuts) != len(pieces) + 1:
-            return {p: self._ids(p).tobytes() for p in pieces}
-        raw = ids.tobytes()
-        return {p: raw[a:b] for p, a, b in zip(pieces, cuts[:-1], cuts[1:], strict=True)}
-
-    def _new(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of words not met before."""
-        cut = {w: None if _OTHER.search(w) else _PIECES.findall(w.lower()) for w in words}
-        known = self.pieces
-        missing = {p for pieces in cut.values() if pieces for p in pieces if p not in known}
-        if missing:
-            encoded = self._encoded(list(missing))
-            if len(known) + len(encoded) > self.memory:
-                known = known | encoded
-            else:
-                known.update(encoded)
-        out = {
-            w: self._ids(w).tobytes() if pieces is None else b"".join([known[p] for p in pieces]) for w, pieces in cut.items()
-        }
-        if len(self.words) + len(out) <= self.memory:
-            self.words.update(out)
+        # Pieces come to the model once; those that are frequent are remembered here.
+        self.tokenize = self.tokenizer.model.tokenize
+        self.raw = [i.to_bytes(4, "little") for i in range(max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1)]
+        self.memory, self.steady_bytes, self.fresh_bytes = memory, 0, 0
+        self.steady: dict[str, bytes] = {}
+        self.fresh: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _recall(self, text: str) -> bytes | None:
+        """Ids of a word or piece that is not steady but was met before; it is steady from now on."""
+        ids = self.fresh.pop(text, None)
+        if ids is None:
+            ids = self.old.get(text)
+        if ids is not None:
+            self.steady[text] = ids
+            self.steady_bytes += _ENTRY + len(text) + len(ids)
+        return ids
+
+    def _piece(self, piece: str) -> bytes:
+        ids = self.steady.get(piece)
+        if ids is None:
+            ids = self._recall(piece)
+        if ids is None:
+            written = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_WRITTEN)
+            raw = self.raw
+            ids = self.fresh[piece] = b"".join([raw[token.id] for token in self.tokenize(written)])
+            self.fresh_bytes += _ENTRY + len(piece) + len(ids)
+        return ids
+
+    def _ids(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of words that are not steady."""
+        odd, cut, piece, others, out = _OTHER.search, _PIECES.findall, self._piece, [], {}
+        for word in words:
+            ids = self._recall(word)
+            if ids is None:
+                if odd(word):
+                    others.append(word)
+                    continue
+                lower = word.lower()
+                pieces = cut(lower)
+                if len(pieces) == 1 and lower == word:
+                    out[word] = piece(word)
+                    continue
+                ids = self.fresh[word] = b"".join(map(piece, pieces))
+                self.fresh_bytes += _ENTRY + len(word) + len(ids)
+            out[word] = ids
+        for word, found in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True):
+            out[word] = self.fresh[word] = b"".join([self.raw[i] for i in found.ids])
+            self.fresh_bytes += _ENTRY + len(word) + len(out[word])
         return out
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Each text's ids as little-endian u32."""
-        get = self.words.get
-        for begin in range(0, len(texts), 256):
-            found, open_words, need = [], [], set()
-            for text in texts[begin : begin + 256]:
+        for begin in range(0, len(texts), _TEXTS):
+            get, found, open_words, need = self.steady.get, [], [], set()
+            for text in texts[begin : begin + _TEXTS]:
                 row = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
                 ids = list(map(get, row))
                 if None in ids:
@@ -198,23 +234,56 @@ class Encoder:
                     need.update(words)
                     open_words.append((ids, at, words))
                 found.append(ids)
-            new = self._new(need) if need else {}
+            new = self._ids(need) if need else {}
             for ids, at, words in open_words:
                 for i, w in zip(at, words, strict=True):
                     ids[i] = new[w]
             yield from map(b"".join, found)
+            if self.fresh_bytes > self.memory // 2:
+                self.fresh, self.fresh_bytes = {}, 0
+            if self.steady_bytes > self.memory:
+                self.old, self.steady, self.steady_bytes = self.steady, {}, 0
 
 
 _ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """One encoder per worker process, so that words learnt in one task serve the next."""
+    """One encoder per worker process and vocabulary: words learnt in one task serve the next, within its memory."""
     if path not in _ENCODERS:
+        _ENCODERS.clear()
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
 
 
+def freed(function: Callable) -> Callable:
+    """``function`` of a task's batches, with memory that is free given back to the system before and after.
+
+    Workers serve many tasks; the C library and Arrow keep what earlier ones have freed.
+    """
+
+    def run(batches):
+        _give_back()
+        # Nothing here makes cycles, and looking for them among so many strings takes time.
+        gc.disable()
+        try:
+            yield from function(batches)
+        finally:
+            gc.enable()
+            _give_back()
+
+    return run
+
+
+def _give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # Another C library, which gives back by itself or not at all.
+
+
 # --- files -----------------------------------------------------------------------
 
 
@@ -271,7 +340,7 @@ def write_tokens(documents: DataFrame, tokenizer: str, folder: str, key: str = "
         if docs:
             yield chunk()
 
-    ordered.mapInArrow(chunks, schema).write.option("compression", "zstd").parquet(folder)
+    ordered.mapInArrow(freed(chunks), schema).write.option("compression", "zstd").parquet(folder)
 
 
 def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
