@@ -154,6 +154,10 @@ sql("visible_nodes", "index_nodes acl_readers", """
     SELECT * FROM index_nodes WHERE acl_id IN (
         SELECT acl_id FROM acl_readers WHERE authority IN ('GROUP_BUILDING', 'GROUP_MACHINERY'))""")
 
+sql("visible_by_bitmap", "index_nodes acl_readers", """
+    SELECT * FROM index_nodes WHERE acl_id IN (
+        SELECT acl_id FROM acl_readers WHERE authority IN ('GROUP_BUILDING', 'GROUP_MACHINERY'))""")
+
 
 def compared(source: str, index: str, key: str) -> str:
     return f"""
@@ -167,6 +171,9 @@ def compared(source: str, index: str, key: str) -> str:
 sql("repo_vs_index", "transactions index_tx", compared("transactions", "index_tx", "tx_id"))
 sql("repo_vs_index_acl", "change_sets index_change_sets", compared("change_sets", "index_change_sets", "change_set_id"))
 
+sql("repo_vs_index_differences", "transactions index_tx", f"""
+    SELECT * FROM ({compared("transactions", "index_tx", "tx_id")}) WHERE in_source <> in_index""")
+
 # --- routing and scalar functions --------------------------------------------
 
 sql("route_nodes", "nodes", f"""
@@ -432,6 +439,17 @@ sql("field_prefix_search", "names", """
 RINGS = "SELECT node_id, name FROM names WHERE regexp_matches(lower(name), '(^|[^\\p{L}\\p{N}])ring')"
 sql("search_page", "names", f"""
     SELECT *, (SELECT count(*) FROM ({RINGS})) AS total_items FROM ({RINGS}) ORDER BY node_id LIMIT 25 OFFSET 5""")
+POSTED = "regexp_matches(lower({f}), '(^|[^\\p{{L}}\\p{{N}}]){p}')"
+sql("postings_search", "names", " UNION ALL ".join(
+    f"SELECT DISTINCT node_id, '{f} {p}' AS mode FROM names WHERE "
+    + (POSTED.format(f=f, p=p.lower()) if p else f"regexp_matches(lower({f}), '[\\p{{L}}\\p{{N}}]')")
+    for f, p in [("name", "Wid"), ("name", "ring"), ("content", "the"), ("content", "")]))
+sql("reindex_by_postings", "names index_nodes", f"""
+    SELECT node_id FROM index_nodes WHERE node_id IN (SELECT node_id FROM ({RINGS}))""")
+sql("suggest_from_dictionary", "names", """
+    SELECT term, count(*) AS n FROM (
+        SELECT unnest(string_split_regex(lower(concat_ws(' ', name, title, description, content)), '[^\\p{L}\\p{N}]+')) AS term FROM names)
+    WHERE starts_with(term, 're') GROUP BY term ORDER BY n DESC, term LIMIT 20""")
 sql("suggest_terms", "names", """
     SELECT term, count(*) AS n FROM (
         SELECT unnest(string_split_regex(lower(concat_ws(' ', name, title, description, content)), '[^\\p{L}\\p{N}]+')) AS term FROM names)

@@ -10,7 +10,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import maps, paths
-from tidemark.operators import batch, expand, inventory, mutate, pending, reconcile, route, search, snapshots, telemetry
+from tidemark.operators import (
+    batch,
+    expand,
+    inventory,
+    mutate,
+    pending,
+    postings,
+    reconcile,
+    route,
+    search,
+    snapshots,
+    telemetry,
+)
 from tidemark.plans import maintenance, snapshot_files, track
 from tidemark.plans.store import IndexStore
 from tidemark.session import configure, freeze, scratch
@@ -293,11 +305,22 @@ def visible_nodes(spark, folder):
     return expand.visible_nodes(T.index_nodes(spark, folder), T.acl_readers(spark, folder), READING_GROUPS)
 
 
+@query
+def visible_by_bitmap(spark, folder):
+    bitmaps = freeze(expand.authority_bitmaps(T.acl_readers(spark, folder)))
+    return expand.visible_by_bitmap(T.index_nodes(spark, folder), bitmaps, READING_GROUPS)
+
+
 @query
 def repo_vs_index(spark, folder):
     return reconcile.repo_vs_index(T.transactions(spark, folder), T.index_tx(spark, folder), "tx_id")
 
 
+@query
+def repo_vs_index_differences(spark, folder):
+    return reconcile.repo_vs_index_differences(T.transactions(spark, folder), T.index_tx(spark, folder), "tx_id")
+
+
 @query
 def repo_vs_index_acl(spark, folder):
     return reconcile.repo_vs_index(
@@ -651,6 +674,36 @@ def field_prefix_search(spark, folder):
     return word.unionByName(whole).unionByName(exact.select("node_id", F.lit("case").alias("mode"))).unionByName(text)
 
 
+def stored_postings(spark, folder):
+    path = scratch(spark, "postings")
+    postings.write_postings(postings.postings(T.names(spark, folder), "node_id", ["name", "content"]), path)
+    return spark.read.parquet(path)
+
+
+@query
+def postings_search(spark, folder):
+    found = stored_postings(spark, folder)
+    modes = [("name", "Wid"), ("name", "ring"), ("content", "the"), ("content", "")]
+    hits = [postings.search(found, f, p).select("node_id", F.lit(f"{f} {p}").alias("mode")) for f, p in modes]
+    return hits[0].unionByName(hits[1]).unionByName(hits[2]).unionByName(hits[3])
+
+
+@query
+def reindex_by_postings(spark, folder):
+    return postings.reindex_by_postings(T.index_nodes(spark, folder), stored_postings(spark, folder), "name", "ring")
+
+
+@query
+def suggest_from_dictionary(spark, folder):
+    """Three runs: all even nodes, all nodes of a third, and those taken away again that are in both."""
+    rows, path = T.names(spark, folder), scratch(spark, "dictionary")
+    even, third = F.col("node_id") % 2 == 0, F.col("node_id") % 3 == 0
+    runs = [(rows.where(even), 1), (rows.where(third | ~even), 1), (rows.where(even & third), -1)]
+    for run, sign in runs:
+        postings.write_dictionary(postings.dictionary(run, sign=sign), path)
+    return postings.suggest(spark.read.parquet(path), "re", limit=20)
+
+
 @query
 def search_page(spark, folder):
     hits = search.field_prefix_search(T.names(spark, folder), "name", "ring").select("node_id", "name")

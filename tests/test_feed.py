@@ -134,3 +134,28 @@ def test_empty_shard_interval(spark):
     tx = frame(spark, [(1, 5)])
     assert rows(feed.commit_interval(nodes, tx, 5, 9)) == [(-1, -1)]
     assert rows(feed.commit_interval(nodes, tx, 1, 2)) == [(5, 5)]
+
+
+def test_probes_read_no_more_than_the_memory_and_one(spark, monkeypatch):
+    data = [(i, 7 * HOUR + i * 1000) for i in range(5000)]
+    seen = data[:90]
+    limits, scan = [], feed.scan_feed
+
+    def watched(rows, *bounds, **named):
+        limits.append(named.get("max_results"))
+        return scan(rows, *bounds, **named)
+
+    monkeypatch.setattr(feed, "scan_feed", watched)
+    page = feed.next_page(frame(spark, data), memory(spark, seen), "tx_id", 7 * HOUR, 10**15, max_results=200)
+    assert limits == [None, 91, 200]
+    text = page._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in text and "Join" not in text
+    # A page smaller than the memory hides the new row: the next window is probed, not the whole feed.
+    assert rows(feed.next_page(frame(spark, data), memory(spark, seen), "tx_id", 7 * HOUR, 10**15, max_results=50)) == data[3600:3650]
+
+
+def test_a_feed_that_repeats_known_rows(spark):
+    data = [(1, 7 * HOUR)] * 300 + [(2, 7 * HOUR + 1)]
+    got = feed.next_page(frame(spark, data), memory(spark, [(1, 7 * HOUR)]), "tx_id", 7 * HOUR, 10**15, max_results=2000)
+    assert len(rows(got)) == 301
+    assert rows(feed.next_page(frame(spark, data[:-1]), memory(spark, [(1, 7 * HOUR)]), "tx_id", 7 * HOUR, 10**15)) == []

@@ -55,11 +55,6 @@ def readers_of_acls(acls: DataFrame, readers: DataFrame) -> DataFrame:
     return readers.join(acls.select("acl_id"), "acl_id", "left_semi").select("acl_id", "authority").distinct()
 
 
-def reader_lists(readers: DataFrame) -> DataFrame:
-    """ACLs with their readers as one sorted list, for callers that want the record form."""
-    return readers.groupBy("acl_id").agg(F.sort_array(F.collect_set("authority")).alias("readers"))
-
-
 def visible_nodes(nodes: DataFrame, readers: DataFrame, authorities: Sequence[str]) -> DataFrame:
     """Nodes whose ACL one of the caller's authorities may read.
 
@@ -67,3 +62,42 @@ def visible_nodes(nodes: DataFrame, readers: DataFrame, authorities: Sequence[st
     """
     readable = readers.filter(F.col("authority").isin(list(authorities))).select("acl_id")
     return nodes.join(readable, "acl_id", "left_semi")
+
+
+#: Buckets of ACL ids, each a bitmap of 4 KB, that are sent to every task; with more of them both sides are shuffled.
+SENT_BUCKETS = 4096
+
+
+def authority_bitmaps(readers: DataFrame) -> DataFrame:
+    """(authority, bucket, bits): the ACLs that each authority may read, 32,768 neighbouring ids to a bitmap.
+
+    Kept beside the readers, it answers every caller; a null ACL is nobody's.
+    """
+    known = readers.where(F.col("acl_id").isNotNull())
+    return known.groupBy("authority", F.bitmap_bucket_number("acl_id").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("acl_id")).alias("bits")
+    )
+
+
+def readable_acls(bitmaps: DataFrame, authorities: Sequence[str]) -> DataFrame:
+    """(bucket, words): the ACLs that one of the authorities may read, as 512 longs per bucket."""
+    either = (
+        bitmaps.where(F.col("authority").isin(list(authorities))).groupBy("bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+    )
+    # Eight bytes as hexadecimal digits, read as one signed number; a word's first byte holds its highest bits.
+    word = lambda i: F.conv(F.hex(F.substr("bits", i * 8 + 1, F.lit(8))), 16, -10).cast("long")
+    return either.select("bucket", F.transform(F.sequence(F.lit(0), F.lit(511)), word).alias("words"))
+
+
+def visible_by_bitmap(nodes: DataFrame, bitmaps: DataFrame, authorities: Sequence[str]) -> DataFrame:
+    """``visible_nodes`` by stored bitmaps: a node looks its ACL's bit up, and nodes are not shuffled."""
+    readable = readable_acls(bitmaps, authorities)
+    if readable.count() <= SENT_BUCKETS:
+        readable = F.broadcast(readable)
+    position = F.bitmap_bit_position("acl_id")
+    word = F.element_at("words", F.shiftright(position, 6).cast("int") + 1)
+    # Bit 0 of a byte is its lowest, while bytes come in order: position 0 is bit 56 of its word.
+    shift = (F.lit(7) - F.shiftright(position, 3) % 8) * 8 + position % 8
+    held = F.call_function("getbit", word, shift.cast("int")) == 1
+    place = F.bitmap_bucket_number("acl_id")
+    return nodes.join(readable, (place == F.col("bucket")) & held, "left_semi")

@@ -8,8 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.session import freeze
-
 SUGGEST_FIELDS = ("name", "title", "description", "content")
 TOKEN_BREAK = r"[^\p{L}\p{N}]+"
 
@@ -40,12 +38,13 @@ def field_prefix_search(rows: DataFrame, field: str, prefix: str, **options) ->
 
 
 def search_page(hits: DataFrame, key: str, limit: int, offset: int = 0) -> DataFrame:
-    """One page of the hits in key order; each row carries the total number of hits."""
-    # The hits are searched for once; count and page read what was found.
-    found = freeze(hits)
-    total = found.agg(F.count("*").alias("n")).first()["n"]
-    page = found.orderBy(key).offset(offset).limit(limit)
-    return page.withColumn("total_items", F.lit(total))
+    """One page of the hits in key order; each row carries the total number of hits.
+
+    The page is a top-k of the scan and the total an aggregate of a second one that needs no columns but those searched;
+    nothing is stored.
+    """
+    page = hits.orderBy(key).offset(offset).limit(limit)
+    return page.withColumn("total_items", search_total(hits).scalar())
 
 
 def search_total(hits: DataFrame) -> DataFrame:

@@ -9,13 +9,11 @@ again and removed as a duplicate, so the lower bound has to be inclusive.
 from __future__ import annotations
 
 from collections.abc import Callable
-from itertools import pairwise
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.order import NONE_SENTINEL, feed_order
-from tidemark.session import freeze
 
 #: Page caps, first-row id range, scan steps in milliseconds.
 PAGE_CAP = 2000
@@ -81,55 +79,55 @@ def _first_new_window(
     feed: DataFrame,
     seen: DataFrame,
     id_col: str,
-    window_no: Column,
+    window_of: Callable[[int], int],
     window_start: Callable[[int], int],
     end_ms: int,
     max_results: int,
 ) -> DataFrame:
     """First page of the forward windows that holds something new.
 
-    One aggregation gives each non-empty window its row count and its first row
-    outside the memory. Only rows of the memory, at most its fixed size, can
-    come before the first new row, so what a page cap hides is found by joining
-    those few rows. Windows that are empty or wholly seen are passed over; after
-    an empty one the next is tried only if it starts before ``end_ms``.
+    Only rows of the memory, at most its fixed size, can come before the first new row. So that row is among the first
+    (memory + 1) rows in feed order, a top-k with literal bounds; how far the feed goes on behind them is not looked at.
+    If a page cap hides the new row behind known ones of its window, the next probe begins at the next window; each such
+    probe has used up a page of the memory, so there are few. Windows that are empty or wholly seen are passed over;
+    after an empty one the next is tried only if it starts before ``end_ms``.
 
-    Only numbers of windows come to the driver: the one found and those passed
-    over, each of which holds a row of the memory. The page itself is then read
+    The memory and the rows of the probes come to the driver, as many as the memory holds. The page itself is then read
     with literal bounds.
     """
-    order = feed_order(id_col)
-    memory = freeze(seen.select(F.col(id_col).alias("_seen_id"), "arrival"))
-    last_seen = memory.agg(F.max_by("_seen_id", "arrival")).first()[0]
-    rows = feed.select(id_col, "commit_time_ms", window_no.alias("window_no"))
-    flagged = rows.join(F.broadcast(memory), F.col(id_col) == F.col("_seen_id"), "left")
-    known = F.col("_seen_id").isNotNull()
-    windows = flagged.groupBy("window_no").agg(
-        F.count("*").alias("n"),
-        F.min(order).alias("_first"),
-        F.min(F.when(~known, order)).alias("_first_new"),
-        # No longer than the memory.
-        F.collect_list(F.when(known, order)).alias("_known"),
-    )
-    ahead = F.size(F.filter("_known", lambda key: key < F.col("_first_new")))
-    is_new = (
-        F.lit(True)
-        if last_seen is None
-        else F.when(F.least(F.col("n"), F.lit(max_results)) == 1, F.col("_first")[id_col] != last_seen).otherwise(
-            F.col("_first_new").isNotNull() & (ahead < max_results)
-        )
-    )
-    judged = freeze(windows.select("window_no", is_new.alias("is_new")))
-    target = judged.filter("is_new").agg(F.min("window_no")).first()[0]
-    if target is None:
-        return feed.limit(0)
-    passed = [r["window_no"] for r in judged.filter(F.col("window_no") <= target).orderBy("window_no").collect()]
-    for before, here in pairwise([-1, *passed]):
-        if here - before > 1 and window_start(here) >= end_ms:
+    memory = seen.select(id_col, "arrival").collect()
+    known = {row[id_col] for row in memory}
+    last_seen = max(memory, key=lambda row: row["arrival"])[id_col] if memory else None
+    at, passed, size = 0, -1, len(known) + 1
+    while True:
+        probe = scan_feed(feed, id_col, from_time=window_start(at), max_results=size)
+        rows = probe.select("commit_time_ms", id_col).collect()
+        whole = len(rows) < size
+        if not whole and all(row[id_col] in known for row in rows):
+            # Only a feed that repeats known rows fills a probe with them.
+            size *= 2
+            continue
+        by_window: dict[int, list] = {}
+        for row in rows:
+            by_window.setdefault(window_of(row["commit_time_ms"]), []).append(row[id_col])
+        for window, ids in by_window.items():
+            if window - passed > 1 and window_start(window) >= end_ms:
+                return feed.limit(0)
+            # Only the last window of a probe may go on behind it; with one row there, that row is new.
+            if last_seen is None or _is_new(ids, known, last_seen, max_results):
+                return scan_feed(feed, id_col, window_start(window), window_start(window + 1), max_results=max_results)
+            passed = window
+        if whole:
             return feed.limit(0)
-    return scan_feed(
-        feed, id_col, window_start(target), window_start(target + 1), max_results=max_results
-    )
+        at = passed + 1
+
+
+def _is_new(ids: list, known: set, last_seen, max_results: int) -> bool:
+    """Whether a window's page is worth reading: a single row if it is not the last one seen, more if one is not known."""
+    page = ids[:max_results]
+    if len(page) == 1:
+        return page[0] != last_seen
+    return any(i not in known for i in page)
 
 
 def next_page(
@@ -150,8 +148,9 @@ def next_page(
     if start == 0:
         return scan_feed(feed, id_col, 0, step_ms, max_results=max_results)
     later = scan_feed(feed, id_col, from_time=start)
-    window_no = F.expr(f"(commit_time_ms - {start}L) div {step_ms}L")
-    return _first_new_window(later, seen, id_col, window_no, lambda n: start + n * step_ms, end_ms, max_results)
+    return _first_new_window(
+        later, seen, id_col, lambda ms: (ms - start) // step_ms, lambda n: start + n * step_ms, end_ms, max_results
+    )
 
 
 def next_commit_page(
@@ -191,10 +190,12 @@ def adaptive_windows(
     start = from_ms or 0
     doubling = _doublings(step_ms, max_step_ms)
     grown = (1 << doubling) - 1  # steps covered by the doubling windows
-    steps = F.expr(f"(commit_time_ms - {start}L) div {step_ms}L")
-    window_no = F.when(steps < grown, F.length(F.bin(steps + 1)) - 1).otherwise(
-        doubling + F.expr(f"(commit_time_ms - {start + grown * step_ms}L) div {max_step_ms}L")
-    )
+
+    def window_of(ms: int) -> int:
+        steps = (ms - start) // step_ms
+        if steps < grown:
+            return (steps + 1).bit_length() - 1
+        return doubling + (ms - start - grown * step_ms) // max_step_ms
 
     def window_start(n: int) -> int:
         if n <= doubling:
@@ -202,7 +203,7 @@ def adaptive_windows(
         return start + grown * step_ms + (n - doubling) * max_step_ms
 
     later = scan_feed(feed, id_col, from_time=start)
-    return _first_new_window(later, seen, id_col, window_no.cast("long"), window_start, end_ms, max_results)
+    return _first_new_window(later, seen, id_col, window_of, window_start, end_ms, max_results)
 
 
 def commit_interval(nodes: DataFrame, feed: DataFrame, start_id: Bound, end_id: Bound) -> DataFrame:
