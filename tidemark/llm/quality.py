@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from tidemark.llm import wordhash
 from tidemark.llm.samples import labelled_sample
-from tidemark.llm.shared import fold, unused, utf8
+from tidemark.llm.shared import fold, freed, unused, utf8
 
 #: Labelled rows that the classifier is fitted on, at most.
 SAMPLE = 4000
@@ -27,6 +27,8 @@ BITS = 18
 THRESHOLD = 0.7
 #: A text's features sum to this in each family.
 SCALE = 8.0
+#: Bytes of texts whose features a task holds at once: some 100 bytes each.
+_STRETCH = 400_000
 _CLASS = np.array([65 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else 97 if c >= 128 or 97 <= c <= 122 else c for c in range(256)], np.uint8)
 _REPEATED = np.uint64(0x1234567)
 
@@ -62,7 +64,7 @@ def features(texts: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray]]:
 def dots(texts: list[bytes], weights: np.ndarray) -> np.ndarray:
     """The weights' product with each text's features."""
     total = np.zeros(len(texts))
-    for begin, end in wordhash.stretches(texts):
+    for begin, end in wordhash.stretches(texts, _STRETCH):
         for values, offsets in zip(*features(texts[begin:end]), strict=True):
             sums = np.concatenate([[0.0], np.cumsum(weights[values], dtype=np.float64)])
             total[begin:end] += SCALE * (sums[offsets[1:]] - sums[offsets[:-1]]) / np.maximum(np.diff(offsets), 1)
@@ -154,7 +156,7 @@ def score_quality(
             columns = [*batch.columns, pa.array(p), pa.array((p >= threshold).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return documents.mapInArrow(scored, schema), score, predicted
+    return documents.mapInArrow(freed(scored), schema), score, predicted
 
 
 def keep_good(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:

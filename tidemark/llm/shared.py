@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +59,34 @@ def stored(frame: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def freed(function: Callable) -> Callable:
+    """``function`` of a task's batches, with memory that is free given back to the system before and after.
+
+    Workers serve many tasks; the C library and Arrow keep what earlier ones have freed.
+    """
+
+    def run(batches):
+        _give_back()
+        # Nothing here makes cycles, and looking for them among so many strings takes time.
+        gc.disable()
+        try:
+            yield from function(batches)
+        finally:
+            gc.enable()
+            _give_back()
+
+    return run
+
+
+def _give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # Another C library, which gives back by itself or not at all.
+
+
 def utf8(texts) -> list[bytes]:
     """Texts as UTF-8 bytes; null is the empty text."""
     return [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in texts]

@@ -12,11 +12,9 @@ a null doc_id sorts first. An empty table gives empty files and no rows.
 
 from __future__ import annotations
 
-import ctypes
-import gc
 import os
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tidemark.llm.shared import scratch, unused
+from tidemark.llm.shared import freed, scratch, unused
 
 BLOCK = 128
 #: The share of a block's differences that its width must hold.
@@ -221,6 +219,10 @@ class Encoder:
             self.fresh_bytes += _ENTRY + len(word) + len(out[word])
         return out
 
+    def rest(self) -> None:
+        """Keep no more than the steady words until the next task."""
+        self.fresh, self.old, self.fresh_bytes = {}, {}, 0
+
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Each text's ids as little-endian u32."""
         for begin in range(0, len(texts), _TEXTS):
@@ -256,34 +258,6 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def freed(function: Callable) -> Callable:
-    """``function`` of a task's batches, with memory that is free given back to the system before and after.
-
-    Workers serve many tasks; the C library and Arrow keep what earlier ones have freed.
-    """
-
-    def run(batches):
-        _give_back()
-        # Nothing here makes cycles, and looking for them among so many strings takes time.
-        gc.disable()
-        try:
-            yield from function(batches)
-        finally:
-            gc.enable()
-            _give_back()
-
-    return run
-
-
-def _give_back() -> None:
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-    except (OSError, AttributeError):
-        pass  # Another C library, which gives back by itself or not at all.
-
-
 # --- files -----------------------------------------------------------------------
 
 
@@ -339,6 +313,7 @@ def write_tokens(documents: DataFrame, tokenizer: str, folder: str, key: str = "
                     docs, counts, raw, size = [], [], [], 0
         if docs:
             yield chunk()
+        own.rest()
 
     ordered.mapInArrow(freed(chunks), schema).write.option("compression", "zstd").parquet(folder)
 

@@ -78,11 +78,12 @@ def bounds(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, ends
 
 
-def stretches(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about STRETCH bytes; one longer text is a range of its own."""
+def stretches(texts: list[bytes], most: int | None = None) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``most`` bytes, by default STRETCH; one longer text is a range of its own."""
+    most = most or STRETCH
     begin, size = 0, 0
     for i, text in enumerate(texts):
-        if size and size + len(text) > STRETCH:
+        if size and size + len(text) > most:
             yield begin, i
             begin, size = i, 0
         size += len(text) + 1
