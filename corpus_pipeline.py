@@ -23,6 +23,8 @@ from tidemark.llm.shared import stored, table, workers_import
 #: Texts that go to a Python worker at once. Stages follow each other in the same executors, so what one holds counts
 #: for the next; whole batches of long texts stand in memory three times.
 BATCH_ROWS = 1000
+#: Bytes of words that the encoder remembers here; the workers also hold what earlier stages have left.
+ENCODER_MEMORY = 24_000_000
 
 
 def prepared(spark: SparkSession) -> None:
@@ -57,7 +59,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix's ids, written in files and read back: start, count and checksum of each document."""
     prepared(spark)
-    return tokenfile.digest(tokenfile.token_files(docs, tokenizer_path()))
+    return tokenfile.digest(tokenfile.token_files(docs, tokenizer_path(), memory=ENCODER_MEMORY))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

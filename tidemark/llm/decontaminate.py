@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.shared import stored, unused, utf8
+from tidemark.llm.shared import freed, stored, unused, utf8
 
 #: Consecutive item words that make a match.
 WINDOW = 10
@@ -275,7 +275,7 @@ def decontaminate(
             columns[place] = pa.array(texts, columns[place].type)
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
 
-    out = kept.mapInArrow(cleaned, documents.schema)
+    out = kept.mapInArrow(freed(cleaned), documents.schema)
     if "n_chars" in documents.columns:
         out = out.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
     return out

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.shared import WORD, stored, unused
+from tidemark.llm.shared import WORD, freed, stored, unused
 
 #: Words in a block.
 BLOCK = 128
@@ -269,7 +269,7 @@ def mixed_documents(documents: DataFrame, key: str = "doc_id", **settings) -> Da
             columns[place] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
 
-    out = joined.mapInArrow(rebuilt, documents.schema)
+    out = joined.mapInArrow(freed(rebuilt), documents.schema)
     if "n_chars" in documents.columns:
         out = out.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
     return out

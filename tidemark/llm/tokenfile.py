@@ -250,18 +250,21 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, memory: int = MEMORY) -> Encoder:
     """One encoder per worker process and vocabulary: words learnt in one task serve the next, within its memory."""
     if path not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[path] = Encoder(path)
+        _ENCODERS[path] = Encoder(path, memory)
+    _ENCODERS[path].memory = memory
     return _ENCODERS[path]
 
 
 # --- files -----------------------------------------------------------------------
 
 
-def write_tokens(documents: DataFrame, tokenizer: str, folder: str, key: str = "doc_id", end_id: int = END_ID) -> None:
+def write_tokens(
+    documents: DataFrame, tokenizer: str, folder: str, key: str = "doc_id", end_id: int = END_ID, memory: int = MEMORY
+) -> None:
     """Encode all texts and write the files below ``folder``, in ascending order of ``key`` over all parts."""
     kind = documents.schema[key].dataType
     tie = unused("tie", [key, "text"])
@@ -281,7 +284,7 @@ def write_tokens(documents: DataFrame, tokenizer: str, folder: str, key: str = "
     )
 
     def chunks(batches):
-        own, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        own, end = encoder(tokenizer, memory), np.array([end_id], "<u4").tobytes()
         part, number, begin = TaskContext.get().partitionId(), 0, 0
         docs, counts, raw, size = [], [], [], 0
 
@@ -357,10 +360,10 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return joined.mapInArrow(unpacked, schema)
 
 
-def token_files(documents: DataFrame, tokenizer: str, key: str = "doc_id") -> DataFrame:
+def token_files(documents: DataFrame, tokenizer: str, key: str = "doc_id", memory: int = MEMORY) -> DataFrame:
     """Write a table's ids and read the files back."""
     folder = scratch(documents.sparkSession, "tokens")
-    write_tokens(documents, tokenizer, folder, key)
+    write_tokens(documents, tokenizer, folder, key, memory=memory)
     return read_tokens(documents.sparkSession, folder)
 
 
