@@ -97,3 +97,36 @@ def test_request_rates_over_slot_borders(spark):
             n = sum(h == row["handler"] and row["second"] - width < t // 1000 <= row["second"] for h, t in data)
             assert row[f"rate_{width // 60}min"] == pytest.approx(n / width)
     assert sum(r["requests"] for r in got) == 400
+
+
+def test_parts_are_cut_alike_and_no_row_leaves_the_jvm(spark):
+    data = spark.createDataFrame(hot_rows(), SCHEMA).repartition(5)
+    order = ["commit_time_ms", "tx_id"]
+    first, n = ordered.cut(data, order, 8)
+    again, _ = ordered.cut(data.repartition(3), order, 8)
+    assert n == 8 and rows(first, *order, ordered.PART) == rows(again, *order, ordered.PART)
+    sizes = [r["count"] for r in first.groupBy(ordered.PART).count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 2 * len(hot_rows()) / 8
+    core = spark.createDataFrame([("a", 1, 1)], "core string, sample_ms long, docs long")
+    for frame in (
+        batch.weighted_batches(data), batch.count_batches(data, "tx_id"), batch.fixed_chunks(data, "updates", ["tx_id"], 9),
+        batch.delete_batches(data.select(F.col("tx_id").cast("string").alias("key"))), reconcile.settled_at(core),
+        telemetry.exact_percentiles(data, "updates", "deletes", {"p": 0.5}),
+    ):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "InArrow" not in plan and "Python" not in plan and "Window" in plan
+
+
+@pytest.mark.parametrize("parts", [1, 3, 12])
+def test_nulls_ties_of_the_first_column_and_reverse_order(spark, parts):
+    dice = random.Random(parts)
+    data = [(dice.choice([None, "a", "b", "é", "b" * 40]), None if i == 7 else i) for i in range(300)]
+    frame = spark.createDataFrame(data, "k string, i long").repartition(4)
+    by = lambda r: (r[0] is not None, (r[0] or "").encode(), r[1] is not None, r[1] or 0)
+    expected = sorted(data, key=by)
+    for descending in (False, True):
+        got = ordered.with_position(frame, ["k", "i"], parts=parts, descending=descending).collect()
+        assert [(r["k"], r["i"]) for r in sorted(got, key=lambda r: r["position"])] == expected[:: -1 if descending else 1]
+    places = {(r["k"], r["i"]): r["place"] for r in ordered.with_place(frame, "k", ["i"], parts=parts).collect()}
+    for k in {k for k, _ in data}:
+        assert [places[r] for r in expected if r[0] == k] == list(range(sum(r[0] == k for r in data)))

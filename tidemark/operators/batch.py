@@ -55,7 +55,7 @@ def delete_batches(
     keys: DataFrame, key: str = "key", size: int = DELETE_BATCH, parts: int | None = None
 ) -> DataFrame:
     """Distinct keys, descending, in requests of at most ``size``."""
-    placed = with_position(keys.select(key).distinct(), [F.col(key).desc()], "position", parts)
+    placed = with_position(keys.select(key).distinct(), [key], "position", parts, descending=True)
     return placed.withColumn("batch_no", F.expr(f"position div {size}"))
 
 

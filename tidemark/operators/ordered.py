@@ -1,22 +1,19 @@
 """Positions, running sums and neighbours over a total order, without a global window.
 
-The rows are range-split on the full order key, so one hot commit time, core or
-batch is cut like any other stretch. One pass over the sorted rows of a part counts,
-sums and looks back; its rows are written out with the part's number, since range
-bounds are sampled and another pass might cut elsewhere. Only one summary row per
-part is then looked at in a single task; the number of parts is a parameter, hence
-the broadcast offset table has a known size.
-
-The order columns must identify a row (add an id as the last one).
+Rows are cut into parts at fixed keys of the full order, so one hot commit time, core or
+batch is cut like any other stretch. The keys are taken from a sample that the rows' hashes decide, and stand in the
+plan as literals: every pass cuts alike, however often it is made. One aggregate gives each part's total, of which only
+one row per part is looked at in a single task; windows then run inside the parts. The number of parts is a parameter,
+hence the broadcast offset table has a known size.
+
+The order columns must identify a row (add an id as the last one); nulls come first. Rows are written down once, as all
+passes start from them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,68 +21,56 @@ from pyspark.sql.window import Window
 
 from tidemark.session import freeze
 
-PART, POS, WEIGHT, INSIDE, BEFORE, RUN, RUN_NO = "_part", "_pos", "_weight", "_inside", "_before", "_run", "_run_no"
+PART, WEIGHT, INSIDE = "_part", "_weight", "_inside"
+#: Sampled keys per part; parts differ in size by a few tenths.
+SAMPLED = 100
 
 
 def part_count(df: DataFrame, parts: int | None = None) -> int:
     return parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def swept(
-    df: DataFrame,
-    order: Sequence[Column | str],
-    parts: int | None = None,
-    weight: Column | None = None,
-    look_back: Sequence[str] = (),
-    runs: str | None = None,
-) -> DataFrame:
-    """Rows with their part and the row number in it, in order; one exchange and one sort.
+def _bounds(rows: DataFrame, order: Sequence[str], parts: int) -> list[tuple]:
+    """At most ``parts - 1`` keys that cut the rows into stretches of about one length."""
+    every = max(1, rows.count() // (SAMPLED * parts))
+    chosen = rows.select(*order).where(F.pmod(F.xxhash64(*order), F.lit(every)) == 0)
+    known = chosen.where(F.least(*[F.col(c).isNotNull().cast("int") for c in order], F.lit(1)) == 1)
+    keys = sorted(tuple(r) for r in known.collect())
+    return sorted({keys[len(keys) * i // parts] for i in range(1, parts)}) if keys else []
+
+
+def _not_before(order: Sequence[str], key: tuple) -> Column:
+    """Whether a row's key is the given one or comes after it; null where it comes before for a null's sake."""
+    out = F.col(order[-1]) >= F.lit(key[-1])
+    for column, value in zip(reversed(order[:-1]), reversed(key[:-1]), strict=True):
+        out = (F.col(column) > F.lit(value)) | ((F.col(column) == F.lit(value)) & out)
+    return out
+
+
+def _part(order: Sequence[str], bounds: list[tuple], first: int = 0) -> Column:
+    """The number of bounds that are not after the row, found by halves."""
+    if not bounds:
+        return F.lit(first)
+    half = len(bounds) // 2
+    upper = _part(order, bounds[half + 1 :], first + half + 1)
+    return F.when(_not_before(order, bounds[half]), upper).otherwise(_part(order, bounds[:half], first))
+
+
+def cut(df: DataFrame, order: Sequence[str], parts: int | None = None, descending: bool = False) -> tuple[DataFrame, int]:
+    """The rows with the number of their part, and how many parts there may be."""
+    rows, n = freeze(df), part_count(df, parts)
+    bounds = _bounds(rows, order, n) if n > 1 else []
+    part = _part(order, bounds)
+    return rows.withColumn(PART, F.lit(len(bounds)) - part if descending else part), n
+
+
+def _together(rows: DataFrame, n: int) -> DataFrame:
+    """Each part in a task of its own, as windows over a part need them."""
+    return rows.repartitionById(n, F.col(PART))
 
-    With ``weight``, also the sum of the weights of the part's rows before; a null weighs nothing. With ``look_back``, a
-    struct of those columns of the row before (null for a part's first row). With ``runs``, the number of the run of
-    equal values in the part, and the row's place in its run.
-    """
-    plain = df if weight is None else df.withColumn(WEIGHT, F.coalesce(weight, F.lit(0)).cast("long"))
-    longs = [PART, POS] + [INSIDE] * (weight is not None) + [RUN_NO, RUN] * (runs is not None)
-    fields = [*plain.schema.fields, *[T.StructField(n, T.LongType()) for n in longs]]
-    if look_back:
-        fields.append(T.StructField(BEFORE, T.StructType([plain.schema[c] for c in look_back])))
-    schema, weighed = T.StructType(fields), weight is not None
-
-    def sweep(batches):
-        part, seen, total, last, run_no, run = TaskContext.get().partitionId(), 0, 0, None, 0, 0
-        value = object()
-        for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            columns = [*batch.columns, pa.array(np.full(n, part)), pa.array(np.arange(seen, seen + n))]
-            if weighed:
-                sums = total + np.cumsum(np.asarray(batch[WEIGHT]))
-                columns.append(pa.array(np.concatenate([[total], sums[:-1]])))
-                total = int(sums[-1])
-            if runs is not None:
-                numbers, places = np.empty(n, np.int64), np.empty(n, np.int64)
-                for i, v in enumerate(batch[runs].to_pylist()):
-                    if v != value:
-                        run_no, run, value = run_no + (seen + i > 0), 0, v
-                    numbers[i], places[i] = run_no, run
-                    run += 1
-                columns += [pa.array(numbers), pa.array(places)]
-            if look_back:
-                shifted = []
-                for k, name in enumerate(look_back):
-                    own = batch[name]
-                    first = pa.nulls(1, own.type) if last is None else last[k]
-                    shifted.append(pa.concat_arrays([first, own.slice(0, n - 1)]))
-                missing = pa.array(np.arange(seen, seen + n) == 0)
-                columns.append(pa.StructArray.from_arrays(shifted, list(look_back), mask=missing))
-                last = [batch[name].slice(n - 1) for name in look_back]
-            seen += n
-            yield pa.RecordBatch.from_arrays(columns, schema.names)
-
-    sorted_rows = plain.repartitionByRange(part_count(df, parts), *order).sortWithinPartitions(*order)
-    return freeze(sorted_rows.mapInArrow(sweep, schema))
+
+def _inside(order: Sequence[str], descending: bool = False):
+    return Window.partitionBy(PART).orderBy(*[F.col(c).desc() if descending else F.col(c) for c in order])
 
 
 def _earlier_parts(totals: DataFrame, total: str, offset: str) -> DataFrame:
@@ -94,98 +79,105 @@ def _earlier_parts(totals: DataFrame, total: str, offset: str) -> DataFrame:
     return totals.select(PART, F.coalesce(F.sum(total).over(before), F.lit(0)).alias(offset))
 
 
-def with_position(
-    df: DataFrame, order: Sequence[Column | str], name: str = "position", parts: int | None = None
+def _summed(
+    rows: DataFrame, order: Sequence[str], weight: Column, name: str, n: int | None = None, descending: bool = False
 ) -> DataFrame:
-    """Add the 0-based position of each row in the total order."""
-    rows = swept(df, order, parts)
-    offsets = _earlier_parts(rows.groupBy(PART).agg(F.count("*").alias("_n")), "_n", "_offset")
+    """Exclusive running sum over cut rows, in ``n`` parts unless those are together already; a null weighs nothing."""
+    weighed = rows.withColumn(WEIGHT, F.coalesce(weight, F.lit(0)).cast("long"))
+    # Totals are made in each task where the rows are; only the windows need a part's rows together.
+    offsets = _earlier_parts(weighed.groupBy(PART).agg(F.sum(WEIGHT).alias("_total")), "_total", "_offset")
+    before = F.sum(WEIGHT).over(_inside(order, descending).rowsBetween(Window.unboundedPreceding, -1))
     return (
-        rows.join(F.broadcast(offsets), PART)
-        .withColumn(name, F.col("_offset") + F.col(POS))
-        .drop(PART, POS, "_offset")
+        (weighed if n is None else _together(weighed, n))
+        .withColumn(INSIDE, F.coalesce(before, F.lit(0)))
+        .join(F.broadcast(offsets), PART)
+        .withColumn(name, F.col("_offset") + F.col(INSIDE))
+        .drop("_offset", INSIDE, WEIGHT)
     )
 
 
-def with_place(
-    df: DataFrame, group: str, order: Sequence[Column | str], name: str = "place", parts: int | None = None
+def with_running_sum(
+    df: DataFrame, order: Sequence[str], weight: Column, name: str = "before", parts: int | None = None
 ) -> DataFrame:
-    """Add the 0-based position of each row within its group, however large a group is.
+    """Add the exclusive running sum of ``weight`` in the total order."""
+    rows, n = cut(df, order, parts)
+    return _summed(rows, order, weight, name, n).drop(PART)
 
-    Rows are in the order of (group, order). A group that begins in an earlier part goes on counting from what those
-    parts hold of it, which follows from each part's first and last group: one row per part, on the driver.
-    """
-    rows = swept(df, [group, *order], parts, runs=group)
-    edges = rows.groupBy(PART).agg(
-        F.min_by(group, POS).alias("first"),
-        F.max_by(group, POS).alias("last"),
-        F.max(RUN_NO).alias("runs"),
-        (F.max_by(RUN, POS) + 1).alias("held"),
-    )
-    carried, before, held = [], object(), 0
-    for part in sorted(edges.collect(), key=lambda r: r[PART]):
-        carry = held if part["first"] == before else 0
-        carried.append((part[PART], carry))
-        held = part["held"] + (carry if part["runs"] == 0 else 0)
-        before = part["last"]
-    offsets = df.sparkSession.createDataFrame(carried, f"{PART} long, _carry long")
-    place = F.col(RUN) + F.when(F.col(RUN_NO) == 0, F.col("_carry")).otherwise(0)
-    return rows.join(F.broadcast(offsets), PART).withColumn(name, place).drop(PART, POS, RUN, RUN_NO, "_carry")
 
+def with_position(
+    df: DataFrame, order: Sequence[str], name: str = "position", parts: int | None = None, descending: bool = False
+) -> DataFrame:
+    """Add the 0-based position of each row in the total order, or in its reverse."""
+    rows, n = cut(df, order, parts, descending)
+    return _summed(rows, order, F.lit(1), name, n, descending).drop(PART)
 
-def grouped(rows: DataFrame, n: int) -> DataFrame:
-    """Swept rows, each part in a task of its own, as windows over a part need them."""
-    return rows.repartitionById(n, F.col(PART).cast("int"))
 
+def with_place(
+    df: DataFrame, group: str, order: Sequence[str], name: str = "place", parts: int | None = None
+) -> DataFrame:
+    """Add the 0-based position of each row within its group, however large a group is.
 
-def running_sum(rows: DataFrame, weight: Column, name: str) -> DataFrame:
-    """Add the exclusive running sum of ``weight`` to grouped rows, where it is known only after they were swept."""
-    weighed = rows.withColumn(WEIGHT, weight)
-    offsets = _earlier_parts(weighed.groupBy(PART).agg(F.sum(WEIGHT).alias("_total")), "_total", "_offset")
-    inside = Window.partitionBy(PART).orderBy(POS).rowsBetween(Window.unboundedPreceding, -1)
+    Rows are in the order of (group, order). Only a part's first group can have begun in an earlier part; it goes on
+    counting from what those parts hold of it: one row per part, on the driver.
+    """
+    rows, _ = cut(df, [group, *order], parts)
+    held = rows.groupBy(PART, group).agg(F.count("*").alias("n"))
+    key = F.struct(F.col(group).alias("group"), "n")
+    edges = held.groupBy(PART).agg(F.min(key).alias("first"), F.max(key).alias("last"), F.count("*").alias("groups"))
+    carried, before, count = [], object(), 0
+    for part in sorted(edges.collect(), key=lambda r: r[PART]):
+        carry = count if part["first"]["group"] == before else 0
+        if carry:
+            carried.append((part[PART], before, carry))
+        count = part["last"]["n"] + (carry if part["groups"] == 1 else 0)
+        before = part["last"]["group"]
+    fields = [T.StructField("_of", T.IntegerType()), T.StructField("_group", rows.schema[group].dataType)]
+    schema = T.StructType([*fields, T.StructField("_carry", T.LongType())])
+    goes_on = df.sparkSession.createDataFrame(carried, schema)
+    own = Window.partitionBy(PART, group).orderBy(*order)
+    same = (rows[PART] == F.col("_of")) & rows[group].eqNullSafe(F.col("_group"))
     return (
-        weighed.withColumn(INSIDE, F.coalesce(F.sum(WEIGHT).over(inside), F.lit(0)))
-        .join(F.broadcast(offsets), PART)
-        .withColumn(name, F.col("_offset") + F.col(INSIDE))
-        .drop("_offset", INSIDE, WEIGHT)
+        rows.join(F.broadcast(goes_on), same, "left")
+        .withColumn(name, (F.row_number().over(own) - 1 + F.coalesce("_carry", F.lit(0))).cast("long"))
+        .drop(PART, "_of", "_group", "_carry")
     )
 
 
-def looked_back(rows: DataFrame, columns: Sequence[str], prefix: str = "prev_") -> DataFrame:
-    """Add, for each of ``columns``, the value of the row before to rows that were swept with them."""
-    last = rows.groupBy(PART).agg(F.max_by(F.struct(*columns), POS).alias("_last"))
-    carried = last.select(PART, F.lag("_last").over(Window.orderBy(PART)).alias("_carried"))
-    out = rows.join(F.broadcast(carried), PART).withColumn(
-        BEFORE, F.when(F.col(POS) > 0, F.col(BEFORE)).otherwise(F.col("_carried"))
+def _looked_back(rows: DataFrame, n: int, order: Sequence[str], columns: Sequence[str], prefix: str) -> DataFrame:
+    """The row before, for cut rows; a part's first row has that of the last row of the part before."""
+    last = rows.groupBy(PART).agg(F.max(F.struct(*order, F.struct(*columns).alias("_row"))).alias("_last"))
+    carried = last.select(PART, F.lag("_last._row").over(Window.orderBy(PART)).alias("_carried"))
+    window = _inside(order)
+    out = (
+        _together(rows, n)
+        .withColumn("_before", F.lag(F.struct(*columns)).over(window))
+        .withColumn("_first", F.row_number().over(window) == 1)
+        .join(F.broadcast(carried), PART)
+        .withColumn("_before", F.when(F.col("_first"), F.col("_carried")).otherwise(F.col("_before")))
     )
     for column in columns:
-        out = out.withColumn(prefix + column, F.col(BEFORE)[column])
-    return out.drop(BEFORE, "_carried")
+        out = out.withColumn(prefix + column, F.col("_before")[column])
+    return out.drop("_before", "_first", "_carried")
 
 
-def with_running_sum(
-    df: DataFrame,
-    order: Sequence[Column | str],
-    weight: Column,
-    name: str = "before",
-    parts: int | None = None,
+def with_previous(
+    df: DataFrame, order: Sequence[str], columns: Sequence[str], prefix: str = "prev_", parts: int | None = None
 ) -> DataFrame:
-    """Add the exclusive running sum of ``weight`` in the total order."""
-    rows = swept(df, order, parts, weight)
-    offsets = _earlier_parts(rows.groupBy(PART).agg(F.sum(WEIGHT).alias("_total")), "_total", "_offset")
-    return (
-        rows.join(F.broadcast(offsets), PART)
-        .withColumn(name, F.col("_offset") + F.col(INSIDE))
-        .drop(PART, POS, WEIGHT, INSIDE, "_offset")
-    )
+    """Add, for each of ``columns``, the value of the row before in the total order."""
+    rows, n = cut(df, order, parts)
+    return _looked_back(rows, n, order, columns, prefix).drop(PART)
 
 
-def with_previous(
+def with_runs(
     df: DataFrame,
-    order: Sequence[Column | str],
+    order: Sequence[str],
     columns: Sequence[str],
+    breaks: Column,
+    name: str = "run",
     prefix: str = "prev_",
     parts: int | None = None,
 ) -> DataFrame:
-    """Add, for each of ``columns``, the value of the row before in the total order."""
-    return looked_back(swept(df, order, parts, look_back=columns), columns, prefix).drop(PART, POS)
+    """Add the row before, and the number of rows before at which ``breaks`` holds, which may ask for the row before."""
+    rows, n = cut(df, order, parts)
+    seen = _looked_back(rows, n, order, columns, prefix)
+    return _summed(seen, order, F.coalesce(breaks, F.lit(False)).cast("long"), name).drop(PART)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.order import NONE_SENTINEL, feed_order
 from tidemark.operators.bitsets import counted_on_both, differing_counts
 from tidemark.operators.ids import present
-from tidemark.operators.ordered import grouped, looked_back, part_count, running_sum, swept
+from tidemark.operators.ordered import with_runs
 from tidemark.operators.route import UNKNOWN
 from tidemark.sources.feed import FIRST_ID_RANGE, first_row
 
@@ -227,12 +227,11 @@ def settled_at(samples: DataFrame, hold_ms: int = 10_000, parts: int | None = No
     over (core, time) on one split of the rows, so a core's series is never
     handled as a whole.
     """
-    n = part_count(samples, parts)
-    rows = swept(samples.select("core", "sample_ms", "docs"), ["core", "sample_ms"], n, look_back=["core", "docs"])
-    seen = looked_back(grouped(rows, n), ["core", "docs"])
     still = (F.col("docs") > 0) & F.col("prev_core").eqNullSafe(F.col("core")) & (F.col("docs") == F.col("prev_docs"))
-    marked = seen.withColumn("still", F.coalesce(still, F.lit(False)))
-    breaks = running_sum(marked, (~F.col("still")).cast("long"), "stretch").filter("still")
+    moved = ~F.coalesce(still, F.lit(False))
+    rows = samples.select("core", "sample_ms", "docs")
+    seen = with_runs(rows, ["core", "sample_ms"], ["core", "docs"], moved, "stretch", parts=parts)
+    breaks = seen.where(~moved)
     begun = breaks.groupBy("core", "stretch").agg(
         F.min("sample_ms").alias("begin_ms"), F.max("sample_ms").alias("end_ms")
     )

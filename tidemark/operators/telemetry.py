@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.operators.ordered import with_running_sum
-from tidemark.session import freeze
 
 PERCENTILES = {"median": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99, "p999": 0.999}
 
@@ -59,8 +58,8 @@ def exact_percentiles(
     A group is never collected, and its size comes from the counts.
     """
     histogram = rows.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("_n"))
-    ranked = freeze(with_running_sum(histogram, [group, value], F.col("_n"), "_before", parts))
-    # One row per group, from the ranks that have just been written: they are not computed a second time.
+    ranked = with_running_sum(histogram, [group, value], F.col("_n"), "_before", parts)
+    # One row per group; the ranks are made from the stored counts each time.
     sizes = ranked.groupBy(group).agg(F.min("_before").alias("_begin"), F.sum("_n").alias("_size"))
     sized = sizes.select(F.col(group).alias("_group"), "_begin", "_size")
     placed = ranked.join(sized, F.col(group).eqNullSafe(F.col("_group"))).withColumn(
