@@ -286,6 +286,11 @@ sql("searcher_counts", "current_nodes", f"""
            count(*) FILTER (status = 'DELETED') AS deleted_docs, count(*) AS max_doc
     FROM current_nodes GROUP BY 1""")
 sql("handler_stats", "requests", HANDLER)
+sql("handler_sketches", "requests", """
+    SELECT handler, count(*) AS requests, count(*) FILTER (is_error) AS errors, count(*) FILTER (is_timeout) AS timeouts,
+           round(sum(elapsed_ms), 6) AS total_time, true AS median_near, true AS p75_near, true AS p95_near,
+           true AS p99_near, true AS p999_near
+    FROM requests GROUP BY handler""")
 sql("cache_stats", "cache_events", """
     SELECT cache, count(*) AS lookups, count(*) FILTER (hit) AS hits, count(*) FILTER (insert_) AS inserts,
            count(*) FILTER (evict) AS evictions, round(count(*) FILTER (hit) / count(*), 6) AS hitratio,

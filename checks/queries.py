@@ -495,6 +495,27 @@ def handler_stats(spark, folder):
     return stats.select(*[c if c in keep else F.round(F.col(c), 6).alias(c) for c in stats.columns])
 
 
+@query
+def handler_sketches(spark, folder):
+    """Statistics from stored hourly sketches, and whether each percentile's rank is as near as promised."""
+    requests = T.requests(spark, folder)
+    stats = telemetry.stats_of_sketches(freeze(telemetry.handler_sketches(requests)))
+    names = list(telemetry.PERCENTILES)
+    asked = stats.select(F.col("handler").alias("of"), *[F.col(n).alias(f"at_{n}") for n in names])
+    near = []
+    for name, q in telemetry.PERCENTILES.items():
+        below = F.count_if(F.col("elapsed_ms") < F.col(f"at_{name}")) / F.count("elapsed_ms")
+        not_above = F.count_if(F.col("elapsed_ms") <= F.col(f"at_{name}")) / F.count("elapsed_ms")
+        error = telemetry.RANK_ERROR
+        near.append(((below <= q + error) & (not_above >= q - error)).alias(f"{name}_near"))
+    joined = requests.join(asked, F.col("handler").eqNullSafe(F.col("of")))
+    ranks = joined.groupBy("of").agg(*near)
+    counts = ["requests", "errors", "timeouts"]
+    return stats.join(ranks, F.col("handler").eqNullSafe(F.col("of"))).select(
+        "handler", *counts, F.round("total_time", 6).alias("total_time"), *[f"{n}_near" for n in names]
+    )
+
+
 @query
 def cache_stats(spark, folder):
     stats = telemetry.cache_stats(T.cache_events(spark, folder))

@@ -136,3 +136,27 @@ def test_nodes_are_not_shuffled_for_reader_bitmaps(spark, folder):
 
     plan = QUERIES["visible_by_bitmap"](spark, folder)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and plan.index("BroadcastHashJoin") < plan.index("Exchange")
+
+
+def test_sketches_of_hours_merge_within_their_error(spark):
+    from tidemark.operators import telemetry
+
+    rng = random.Random(4)
+    data = [(rng.choice(["a", "a", "b"]), rng.randrange(0, 50 * telemetry.HOUR_MS), rng.expovariate(0.01), False, False) for _ in range(20_000)]
+    data += [("none", 5, None, True, True), (None, 7, 3.0, False, True)]
+    requests = spark.createDataFrame(data, "handler string, ts_ms long, elapsed_ms double, is_error boolean, is_timeout boolean")
+    sketches = telemetry.handler_sketches(requests)
+    for begin, end in ((None, None), (10, 20)):
+        inside = [r for r in data if begin is None or begin * telemetry.HOUR_MS <= r[1] < end * telemetry.HOUR_MS]
+        bounds = (None, None) if begin is None else (begin * telemetry.HOUR_MS, end * telemetry.HOUR_MS)
+        found = {r["handler"]: r for r in telemetry.stats_of_sketches(sketches, *bounds).collect()}
+        assert set(found) == {r[0] for r in inside}
+        for handler, row in found.items():
+            values = sorted(r[2] for r in inside if r[0] == handler and r[2] is not None)
+            assert row["requests"] == sum(r[0] == handler for r in inside)
+            for name, q in telemetry.PERCENTILES.items():
+                if not values:
+                    assert row[name] is None
+                    continue
+                below, not_above = (sum(v < row[name] for v in values), sum(v <= row[name] for v in values))
+                assert below / len(values) <= q + telemetry.RANK_ERROR and not_above / len(values) >= q - telemetry.RANK_ERROR

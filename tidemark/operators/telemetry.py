@@ -87,6 +87,49 @@ def exact_percentiles(
     )
 
 
+#: Size parameter of the sketches: a rank is off by less than one in a hundred, whatever the number of requests.
+SKETCH_K = 400
+RANK_ERROR = 0.01
+HOUR_MS = 3_600_000
+
+
+def handler_sketches(requests: DataFrame) -> DataFrame:
+    """(handler, hour, requests, errors, timeouts, total_time, times): one row per handler and hour, to be stored.
+
+    ``times`` is a mergeable quantile sketch of a few KB, so a month is read from some hundred rows per handler and no
+    request is read again. Requests without a time count, but not in the sketch.
+    """
+    hour = F.call_function("div", F.col("ts_ms"), F.lit(HOUR_MS)).alias("hour")
+    return requests.groupBy("handler", hour).agg(
+        F.count("*").alias("requests"),
+        F.count_if("is_error").alias("errors"),
+        F.count_if("is_timeout").alias("timeouts"),
+        F.sum("elapsed_ms").alias("total_time"),
+        F.kll_sketch_agg_double(F.col("elapsed_ms").cast("double"), SKETCH_K).alias("times"),
+    )
+
+
+def stats_of_sketches(sketches: DataFrame, from_ms: int | None = None, to_ms: int | None = None) -> DataFrame:
+    """Counts, times and percentiles of each handler over whole hours of ``[from, to)``, from stored sketches.
+
+    A percentile is a time whose rank is within ``RANK_ERROR`` of the one asked for; handlers without times have none.
+    """
+    hours = sketches
+    if from_ms is not None:
+        hours = hours.where(F.col("hour") >= from_ms // HOUR_MS)
+    if to_ms is not None:
+        hours = hours.where(F.col("hour") < to_ms // HOUR_MS)
+    merged = hours.groupBy("handler").agg(
+        *[F.sum(c).alias(c) for c in ("requests", "errors", "timeouts", "total_time")],
+        F.kll_merge_agg_double("times", SKETCH_K).alias("_times"),
+    )
+    known = F.kll_sketch_get_n_double("_times") > 0
+    quantiles = [
+        F.when(known, F.kll_sketch_get_quantile_double("_times", F.lit(q))).alias(n) for n, q in PERCENTILES.items()
+    ]
+    return merged.select("handler", "requests", "errors", "timeouts", "total_time", *quantiles)
+
+
 def handler_stats(requests: DataFrame, exact: bool = True, parts: int | None = None) -> DataFrame:
     """Counts, times, percentiles and rate of each request handler, the null handler too.
 

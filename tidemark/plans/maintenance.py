@@ -96,19 +96,15 @@ def apply_maintenance(
     )
     alive = touched.filter(F.col("status") != DELETED)
 
-    kept = (
-        index.nodes.join(tx.select("tx_id", "tx_purge", "tx_reindex"), "tx_id", "left")
-        .join(node.select("node_id", "node_purge", "node_reindex"), "node_id", "left")
-        .filter(~(_is("tx_purge") | _is("tx_reindex") | _is("node_purge") | _is("node_reindex")))
-        .select(*index.nodes.columns)
-        .join(touched.filter("_again").select("node_id"), "node_id", "left_anti")
-    )
+    # The index is only cut by two short lists; its other rows are left as they are.
+    gone = tx.filter(_is("tx_purge") | _is("tx_reindex"))
+    gone_nodes = node.filter(_is("node_purge") | _is("node_reindex")).select("node_id")
+    gone_nodes = gone_nodes.unionByName(touched.filter("_again").select("node_id"))
+    kept = without(without(index.nodes, gone, "tx_id"), gone_nodes, "node_id")
     absent = absent_from(alive.filter("_add AND NOT _again"), kept, "node_id")
     written = alive.filter("_again").unionByName(absent).select(*index.nodes.columns)
 
-    known = freeze(
-        feed.join(tx.filter("tx_reindex OR tx_index"), "tx_id", "left_semi").select(*index.markers.columns)
-    )
+    known = feed.join(tx.filter("tx_reindex OR tx_index"), "tx_id", "left_semi").select(*index.markers.columns)
     return NodeIndex(
         kept.unionByName(written),
         _rewritten(index.markers, tx, known, "tx", "tx_id"),
