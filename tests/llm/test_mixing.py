@@ -2,6 +2,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import EDGES, words
 from tidemark.llm import mixing
@@ -79,3 +80,13 @@ def test_empty_tables(table_of):
         plan, pieces = mixing.mix(table_of(rows))
         assert plan.count() == len(rows) and pieces.count() == 0
         assert mixing.mixed_documents(table_of(rows)).count() == 0
+
+
+def test_slots_of_one_source_are_made_in_many_tasks(spark):
+    quota = spark.createDataFrame([(1, 50_000), (2, 300)], "rank long, slots long")
+    slots = mixing.draw(spark, quota, 1000, 4).select("rank", "k", F.spark_partition_id().alias("part"))
+    hot = [r for r in slots.groupBy("part", "rank").count().collect() if r["rank"] == 1]
+    assert len(hot) > 4 and max(r["count"] for r in hot) < 25_000
+    # Every slot up to the quota is there once.
+    kept = slots.where("k < if(rank = 1, 50000, 300)")
+    assert kept.count() == kept.select("rank", "k").distinct().count() == 50_300

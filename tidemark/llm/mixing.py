@@ -163,7 +163,9 @@ def draw(spark: SparkSession, quota: DataFrame, shard: int, seed: int) -> DataFr
     missing = short.select(
         F.lit(shards).cast("long").alias("shard"), "rank", (F.col("slots") - F.col("n")).alias("n"), F.col("n").alias("first")
     )
-    ranges = numbered.unionByName(missing).where("n > 0")
+    # A shard's range is a row until here; slots are made of it in many tasks, whichever source they belong to.
+    spread = max(parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranges = numbered.unionByName(missing).where("n > 0").repartition(spread, "rank", "shard")
     within = F.expr("explode(sequence(first, first + n - 1))")
     return ranges.select("shard", "rank", within.alias("k"))
 
