@@ -84,3 +84,17 @@ def test_without_items_all_is_clean(spark, table_of, items):
 def test_empty_table(spark, table_of):
     found, match = d.find_matches(table_of([]), spark.createDataFrame([(1, "a b")], "item_id long, text string"))
     assert d.digest(found, match).count() == 0
+
+
+def test_items_without_an_id_and_empty_tables(spark, table_of):
+    text = " ".join(words(12))
+    frame = table_of([(1, f"start {text} end"), (1, f"start {text} end"), (2, None)])
+    items = spark.createDataFrame([(None, text), (7, text), (None, "no such words here"), (8, None)], "item_id long, text string")
+    result = d.digest(*d.find_matches(frame, items)).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    seven, none = (hashlib.sha256(x).hexdigest() for x in (b"7", b""))
+    assert sorted(map(tuple, result.collect())) == [(1, 14, 12, 1, seven, True)] * 2 + [(2, 0, 0, 0, none, False)]
+    only = d.digest(*d.find_matches(frame, items.where("item_id is null"))).select("n_hit", "n_items", "items_sha256", "contaminated")
+    assert sorted(map(tuple, only.collect())) == [(0, 0, none, False), (12, 0, none, True), (12, 0, none, True)]
+    nothing = d.digest(*d.find_matches(frame, items.limit(0)))
+    assert [r["n_hit"] for r in nothing.collect()] == [0, 0, 0]
+    assert d.digest(*d.find_matches(table_of([]), items)).count() == 0

@@ -4,7 +4,9 @@ The items' words build one automaton; documents stream through it word by word
 while the length of the longest match that ends at each word is tracked. Where
 that length reaches the window, the words of the match are contaminated.
 
-Nulls and empty texts have no words. A repeated item counts by its own id. Items
+Nulls and empty texts have no words. A repeated item counts by its own id; one without an id
+marks its words and is no item of the count. Without items nothing is marked, and an empty table of documents
+gives no rows. Rows that repeat are matched one by one. Items
 are cut into blocks of bounded size, one automaton and one pass for each, so that
 what is sent to executors has a fixed bound however many items there are.
 """
@@ -180,7 +182,7 @@ def _merged(spans: list) -> list[list[int]]:
     return out
 
 
-def item_blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
+def item_blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[str | None, list[bytes]]]]:
     """The items that have words, in blocks; only one block is on the driver at a time."""
     rows = benchmark.select(F.col("item_id").cast("string"), "text").where(F.col("text").isNotNull())
     block, size = [], 0
@@ -190,7 +192,7 @@ def item_blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[s
             if block and size + len(words) > block_words:
                 yield block
                 block, size = [], 0
-            block.append(("" if row[0] is None else row[0], words))
+            block.append((row[0], words))
             size += len(words)
     yield block
 
@@ -220,7 +222,7 @@ def find_matches(
                 for i, raw in enumerate(utf8(batch["text"].to_pylist())):
                     words = split_words(raw)
                     spans, found = automaton.scan(words)
-                    names = {automaton.names[k] for k in found}
+                    names = {automaton.names[k] for k in found} - {None}
                     if before is not None:
                         spans = _merged([*spans, *before[i]["spans"]])
                         names |= set(before[i]["items"])
