@@ -136,3 +136,23 @@ def test_children_and_parents(spark):
     asked = spark.createDataFrame([("/a/f",), ("a/f/",), ("gone",), ("/",)], "raw_key string")
     assert rows(inventory.delete_plan(asked, stored)) == [("a/f", "delete"), ("gone", "missing")]
     assert rows(inventory.delete_plan(asked, stored, ignore_missing=True)) == [("a/f", "delete")]
+
+
+def _joins(node):
+    children = [node.children().apply(i) for i in range(node.children().size())]
+    return [node] * (node.nodeName() == "Join") + [j for c in children for j in _joins(c)]
+
+
+def test_key_status_sends_keys_alone(spark):
+    """Forms of a key are many times its length, so they are made where they are compared and not shuffled."""
+    stored = spark.createDataFrame([*STORED, ("d//", 0, "application/x-directory")], "key string, size long, content_type string")
+    asked = spark.createDataFrame([("d//",), ("/d/f/",), (" plain ",), (None,)], "raw_key string")
+    got = inventory.key_status(asked, stored)
+    (join,) = _joins(got._jdf.queryExecution().optimizedPlan())
+    forms = join.children().apply(0).output()
+    assert sorted(forms.apply(i).name() for i in range(forms.size())) == ["_bare", "raw_key"]
+    assert rows(got) == [
+        (" plain ", True, "file", 3, None),
+        ("/d/f/", False, "none", 7, None),
+        ("d//", True, "directory", None, "is a directory"),
+    ]

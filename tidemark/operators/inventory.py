@@ -75,6 +75,16 @@ def list_children(inventory: DataFrame, path: str) -> DataFrame:
     return below.select(first.alias("name")).filter("name <> ''").distinct()
 
 
+FORMS = ("_dir", "_file", "_path")
+
+
+def _forms(rows: DataFrame, raw: str) -> DataFrame:
+    """Rows with the directory, file and path form of a key."""
+    named = {"dir": "_dir", "file": "_file", "path": "_path"}
+    forms = normalize_keys(rows, raw)
+    return forms.select(*rows.columns, *[F.col(form).alias(name) for form, name in named.items()])
+
+
 def key_status(requested: DataFrame, inventory: DataFrame, raw: str = "raw_key") -> DataFrame:
     """Existence, path type and length of each requested key.
 
@@ -82,20 +92,20 @@ def key_status(requested: DataFrame, inventory: DataFrame, raw: str = "raw_key")
     stored with the directory content type. The root always exists. A directory
     has no length, and neither has a key that does not exist.
     """
-    asked = normalize_keys(requested.select(raw).distinct(), raw).select(
-        raw, F.col("path").alias("_path"), F.col("file").alias("_file"), F.col("dir").alias("_dir")
-    )
-    stored = inventory.select("key", "size", is_directory_type().alias("is_dir"))
-    # Each requested key is looked up in its (at most three) forms with a single join.
-    forms = asked.select(
-        raw, "_path", F.explode(F.array_distinct(F.array("_dir", "_file", "_path"))).alias("key"), "_file", "_dir"
-    ).filter(F.col("key").isNotNull())
-    hits = forms.join(stored, "key", "left").groupBy(raw, "_path").agg(
+    asked = _forms(requested.select(raw).distinct(), raw)
+    # A key's (at most three) forms mostly differ by one slash at their end, so forms and stored keys meet without it, and
+    # only the key as it was written travels: its forms are made of it again where they are compared.
+    bare = lambda key: F.regexp_replace(key, "/$", "")
+    forms = asked.select(raw, F.explode(F.array_distinct(F.array(*[bare(F.col(c)) for c in FORMS]))).alias("_bare"))
+    stored = inventory.select("key", "size", is_directory_type().alias("is_dir")).withColumn("_bare", bare(F.col("key")))
+    met = forms.filter(F.col("_bare").isNotNull()).join(stored, "_bare", "left").select(raw, "key", "size", "is_dir")
+    hits = _forms(met, raw).groupBy(raw).agg(
         F.max(F.when(F.col("key") == F.col("_dir"), F.col("is_dir"))).alias("_as_dir"),
         F.max(F.when(F.col("key") == F.col("_file"), F.col("is_dir"))).alias("_as_file"),
         F.max(F.when(F.col("key") == F.col("_file"), F.col("size"))).alias("_size"),
         F.max(F.when((F.col("key") == F.col("_path")) & F.col("size").isNotNull(), True)).alias("_stored"),
     )
+    hits = _forms(hits, raw)
     is_dir = F.coalesce("_as_dir", "_as_file", F.lit(False))
     root = F.col("_path").isin("", "/")
     exists = is_dir | root | F.coalesce("_stored", F.lit(False))
