@@ -900,11 +900,13 @@ def index_change_sets(spark, folder):
 @query
 def apply_maintenance(spark, folder):
     base = node_index(spark, folder)
+    # The index is read four times below; a deployment has it as files, and its markers need no counts of the feed.
+    base = base._replace(nodes=freeze(base.nodes))
     queried = search.reindex_by_query(base.nodes, T.names(spark, folder), "name", "ring")
     index = maintenance.apply_maintenance(
         base,
         T.maintenance_requests(spark, folder),
-        T.transactions(spark, folder),
+        T.commits(spark, folder),
         T.current_nodes(spark, folder),
         queried,
     )

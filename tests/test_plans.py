@@ -73,3 +73,16 @@ def test_the_rank_limit_comes_before_the_shuffle(spark, folder, stored):
 def test_latest_version_is_a_partial_aggregate(spark, folder):
     versions = T.nodes(spark, folder).withColumn("commit_time_ms", F.lit(1).cast("long"))
     assert "partial_max_by" in plan(batch.latest_per_node(versions))
+
+
+def test_maintenance_reads_a_written_index(spark, folder):
+    """The index is used several times, so it is not made of the lines again for each."""
+    got = QUERIES["apply_maintenance"](spark, folder)
+    assert not any("lineitem" in file for file in got.inputFiles())
+
+
+def test_last_versions_are_ranked_without_texts(spark, folder):
+    """Texts come to the last versions; what is joined and ranked are ids and flags."""
+    plan = T.index_nodes(spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("max_by") :]
+    assert "node_ref" not in below.split("\n", 1)[1] and "SpacesStore" not in below.split("\n", 1)[1]

@@ -104,7 +104,7 @@ def apply_maintenance(
     absent = absent_from(alive.filter("_add AND NOT _again"), kept, "node_id")
     written = alive.filter("_again").unionByName(absent).select(*index.nodes.columns)
 
-    known = feed.join(tx.filter("tx_reindex OR tx_index"), "tx_id", "left_semi").select(*index.markers.columns)
+    known = freeze(feed.join(tx.filter("tx_reindex OR tx_index"), "tx_id", "left_semi").select(*index.markers.columns))
     return NodeIndex(
         kept.unionByName(written),
         _rewritten(index.markers, tx, known, "tx", "tx_id"),

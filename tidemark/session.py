@@ -99,12 +99,12 @@ def temporary(spark: SparkSession) -> Iterator[None]:
         release(spark, since)
 
 
-def freeze(df: DataFrame) -> DataFrame:
+def freeze(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder, once, and go on from the files.
 
     Needed wherever two passes must see the very same split of the rows (range
     boundaries are sampled, so a recomputed exchange may cut elsewhere).
     """
     path = scratch(df.sparkSession, "frozen")
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

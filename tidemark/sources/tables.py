@@ -19,7 +19,7 @@ from tidemark.operators.batch import latest_per_node
 from tidemark.operators.mutate import NODE_COLUMNS
 from tidemark.operators.ordered import with_running_sum
 from tidemark.operators.pending import remember
-from tidemark.session import scratch
+from tidemark.session import freeze, scratch
 
 #: Scalars of the example trackers (epoch milliseconds, UTC).
 LAST_INDEXED_MS = 946_684_800_000  # 2000-01-01
@@ -82,13 +82,11 @@ def forget_stored() -> None:
     _STORED.clear()
 
 
-@derived
-def nodes(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per (transaction, node) with the node's status after that transaction."""
-    node = F.col("l_partkey")
-    versions = (
+def _versions(spark: SparkSession, folder: str) -> DataFrame:
+    """What ``nodes`` is made of: its ids and flags, which are short and all of one width."""
+    return (
         table(spark, folder, "lineitem")
-        .groupBy("l_orderkey", "l_partkey")
+        .groupBy(F.col("l_partkey").alias("node_id"), F.col("l_orderkey").alias("tx_id"))
         .agg(
             # Fixed-width buffers only, so that this stays a hash aggregate.
             F.bool_and(F.col("l_returnflag") == "R").alias("_deleted"),
@@ -96,11 +94,16 @@ def nodes(spark: SparkSession, folder: str) -> DataFrame:
             F.min(F.ascii("l_linestatus")).alias("_property"),
         )
     )
+
+
+def _described(versions: DataFrame, *more: str) -> DataFrame:
+    """Versions with the texts that go with their ids and flags, and the columns named besides."""
+    node = F.col("node_id")
     protocol = F.when(node % 10 == 0, "archive").otherwise("workspace")
     identifier = F.when(node % 10 == 1, "version2Store").otherwise("SpacesStore")
     return versions.select(
-        node.alias("node_id"),
-        F.col("l_orderkey").alias("tx_id"),
+        "node_id",
+        "tx_id",
         "acl_id",
         F.concat(protocol, F.lit("://"), identifier, F.lit("/"), node.cast("string")).alias("node_ref"),
         F.lit("").alias("tenant"),
@@ -108,22 +111,34 @@ def nodes(spark: SparkSession, folder: str) -> DataFrame:
         protocol.alias("store_protocol"),
         identifier.alias("store_identifier"),
         F.char("_property").alias("shard_property"),
+        *more,
     )
 
 
 @derived
-def transactions(spark: SparkSession, folder: str) -> DataFrame:
-    counts = (
-        nodes(spark, folder)
-        .groupBy("tx_id")
-        .agg(
-            F.count_if(F.col("status") == "UPDATED").alias("updates"),
-            F.count_if(F.col("status") == "DELETED").alias("deletes"),
-        )
-    )
-    feed = table(spark, folder, "orders").select(
+def nodes(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per (transaction, node) with the node's status after that transaction."""
+    return _described(_versions(spark, folder))
+
+
+def commits(spark: SparkSession, folder: str) -> DataFrame:
+    """The feed's ids and times, without its counts."""
+    return table(spark, folder, "orders").select(
         F.col("o_orderkey").alias("tx_id"), to_millis("o_orderdate").alias("commit_time_ms")
     )
+
+
+@derived
+def transactions(spark: SparkSession, folder: str) -> DataFrame:
+    return transactions_of(commits(spark, folder), nodes(spark, folder))
+
+
+def transactions_of(feed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The feed: each commit with the nodes that it updates and deletes."""
+    counts = nodes.groupBy("tx_id").agg(
+        F.count_if(F.col("status") == "UPDATED").alias("updates"),
+        F.count_if(F.col("status") == "DELETED").alias("deletes"),
+    )
     return feed.join(counts, "tx_id", "left").select(
         "tx_id",
         "commit_time_ms",
@@ -132,6 +147,12 @@ def transactions(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def nodes_and_transactions(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Both views, written once, for a job that reads them many times."""
+    written = freeze(nodes(spark, folder), "zstd")
+    return written, freeze(transactions_of(commits(spark, folder), written), "zstd")
+
+
 @derived
 def change_sets(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events").select(
@@ -177,9 +198,7 @@ def _with_faults(markers: DataFrame, feed: DataFrame, id_col: str) -> DataFrame:
 
 @derived
 def index_tx(spark: SparkSession, folder: str) -> DataFrame:
-    feed = table(spark, folder, "orders").select(
-        F.col("o_orderkey").alias("tx_id"), to_millis("o_orderdate").alias("commit_time_ms")
-    )
+    feed = commits(spark, folder)
     return _with_faults(feed.filter(F.col("commit_time_ms") < LAST_INDEXED_MS), feed, "tx_id")
 
 
@@ -193,17 +212,17 @@ def index_change_sets(spark: SparkSession, folder: str) -> DataFrame:
 def index_nodes(spark: SparkSession, folder: str) -> DataFrame:
     """Latest version of every node over the indexed transactions, deleted ones left out."""
     indexed = index_tx(spark, folder).select("tx_id", "commit_time_ms").distinct()
-    versions = nodes(spark, folder).join(indexed, "tx_id")
-    return (
-        latest_per_node(versions).filter(F.col("status") != "DELETED").select(*NODE_COLUMNS)
-    )
+    # Only ids and flags are joined and ranked; texts come to the last versions alone.
+    latest = latest_per_node(_versions(spark, folder).join(indexed, "tx_id"))
+    return _described(latest).filter(F.col("status") != "DELETED").select(*NODE_COLUMNS)
 
 
 @derived
 def current_nodes(spark: SparkSession, folder: str) -> DataFrame:
     """What the source holds now: each node once, in the transaction that touched it last."""
-    feed = transactions(spark, folder).select("tx_id", "commit_time_ms")
-    return latest_per_node(nodes(spark, folder).join(feed, "tx_id"))
+    latest = latest_per_node(_versions(spark, folder).join(commits(spark, folder), "tx_id"))
+    rows = _described(latest, "commit_time_ms")
+    return rows.select("tx_id", *[c for c in rows.columns if c != "tx_id"])
 
 
 @derived
