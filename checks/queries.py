@@ -992,7 +992,7 @@ def track_once_scoped(spark, folder):
     """Changes and markers of runs that belong to one store, property or shard, on an empty index."""
     nothing = T.index_nodes(spark, folder).limit(0), T.index_tx(spark, folder).limit(0)
     state = track.TrackerState(0, 0, T.HOLE_MS, T.STOP_MS)
-    feed_rows, nodes = T.transactions(spark, folder), T.nodes(spark, folder)
+    nodes, feed_rows = T.nodes_and_transactions(spark, folder)
     out = None
     for name, scope in scoped_runs(spark, folder):
         run = track.track_once(*nothing, feed_rows, nodes, state, T.SHARD_COUNT, scope=scope)

@@ -86,3 +86,16 @@ def test_last_versions_are_ranked_without_texts(spark, folder):
     plan = T.index_nodes(spark, folder)._jdf.queryExecution().optimizedPlan().toString()
     below = plan[plan.index("max_by") :]
     assert "node_ref" not in below.split("\n", 1)[1] and "SpacesStore" not in below.split("\n", 1)[1]
+
+
+def test_scoped_runs_read_written_views(spark, folder, monkeypatch):
+    """Five runs begin with the nodes and the feed: they are derived from the lines once, not in each run again."""
+    read, freeze = [], track.freeze
+
+    def watched(frame, *options):
+        read.extend(frame.inputFiles())
+        return freeze(frame, *options)
+
+    monkeypatch.setattr(track, "freeze", watched)
+    QUERIES["track_once_scoped"](spark, folder)
+    assert read and not any("lineitem" in file for file in read)

@@ -19,7 +19,7 @@ from tidemark.operators.pending import (
     pending_change_sets,
     pending_transactions,
 )
-from tidemark.operators.route import DB_ID, DB_ID_RANGE, check_statuses, home_rows, route_acls, route_nodes, shard_view
+from tidemark.operators.route import DB_ID, DB_ID_RANGE, SHARD_ROW, check_statuses, home_rows, route_acls, route_nodes, shard_view
 from tidemark.session import freeze
 from tidemark.sources.feed import commit_interval, scan_change_sets, scan_transactions
 
@@ -128,7 +128,8 @@ def node_changes(
     so that a late row never takes a node back. The ids of the run bound what is
     read of the nodes.
     """
-    nodes = in_store(nodes, scope.store, scope.shard_property)
+    # What a change does not carry is not joined and ranked.
+    nodes = in_store(nodes, scope.store, scope.shard_property).select(*SHARD_ROW, "status")
     wanted = nonempty_transactions(todo)
     low, high = wanted.agg(F.min("tx_id"), F.max("tx_id")).first()
     touching = nodes.filter(F.col("tx_id").between(low, high)) if low is not None else nodes.limit(0)
