@@ -72,3 +72,23 @@ def test_memory_is_bounded_and_frequent_words_stay():
     # Met first or last, words of every text are at hand, and few of those of one text are.
     known = encoder.steady | encoder.old
     assert sum(w in known for w in often) > 190
+
+
+def test_plain_texts_are_cut_many_at_once_and_as_the_tokenizer_does():
+    from tokenizers import Tokenizer
+
+    rng = np.random.default_rng(3)
+    marks = [*" \t\n\r.,;-!?()\"0123456789", "...", " (", "), ", "'s ", "<|", "\xe9", "\xdf", "\xc0", "\xf7", "\u0142"]
+    names = [w.translate({48 + i: 97 + 2 * i for i in range(10)}) * int(rng.integers(1, 5)) for w in words(300)]
+    texts = ["", " ", "."] + ["".join(f"{names[rng.integers(300)].title()}{marks[rng.integers(len(marks))]}" for _ in range(60)) for _ in range(300)]
+    expected = [e.ids for e in Tokenizer.from_file(tokenizer_path()).encode_batch(texts, add_special_tokens=False)]
+    for memory in (100, 20_000, 10_000_000):
+        encoder = tokenfile.Encoder(tokenizer_path(), memory)
+        for _ in range(2):
+            assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == expected
+        assert sum(x.nbytes for x in (encoder.units.keys, encoder.units.ids, encoder.units.count)) <= max(memory, 2000)
+    # Runs of letters of plain texts need no second cut: they are found in the table.
+    plain = ["Some words, some more words.", "Words again (and again)."]
+    list(encoder.encode(plain))
+    encoder.tokenize = encoder.tokenizer = None
+    assert len(list(encoder.encode(plain))) == 2 and not any(w in encoder.steady | encoder.fresh for w in ("words", "words."))

@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tidemark.llm.shared import freed, scratch, unused
+from tidemark.llm.wordhash import mixed, stretches
 
 BLOCK = 128
 #: The share of a block's differences that its width must hold.
@@ -34,8 +35,8 @@ CHUNK = 1 << 16
 END_ID = 2
 #: Bytes of words, and pieces of words, with their ids, that a worker remembers as steady; as many again as old, half of it as fresh.
 MEMORY = 64_000_000
-#: Bytes that an entry takes beside its characters and ids; texts encoded together.
-_ENTRY, _TEXTS = 180, 256
+#: Bytes that an entry takes beside its characters and ids; texts encoded together, and bytes of plain ones cut together.
+_ENTRY, _TEXTS, _BYTES = 180, 256, 1_000_000
 
 # --- patched frame of reference --------------------------------------------------
 
@@ -137,8 +138,70 @@ _LETTERS = "a-z\u00df-\u00f6\u00f8-\u012f\u0131-\u017e"
 _OTHER = re.compile("[^\t\n\r\x20-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e]|<[|]")
 #: The tokenizer's own cut into pieces, for those characters; ids never reach over the end of a piece.
 _PIECES = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[0-9]|[^\\s0-9{_LETTERS}]+")
+#: For each byte of Latin-1: white space, a mark, another of those characters (a), or none of them (?).
+_KINDS = bytes(
+    (b" " if chr(b).isspace() else b"a" if chr(b).isalnum() else b".")[0] if not _OTHER.match(chr(b)) else b"?"[0]
+    for b in range(256)
+)
+#: Characters of a unit that the table of units holds, ids that it may have, and bytes of a slot.
+_CHARACTERS, _IDS = 16, 8
+_SLOT = _CHARACTERS + 4 * _IDS + 1
 
 
+def _plain(text: str) -> tuple[bytes, bytes] | None:
+    """A text in lower case and its characters' kinds, in Latin-1; none where it has other characters, or marks that end a piece
+    elsewhere than where the kind changes."""
+    try:
+        kinds = text.encode("latin-1").translate(_KINDS)
+    except UnicodeEncodeError:
+        return None
+    if b"?" in kinds or "'" in text or "<|" in text:
+        return None
+    return text.lower().encode("latin-1"), kinds
+
+
+#: Which bytes of eight belong to a unit of which so many are left.
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+class Units:
+    """Ids of runs of letters of at most ``_CHARACTERS`` characters, looked up for many at once.
+
+    A unit's key is its characters, so nothing is taken for another. It has a slot in each of two halves; where both
+    are taken, it takes the place of one of them, by turns. So what is asked for often comes back.
+    """
+
+    def __init__(self, memory: int) -> None:
+        self.bits = max(3, (memory // _SLOT // 2).bit_length() - 1)
+        slots = 2 << self.bits
+        self.keys = np.zeros((slots, 2), np.uint64)
+        self.count = np.zeros(slots, np.uint8)
+        self.ids = np.zeros((slots, _IDS), np.uint32)
+        self.turn = 0
+
+    def _slots(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        h = mixed(keys[:, 0] ^ mixed(keys[:, 1] + np.uint64(1)))
+        low = np.uint64((1 << self.bits) - 1)
+        return (h & low).astype(np.int64), ((h >> np.uint64(32)) & low).astype(np.int64) + (1 << self.bits)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The slot of each key, -1 for those not here."""
+        first, second = self._slots(keys)
+        found = np.where((self.keys[first] == keys).all(axis=1), first, -1)
+        rest = np.flatnonzero(found < 0)
+        second = second[rest]
+        found[rest] = np.where((self.keys[second] == keys[rest]).all(axis=1), second, -1)
+        return found
+
+    def add(self, keys: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
+        """Remember units that are not here, each once; where two want one slot, one of them gets it."""
+        first, second = self._slots(keys)
+        # No unit has a key of zeros.
+        taken = (self.keys[first, 0] != 0) & ((self.keys[second, 0] == 0) | (self.turn == 1))
+        at, which = np.unique(np.where(taken, second, first), return_index=True)
+        self.turn = 1 - self.turn
+        self.keys[at], self.ids[at], self.count[at] = keys[which], ids[which], count[which]
+
 
 def _written_bytes() -> dict[int, str]:
     """How byte-level vocabularies write each byte: printable ones as themselves, the others in order from U+0100 on."""
@@ -161,6 +224,9 @@ class Encoder:
     met again before that, it is steady. When steady words fill theirs, they become old ones, those old before are
     forgotten, and words asked for again come back. So frequent words stay, whenever they were met first, and all
     sizes are in bytes.
+
+    Texts of the characters of ``_PIECES`` within Latin-1 are cut in numpy, many at once, and their short runs of letters are
+    looked up in a table of their own, of half as many bytes; only what is not there is taken one by one.
     """
 
     def __init__(self, path: str, memory: int = MEMORY) -> None:
@@ -172,6 +238,7 @@ class Encoder:
         self.tokenize = self.tokenizer.model.tokenize
         self.raw = [i.to_bytes(4, "little") for i in range(max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1)]
         self.memory, self.steady_bytes, self.fresh_bytes = memory, 0, 0
+        self.units = Units(memory // 2)
         self.steady: dict[str, bytes] = {}
         self.fresh: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -223,24 +290,108 @@ class Encoder:
         """Keep no more than the steady words until the next task."""
         self.fresh, self.old, self.fresh_bytes = {}, {}, 0
 
+    def _words(self, rows: list[list[str]]) -> list[list[bytes]]:
+        """Ids of each row's words."""
+        get, found, open_words, need = self.steady.get, [], [], set()
+        for row in rows:
+            ids = list(map(get, row))
+            if None in ids:
+                at = [i for i, x in enumerate(ids) if x is None]
+                words = [row[i] for i in at]
+                need.update(words)
+                open_words.append((ids, at, words))
+            found.append(ids)
+        new = self._ids(need) if need else {}
+        for ids, at, words in open_words:
+            for i, w in zip(at, words, strict=True):
+                ids[i] = new[w]
+        return found
+
+    def _learnt(self, keys: np.ndarray, words: list[str]) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        """Ids (a row of ``_IDS`` each) and their number of new runs of letters, which the table then holds; those of more ids
+        are not held, and their places are returned."""
+        rows, count, many, raw = np.zeros((len(words), _IDS), np.uint32), np.zeros(len(words), np.int64), [], self.tokenize
+        flat: list[int] = []
+        for i, word in enumerate(words):
+            ids = [token.id for token in raw(word if word.isascii() else word.encode().decode("latin-1").translate(_WRITTEN))]
+            if len(ids) > _IDS:
+                many.append(i)
+            else:
+                count[i] = len(ids)
+                flat += ids
+        rows[np.arange(_IDS) < count[:, None]] = flat
+        held = np.flatnonzero(count > 0)
+        self.units.add(keys[held], rows[held], count[held])
+        return rows, count, many
+
+    def _cut(self, texts: list[tuple[bytes, bytes]]) -> list[bytes]:
+        """Each plain text's ids."""
+        pad = b" " * _CHARACTERS
+        joined = b" ".join([t for t, _ in texts]) + pad
+        raw, kinds = np.frombuffer(joined, np.uint8), np.frombuffer(b" ".join([k for _, k in texts]) + b" ", np.uint8)
+        edge = np.concatenate([[0], np.flatnonzero(kinds[1:] != kinds[:-1]) + 1])
+        starts, ends = edge[:-1], edge[1:]
+        kind = kinds[starts]
+        unit = kind != 32
+        starts, ends, kind = starts[unit], ends[unit], kind[unit]
+        # Runs with digits are of several pieces.
+        digits = np.flatnonzero((raw >= 48) & (raw <= 57))
+        whole = ends - starts <= _CHARACTERS
+        whole[np.searchsorted(starts, digits, side="right") - 1] = False
+        window = np.ndarray((len(raw) - 7,), "<u8", joined, strides=(1,))
+        size = (ends - starts)[:, None] - np.array([0, 8])
+        keys = np.stack([window[starts], window[starts + 8]], axis=1)
+        keys &= _MASKS[np.clip(size, 0, 8)]
+        slot = np.full(len(starts), -1)
+        slot[whole] = self.units.find(keys[whole])
+        rows, count = self.units.ids[slot], self.units.count[slot].astype(np.int64)
+        text = joined.decode("latin-1")
+        new = np.flatnonzero((slot < 0) & whole)
+        one_by_one = np.flatnonzero(~whole).tolist()
+        if len(new):
+            names = [text[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)]
+            place: dict[str, int] = {}
+            nth = np.array([place.setdefault(name, len(place)) for name in names])
+            first = np.empty(len(place), np.int64)
+            first[nth[::-1]] = new[::-1]
+            own_rows, own_count, many = self._learnt(keys[first], list(place))
+            rows[new], count[new] = own_rows[nth], own_count[nth]
+            if many:
+                one_by_one += new[np.isin(nth, many)].tolist()
+                one_by_one.sort()
+        long = np.zeros(len(starts), bool)
+        if one_by_one:
+            [found] = self._words([[text[starts[i] : ends[i]] for i in one_by_one]])
+            long[one_by_one] = True
+            count[one_by_one] = [len(x) // 4 for x in found]
+        out = np.empty(count.sum(), "<u4")
+        short = (np.arange(_IDS) < count[:, None]) & ~long[:, None]
+        if one_by_one:
+            beside = np.repeat(long, count)
+            out[~beside] = rows[short]
+            out[beside] = np.frombuffer(b"".join(found), "<u4")
+        else:
+            out[:] = rows[short]
+        lengths = np.array([len(t) + 1 for t, _ in texts])
+        at = np.concatenate([[0], np.cumsum(count)])[np.searchsorted(starts, np.concatenate([[0], np.cumsum(lengths)]))]
+        ids = out.tobytes()
+        return [ids[4 * a : 4 * b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Each text's ids as little-endian u32."""
         for begin in range(0, len(texts), _TEXTS):
-            get, found, open_words, need = self.steady.get, [], [], set()
-            for text in texts[begin : begin + _TEXTS]:
-                row = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-                ids = list(map(get, row))
-                if None in ids:
-                    at = [i for i, x in enumerate(ids) if x is None]
-                    words = [row[i] for i in at]
-                    need.update(words)
-                    open_words.append((ids, at, words))
-                found.append(ids)
-            new = self._ids(need) if need else {}
-            for ids, at, words in open_words:
-                for i, w in zip(at, words, strict=True):
-                    ids[i] = new[w]
-            yield from map(b"".join, found)
+            some = texts[begin : begin + _TEXTS]
+            plain = [_plain(text) for text in some]
+            rows = [
+                text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+                for text, cut in zip(some, plain, strict=True)
+                if cut is None
+            ]
+            others = map(b"".join, self._words(rows))
+            given = [cut for cut in plain if cut is not None]
+            cuts = (ids for a, b in stretches([text for text, _ in given], _BYTES) for ids in self._cut(given[a:b]))
+            for cut in plain:
+                yield next(others) if cut is None else next(cuts)
             if self.fresh_bytes > self.memory // 2:
                 self.fresh, self.fresh_bytes = {}, 0
             if self.steady_bytes > self.memory:
