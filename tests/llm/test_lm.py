@@ -103,3 +103,23 @@ def test_known_words_are_found_and_others_are_not():
     assert (found[1::2] == -1).all()
     there = found[::2]
     assert (there >= 0).mean() > 0.99 and (there[there >= 0] == np.flatnonzero(there >= 0)).all()
+
+
+def test_gates_lie_together_and_large_logits_stay_finite():
+    network, rng = small()
+    ids = rng.integers(0, lm.WORDS + lm.TAILS, 64)
+    state = np.zeros((64, lm.HIDDEN), np.float32)
+    out, kept = network.states(ids[None], np.array([64]), state, np.ones((1, 64), bool), True)
+    # Blocks of one gate each; slices of interleaved gates were most of the time.
+    assert [k.shape[-2:] for k in kept] == [(64, lm.HIDDEN)] * 4 and kept[1][0, 1].flags.c_contiguous
+    plain, _ = network.losses(out[0], ids, None)
+    for name in ("cb", "wb"):
+        network.p[name] += np.float32(200)
+    found, back = network.losses(out[0], ids, {k: np.zeros_like(v) for k, v in network.p.items()})
+    assert np.isfinite(back).all() and np.allclose(found, plain, rtol=1e-3)
+
+
+def test_counts_of_words_by_hash_and_tail(table_of):
+    text = "b, a B a. é xé. a."
+    found = {r["tail"]: r["n"] for r in lm.count_words(table_of([(1, text), (2, None)])).groupBy("tail").sum("n").withColumnRenamed("sum(n)", "n").collect()}
+    assert found == {0: 4, 1: 1, 2: 2, 4: 1, 6: 1}

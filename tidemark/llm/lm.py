@@ -35,6 +35,8 @@ WORDS, PER_CLASS, TAILS, HIDDEN, WINDOW, LANES = 1024, 64, 8, 16, 48, 512
 CLASSES = WORDS // PER_CLASS
 #: Words whose counts every task has; documents of the starting sample, and the bytes that one of them may have.
 KNOWN, START_ROWS, START_BYTES = 1 << 18, 768, 100_000
+#: Bytes of texts whose words are hashed at once: few enough for a core's cache.
+STRETCH = 1 << 18
 #: Added to every count, in the base as in the tails.
 ADD = 0.1
 _END = np.uint64(0xE0D)
@@ -46,13 +48,14 @@ def tails_of(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
     last = raw[ends - 1]
     form = np.where(last == 44, 1, np.where(last == 46, 2, 3))
     letter = (last >= 128) | ((last >= 97) & (last <= 122)) | ((last >= 48) & (last <= 57))
-    wide = np.concatenate([[0], np.cumsum(raw >= 128)])
-    return np.where(letter, 0, form) + 4 * (wide[ends] > wide[starts])
+    wide = np.zeros(len(starts), np.int64)
+    wide[np.searchsorted(starts, np.flatnonzero(raw >= 128), side="right") - 1] = 4
+    return np.where(letter, 0, form) + wide
 
 
 def token_stretches(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """(number of the first text, token hashes, tail classes, offsets): words of lower-cased texts, each with an end."""
-    for begin, end in wordhash.stretches(texts):
+    for begin, end in wordhash.stretches(texts, STRETCH):
         lowered = [t.translate(wordhash.LOWER) for t in texts[begin:end]]
         words, offsets, (raw, starts, ends, _) = wordhash.hashed(lowered)
         tails = tails_of(raw, starts, ends) if len(words) else np.zeros(0, np.int64)
@@ -130,95 +133,147 @@ class Network:
             at += v.size
         return self
 
+    def _gates(self) -> tuple[np.ndarray, np.ndarray]:
+        """Weights of inputs and of states, one block a gate, so that each gate's values lie together. Those of the two sigmoids
+        are halved, which is exact: sigmoid(a) = tanh(a / 2) / 2 + 1 / 2."""
+        h = HIDDEN
+        half = np.array([0.5, 0.5, 1], self.p["x"].dtype)[:, None, None]
+        x = (self.p["x"] + self.p["b"]).reshape(-1, 3, h).transpose(1, 0, 2) * half
+        return np.ascontiguousarray(x), np.ascontiguousarray(self.p["u"].reshape(h, 3, h).transpose(1, 0, 2) * half)
+
     def states(self, inputs: np.ndarray, active: np.ndarray, state: np.ndarray, fresh: np.ndarray, keep: bool):
         """Hidden states of a window [step, lane]; lanes are sorted, so those that still run come first.
 
         ``state`` is carried on in place, and begins anew where a step is the first of a text (``fresh``). With
-        ``keep``, what backpropagation needs is returned too.
+        ``keep``, what backpropagation needs is returned too: states before, gates, new values and what those had of the state.
         """
-        h, p, kept = HIDDEN, self.p, []
-        out = np.zeros((len(active), len(state), h), np.float32)
-        x = p["x"] + p["b"]
+        x, u = self._gates()
+        steps, width, h = len(active), len(state), HIDDEN
+        out = np.zeros((steps, width, h), x.dtype)
+        # Lanes that do not run have zeros before them, which add nothing to a gradient.
+        kept = [out.copy(), *(np.empty((steps, n, width, h), x.dtype) for n in (2, 1, 1))] if keep else None
+        turned, zr_all, new_all = (np.empty((n, width, h), x.dtype) for n in (3, 2, 1))
         for t, n in enumerate(active):
-            gates = x[inputs[t, :n]]
-            state[:n][fresh[t, :n]] = 0
-            before = state[:n]
-            turned = before @ p["u"]
-            zr = _sigmoid(gates[:, : 2 * h] + turned[:, : 2 * h])
-            z, r = zr[:, :h], zr[:, h:]
-            new = np.tanh(gates[:, 2 * h :] + r * turned[:, 2 * h :])
-            after = new + z * (before - new)
+            before, at = state[:n], inputs[t, :n]
+            before[fresh[t, :n]] = 0
             if keep:
-                kept.append((before.copy(), zr, new, turned[:, 2 * h :]))
-            state[:n] = after
-            out[t, :n] = after
+                kept[0][t, :n] = before
+                zr_all, new_all = kept[1][t], kept[2][t]
+            own, zr, new = turned[:, :n], zr_all[:, :n], new_all[0, :n]
+            np.matmul(before, u, out=own)
+            if keep:
+                kept[3][t, 0, :n] = own[2]
+            for k in range(2):
+                np.take(x[k], at, axis=0, out=zr[k], mode="clip")
+            np.take(x[2], at, axis=0, out=new, mode="clip")
+            zr += own[:2]
+            np.tanh(zr, out=zr)
+            zr *= 0.5
+            zr += 0.5
+            own[2] *= zr[1]
+            new += own[2]
+            np.tanh(new, out=new)
+            # new + z * (before - new)
+            before -= new
+            before *= zr[0]
+            before += new
+            out[t, :n] = before
         return out, kept
 
+    def _softmax(self, hidden: np.ndarray, weights: np.ndarray, bias: np.ndarray, at: np.ndarray, gradient: bool):
+        """Natural log probabilities of the outputs ``at``, and the gradient of the logits."""
+        # A state is below 1 in size, so a logit is below this; in between the exponentials neither overflow nor vanish.
+        bound = float(np.abs(weights).sum(axis=0).max() + np.abs(bias).max()) if np.abs(hidden).max(initial=0) <= 1 else np.inf
+        logits = hidden @ weights
+        logits += bias
+        if bound > 60:
+            logits -= logits.max(axis=1, keepdims=True)
+        rows = np.arange(len(at))
+        chosen = logits[rows, at]
+        e = np.exp(logits, out=logits)
+        total = e @ np.ones(e.shape[1], e.dtype)
+        if gradient:
+            e /= total[:, None]
+            e[rows, at] -= 1
+        return chosen - np.log(total), e
+
     def losses(self, hidden: np.ndarray, targets: np.ndarray, gradients: dict | None):
         """Natural log probabilities of targets (word ids, or WORDS plus tail class); gradients are added up."""
         p = self.p
-        is_word = targets < WORDS
-        group = np.where(is_word, targets // PER_CLASS, CLASSES + targets - WORDS)
-        rows = np.arange(len(targets))
-        logits = hidden @ p["c"] + p["cb"]
-        logits -= logits.max(axis=1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(axis=1)
-        out = (logits[rows, group] - np.log(total)).astype(np.float64)
-        back = None
-        if gradients is not None:
-            e /= total[:, None]
-            e[rows, group] -= 1
+        # By class once, so that each class's rows lie together.
+        group = np.where(targets < WORDS, targets // PER_CLASS, CLASSES + targets - WORDS).astype(np.int16)
+        order = np.argsort(group, kind="stable")
+        hidden, targets, group = hidden[order], targets[order], group[order]
+        learns = gradients is not None
+        found, e = self._softmax(hidden, p["c"], p["cb"], group, learns)
+        found = found.astype(np.float64)
+        if learns:
             gradients["c"] += hidden.T @ e
-            gradients["cb"] += e.sum(axis=0)
+            gradients["cb"] += np.ones(len(e), e.dtype) @ e
             back = e @ p["c"].T
-        order = np.argsort(group, kind="stable")
-        cuts = np.searchsorted(group[order], np.arange(CLASSES + 1))
+        cuts = np.searchsorted(group, np.arange(CLASSES + 1))
         for k in range(CLASSES):
-            own = order[cuts[k] : cuts[k + 1]]
-            if len(own):
-                part = hidden[own]
-                logits = part @ p["w"][k] + p["wb"][k]
-                logits -= logits.max(axis=1, keepdims=True)
-                e = np.exp(logits)
-                total = e.sum(axis=1)
-                at = targets[own] - k * PER_CLASS
-                out[own] += logits[np.arange(len(own)), at] - np.log(total)
-                if gradients is not None:
-                    e /= total[:, None]
-                    e[np.arange(len(own)), at] -= 1
-                    gradients["w"][k] += part.T @ e
-                    gradients["wb"][k] += e.sum(axis=0)
+            own = slice(cuts[k], cuts[k + 1])
+            if cuts[k] < cuts[k + 1]:
+                more, e = self._softmax(hidden[own], p["w"][k], p["wb"][k], targets[own] - k * PER_CLASS, learns)
+                found[own] += more
+                if learns:
+                    gradients["w"][k] += hidden[own].T @ e
+                    gradients["wb"][k] += np.ones(len(e), e.dtype) @ e
                     back[own] += e @ p["w"][k].T
-        return out, back
+        out = np.empty_like(found)
+        out[order] = found
+        if not learns:
+            return out, None
+        spread = np.empty_like(back)
+        spread[order] = back
+        return out, spread
 
     def backward(self, inputs: np.ndarray, active: np.ndarray, fresh: np.ndarray, kept: list, back: np.ndarray, gradients: dict) -> None:
         """Gradients of a window's steps, last first; what lies before the window is taken as given."""
         h, p = HIDDEN, self.p
-        carried = np.zeros((back.shape[1], h), np.float32)
-        all_gates, all_inputs = [], []
-        for t in range(len(active) - 1, -1, -1):
+        befores, zrs, news, turneds = kept
+        steps, width = len(active), back.shape[1]
+        u = np.ascontiguousarray(p["u"].reshape(h, 3, h).transpose(1, 2, 0))
+        carried = np.zeros((width, h), back.dtype)
+        # All steps' gates, lane by lane; lanes that do not run have no gradient.
+        gates = np.zeros((3, steps, width, h), back.dtype)
+        turned_new = np.zeros((steps, width, h), back.dtype)
+        for t in range(steps - 1, -1, -1):
             n = active[t]
-            before, zr, new, turned = kept[t]
-            z, r = zr[:, :h], zr[:, h:]
-            d = back[t, :n] + carried[:n]
-            d_new = d * (1 - z) * (1 - new * new)
-            gate = np.empty((n, 3 * h), np.float32)
-            gate[:, :h] = d * (before - new) * z * (1 - z)
-            gate[:, h : 2 * h] = d_new * turned * r * (1 - r)
-            gate[:, 2 * h :] = d_new
-            turned_back = gate.copy()
-            turned_back[:, 2 * h :] *= r
-            gradients["u"] += before.T @ turned_back
-            carried[:n] = d * z + turned_back @ p["u"].T
-            carried[:n][fresh[t, :n]] = 0
-            all_gates.append(gate)
-            all_inputs.append(inputs[t, :n])
-        gates, at = np.concatenate(all_gates), np.concatenate(all_inputs)
-        gradients["b"] += gates.sum(axis=0)
+            before, z, r, new, turned = befores[t, :n], zrs[t, 0, :n], zrs[t, 1, :n], news[t, 0, :n], turneds[t, 0, :n]
+            g_z, g_r, g_new, g_turned = gates[0, t, :n], gates[1, t, :n], gates[2, t, :n], turned_new[t, :n]
+            d = carried[:n]
+            d += back[t, :n]
+            rest = d * z
+            # d * (1 - z) * (1 - new * new)
+            np.subtract(d, rest, out=g_new)
+            np.subtract(before, new, out=g_z)
+            new *= new
+            np.subtract(1, new, out=new)
+            g_new *= new
+            # d * (before - new) * z * (1 - z)
+            g_z *= rest
+            g_z -= g_z * z
+            np.multiply(g_new, r, out=g_turned)
+            # d_new * turned * r * (1 - r)
+            np.multiply(g_turned, turned, out=g_r)
+            g_r -= g_r * r
+            rest += g_z @ u[0]
+            rest += g_r @ u[1]
+            rest += g_turned @ u[2]
+            rest[fresh[t, :n]] = 0
+            carried[:n] = rest
+        flat = befores.reshape(-1, h).T
+        at = inputs.reshape(-1).astype(np.int16)
         order = np.argsort(at, kind="stable")
         names, first = np.unique(at[order], return_index=True)
-        gradients["x"][names] += np.add.reduceat(gates[order], first, axis=0)
+        ones = np.ones(len(at), back.dtype)
+        for k, gate in enumerate(gates.reshape(3, -1, h)):
+            own = slice(k * h, (k + 1) * h)
+            gradients["u"][:, own] += flat @ (gate if k < 2 else turned_new.reshape(-1, h))
+            gradients["b"][own] += ones @ gate
+            gradients["x"][names, own] += np.add.reduceat(gate[order], first, axis=0)
 
 
 class Adam:
@@ -277,15 +332,19 @@ def learn(network: Network, tokens: np.ndarray, offsets: np.ndarray, adam: Adam)
     """One pass over the texts, window by window, the state carried on and gradients cut at a window's start."""
     state = np.zeros((LANES, HIDDEN), np.float32)
     for inputs, targets, fresh, _, active in Lanes(tokens, offsets).windows():
-        mask = np.arange(active[0])[None, :] < active[:, None]
         hidden, kept = network.states(inputs, active, state[: active[0]], fresh, True)
         gradients = {k: np.zeros_like(v) for k, v in network.p.items()}
-        _, back = network.losses(hidden[mask], targets[mask], gradients)
-        spread = np.zeros_like(hidden)
-        spread[mask] = back
+        if active[-1] == active[0]:
+            _, back = network.losses(hidden.reshape(-1, HIDDEN), targets.reshape(-1), gradients)
+            spread = back.reshape(hidden.shape)
+        else:
+            mask = np.arange(active[0])[None, :] < active[:, None]
+            _, back = network.losses(hidden[mask], targets[mask], gradients)
+            spread = np.zeros_like(hidden)
+            spread[mask] = back
         network.backward(inputs, active, fresh, kept, spread, gradients)
         # Few lanes give a noisy gradient: it counts for as much less.
-        adam.apply(gradients, 1.0 / max(int(mask.sum()), LANES * WINDOW // 8))
+        adam.apply(gradients, 1.0 / max(int(active.sum()), LANES * WINDOW // 8))
 
 
 def log_probabilities(network: Network, tokens: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -293,10 +352,14 @@ def log_probabilities(network: Network, tokens: np.ndarray, offsets: np.ndarray)
     out = np.zeros(len(offsets) - 1)
     state = np.zeros((LANES, HIDDEN), np.float32)
     for inputs, targets, fresh, of, active in Lanes(tokens, offsets).windows():
-        mask = np.arange(active[0])[None, :] < active[:, None]
         hidden, _ = network.states(inputs, active, state[: active[0]], fresh, False)
-        found, _ = network.losses(hidden[mask], targets[mask], None)
-        out += np.bincount(of[mask], found, len(out))
+        if active[-1] == active[0]:
+            hidden, targets, of = hidden.reshape(-1, HIDDEN), targets.reshape(-1), of.reshape(-1)
+        else:
+            mask = np.arange(active[0])[None, :] < active[:, None]
+            hidden, targets, of = hidden[mask], targets[mask], of[mask]
+        found, _ = network.losses(hidden, targets, None)
+        out += np.bincount(of, found, len(out))
     return out
 
 
@@ -326,10 +389,11 @@ def count_words(learning: DataFrame) -> DataFrame:
             parts = [(h, t) for _, h, t, _ in token_stretches(utf8(batch["text"].to_pylist()))]
             if parts:
                 hashes, tails = (np.concatenate(x) for x in zip(*parts, strict=True))
-                names, first, n = np.unique(hashes, return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(names.view(np.int64)), pa.array(tails[first].astype(np.int32)), pa.array(n)], ["h", "tail", "n"]
-                )
+                # By tail class, so that hashes are sorted alone.
+                for tail in np.unique(tails):
+                    names, n = np.unique(hashes[tails == tail], return_counts=True)
+                    of = np.full(len(names), tail, np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(of), pa.array(n)], ["h", "tail", "n"])
 
     rows = learning.select("text").mapInArrow(counted, "h long, tail int, n long")
     return rows.groupBy("h").agg(F.max("tail").alias("tail"), F.sum("n").alias("n"))
