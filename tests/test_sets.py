@@ -1,8 +1,10 @@
 """Comparisons by bitmaps and digests, term tables, reader bitmaps and sketches."""
 
 import random
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import rows
 from tidemark.operators import bitsets, expand, postings, reconcile, search
@@ -103,6 +105,40 @@ def test_a_range_of_terms_finds_what_a_scan_finds(spark, fresh, prefix):
     assert postings.suggest(spark.read.parquet(f"{fresh}/m"), prefix, 5).collect() == expected
 
 
+def test_postings_travel_by_term_and_texts_are_cut_once(spark, fresh, monkeypatch):
+    table = names(spark).union(names(spark).where("node_id < 20")).union(spark.createDataFrame([(None, "Red ring", "the")], NAMES))
+    data = table.collect()
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    expected = sorted(
+        ((f, t, r.node_id) for r in data for f in ("name", "content") for t in set(re.split(r"[\W_]+", (r[f] or "").lower())) - {""}), key=repr
+    )
+    made = postings.postings(table.repartition(1).mapInArrow(counted, NAMES), "node_id", ["name", "content"])
+    for stretch, path in ((postings.STRETCH, f"{fresh}/one"), (1, f"{fresh}/many")):
+        monkeypatch.setattr(postings, "STRETCH", stretch)
+        read.value = 0
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+        try:
+            postings.write_postings(made, path, 3)
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert read.value == len(data)
+        found = spark.read.parquet(path)
+        assert rows(found.select("field", "term", F.explode("node_id"))) == expected
+        terms = len({e[:2] for e in expected})
+        assert found.count() == terms if stretch > 1 else terms < found.count() < len(expected)
+        ends = found.groupBy(F.input_file_name()).agg(F.min(F.struct("field", "term")), F.max(F.struct("field", "term"))).collect()
+        ends = sorted((tuple(low), tuple(high)) for _, low, high in ends)
+        assert len(ends) > 1 and all(a[1] <= b[0] for a, b in zip(ends, ends[1:]))
+        hits = {e[2] for e in expected if e[0] == "name" and e[1].startswith("ring")}
+        assert None in hits and rows(postings.search(found, "name", "Ring")) == sorted(((h,) for h in hits), key=repr)
+
+
 def test_a_prefix_reaches_the_scan_as_a_range(spark, fresh):
     postings.write_postings(postings.postings(names(spark), "node_id", ["name"]), f"{fresh}/p")
     text = postings.search(spark.read.parquet(f"{fresh}/p"), "name", "Ring")._jdf.queryExecution().executedPlan().toString()

@@ -1,9 +1,10 @@
 """Searching by sorted term tables instead of by texts.
 
-Postings hold (field, term, id), a dictionary (term, n); both are written in the order of their terms, split by
+Postings are (field, term, id), stored as (field, term, ids), a row for each term of a stretch of texts;
+a dictionary is (term, n). Both are written in the order of their terms, split by
 range. A prefix is a range of terms, so it reaches the scan as two bounds, files and row groups beside it are skipped by
 their statistics, and texts are cut into words once instead of for every search. A frequent term is spread over files, as
-ids split it, too.
+its rows are split by their first ids, too.
 
 A dictionary is kept as runs: each run writes the counts that its texts add, or take away, and a search sums up its range of
 all runs. Merging runs into one is the same sum over all terms.
@@ -11,25 +12,63 @@ all runs. Merging runs into one is the same sum over all terms.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from tidemark.operators.search import SUGGEST_FIELDS, tokens
+from tidemark.session import freeze
+
+#: Words are gathered by term in stretches of about so many bytes, which bounds the memory a task takes.
+STRETCH = 32_000_000
 
 
 def postings(rows: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
-    """(field, term, key): each word of each field of each row, once."""
+    """(field, term, key) for each field of each row: its words, each once, as one array."""
     texts = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields])
     each = rows.select(key, F.inline(texts))
-    return each.select("field", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"), key)
+    return each.select("field", F.array_distinct(tokens(F.col("text"))).alias("term"), key)
+
+
+def _by_term(stretch: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """One row for each term of a stretch of rows, with all its keys in the order they came."""
+
+    # Functions inside this one reach Python workers whole, which then need not have this package.
+    def lists(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held)
+        names = rows.column_names
+        field, words, key = (column.combine_chunks() for column in rows.columns)
+        row = pc.list_parent_indices(words)
+        each = pa.table([field.take(row), words.flatten(), key.take(row)], ["field", "term", "key"])
+        found = each.group_by(["field", "term"], use_threads=False).aggregate([("key", "list")])
+        yield from found.select(["field", "term", "key_list"]).rename_columns(names).to_batches(max_chunksize=10_000)
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size >= stretch:
+                yield from lists(held)
+                held, size = [], 0
+        if held:
+            yield from lists(held)
+
+    return gathered
 
 
 def write_postings(found: DataFrame, path: str, parts: int | None = None) -> None:
-    """One folder of files whose (field, term, key) ranges do not overlap."""
-    order = found.columns
-    cut = found.repartitionByRange(*order) if parts is None else found.repartitionByRange(parts, *order)
+    """One folder of files of (field, term, keys) whose (field, term, first key) ranges do not overlap."""
+    field, term, key = found.schema.fields
+    schema = StructType([field, StructField(term.name, term.dataType.elementType), StructField(key.name, ArrayType(key.dataType))])
+    # Ranges are sampled, so texts would be cut into words again for the sample.
+    lists = freeze(found.mapInArrow(_by_term(STRETCH), schema))
+    order = [field.name, term.name, F.col(key.name)[0]]
+    cut = lists.repartitionByRange(*order) if parts is None else lists.repartitionByRange(parts, *order)
     cut.sortWithinPartitions(*order).write.parquet(path)
 
 
@@ -52,9 +91,10 @@ def in_prefix(column: str, prefix: str) -> Column:
 
 
 def search(found: DataFrame, field: str, prefix: str) -> DataFrame:
-    """Keys of rows with a word of the field that starts with the prefix, each once."""
+    """Keys of rows with a word of the field that starts with the prefix, each once, from what ``write_postings`` wrote."""
     key = found.columns[-1]
-    return found.where((F.col("field") == field) & in_prefix("term", prefix.lower())).select(key).distinct()
+    lists = found.where((F.col("field") == field) & in_prefix("term", prefix.lower()))
+    return lists.select(F.explode(key).alias(key)).distinct()
 
 
 def reindex_by_postings(index_nodes: DataFrame, found: DataFrame, field: str, prefix: str) -> DataFrame:
